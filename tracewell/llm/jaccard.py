@@ -7,8 +7,8 @@
 3. A star pass proposes for each set the smallest document with an equal pair of minimum hashes. Sets that lean on
    the same star are not compared with each other again, which keeps large groups of near copies linear.
 4. A tile holds the sets of two neighbouring size bands that share a prefix shingle; large ones are cut into blocks,
-   and each pair of blocks is a tile of its own. In a tile, bit counts of the bitmaps bound each overlap from above:
-   a bit that is set in one bitmap only stands for at least one shingle that the other set lacks.
+   and each pair of blocks is a tile of its own. For a tile's pairs, once each, bit counts of the bitmaps bound the
+   overlap from above: a bit that is set in one bitmap only stands for at least one shingle that the other set lacks.
 5. Pairs that pass are compared exactly, those with stars included: a star that fails doesn't count.
 """
 
@@ -112,7 +112,7 @@ def _profile(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
                 if not n:
                     out.append((0, 0, 0, None, None, None))
                     continue
-                least = [int(mix(s * m).min()) for m in _ODD]
+                least = [int((s * m).min()) for m in _ODD]
                 stars = [((least[2 * i] * 31 + least[2 * i + 1]) * 8 + i & (1 << 64) - 1) - (1 << 63) for i in range(STARS)]
                 at = np.searchsorted(often, s)
                 common = (often[np.minimum(at, len(often) - 1)] == s) if len(often) else np.zeros(n, bool)
@@ -165,80 +165,79 @@ def _exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, perce
 
 
 def _tile_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile's rows whose bitmaps allow a link. Rows come sorted by tile; a tile has two blocks at most."""
-    growth = math.log(100 / min(percent, 99))
+    """Pairs of a tile's rows whose sizes and places in the prefixes allow a link. Rows come sorted by tile.
 
-    def pairs(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        out_a: list[int] = []
-        out_b: list[int] = []
-        if len(rows) < 2:
-            return out_a, out_b
-        _, _, lo, hi, _ = rows[0][0]
-        n = np.array([r[2] for r in rows])
-        ids, star, block = (np.array([r[i] for r in rows]) for i in (1, 3, 4))
-        band = np.floor(np.log(n) / growth + 1e-9)
-        top = rows[0][0][4]
-        maps = [np.frombuffer(r[5], np.uint8) for r in rows]
-        sizes = np.array([len(m) for m in maps])
-        folded = {}
-        for i in range(len(rows)):
-            ok = (star[i + 1 :] != star[i]) & (ids[i + 1 :] != ids[i]) & ((band[i + 1 :] == top) | (band[i] == top))
-            ok &= 100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])
-            if lo != hi:
-                ok &= block[i + 1 :] != block[i]
-            js = np.flatnonzero(ok) + i + 1
-            for size in np.unique(np.minimum(sizes[js], sizes[i])) if len(js) else ():
-                if size not in folded:
-                    folded[size] = np.array([fold(m, size) if len(m) >= size else np.zeros(size, np.uint8) for m in maps])
-                at = js[np.minimum(sizes[js], sizes[i]) == size]
-                x, ys = folded[size][i], folded[size][at]
-                most = np.minimum(n[i] - np.bitwise_count(x & ~ys).sum(1, dtype=np.int64), n[at] - np.bitwise_count(ys & ~x).sum(1, dtype=np.int64))
-                good = at[100 * most >= percent * (n[i] + n[at] - most)]
-                out_a += np.minimum(ids[i], ids[good]).tolist()
-                out_b += np.maximum(ids[i], ids[good]).tolist()
-        return out_a, out_b
-
-    tile, rows = None, []
-    found: tuple[list[int], list[int]] = ([], [])
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+    If a pair links, then at the first shingle that both prefixes have, no more than what follows it in either set can
+    be shared; a pair that fails this at one shingle is left to the others.
+    """
 
+    def pairs(r: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n = len(r["token"])
+        same = np.ones(max(n - 1, 0), bool)
+        for k in _TILE:
+            same &= r[k][1:] == r[k][:-1]
+        last = np.append(np.flatnonzero(~same), n - 1)  # the last row of each tile
+        end = last[np.searchsorted(last, np.arange(n))] if n else last
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        i, step = np.arange(n), 0
+        while True:
+            step += 1
+            i = i[i + step <= end[i]]
+            if not len(i):
+                break
+            j = i + step
+            size_i, size_j = r["n"][i], r["n"][j]
+            most = np.minimum(size_i - r["place"][i], size_j - r["place"][j])
+            ok = (r["star"][i] != r["star"][j]) & (r["doc_id"][i] != r["doc_id"][j])
+            ok &= (100 * np.minimum(size_i, size_j) >= percent * np.maximum(size_i, size_j)) & (100 * most >= percent * (size_i + size_j - most))
+            ok &= np.maximum(r["band"][i], r["band"][j]) == r["tile_band"][i]
+            ok &= (r["lo"][i] == r["hi"][i]) | (r["block"][i] != r["block"][j])
+            a, b = r["doc_id"][i[ok]], r["doc_id"][j[ok]]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+        found = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    rest: dict[str, np.ndarray] | None = None
     for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for token, lo, hi, band, i, n, star, block, bits in zip(*cols, strict=True):
-            key = (token, 0, lo, hi, band)
-            if key != tile:
-                a, b = pairs(rows)
-                found[0].extend(a), found[1].extend(b)
-                tile, rows = key, []
-                if len(found[0]) > 50_000:
-                    yield flush()
-                    found = ([], [])
-            rows.append((key, i, n, star, block, bits))
-    a, b = pairs(rows)
-    found[0].extend(a), found[1].extend(b)
-    yield flush()
-
-
-def _candidates(reps: DataFrame, star_of: DataFrame, percent: int, only: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a < b) with different stars that share a prefix shingle and pass size band and bitmap."""
+        rows = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in batch.schema.names}
+        if rest is not None:
+            rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
+        n = len(rows["token"])
+        if not n:
+            continue
+        own = np.ones(n, bool)
+        for k in _TILE:
+            own &= rows[k] == rows[k][-1]
+        cut = n - int(np.argmin(own[::-1])) if not own.all() else 0
+        rest = {k: v[cut:] for k, v in rows.items()}
+        if cut:
+            yield pairs({k: v[:cut] for k, v in rows.items()})
+    if rest is not None:
+        yield pairs(rest)
+
+
+_TILE = ("token", "lo", "hi", "tile_band")
+
+
+def _candidates(reps: DataFrame, star_of: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) with different stars that share a prefix shingle and pass size, place and bitmap."""
     rows = reps.select("doc_id", "n", "prefix").join(star_of.hint("merge"), "doc_id")
-    rows = rows.mapInArrow(_explode, "token long, doc_id long, n long, star long").where("token is not null")
-    seen = rows.groupBy("token").agg(F.min("star").alias("lo"), F.max("star").alias("hi"), F.count("*").alias("c"))
-    shared = materialise(seen.where("lo <> hi").select("token", "c"), "tokens")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = rows.mapInArrow(_explode, "token long, doc_id long, n int, star long, place int")
+    # the smaller set of a pair must have room for the overlap behind the shingle; the larger one has it further on
+    small = (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n").cast("long")
+    seen = rows.groupBy("token").agg(F.min("star").alias("lo"), F.max("star").alias("hi"), F.count("*").alias("c"), F.max(small).alias("small"))
+    shared = materialise(seen.where("lo <> hi and small").select("token", "c"), "tokens")
     growth = math.log(100 / min(percent, 99))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(growth) + F.lit(1e-9)).cast("int")
     rows = bit_filter(rows, "token", shared, "token").join(shared.hint("merge"), "token")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.withColumn("tile_band", F.explode(F.array(band, band + 1)))
-    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tile_band", "doc_id", "n", "star", "block")
-    rows = rows.join(reps.select("doc_id", "bits").hint("merge"), "doc_id")
-    rows = rows.repartition("token", "lo", "hi", "tile_band").sortWithinPartitions("token", "lo", "hi", "tile_band", "doc_id")
-    found = rows.select("token", "lo", "hi", "tile_band", "doc_id", "n", "star", "block", "bits").mapInArrow(lambda it: _tile_pairs(it, percent), "a long, b long")
-    out = materialise(found.distinct(), "pairs")
+    rows = rows.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("band", band)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.withColumn("tile_band", F.explode(F.when(small, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
+    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tile_band", "doc_id", "n", "star", "block", "place", "band")
+    rows = rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
+    found = rows.mapInArrow(lambda it: _tile_pairs(it, percent), "a long, b long")
+    out = _bounded(found.distinct(), reps, percent)
     drop(shared)
     return out
 
@@ -249,7 +248,9 @@ def _explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.array([len(t) for t in tokens], np.int64)
         if count.sum():
             at = pa.array(np.repeat(np.arange(len(count)), count))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[batch.column(c).take(at) for c in ("doc_id", "n", "star")]], ["token", "doc_id", "n", "star"])
+            place = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
+            doc, n, star = (batch.column(c).take(at) for c in ("doc_id", "n", "star"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), doc, n.cast(pa.int32()), star, pa.array(place)], ["token", "doc_id", "n", "star", "place"])
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
