@@ -30,6 +30,8 @@ OFTEN = 4
 FREQUENT = 1 << 17
 #: Documents of a tile's block.
 BLOCK = 1024
+#: Sets behind a shingle from which on its tiles carry bitmaps.
+FULL = 8
 STARS = 4
 _BATCH = 2048
 
@@ -61,9 +63,21 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def fold(b: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap (or rows of them) of fewer bits: bit i of the smaller is the or of the bits that equal i modulo its size."""
-    return b if b.shape[-1] == size else np.bitwise_or.reduce(b.reshape(*b.shape[:-1], -1, size), axis=-2)
+def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """Whether sets of n and m shingles with these bitmaps can link: their overlap is bounded by bit counts.
+
+    A bitmap of more bits is folded: bit i of the smaller one is the or of the bits that equal i modulo its size.
+    """
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    size, other = 8 * len(x), 8 * len(y)
+    while size > other:
+        size >>= 1
+        a = (a >> size) | (a & ((1 << size) - 1))
+    while other > size:
+        other >>= 1
+        b = (b >> other) | (b & ((1 << other) - 1))
+    most = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+    return 100 * most >= percent * (n + m - most)
 
 
 _SEEN = "h long, n long"
@@ -165,14 +179,15 @@ def _exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, perce
 
 
 def _tile_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile's rows whose sizes and places in the prefixes allow a link. Rows come sorted by tile.
+    """Pairs of a tile's rows whose sizes, places in the prefixes and bitmaps (if any) allow a link. Rows come sorted
+    by tile.
 
     If a pair links, then at the first shingle that both prefixes have, no more than what follows it in either set can
     be shared; a pair that fails this at one shingle is left to the others.
     """
 
     def pairs(r: dict[str, np.ndarray]) -> pa.RecordBatch:
-        n = len(r["token"])
+        n, bits = len(r["token"]), r["bits"]
         same = np.ones(max(n - 1, 0), bool)
         for k in _TILE:
             same &= r[k][1:] == r[k][:-1]
@@ -192,7 +207,11 @@ def _tile_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
             ok &= (100 * np.minimum(size_i, size_j) >= percent * np.maximum(size_i, size_j)) & (100 * most >= percent * (size_i + size_j - most))
             ok &= np.maximum(r["band"][i], r["band"][j]) == r["tile_band"][i]
             ok &= (r["lo"][i] == r["hi"][i]) | (r["block"][i] != r["block"][j])
-            a, b = r["doc_id"][i[ok]], r["doc_id"][j[ok]]
+            i_ok, j_ok = i[ok], j[ok]
+            if len(i_ok):
+                keep = [bits[x] is None or may_link(int(r["n"][x]), bits[x], int(r["n"][y]), bits[y], percent) for x, y in zip(i_ok.tolist(), j_ok.tolist(), strict=True)]
+                i_ok, j_ok = i_ok[keep], j_ok[keep]
+            a, b = r["doc_id"][i_ok], r["doc_id"][j_ok]
             out_a.append(np.minimum(a, b))
             out_b.append(np.maximum(a, b))
         found = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
@@ -200,7 +219,7 @@ def _tile_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
 
     rest: dict[str, np.ndarray] | None = None
     for batch in batches:
-        rows = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in batch.schema.names}
+        rows = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(object if k == "bits" else np.int64) for k in batch.schema.names}
         if rest is not None:
             rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
         n = len(rows["token"])
@@ -231,10 +250,13 @@ def _candidates(reps: DataFrame, star_of: DataFrame, percent: int) -> DataFrame:
     growth = math.log(100 / min(percent, 99))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(growth) + F.lit(1e-9)).cast("int")
     rows = bit_filter(rows, "token", shared, "token").join(shared.hint("merge"), "token")
+    # bitmaps travel with the rows of well-filled tiles only; the few pairs of the others meet theirs afterwards
+    bits = reps.select(F.col("doc_id").alias("of"), "bits").hint("merge")
+    rows = rows.join(bits, (F.col("doc_id") == F.col("of")) & (F.col("c") >= FULL), "left").drop("of")
     rows = rows.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("band", band)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("tile_band", F.explode(F.when(small, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
-    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tile_band", "doc_id", "n", "star", "block", "place", "band")
+    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tile_band", "doc_id", "n", "star", "block", "place", "band", "bits")
     rows = rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
     found = rows.mapInArrow(lambda it: _tile_pairs(it, percent), "a long, b long")
     out = _bounded(found.distinct(), reps, percent)
@@ -298,15 +320,8 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a, b, na, nb, ma, mb = batch.columns
             keep = []
-            for i, j, x, y in zip(na.to_pylist(), nb.to_pylist(), ma, mb, strict=True):
-                if 100 * min(i, j) < percent * max(i, j):
-                    keep.append(False)
-                    continue
-                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-                size = min(len(x), len(y))
-                x, y = fold(x, size), fold(y, size)
-                most = min(i - int(np.bitwise_count(x & ~y).sum(dtype=np.int64)), j - int(np.bitwise_count(y & ~x).sum(dtype=np.int64)))
-                keep.append(100 * most >= percent * (i + j - most))
+            for i, j, x, y in zip(na.to_pylist(), nb.to_pylist(), ma.to_pylist(), mb.to_pylist(), strict=True):
+                keep.append(100 * min(i, j) >= percent * max(i, j) and may_link(i, x, j, y, percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
