@@ -30,7 +30,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_toxicity(docs, fit_toxicity(docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")))
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,19 +84,22 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-4, ste
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def fit_toxicity(docs: DataFrame, most_toxic: int = 3000, most_clean: int = 6000, levels: int = 3) -> OrdinalModel:
-    """A model from docs(doc_id, text, toxic): about most_toxic and most_clean texts of either kind, by a hash of doc_id.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 6000, levels: int = 3) -> OrdinalModel:
+    """A model from docs(doc_id, text) and labels(doc_id, toxic): about most_toxic and most_clean labels of either kind,
+    chosen by a hash of doc_id before their texts are looked up, so that the sample can be broadcast and no text is
+    shuffled but its own.
 
     toxic may be a grade itself (0 and up to any number of grades). A mere 0/1 is turned into grades: toxic texts are
-    cut into as many levels by the number of their telling words. Null labels are left out. Texts with the same
+    cut into as many levels by the number of their telling words. Null labels and texts are left out. Texts with the same
     smallest word hash (copies and near copies, mostly) count once. Without both kinds, the model finds nothing toxic.
     """
-    labelled = docs.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("y"))
+    labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     size = dict(labelled.groupBy((F.col("y") > 0).alias("t")).count().collect())
     if len(size) < 2:
         return OrdinalModel({}, [1.0])
     rate = F.when(F.col("y") > 0, F.lit(most_toxic / size[True])).otherwise(F.lit(most_clean / size[False]))
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    chosen = labelled.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 256):
