@@ -31,8 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return _without(docs, score_toxicity(docs, model).where("toxic"))
 
 
