@@ -121,11 +121,15 @@ def fences(rated: DataFrame, groups: list[str]) -> DataFrame:
     for mark, level in enumerate(levels[1:], 1):
         part = limits(level, mark)
         on = [g for g in groups if g in part.columns]
+        if not on:  # all documents: one row of numbers
+            whole = part.first()
+            out = out.select("*", *[F.lit(whole[c]).cast(t).alias(c) for c, t in part.dtypes])
+            continue
         part = part.select(*[F.col(g).alias(f"__{g}") for g in on], *[c for c in part.columns if c not in on])
         same = F.lit(True)
         for g in on:
             same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
-        out = out.join(F.broadcast(part) if not on else part, same, "left").drop(*[f"__{g}" for g in on])
+        out = out.join(part, same, "left").drop(*[f"__{g}" for g in on])
     chosen = []
     for r in RULES:
         pick = F.col(f"{r.name}_{len(levels) - 1}")
