@@ -28,14 +28,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import arrow_map, chunks
 
 #: Code points of a text's leaf, bytes of a piece's leaf, tokens of a leaf when decoding.
 TEXT_LEAF, PIECE_LEAF, TOKEN_LEAF = 8192, 64, 4096
 #: No alternative of the pattern looks further than this beyond the end of its match, or needs more to match.
 LOOK = 3
 #: Pieces that a worker remembers (about 350 bytes each), and the longest of them.
-CACHE, CACHE_BYTES = 250_000, 48
+CACHE, CACHE_BYTES = 120_000, 48
 
 Node = tuple[list[str], list[tuple[tuple[int, ...], str]]]
 
@@ -220,4 +220,4 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), *[pa.array(v, OUTPUTS[k][1]) for k, v in out.items()]], ["doc_id", "n_tokens", *out])
 
     schema = ", ".join(["doc_id long, n_tokens long", *[f"{k} {OUTPUTS[k][0]}" for k in outputs]])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's word cache; about 120 bytes each.
-WORD_CACHE = 400_000
+#: Entries of a worker's word cache; about 180 bytes each.
+WORD_CACHE = 120_000
+#: Rows of a batch that goes to a Python worker: texts can be long, and both sides hold a batch at a time.
+BATCH_ROWS = 2048
 #: A key with at least this share of the rows counts as hot, so that there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 512
 
@@ -151,11 +156,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     raise RuntimeError(f"components() did not settle in {max_rounds} rounds")
 
 
+def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow() with batches of at most BATCH_ROWS rows, a setting that the session keeps."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(f, schema)
+
+
 def chunks(batches: Iterable, most: int) -> Iterator:
-    """Arrow batches of at most so many rows each."""
+    """Arrow batches of at most so many rows each. At the end, freed memory goes back to the system: Spark keeps its
+    Python workers for the tasks of later stages, and what they hold on to adds up."""
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             yield batch.slice(at, most)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def share(n: Column, of: Column) -> Column:

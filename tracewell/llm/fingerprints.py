@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, mix
+from .common import MULTIPLIER, arrow_map, mix
 
 K, S = 20, 8
 SIZE = 64
@@ -175,4 +175,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return rows.select("doc_id", "text", "ghost", "bucket").mapInArrow(run, SCHEMA)
+    return arrow_map(rows.select("doc_id", "text", "ghost", "bucket"), run, SCHEMA)

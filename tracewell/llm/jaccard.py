@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, bit_filter, chunks, components, drop, hash_words, materialise, mix, window_hashes
+from .common import WordHash, arrow_map, bit_filter, chunks, components, drop, hash_words, materialise, mix, window_hashes
 
 #: Shingles that come up so often within a batch of documents are counted for the order of prefixes.
 OFTEN = 4
@@ -90,22 +90,27 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
         cache, pending, size = WordHash(), [], 0
 
         def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(pending), return_counts=True)
+            every = np.concatenate(pending)
+            pending.clear()
+            every.sort()
+            at = np.flatnonzero(np.concatenate([[len(every) > 0], every[1:] != every[:-1]]))
+            n = np.diff(np.append(at, len(every)))
             keep = n >= OFTEN
+            h = every[at]
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
 
-        for batch in batches:
+        for batch in chunks(batches, _BATCH):
             for t in batch.column(0):
                 s = shingles(t.as_py(), width, cache)
                 pending.append(s)
                 size += len(s)
                 if size >= 2_000_000:
                     yield flush()
-                    pending, size = [], 0
+                    size = 0
         if pending:
             yield flush()
 
-    seen = texts.select(F.col("text").cast("binary")).mapInArrow(count, _SEEN)
+    seen = arrow_map(texts.select(F.col("text").cast("binary")), count, _SEEN)
     top = seen.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT)
     return np.sort(np.array([r[0] for r in top.select("h").collect()], np.int64).view(np.uint64))
 
@@ -137,7 +142,7 @@ def _profile(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["doc_id", "n", "set_hash", "set_hash2", "stars", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(profile, _PROFILE)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), profile, _PROFILE)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -151,7 +156,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set_hash", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    found = bit_filter(rows, "id", wanted, "id").mapInArrow(arrays, "id long, set_hash long, words binary")
+    found = arrow_map(bit_filter(rows, "id", wanted, "id"), arrays, "id long, set_hash long, words binary")
     return found.join(wanted.hint("merge"), ["id", "set_hash"], "left_semi").dropDuplicates(["id", "set_hash"])
 
 
@@ -175,7 +180,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, perce
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    return materialise(both.select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long"), "links")
+    return materialise(arrow_map(both.select("a", "b", "wa", "wb"), compare, "a long, b long"), "links")
 
 
 def _tile_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -242,7 +247,7 @@ _TILE = ("token", "lo", "hi", "tile_band")
 def _candidates(reps: DataFrame, star_of: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) with different stars that share a prefix shingle and pass size, place and bitmap."""
     rows = reps.select("doc_id", "n", "prefix").join(star_of.hint("merge"), "doc_id")
-    rows = rows.mapInArrow(_explode, "token long, doc_id long, n int, star long, place int")
+    rows = arrow_map(rows, _explode, "token long, doc_id long, n int, star long, place int")
     # the smaller set of a pair must have room for the overlap behind the shingle; the larger one has it further on
     small = (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n").cast("long")
     seen = rows.groupBy("token").agg(F.min("star").alias("lo"), F.max("star").alias("hi"), F.count("*").alias("c"), F.max(small).alias("small"))
@@ -258,7 +263,7 @@ def _candidates(reps: DataFrame, star_of: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("tile_band", F.explode(F.when(small, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
     rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tile_band", "doc_id", "n", "star", "block", "place", "band", "bits")
     rows = rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
-    found = rows.mapInArrow(lambda it: _tile_pairs(it, percent), "a long, b long")
+    found = arrow_map(rows, lambda it: _tile_pairs(it, percent), "a long, b long")
     out = _bounded(found.distinct(), reps, percent)
     drop(shared)
     return out
@@ -326,4 +331,4 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
-    return materialise(both.mapInArrow(test, "a long, b long"), "leaning")
+    return materialise(arrow_map(both, test, "a long, b long"), "leaning")

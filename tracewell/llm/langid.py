@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, chunks, mix
+from .common import MULTIPLIER, arrow_map, chunks, mix
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -233,7 +233,7 @@ def predict_language(docs: DataFrame, models: LanguageModels) -> DataFrame:
                 [batch.column(0), batch.column(2), pa.array(names[best], pa.string()), pa.array(score), pa.array(least, pa.float64(), mask=~known), pa.array(rejected)], [c.split()[0] for c in SCHEMA.split(", ")]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("held_out")).mapInArrow(run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text", F.col("held_out")), run, SCHEMA)
 
 
 def held_out(key: str = "doc_id") -> Column:

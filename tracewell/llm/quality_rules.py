@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, chunks, hash_words, materialise, share, skewed_left_join, window_hashes
+from .common import WordHash, arrow_map, chunks, hash_words, materialise, share, skewed_left_join, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -87,7 +87,7 @@ def count_texts(docs: DataFrame, keys: list[str]) -> DataFrame:
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *cols], [*keys, *names])
 
-    return docs.select(*keys, F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(*keys, F.col("text").cast("binary").alias("__text")), run, schema)
 
 
 def rates(df: DataFrame) -> DataFrame:

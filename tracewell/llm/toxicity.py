@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise
+from .common import arrow_map, chunks, materialise
 
 PREFIXES = (4, 5)
 FEATURES = 2048
@@ -49,7 +49,7 @@ class OrdinalModel:
         for w, n in words(text).items():
             if (hits := known.get(w)) is None:
                 hits = tuple(f for f in features(w) if f in self.weights)
-                if len(known) < 300_000:
+                if len(known) < 120_000:
                     known[w] = hits
             for f in hits:
                 out[f] += n
@@ -107,7 +107,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, mos
             least = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in k), default=0) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(least, pa.int64()), pa.array([sorted(k) for k in kinds], pa.list_(pa.string())), pa.array([[k[w] for w in sorted(k)] for k in kinds], pa.list_(pa.int32()))], ["y", "least", "words", "times"])
 
-    rows = sample.select("text", "y").mapInArrow(parts, "y int, least long, words array<string>, times array<int>")
+    rows = arrow_map(sample.select("text", "y"), parts, "y int, least long, words array<string>, times array<int>")
     # one of the texts with equal least hash; the choice doesn't depend on the order of rows
     rows = materialise(rows.groupBy("least", (F.col("y") > 0).alias("t")).agg(F.min(F.struct("y", "words", "times")).alias("s")).select("s.*"), "toxic-sample")
     total = dict(rows.groupBy((F.col("y") > 0).alias("t")).count().collect())
@@ -137,7 +137,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, mos
                 out.append([{"f": f, "n": n} for f, n in sorted(tally.items())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(telling, pa.int32()), pa.array(out, pa.list_(pa.struct([("f", pa.int32()), ("n", pa.int32())])))], ["y", "telling", "x"])
 
-    data = sorted((r["y"], r["telling"], [(e["f"], e["n"]) for e in r["x"]]) for r in rows.select("y", "words", "times").mapInArrow(vectors, "y int, telling int, x array<struct<f int, n int>>").collect())
+    data = sorted((r["y"], r["telling"], [(e["f"], e["n"]) for e in r["x"]]) for r in arrow_map(rows.select("y", "words", "times"), vectors, "y int, telling int, x array<struct<f int, n int>>").collect())
     y = np.array([r[0] for r in data])
     if y.max() == 1 and levels > 1:
         told = np.array([r[1] for r in data])
@@ -176,4 +176,4 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, threshold: float | None
             each = np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= least)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, skewed_left_join
+from .common import arrow_map, materialise, new_path, skewed_left_join
 
 CRLF = "\r\n"
 #: Payloads below this many bytes are always written in full.
@@ -117,7 +117,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("content").mapInArrow(run, schema)
+    return arrow_map(files.select("content"), run, schema)
 
 
 def resolve(heads: DataFrame) -> DataFrame:
