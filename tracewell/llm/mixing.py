@@ -85,15 +85,15 @@ def mix_sources(
 ) -> DataFrame:
     """docs with a row per time that a document is taken, and mix_epoch (0, 1, ...), mix_order and mix_tokens.
 
-    Sorting by mix_epoch and mix_order gives the mixture's order. tokens: the column to count by (null or less than 1
+    Columns that docs has by these names are replaced. Sorting by mix_epoch and mix_order gives the mixture's order. tokens: the column to count by (null or less than 1
     counts 1); None: words of the column text. A null source is a source like any other. A document is never cut, so a
     source may stay below its budget by less than one document. Repeated rows are taken alike. With no rows, none.
     budget_share None: each source gets one full pass at least, so nothing is left out, and small sources repeat.
     """
     size = whitespace_tokens() if tokens is None else F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(1)), F.lit(1))
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in ("mix_epoch", "mix_order", "mix_tokens")]
     name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
-    rows = docs.select(*columns, name.alias("__s"), size.alias("__t"), F.xxhash64(F.lit(seed), F.col(key)).alias("__h"))
+    rows = docs.select(F.struct(*columns).alias("doc"), name.alias("__s"), size.alias("__t"), F.xxhash64(F.lit(seed), F.col(key)).alias("__h"))
     counted = materialise(rows.select("__s", "__t", "__h"), "mix-counted")  # no texts: what follows reads numbers only
     totals = materialise(counted.groupBy(F.col("__s").alias("source")).agg(F.sum("__t").alias("tokens")), "mix-totals")
     plan = solve_exponent(totals, target_entropy, most_repeats, budget_share)
@@ -124,4 +124,4 @@ def mix_sources(
     times = F.col("full") + F.when(F.col("__h") <= F.col("edge"), 1).otherwise(0)
     out = out.where(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
     order = F.xxhash64(F.lit(seed + 3), F.col("mix_epoch"), turn, F.col("__h"))
-    return out.select(*columns, "mix_epoch", order.alias("mix_order"), F.col("__t").alias("mix_tokens"))
+    return out.select("doc.*", "mix_epoch", order.alias("mix_order"), F.col("__t").alias("mix_tokens"))

@@ -122,8 +122,8 @@ def fences(rated: DataFrame, groups: list[str]) -> DataFrame:
         part = limits(level, mark)
         on = [g for g in groups if g in part.columns]
         if not on:  # all documents: one row of numbers
-            whole = part.first()
-            out = out.select("*", *[F.lit(whole[c]).cast(t).alias(c) for c, t in part.dtypes])
+            whole = limits(level.where("n > 0"), mark).first()  # none of an empty table
+            out = out.select("*", *[F.lit(whole[c] if whole else None).cast(t).alias(c) for c, t in part.dtypes])
             continue
         part = part.select(*[F.col(g).alias(f"__{g}") for g in on], *[c for c in part.columns if c not in on])
         same = F.lit(True)

@@ -91,7 +91,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, mos
 
     toxic may be a grade itself (0 and up to any number of grades). A mere 0/1 is turned into grades: toxic texts are
     cut into as many levels by the number of their telling words. Null labels and texts are left out. Texts with the same
-    smallest word hash (copies and near copies, mostly) count once. Without both kinds, the model finds nothing toxic.
+    smallest word hashes of three kinds (copies and near copies, mostly) count once. Without both kinds, the model finds nothing toxic.
     """
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     size = dict(labelled.groupBy((F.col("y") > 0).alias("t")).count().collect())
@@ -104,7 +104,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, mos
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 256):
             kinds = [words(t) for t in batch.column(0).to_pylist()]
-            least = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in k), default=0) for k in kinds]
+            least = [xxhash.xxh3_64_intdigest(repr([min((xxhash.xxh3_64_intdigest(w, seed) for w in k), default=0) for seed in range(3)])) >> 1 for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(least, pa.int64()), pa.array([sorted(k) for k in kinds], pa.list_(pa.string())), pa.array([[k[w] for w in sorted(k)] for k in kinds], pa.list_(pa.int32()))], ["y", "least", "words", "times"])
 
     rows = arrow_map(sample.select("text", "y"), parts, "y int, least long, words array<string>, times array<int>")
