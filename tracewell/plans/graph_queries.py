@@ -70,7 +70,7 @@ def hw_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_investigate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best-first expansion from a search term over nations, regions and suppliers, with the reference budgets."""
+    """Best-first expansion from a search term over nations, regions and suppliers, within a budget of 16 steps."""
     nations, suppliers = load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier")
 
     def neighbours(kind: str, node: str) -> list[tuple[str, str, float, str]]:
