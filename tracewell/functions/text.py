@@ -33,6 +33,19 @@ def name_score(name: str | Column, prefix: str) -> Column:
     return F.greatest(F.when(n == p, 100).otherwise(0), F.when(F.lower(scope(_c(name))) == p, 60).otherwise(0), F.when(n.startswith(p), 40).otherwise(0), F.when(n.contains(p), 20).otherwise(0))
 
 
+def scope_score(name: str | Column, preferred: list[str], hints: list[str]) -> Column:
+    """The best fit of a name: a preferred name 100, its scope 60; a hint 90, as its scope 50, before _ 40, anywhere 20."""
+    n = F.lower(_c(name))
+    own = F.lower(scope(_c(name)))
+    found = [F.lit(0)]
+    for p in preferred:
+        ours = p.lower().replace(".", "_").partition("_")[0]
+        found.append(F.when(n == p.lower(), 100).when(own == ours, 60).otherwise(0))
+    for h in (x.lower() for x in hints):
+        found.append(F.when(n == h, 90).when(own == h, 50).when(n.startswith(h + "_"), 40).when(n.contains(h), 20).otherwise(0))
+    return F.greatest(*found) if len(found) > 1 else found[0]
+
+
 def node_id(c: str | Column) -> Column:
     """The identifier of an address such as ns=4;s=Area.x; short forms stay as they are."""
     return F.coalesce(F.nullif(F.regexp_extract(_c(c), r"^ns=\d+;[sigb]=(.*)$", 1), F.lit("")), _c(c))

@@ -150,6 +150,87 @@ def access_flags(attributes: DataFrame) -> DataFrame:
     return flags.select("owner", "name", "visible", (F.col("w") | (F.col("visible") & ~F.col("a"))).alias("writable")).where("visible or writable")
 
 
+def link_sides(links: DataFrame) -> DataFrame:
+    """(plc, io, owner) of links(owner_a, owner_b, var_a, var_b): the side whose path names a PLC task is the program's.
+
+    The first side wins where both do; links without a PLC task go. The owner is the one that is a device (TIID^).
+    """
+    task = lambda c: F.lower(c).contains("plctask")
+    a, b = task("var_a"), task("var_b")
+    owner = F.when(F.col("owner_b").startswith("TIID^"), F.col("owner_b")).otherwise(F.col("owner_a"))
+    return links.where(a | b).select(F.when(a, F.col("var_a")).otherwise(F.col("var_b")).alias("plc"), F.when(a, F.col("var_b")).otherwise(F.col("var_a")).alias("io"), owner.alias("owner"))
+
+
+def io_address(plc: str, channel: str, in_out: str, bit_address: str) -> Column:
+    """Address such as "I 3.5": the direction by the channel's end, the task's side, or the flag; ? if none tells."""
+    path, spec = F.lower(F.col(plc)), F.col(channel)
+    letter = F.when(spec.endswith("^Input"), "I").when(spec.endswith("^Output"), "Q").when(path.contains("plctask inputs"), "I").when(path.contains("plctask outputs"), "Q")
+    letter = letter.when(F.col(in_out) == 0, "I").when(F.col(in_out) == 1, "Q").otherwise("?")
+    return F.format_string("%s %d.%d", letter, F.floor(F.col(bit_address) / 8), F.pmod(F.col(bit_address), F.lit(8)))
+
+
+def io_mapping(entries: DataFrame) -> DataFrame:
+    """Triples of hardware variables: entries(plc_var, address, io_path, raw_xml); rows without a variable go."""
+    e = entries.where("plc_var <> ''")
+    var, channel = key("Var", "plc_var"), key("IOChannel", "io_path")
+    return _all(
+        _rows(e, var, "rdf:type", F.lit("Variable")),
+        _rows(e, var, "dp:hasVariableName", F.col("plc_var"), "literal"),
+        _rows(e, var, "dp:hasHardwareAddress", F.col("address"), "literal"),
+        _rows(e.where("io_path is not null"), channel, "rdf:type", F.lit("IOChannel")),
+        _rows(e.where("io_path is not null"), var, "op:isBoundToChannel", channel),
+        _rows(e, var, "dp:ioRawXml", F.col("raw_xml"), "literal"),
+    )
+
+
+def mapped_variables(pending: DataFrame, hardware: DataFrame) -> DataFrame:
+    """isMappedToVariable triples: pending(var, external) whose external name is a hardware(name, var) variable, not itself."""
+    hw = hardware.select(F.col("name").alias("external"), F.col("var").alias("hw"))
+    return _all(_rows(pending.join(hw, "external").where("var <> hw"), F.col("var"), "op:isMappedToVariable", F.col("hw")))
+
+
+def declaration_headers(scanned: DataFrame, exported: DataFrame) -> DataFrame:
+    """(name, header) by unit name in lower case: the project's header, else the export's; blank ones don't count."""
+    one = lambda df, c: df.where(F.trim("header") != "").groupBy(F.lower("name").alias("name")).agg(F.min(F.trim("header")).alias(c))
+    return one(scanned, "a").join(one(exported, "b"), "name", "full_outer").select("name", F.coalesce("a", "b").alias("header"))
+
+
+def flow_edges(rows: DataFrame) -> DataFrame:
+    """(program, idx, variable, instance, port) of statements variable := instance.port; in programs, in order of text."""
+    part = lambda i: F.regexp_extract("m", r"^\s*([A-Za-z_][\w.]*)\s*:=\s*([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)", i)
+    statements = F.regexp_extract_all(strip_comments("code"), F.lit(r"(?m)^(\s*[A-Za-z_][\w.]*\s*:=\s*[A-Za-z_]\w*\s*\.\s*[A-Za-z_]\w*\s*;)"), F.lit(1))
+    found = rows.where("kind = 'program'").select(F.col("name").alias("program"), F.posexplode(statements).alias("idx", "m"))
+    return found.select("program", (F.col("idx") + 1).alias("idx"), part(1).alias("variable"), part(2).alias("instance"), part(3).alias("port"))
+
+
+def flow_triples(edges: DataFrame) -> DataFrame:
+    """Assignment triples of flow_edges."""
+    a = key("STAssign", "program", "instance", "port", F.col("idx").cast("string"))
+    source, target = key("PortInstance", "program", "instance", "port"), key("Var", "variable")
+    return _all(_rows(edges, a, "rdf:type", F.lit("ParameterAssignment")), _rows(edges, a, "op:assignsFrom", source), _rows(edges, a, "op:assignsToVariable", target), _rows(edges, source, "dp:hasExpressionText", F.concat_ws(".", "instance", "port"), "literal"))
+
+
+def hardware_marks(steps: DataFrame, bound: DataFrame) -> DataFrame:
+    """(unit, output, hardware) of trace steps(unit, output, hardware, variable, address): true where it was, or where a
+    step's variable or address is a bound(name) variable or the last part of one."""
+    names = bound.select(F.explode(F.array("name", F.substring_index("name", ".", -1))).alias("n")).distinct()
+    each = steps.select("unit", "output", "hardware", F.explode(F.array("variable", "address")).alias("n"))
+    hits = each.join(names.withColumn("hit", F.lit(True)), "n", "left")
+    return hits.groupBy("unit", "output").agg((F.bool_or(F.coalesce("hardware", F.lit(False))) | F.bool_or(F.coalesce("hit", F.lit(False)))).alias("hardware"))
+
+
+def couple_functions(triples: DataFrame, functions: DataFrame, runtime: DataFrame, elements: DataFrame) -> DataFrame:
+    """triples with the functions(function, label) added, their runtime names replaced by those of runtime(function, name),
+    and hasFunction links from elements(function, element). Functions without elements get no link."""
+    f = F.col("function")
+    added = _all(_rows(functions, f, "rdf:type", F.lit("ProcessFunction")), _rows(functions, f, "rdfs:label", F.col("label"), "literal"))
+    known = functions.select("function").distinct()
+    names = _rows(runtime.join(known, "function", "left_semi"), f, "dp:hasRuntimeSkillName", F.col("name"), "literal")
+    links = _rows(elements.join(known, "function", "left_semi"), F.col("element"), "op:hasFunction", f)
+    stale = known.select(F.col("function").alias("s"), F.lit("dp:hasRuntimeSkillName").alias("p"))
+    return _all(triples.join(stale, ["s", "p"], "left_anti").select("s", "p", "o", "o_kind"), added, names, links)
+
+
 def failures(events: DataFrame) -> DataFrame:
     """Triples of occurred failures: events(corr, failure_mode, summary, actions array<string>)."""
     f = F.concat(F.lit("Failure_"), "corr")

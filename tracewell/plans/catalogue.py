@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import event_queries, graph_queries, program_queries, retrieval_queries, triple_queries  # noqa: F401  they register
+from . import diagnosis_queries, event_queries, graph_queries, program_queries, retrieval_queries, triple_queries  # noqa: F401  they register
 from .registry import QUERIES, SQL, Query
 
 

@@ -53,7 +53,7 @@ class Registry:
     def describe(self) -> dict[str, str]:
         return {n: f"{inspect.signature(f)} {(inspect.getdoc(f) or '').splitlines()[0] if f.__doc__ else ''}".strip() for n, f in sorted(self.tools.items())}
 
-    def execute(self, name: str, **args) -> object:
+    def execute(self, name: str, /, **args) -> object:
         if name not in self.tools:
             return {"error": f"unknown tool {name}"}
         try:

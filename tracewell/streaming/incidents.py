@@ -112,3 +112,33 @@ def routed(df: DataFrame, sinks: dict[str, list]) -> object:
         rows.unpersist()
 
     return df.writeStream.foreachBatch(route)
+
+
+def delayed(events: DataFrame, kind: str, wait: str, delay: str = "1 minute") -> DataFrame:
+    """(corr, due): once event time has passed the last event of a kind by wait, its delayed action; a later one restarts it.
+
+    Pending actions are state per correlation, released by the watermark, so they survive a restart of the query.
+    """
+    ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (due,) = state.get
+            state.remove()
+            yield pd.DataFrame({"corr": [key[0]], "due": [due]})
+            return
+        due = int(pd.concat(list(batches))["ts"].max().value // 1_000_000) + ms
+        if state.exists:
+            due = max(due, state.get[0])
+        if due <= state.getCurrentWatermarkMs():
+            # a row that is late, but not late enough to be dropped: its action is due already
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"corr": [key[0]], "due": [due]})
+            return
+        state.update((due,))
+        state.setTimeoutTimestamp(due)
+        yield pd.DataFrame({"corr": [], "due": []}).astype({"corr": "int64", "due": "int64"})
+
+    rows = events.where(F.col("type") == kind).withWatermark("ts", delay)
+    return rows.groupBy("corr").applyInPandasWithState(step, "corr long, due long", "due long", "append", GroupStateTimeout.EventTimeTimeout)
