@@ -298,6 +298,20 @@ def test_quality_rules(docs, none, spark):
     assert all(out[i] for i in range(600)) and not any(out[i] for i in range(1000, 1005))
 
 
+def test_quality_fences_follow_the_group(spark):
+    def text(i, loud, same):  # 60 words, so many in capitals; 20 lines, so many alike
+        w = [f"w{(i * 31 + j * 7) % 997}" for j in range(60)]
+        w = [f"ABCD{x}" if j < loud else x for j, x in enumerate(w)]
+        lines = [" ".join(w[k : k + 3]) for k in range(0, 60, 3)]
+        return "\n".join("a line again" if k % 2 and k < 2 * same else x for k, x in enumerate(lines))
+
+    rows = [(i, text(i, i % 2, 0), "en", "calm") for i in range(300)] + [(1000 + i, text(i, 6 + i % 10, 3 + i % 5), "en", "wild") for i in range(300)]
+    rows += [(2000, text(7, 12, 0), "en", "calm"), (2001, text(7, 12, 0), "en", "wild"), (2002, text(7, 0, 9), "en", "calm"), (2003, text(7, 6, 9), "en", "wild")]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i]["kept"] for i in [*range(300), *range(1000, 1300), 2001, 2003])
+    assert out[2000]["failed_rules"] == ["upper_rate"] and out[2002]["failed_rules"] == ["dup_line_rate"]
+
+
 def test_quality_model(spark, docs, none):
     good = [(i, " ".join(f"w{(i * 31 + j * 7) % 997}" for j in range(40 + i % 20)), "en", f"s{i % 3}") for i in range(300)]
     bad = [(1000 + i, "SPAM!! " * (20 + i % 9), "en", "s0" if i % 2 else None) for i in range(100)]

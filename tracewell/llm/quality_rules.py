@@ -34,13 +34,14 @@ class Rule:
     ceiling: float
 
 
-#: Rates of the counts; floor is what any document may reach, ceiling what none may pass.
+#: Rates of the counts; ceiling is what none may pass. The floor is a guard where a group's quartiles are (nearly) equal,
+#: so that a stray symbol or a repeated line fails nothing; elsewhere the group's own quartiles decide.
 RULES = (
-    Rule("symbol_rate", 6.0, 0.02, 0.10),
-    Rule("dup_line_rate", 6.0, 0.60, 0.90),
-    Rule("repeat_rate", 6.0, 0.30, 0.30),
-    Rule("upper_rate", 6.0, 0.20, 0.60),
-    Rule("sameness", 6.0, 0.65, 0.90),
+    Rule("symbol_rate", 6.0, 0.01, 0.10),
+    Rule("dup_line_rate", 6.0, 0.20, 0.90),
+    Rule("repeat_rate", 6.0, 0.10, 0.30),
+    Rule("upper_rate", 6.0, 0.02, 0.60),
+    Rule("sameness", 6.0, 0.10, 0.90),
 )
 FEWEST_WORDS = 20
 #: Documents that a group needs for a fence of its own.
