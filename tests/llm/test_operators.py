@@ -345,3 +345,11 @@ def test_licences(spark, docs, none):
         assert {r["licence"] for r in licenses.licence_scan(one, model).collect()} == {family}
     assert licenses.licence_scan(none).collect() == [] and licenses.licence_scan(docs, model).count() == 0
     assert not re.search("Python|Arrow|Pandas", scan._jdf.queryExecution().executedPlan().toString())
+
+
+def test_frequent_licence_notices(spark):
+    notices = [(i, f"Copyright {1990 + i % 30} Name{i}. Released under the MIT License.") for i in range(300)]
+    prose = [(1000 + i, f"w{i} mit x{i * 3} some plain prose number {i} of it") for i in range(600)]
+    for rows in (notices + prose, notices[:4] + prose[:8]):
+        got = {(r["doc_id"], r["licence"]) for r in licenses.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {(i, "mit") for i, _ in rows if i < 1000}

@@ -1,9 +1,9 @@
 """Licence scans: a paragraph classifier, a calibrated unknown class, and templates that confirm. DataFrame functions only.
 
-Training takes the notices below, varied by rule, and a bounded sample of the corpus' own paragraphs. Features are
-words and pairs of neighbouring words that have a telling word in them: one of the notices' words that the corpus'
-paragraphs hardly use. A paragraph without a telling word therefore has no features at all and the class "none", so
-that looking for telling words first loses nothing. Multinomial logistic regression gives each family's probability;
+Training takes the notices below, varied by rule, and a bounded sample of the corpus' own paragraphs without those that
+are notices themselves. Features are words and pairs of neighbouring words that have a telling word in them: one of the
+notices' words that isn't plain, however often the corpus uses it. A paragraph without a telling word therefore has no
+features at all and the class "none", so that looking for telling words first loses nothing. Multinomial logistic regression gives each family's probability;
 below a bound set on varied notices kept aside, the paragraph is "unknown". A family is confirmed when enough of one
 of its notices' word pairs stand in the paragraph.
 """
@@ -34,6 +34,9 @@ NOTICES = {
 # Notices that name no family above.
 OTHERS = ["All rights reserved", "Licensed under the terms of the accompanying agreement", "See the LICENSE file for licence terms", "Copyright by the authors", "Used under licence from the publisher", "Released under a custom license", "Licensed under the Example License, version 1.1", "Proprietary and confidential, no copying without permission"]
 
+# Words that name a family or a licence; two of them in a paragraph make it a notice.
+NAMING = frozenset("apache bsd cc cc0 commons gnu gpl lgpl licence licenced license licensed mit mozilla mpl spdx-license-identifier".split())
+
 TOKEN = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 NONE, UNKNOWN = "none", "unknown"
 #: Paragraphs of the corpus that training takes, about.
@@ -49,6 +52,20 @@ def grams(words: list[str], telling: set[str]) -> list[str]:
     return sorted({w for w in words if w in telling} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in telling or b in telling})
 
 
+def notice_pairs(notice: str) -> list[str]:
+    w = tokens(notice)
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+
+
+TEMPLATES = [set(notice_pairs(n)) for n in [*sum(NOTICES.values(), []), *OTHERS]]
+
+
+def speaks(words: list[str]) -> bool:
+    """Whether a paragraph is a notice, so that it can't stand for paragraphs without one: by a template or two naming words."""
+    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+    return len(NAMING.intersection(words)) > 1 or any(len(t & pairs) >= CONFIRM * len(t) for t in TEMPLATES)
+
+
 @dataclass
 class LicenceModel:
     classes: list[str]
@@ -68,15 +85,11 @@ def _varied(notice: str, turn: int, background: list[list[str]]) -> list[str]:
 
 def fit_licences(paragraphs: list[str]) -> LicenceModel:
     """A model from NOTICES, OTHERS and some paragraphs of the corpus; the same for the same paragraphs in any order."""
-    background = [t for p in sorted(set(paragraphs)) if (t := tokens(p))]
-    common: dict[str, int] = {}
-    for t in background:
-        for w in set(t):
-            common[w] = common.get(w, 0) + 1
+    background = [t for p in sorted(set(paragraphs)) if (t := tokens(p)) and not speaks(t)]
     written = {w for n in [*sum(NOTICES.values(), []), *OTHERS] for w in tokens(n)}
     # Function words and bare numbers tell nothing, whatever the corpus.
-    plain = set("a all and any are by can code copy file for forms from in is it no of person possible related see source subject the this to use used with without work you v 1.0 1.1 2 2.0 2004 3 4.0 authors author program form charge terms law extent january under free general public library".split())
-    telling = {w for w in written - plain if common.get(w, 0) <= max(2, len(background) // 50)}
+    plain = set("a all and any are by can code copy file for forms from in is it no of person possible related see source subject the this to use used with without work you v 1.0 1.1 2 2.0 2004 3 4.0 authors author program form charge terms law extent january under free general public library has or".split())
+    telling = written - plain
     classes = [NONE, UNKNOWN, *sorted(NOTICES)]
     samples = [(grams(_varied(n, k, background), telling), classes.index(f)) for f in sorted(NOTICES) for n in NOTICES[f] for k in range(24)]
     samples += [(grams(_varied(n, k, background), telling), 1) for n in OTHERS for k in range(24)]
@@ -160,10 +173,6 @@ def licence_scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFram
     rows = rows.withColumn("at", F.expr("cast(array_position(e, array_max(e)) as int)")).withColumn("probability", F.expr("array_max(e) / total"))
     rows = _held(rows, "likely", f"element_at({_sql(model.classes)}, at)").where(F.col("likely") != NONE)
 
-    def notice_pairs(n: str) -> list[str]:
-        w = tokens(n)
-        return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
-
     templates = "map(" + ",".join(f"'{f}',array({','.join(_sql(notice_pairs(n)) for n in ns)})" for f, ns in sorted(NOTICES.items())) + ")"
     close = f"coalesce(array_max(transform(element_at({templates}, likely), t -> size(array_intersect(t, pairs)) / size(t))), 0D)"
     rows = rows.withColumn("similarity", F.expr(close))
