@@ -30,6 +30,19 @@ def test_names_that_begin_like_operators_stay_whole():
         logic.parse("A AND")
 
 
+def test_no_truth_path_is_cut():
+    text = " AND ".join(f"(a{i} OR b{i})" for i in range(10))
+    rows = logic.truth_paths(text)[0]
+    assert len(rows) == len({tuple(r) for r in rows}) == 1024
+    # the first 512 ways all hold a0
+    assert {tuple(r) for r in logic.truth_paths(f"{text} AND NOT a0")[0]} == {(*r, ("a0", False)) for r in map(tuple, rows) if r[0] == ("b0", True)}
+    assert len(logic.truth_paths(f"{text} AND (NOT a0 OR NOT a0 AND c)")[0]) == 1024
+    wide = " AND ".join(f"(a{i} OR b{i})" for i in range(60))
+    assert next(logic.ways(wide)) == [(f"a{i}", True) for i in range(60)]
+    assert logic.truth_paths(f"{wide} AND x AND NOT x")[0][0][0] == ("a0", True)
+    assert len(logic.truth_paths(" AND ".join(["(a OR b)"] * 40))[0]) == 3
+
+
 CODE = """
 (* x := FALSE; *)
 IF a THEN

@@ -66,10 +66,10 @@ def phase_requirements(code: str, skill: str, variable: str) -> list[tuple[str,
     out: dict[tuple[str, str], tuple[bool, str]] = {}
     held: dict[str, bool] = {}
 
-    def paths(conditions: list[str]) -> list[list[tuple[str, bool]]]:
-        return logic.truth_paths(" AND ".join(f"({c})" for c in conditions))[0] if conditions else []
+    def paths(conditions: list[str]) -> Iterator[list[tuple[str, bool]]]:
+        return logic.ways(" AND ".join(f"({c})" for c in conditions)) if conditions else iter([])
 
-    for token, value in next(iter(paths(chosen.conditions)), []):
+    for token, value in next(paths(chosen.conditions), []):
         held[token] = value
         out["t-1", token] = value, "condition of the skill"
     for a in logic.assignments(code):
