@@ -1,5 +1,7 @@
 """Every query that has SQL gives the rows that DuckDB gives, on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -28,3 +30,11 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == names
     at = [want.columns.index(n) for n in names]
     assert sorted((tuple(r[n] for n in names) for r in got), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+
+
+def test_mentions_of_short_names(spark):
+    names, docs = ({k: set(re.findall("[A-Za-z_][A-Za-z0-9_]*", t or "")) for k, t in spark.read.parquet(f"{DIR}/{f}.parquet").select(key, "text").collect()} for f, key in (("benchmark", "item_id"), ("documents", "doc_id")))
+    known = set().union(*names.values())
+    want = {(k, n) for k, ws in docs.items() for n in ws & known}
+    got = [tuple(r) for r in catalogue.queries()["code_mentions_all"](spark, DIR).collect()]
+    assert any(len(n) < 9 for _, n in want) and sorted(got) == sorted(want)

@@ -98,6 +98,14 @@ def code_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.identifiers("text")).alias("name")).join(names, "name").select("doc_id", "name")
 
 
+@query("""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM benchmark),
+    m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents) SELECT doc_id, name FROM m JOIN v USING (name)""")
+def code_mentions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code_mentions() of every known name, however short."""
+    names = load(spark, sf_dir, "benchmark").select(F.explode(tx.identifiers("text")).alias("name")).distinct()
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.identifiers("text")).alias("name")).join(names, "name").select("doc_id", "name")
+
+
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), x AS (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM l),
     h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM x WHERE contains(lower(lines[i + 1]), 'thing'))
     SELECT doc_id, CAST(n AS INTEGER) AS hit, CAST(i AS INTEGER) AS line_no, array_to_string(lines[greatest(i - 1, 0) + 1:i + 2], chr(10)) AS snippet FROM h WHERE n <= 3""")
