@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,11 +14,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.conf import RuntimeConfig
 
 #: Entries of a worker's word cache; about 180 bytes each.
 WORD_CACHE = 120_000
 #: Rows of a batch that goes to a Python worker: texts can be long, and both sides hold a batch at a time.
 BATCH_ROWS = 2048
+BATCH_BYTES = 32 << 20
 #: A key with at least this share of the rows counts as hot, so that there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 512
 
@@ -27,16 +30,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one.
+
+    Only a local master may do without the setting: elsewhere each executor would write to a disk of its own.
+    """
     sc = spark.sparkContext
     if not (at := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(at := "file://" + tempfile.mkdtemp(prefix="shared-"))
         at = sc.getCheckpointDir() or at
     return at
 
 
+#: Folders that new_path() gave out and that are still there, as far as this process knows.
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the intermediate tables that were written within it: store results before that."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            delete(spark, path)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -46,12 +77,12 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table that materialise() wrote."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            at = f.rsplit("/", 1)[0]
+            delete(df.sparkSession, next((p for p in _WRITTEN if p.rsplit("/", 1)[1] == at.rsplit("/", 1)[1]), at))
 
 
 class WordHash(dict):
@@ -148,7 +179,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         wide = star(e, True)
         small = star(wide, False)
-        drop(e), drop(wide)
+        drop(e, wide)
         e, now = small, mark(small)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -157,13 +188,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
 
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow() with batches of at most BATCH_ROWS rows, a setting that the session keeps."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """df.mapInArrow() with batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, settings that the session keeps."""
+    conf = df.sparkSession.conf
+    at_most(conf, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    at_most(conf, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(f, schema)
 
 
+def at_most(conf: RuntimeConfig, key: str, most: int) -> None:
+    """Lowers a number among the session's settings where it is larger, unset or without a bound."""
+    now = str(conf.get(key)).rstrip("bB")
+    if not (now.isdigit() and 0 < int(now) <= most):
+        conf.set(key, str(most))
+
+
 def chunks(batches: Iterable, most: int) -> Iterator:
     """Arrow batches of at most so many rows each. At the end, freed memory goes back to the system: Spark keeps its
     Python workers for the tasks of later stages, and what they hold on to adds up."""

@@ -1,9 +1,11 @@
 """Quality rules with thresholds that adapt to language and source.
 
-A pass over whole texts counts what the rules look at. Per (language, source) a mergeable quantile sketch (KLL) of
-each rate gives its upper fence; the thresholds are joined back and decide. A group with few documents takes the
-fence of its language, and that of all documents where the language has few as well: sketches are merged upwards,
-not built anew.
+A pass over whole texts counts what the rules look at. Each rate is smoothed by its text's size (a stray symbol of a
+short text is little evidence) and taken as a logarithm, so that rates without any hit have a spread too. Per
+(language, source) a mergeable quantile sketch (KLL) of each rate gives its upper fence: the upper quartile and some
+times the distance between the quartiles. Sketches are merged upwards, not built anew: a group's own fence and that of
+its language (and that one's and that of all documents) are averaged by numbers of documents, so that a small group
+leans on its language without any switch. The fences are joined back and decide.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_map, chunks, hash_words, materialise, share, skewed_left_join, window_hashes
+from .common import WordHash, arrow_map, chunks, hash_words, materialise, skewed_left_join, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -26,27 +28,19 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep while rate <= max(floor, q3 + spread * (q3 - q1)); a fence never goes beyond ceiling."""
+    """Keep while log(rate) <= q3 + reach * max(q3 - q1, LEAST_SPREAD), quartiles of log(rate) within the group."""
 
     name: str
-    spread: float
-    floor: float
-    ceiling: float
-
-
-#: Rates of the counts; ceiling is what none may pass. The floor is a guard where a group's quartiles are (nearly) equal,
-#: so that a stray symbol or a repeated line fails nothing; elsewhere the group's own quartiles decide.
-RULES = (
-    Rule("symbol_rate", 6.0, 0.01, 0.10),
-    Rule("dup_line_rate", 6.0, 0.20, 0.90),
-    Rule("repeat_rate", 6.0, 0.10, 0.30),
-    Rule("upper_rate", 6.0, 0.02, 0.60),
-    Rule("sameness", 6.0, 0.10, 0.90),
-)
+    reach: float
+
+
+RULES = (Rule("symbol_rate", 3.0), Rule("dup_line_rate", 2.0), Rule("repeat_rate", 3.0), Rule("upper_rate", 4.0), Rule("sameness", 4.0))
+#: Between the quartiles of a group of like documents, so that a hair's difference fails nothing.
+LEAST_SPREAD = 0.02
 FEWEST_WORDS = 20
-#: Documents that a group needs for a fence of its own.
-ENOUGH = 200
-KLL_K = 200
+#: A group's parent weighs as much as so many documents.
+PRIOR = 200
+KLL_K = 400
 
 
 def counts(text: bytes | None, cache: WordHash) -> tuple[int, ...]:
@@ -92,52 +86,45 @@ def count_texts(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rates(df: DataFrame) -> DataFrame:
-    n = F.col("n_words")
+    """df with the logarithms of the rates, each smoothed by its text's size."""
+    n, chars = F.col("n_words"), F.col("word_chars")
     return df.withColumns({
-        "symbol_rate": share(F.col("n_symbols"), F.col("word_chars")),
-        "dup_line_rate": share(F.col("n_dup_lines"), F.col("n_lines")),
-        "repeat_rate": share(F.col("n_repeat_words"), n),
-        "upper_rate": share(F.col("n_upper"), F.col("word_chars")),
+        "symbol_rate": F.log((F.col("n_symbols") + 1) / (chars + 200)),
+        "dup_line_rate": F.log((F.col("n_dup_lines") + 1) / (F.col("n_lines") + 5)),
+        "repeat_rate": F.log((F.col("n_repeat_words") + 1) / (n + 50)),
+        "upper_rate": F.log((F.col("n_upper") + 1) / (chars + 200)),
         # of long texts many words repeat: distinct words are held against what a text of that length tends to have
-        "sameness": F.when(n < FEWEST_WORDS, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("n_distinct") / F.pow(n.cast("double"), F.lit(0.8)))),
+        "sameness": F.log(F.pow(n + 50.0, F.lit(0.85)) / (F.col("n_distinct") + 20)),
     })
 
 
 def fences(rated: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per group: its columns, n (documents), and per rule the fence, from sketches merged up the groups."""
-    salted = rated.groupBy(*groups).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r.name, F.lit(KLL_K)).alias(r.name) for r in RULES])
-    leaf = materialise(salted, "sketches")
-    levels = [leaf]
-    for depth in range(len(groups) - 1, -1, -1):
-        levels.append(leaf.groupBy(*groups[:depth]).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r.name).alias(r.name) for r in RULES]))
-
-    def limits(df: DataFrame, mark: int) -> DataFrame:
+    """One row per group: its columns, n (documents), and per rule the fence of log(rate), from sketches merged up the groups."""
+    leaf = materialise(rated.groupBy(*groups).agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r.name, F.lit(KLL_K)).alias(r.name) for r in RULES]), "sketches")
+
+    def own(df: DataFrame, depth: int) -> DataFrame:
         out = []
         for r in RULES:
             q1, q3 = (F.kll_sketch_get_quantile_double(r.name, F.lit(q)) for q in (0.25, 0.75))
-            out.append(F.least(F.lit(r.ceiling), F.greatest(F.lit(r.floor), q3 + r.spread * (q3 - q1))).alias(f"{r.name}_{mark}"))
-        return df.select(*[c for c in groups if c in df.columns], F.col("n").alias(f"n_{mark}"), *out)
-
-    out = limits(levels[0], 0)
-    for mark, level in enumerate(levels[1:], 1):
-        part = limits(level, mark)
-        on = [g for g in groups if g in part.columns]
-        if not on:  # all documents: one row of numbers
-            whole = limits(level.where("n > 0"), mark).first()  # none of an empty table
-            out = out.select("*", *[F.lit(whole[c] if whole else None).cast(t).alias(c) for c, t in part.dtypes])
-            continue
-        part = part.select(*[F.col(g).alias(f"__{g}") for g in on], *[c for c in part.columns if c not in on])
-        same = F.lit(True)
-        for g in on:
-            same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
-        out = out.join(part, same, "left").drop(*[f"__{g}" for g in on])
-    chosen = []
-    for r in RULES:
-        pick = F.col(f"{r.name}_{len(levels) - 1}")
-        for mark in range(len(levels) - 2, -1, -1):
-            pick = F.when(F.col(f"n_{mark}") >= ENOUGH, F.col(f"{r.name}_{mark}")).otherwise(pick)
-        chosen.append(pick.alias(f"{r.name}_fence"))
-    return out.select(*groups, F.col("n_0").alias("n"), *chosen)
+            out.append((q3 + r.reach * F.greatest(q3 - q1, F.lit(LEAST_SPREAD))).alias(r.name))
+        return df.select(*groups[:depth], "n", *out)
+
+    def merged(depth: int) -> DataFrame:
+        if depth == len(groups):
+            return own(leaf, depth)
+        return own(leaf.groupBy(*groups[:depth]).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r.name).alias(r.name) for r in RULES]).where("n > 0"), depth)
+
+    whole = merged(0).first()  # numbers, not a join; none of an empty table
+    out, above = None, {r.name: F.lit(whole[r.name] if whole else None).cast("double") for r in RULES}
+    for depth in range(1, len(groups) + 1):
+        level = merged(depth)
+        if out is not None:
+            on = groups[: depth - 1]
+            level = level.join(out.select(*[F.col(g).alias(f"__{g}") for g in on], *[F.col(r.name).alias(f"__{r.name}") for r in RULES]), [F.col(g) == F.col(f"__{g}") for g in on])
+            above = {r.name: F.col(f"__{r.name}") for r in RULES}
+        weight = F.col("n") / (F.col("n") + PRIOR)
+        out = level.select(*groups[:depth], "n", *[(weight * F.col(r.name) + (1 - weight) * above[r.name]).alias(r.name) for r in RULES])
+    return out.select(*groups, "n", *[F.col(r.name).alias(f"{r.name}_fence") for r in RULES])
 
 
 def quality_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -145,7 +132,8 @@ def quality_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"))
     and failed_rules, the names of the adaptive rules that the document breaks.
 
     base_failed: fewer than 20 words, or over 30 % of the words in windows of 8 words that occur twice or more.
-    kept: false if base_failed, else whether no rate is beyond its group's fence. A null text has no words and fails.
+    kept: false if base_failed, else whether no rate is beyond its group's fence. Quartiles come from sketches, whose
+    ranks are off by up to 1 %, so a document at the very fence may be judged either way. A null text has no words and fails.
     A null language or source is a group like any other. Repeated rows are judged alike; an empty table gives no rows.
     Other columns are ignored.
     """
@@ -154,7 +142,7 @@ def quality_rules(docs: DataFrame, groups: tuple[str, ...] = ("lang", "source"))
     names = [f"g{i}" for i in range(len(groups))]
     rated = rates(materialise(count_texts(keyed, ["doc_id", *names]), "counts"))
     limits = materialise(fences(rated, names), "fences")
-    out = skewed_left_join(rated, limits, names, "n", ["doc_id"])
+    out = skewed_left_join(rated, limits, names, "n", ["doc_id", "n_words"])
     base = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     broken = F.filter(F.array(*[F.when(F.col(r.name) > F.col(f"{r.name}_fence"), F.lit(r.name)) for r in RULES]), lambda x: x.isNotNull())
     out = out.withColumn("base_failed", base).withColumn("failed_rules", broken)
