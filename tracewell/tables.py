@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -50,9 +51,14 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(df: DataFrame, what: str) -> DataFrame:
     """Writes a table into the folder that all executors share and reads it back, which cuts its lineage.
 
-    The folder is spark.checkpoint.dir; where that is unset, as in tests, a temporary one.
+    The folder is spark.checkpoint.dir; where that is unset, as in tests, a temporary one, but only for a local
+    master: elsewhere each executor would write to a disk of its own.
     """
     spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="scratch-")
+    sc = spark.sparkContext
+    if not (at := sc.getConf().get("spark.checkpoint.dir")):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="scratch-")
     df.write.parquet(path := f"{at}/{what}-{uuid.uuid4().hex}")
     return spark.read.schema(df.schema).parquet(path)
