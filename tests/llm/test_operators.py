@@ -72,6 +72,29 @@ def test_jaccard(docs, none):
     assert jaccard.ngram_jaccard_join(none).collect() == []
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows that repeat a doc_id with other texts: no link of theirs is lost."""
+    rng = random.Random(9)
+    base = [[f"f{f}w{i}" for i in range(60)] for f in range(12)]
+
+    def near(f):
+        w = base[f][:]
+        w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        return " ".join(w)
+
+    four = [(1, " ".join(base[0])), (1, " ".join(base[1])), (2, near(0)), (3, near(1))]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.ngram_jaccard_join(spark.createDataFrame(four, "doc_id long, text string")).collect()} == {1: 1, 2: 1, 3: 1}
+    rows = [(rng.randrange(40), near(rng.randrange(12)) if rng.random() < 0.8 else f"own words only here {i} and nowhere else") for i in range(70)] + [(41, ""), (41, " ".join(base[2]))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    reach = {i: i for i, _ in rows}
+    for _ in rows:
+        for ((a, _), x), ((b, _), y) in itertools.combinations(zip(rows, sets, strict=True), 2):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                reach[a] = reach[b] = min(reach[a], reach[b])
+    got = Counter(tuple(r) for r in jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((i, len(s), reach[i] if s else i) for (i, _), s in zip(rows, sets, strict=True))
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """A family of similar sets, larger than a block, none of them equal."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)

@@ -1,6 +1,7 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact intersection of sorted arrays.
 
-1. Every text becomes a set of 64-bit shingle hashes. Equal sets form a class; only its smallest doc_id goes on.
+1. Every text becomes a set of 64-bit shingle hashes. Equal sets form a class with a number of its own; one document
+   of it goes on.
 2. Shingles that many documents share are counted over all texts; they come last in the order in which a set's
    prefix is chosen. Sets of similarity t share a shingle within their prefixes of n - ceil(t * n) + 1 shingles
    whatever the order, so no link is lost.
@@ -146,25 +147,25 @@ def _profile(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, words): the sorted set of each wanted (id, set_hash), 8 bytes a shingle."""
+    """(id, words): the sorted set of each wanted (id, doc_id, set_hash), 8 bytes a shingle."""
 
     def arrays(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in chunks(batches, _BATCH):
             sets = [shingles(t.as_py(), width, cache) for t in batch.column(1)]
             h = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set_hash", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set_hash", "words"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    found = arrow_map(bit_filter(rows, "id", wanted, "id"), arrays, "id long, set_hash long, words binary")
-    return found.join(wanted.hint("merge"), ["id", "set_hash"], "left_semi").dropDuplicates(["id", "set_hash"])
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    found = arrow_map(bit_filter(rows, "doc_id", wanted, "doc_id"), arrays, "doc_id long, set_hash long, words binary")
+    return found.join(wanted.hint("merge"), ["doc_id", "set_hash"]).dropDuplicates(["id"]).select("id", "words")
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, by intersection of their sorted arrays."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = materialise(ids.join(reps.select(F.col("doc_id").alias("id"), "set_hash"), "id").select("id", "set_hash"), "wanted")
-    sets = materialise(_sets(docs, wanted, width).select("id", "words"), "sets")
+    wanted = materialise(ids.join(reps.select("id", "doc_id", "set_hash"), "id"), "wanted")
+    sets = materialise(_sets(docs, wanted, width), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")).hint("merge"), "b")
 
@@ -180,7 +181,9 @@ def _exact(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, perce
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    return materialise(arrow_map(both.select("a", "b", "wa", "wb"), compare, "a long, b long"), "links")
+    found = materialise(arrow_map(both.select("a", "b", "wa", "wb"), compare, "a long, b long"), "links")
+    drop(pairs, wanted, sets)
+    return found
 
 
 def _tile_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -208,7 +211,7 @@ def _tile_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
             j = i + step
             size_i, size_j = r["n"][i], r["n"][j]
             most = np.minimum(size_i - r["place"][i], size_j - r["place"][j])
-            ok = (r["star"][i] != r["star"][j]) & (r["doc_id"][i] != r["doc_id"][j])
+            ok = (r["star"][i] != r["star"][j]) & (r["id"][i] != r["id"][j])
             ok &= (100 * np.minimum(size_i, size_j) >= percent * np.maximum(size_i, size_j)) & (100 * most >= percent * (size_i + size_j - most))
             ok &= np.maximum(r["band"][i], r["band"][j]) == r["tile_band"][i]
             ok &= (r["lo"][i] == r["hi"][i]) | (r["block"][i] != r["block"][j])
@@ -216,7 +219,7 @@ def _tile_pairs(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.
             if len(i_ok):
                 keep = [bits[x] is None or may_link(int(r["n"][x]), bits[x], int(r["n"][y]), bits[y], percent) for x, y in zip(i_ok.tolist(), j_ok.tolist(), strict=True)]
                 i_ok, j_ok = i_ok[keep], j_ok[keep]
-            a, b = r["doc_id"][i_ok], r["doc_id"][j_ok]
+            a, b = r["id"][i_ok], r["id"][j_ok]
             out_a.append(np.minimum(a, b))
             out_b.append(np.maximum(a, b))
         found = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
@@ -246,8 +249,8 @@ _TILE = ("token", "lo", "hi", "tile_band")
 
 def _candidates(reps: DataFrame, star_of: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) with different stars that share a prefix shingle and pass size, place and bitmap."""
-    rows = reps.select("doc_id", "n", "prefix").join(star_of.hint("merge"), "doc_id")
-    rows = arrow_map(rows, _explode, "token long, doc_id long, n int, star long, place int")
+    rows = reps.select("id", "n", "prefix").join(star_of.hint("merge"), "id")
+    rows = arrow_map(rows, _explode, "token long, id long, n int, star long, place int")
     # the smaller set of a pair must have room for the overlap behind the shingle; the larger one has it further on
     small = (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n").cast("long")
     seen = rows.groupBy("token").agg(F.min("star").alias("lo"), F.max("star").alias("hi"), F.count("*").alias("c"), F.max(small).alias("small"))
@@ -256,12 +259,12 @@ def _candidates(reps: DataFrame, star_of: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(growth) + F.lit(1e-9)).cast("int")
     rows = bit_filter(rows, "token", shared, "token").join(shared.hint("merge"), "token")
     # bitmaps travel with the rows of well-filled tiles only; the few pairs of the others meet theirs afterwards
-    bits = reps.select(F.col("doc_id").alias("of"), "bits").hint("merge")
-    rows = rows.join(bits, (F.col("doc_id") == F.col("of")) & (F.col("c") >= FULL), "left").drop("of")
+    bits = reps.select(F.col("id").alias("of"), "bits").hint("merge")
+    rows = rows.join(bits, (F.col("id") == F.col("of")) & (F.col("c") >= FULL), "left").drop("of")
     rows = rows.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("band", band)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("tile_band", F.explode(F.when(small, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
-    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tile_band", "doc_id", "n", "star", "block", "place", "band", "bits")
+    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "tile_band", "id", "n", "star", "block", "place", "band", "bits")
     rows = rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
     found = arrow_map(rows, lambda it: _tile_pairs(it, percent), "a long, b long")
     out = _bounded(found.distinct(), reps, percent)
@@ -276,8 +279,8 @@ def _explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if count.sum():
             at = pa.array(np.repeat(np.arange(len(count)), count))
             place = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
-            doc, n, star = (batch.column(c).take(at) for c in ("doc_id", "n", "star"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), doc, n.cast(pa.int32()), star, pa.array(place)], ["token", "doc_id", "n", "star", "place"])
+            own, n, star = (batch.column(c).take(at) for c in ("id", "n", "star"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), own, n.cast(pa.int32()), star, pa.array(place)], ["token", "id", "n", "star", "place"])
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -285,41 +288,56 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     component_id is the smallest doc_id that the document reaches by links, itself included. Two documents link when
     100 * intersection >= percent * union of their sets. A null or empty text, or one without words, has an empty set
-    and links with nothing. Equal sets always link. Rows that repeat a doc_id with other texts link as their own
-    sets do, but as the smallest doc_id of a set such an id stands for one of its texts only. A null doc_id links with nothing and has a null component_id. Other columns are ignored. An empty table gives no rows.
-    Sets hold 64-bit hashes of shingles.
+    and links with nothing. Equal sets always link. Rows that repeat a doc_id with other texts are texts of one
+    document: whatever one of them links with, the others reach. A null doc_id links with nothing and has a null
+    component_id. Other columns are ignored. An empty table gives no rows. Sets hold 64-bit hashes of shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = _frequent(docs, width)
     all_rows = materialise(_profile(docs, width, percent, frequent), "profiles")
-    full = all_rows.where("n > 0 and doc_id is not null")
-    first = full.groupBy("set_hash", "set_hash2", "n").agg(F.min("doc_id").alias("doc_id"))
-    classes = materialise(first, "classes")
-    one = classes.groupBy("doc_id").agg(F.min(F.struct("set_hash", "set_hash2", "n")).alias("s")).select("doc_id", "s.*")
-    reps = full.join(one.hint("merge"), ["doc_id", "set_hash", "set_hash2", "n"]).dropDuplicates(["doc_id", "set_hash", "set_hash2", "n"])
-    reps = materialise(reps, "reps")
-
-    keys = reps.select("doc_id", F.explode("stars").alias("k"))
-    lead = materialise(keys.groupBy("k").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("k", "a"), "leads")
-    leaning = bit_filter(keys, "k", lead, "k").join(lead.hint("merge"), "k").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    linkable = F.expr("n > 0 and doc_id is not null")
+    full, key = all_rows.where(linkable), ["set_hash", "set_hash2", "n"]
+    # numbers are unique whichever task wrote them, and fixed once the table is written
+    classes = materialise(full.groupBy(*key).agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = materialise(full.join(classes.hint("merge"), [*key, "doc_id"]).dropDuplicates(["id"]), "reps")
+
+    keys = reps.select("id", F.explode("stars").alias("k"))
+    lead = materialise(keys.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("k", "a"), "leads")
+    leaning = bit_filter(keys, "k", lead, "k").join(lead.hint("merge"), "k").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     leaning = _bounded(leaning, reps, percent)
+    drop(lead)
     links = _exact(leaning, docs, reps, width, percent)
-    pointer = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("star"))
-    star_of = materialise(reps.select("doc_id").join(pointer.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("star", "doc_id").alias("star")), "stars")
-    hop = star_of.select(F.col("doc_id").alias("star"), F.col("star").alias("next"))
-    star_of = materialise(star_of.join(hop.hint("merge"), "star").select("doc_id", F.col("next").alias("star")), "stars2")
-    more = _exact(_candidates(reps, star_of, percent), docs, reps, width, percent)
-
-    found = components(links.unionByName(more))
-    chosen = classes.select("set_hash", "set_hash2", "n", F.col("doc_id").alias("rep")).join(found.hint("merge"), F.col("rep") == F.col("node"), "left")
-    chosen = materialise(chosen.select("set_hash", "set_hash2", "n", F.coalesce("component", "rep").alias("component_id")), "chosen")
-    out = all_rows.select("doc_id", "n", "set_hash", "set_hash2").join(chosen.hint("merge"), ["set_hash", "set_hash2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    pointer = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("star"))
+    star_of = materialise(reps.select("id").join(pointer.hint("merge"), "id", "left").select("id", F.coalesce("star", "id").alias("star")), "stars")
+    hop = star_of.select(F.col("id").alias("star"), F.col("star").alias("next"))
+    two_hops = materialise(star_of.join(hop.hint("merge"), "star").select("id", F.col("next").alias("star")), "stars2")
+    drop(star_of)
+    more = _exact(_candidates(reps, two_hops, percent), docs, reps, width, percent)
+    drop(reps, two_hops)
+
+    found = components(links.unionByName(more).unionByName(_same_document(full, classes, key)))
+    drop(links, more)
+    member = classes.join(found.hint("merge"), F.col("id") == F.col("node"), "left").select(*key, "doc_id", F.coalesce("component", "id").alias("component"))
+    least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    chosen = materialise(member.drop("doc_id").join(least.hint("merge"), "component").select(*key, "component_id"), "chosen")
+    drop(found, classes)
+    linked = full.select("doc_id", *key).join(chosen.hint("merge"), key).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = all_rows.where(~linkable | linkable.isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def _same_document(full: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Edges between the classes of each doc_id that comes with several rows; mostly none."""
+    repeated = materialise(full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    rows = bit_filter(full.select("doc_id", *key), "doc_id", repeated, "doc_id").join(repeated.hint("merge"), "doc_id").distinct()
+    rows = rows.join(classes.select(*key, "id").hint("merge"), key).select("doc_id", "id")
+    first = rows.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return rows.join(first.hint("merge"), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and bitmaps allow a link."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")).hint("merge")
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")).hint("merge")
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
