@@ -5,28 +5,35 @@ that keeps it. Every page becomes a response record with its payload or a revisi
 headers either way. Archives are written by Spark's own committed writer, so a lost executor leaves no half a file:
 records are valid UTF-8 text, and the writer's line separator is the empty line with which a WARC record ends.
 
-Reading: archives are parsed by their Content-Length, headers shuffled by payload digest, and revisit records joined
-to the original response that they name.
+Reading: archives are streams that Spark cuts where a record seems to begin; the pieces are put together again by
+Content-Length, so that a payload which looks like a record's beginning stays whole, and a task holds a record at a
+time and not a file. Headers are shuffled by payload digest, and revisit records joined to the original response that
+they name.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, new_path, skewed_left_join
+from .common import arrow_map, at_most, materialise, new_path, skewed_left_join
 
 CRLF = "\r\n"
 #: Payloads below this many bytes are always written in full.
 LEAST_BYTES = 100
-#: Records of an archive file, which is read as a whole by one task.
-FILE_RECORDS = 2000
-DATE = "2024-01-01T00:00:00Z"
+#: Records of an archive file: one task reads it, as a stream.
+FILE_RECORDS = 20_000
+#: Between records: the empty lines that end one and the line that begins the next.
+BETWEEN = CRLF * 2 + "WARC/1.1" + CRLF
+#: Rows that Spark reads at a time where payloads may be large.
+READ_ROWS = 128
+#: Bytes of payloads that go back to Spark at a time.
+SEND_BYTES = 16 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,8 +64,11 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return out.withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes pages(page_id, url, html) as gzip-compressed WARC 1.1 files into the folder path."""
+def write_archives(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Writes pages(page_id, url, html) as gzip-compressed WARC 1.1 files into the folder path, one gzip member a file;
+    date (now, where none is given) is the records' WARC-Date."""
+    at_most(pages.sparkSession.conf, "spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = plan_records(pages)
     digest, revisit = F.col("payload_digest"), F.col("refers_to").isNotNull()
     lines = lambda *x: F.concat_ws(CRLF, *x)
@@ -67,25 +77,46 @@ def write_archives(pages: DataFrame, path: str) -> None:
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     uri = _clean(F.col("url"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    common = [F.lit("WARC/1.1"), field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), field("WARC-Record-ID", _record_id(F.col("page_id"), digest)), field("WARC-Date", F.lit(DATE)), field("WARC-Target-URI", uri), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)), field("X-Page-ID", page)]
+    common = [F.lit("WARC/1.1"), field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), field("WARC-Record-ID", _record_id(F.col("page_id"), digest)), field("WARC-Date", F.lit(date)), field("WARC-Target-URI", uri), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)), field("X-Page-ID", page)]
     first = [F.when(revisit, field("WARC-Profile", F.lit(_PROFILE))), F.when(revisit, field("WARC-Refers-To", _record_id(F.col("refers_to"), digest)))]
     head = lines(*common, *first, F.lit("Content-Type: application/http; msgtype=response"), field("Content-Length", F.octet_length(block).cast("string")), F.lit(""), F.lit(""))
     rows.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records of one uncompressed archive; header names in lower case."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        top, *rest = data[at:end].decode("utf-8", "replace").split(CRLF)
-        if not top.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        yield head, data[start:stop]
-        at = stop + 4
+def parse(pieces: Iterable[tuple[object, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records of uncompressed archives that were cut at BETWEEN: pieces (file, bytes), those of a
+    file in order and one file after the other. Header names come in lower case."""
+    between, file, held, size, need = BETWEEN.encode(), None, [], 0, 0
+
+    def ended() -> None:
+        if (left := b"".join(held)) not in (b"", b"\r\n\r\n"):
+            raise ValueError(f"an archive ends within a record: {left[:80]!r}")
+
+    for of, piece in pieces:
+        if of != file:
+            ended()
+            file, held, size, need = of, [piece], len(piece), 0
+        else:
+            held += [between, piece]
+            size += len(between) + len(piece)
+        while size >= need and size > 4:
+            data = b"".join(held)
+            at = 4 if data.startswith(b"\r\n\r\n") else 0  # the end of the record before
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                held, need = [data], size + 1
+                break
+            top, *rest = data[at:end].decode("utf-8", "replace").split(CRLF)
+            if not top.startswith("WARC/"):
+                raise ValueError(f"no WARC record: {data[at : at + 80]!r}")
+            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}
+            stop = end + 4 + int(head["content-length"])
+            if size < stop:
+                held, need = [data], stop
+                break
+            yield head, data[end + 4 : stop]
+            held, size, need = [data[stop:]], size - stop, 0
+    ended()
 
 
 HEADS = "page_id long, record_type string, record_id string, refers string, payload_digest string, payload_bytes long"
@@ -97,27 +128,36 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     payload_digest and payload_bytes of a response are taken from the payload itself; those of a revisit are what its
     header says, and null.
     """
-    schema = HEADS + (", payload binary" if payloads else "")
+    names, types = [c.split()[0] for c in HEADS.split(", ")], [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    if payloads:
+        names, types = [*names, "payload"], [*types, pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                raw = bytes(content.as_buffer())
-                out = []
-                for head, block in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                    body = block[block.index(b"\r\n\r\n") + 4 :]
-                    full = head["warc-type"] == "response"
-                    page = head.get("x-page-id")
-                    out.append((int(page) if page else None, head["warc-type"], head["warc-record-id"], head.get("warc-refers-to"), hashlib.sha256(body).hexdigest() if full else head["warc-payload-digest"].removeprefix("sha256:"), len(body) if full else None, body if full else None))
-                names, types = [c.split()[0] for c in HEADS.split(", ")], [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
-                if payloads:
-                    names, types = [*names, "payload"], [*types, pa.binary()]
-                for at in range(0, len(out), 500):
-                    cols = list(zip(*out[at : at + 500], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return arrow_map(files.select("content"), run, schema)
+        out: list[tuple] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        pieces = ((f.as_py(), v.as_py()) for batch in batches for f, v in zip(batch.column(0), batch.column(1), strict=True))
+        for head, block in parse(pieces):
+            body = block[block.index(b"\r\n\r\n") + 4 :]
+            full = head["warc-type"] == "response"
+            page = head.get("x-page-id")
+            row = (int(page) if page else None, head["warc-type"], head["warc-record-id"], head.get("warc-refers-to"), hashlib.sha256(body).hexdigest() if full else head["warc-payload-digest"].removeprefix("sha256:"), len(body) if full else None)
+            out.append((*row, body if full else None) if payloads else row)
+            size += len(body) if payloads else 0
+            if len(out) >= 1000 or size >= SEND_BYTES:
+                yield send()
+                size = 0
+        if out:
+            yield send()
+
+    lines = spark.read.option("lineSep", BETWEEN).option("pathGlobFilter", "*.txt*").text(path)
+    rows = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    return arrow_map(rows, run, HEADS + (", payload binary" if payloads else ""))
 
 
 def resolve(heads: DataFrame) -> DataFrame:
@@ -138,7 +178,8 @@ def resolve(heads: DataFrame) -> DataFrame:
 
 def warc_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes pages(page_id, url, html) as archives (into path, or a new folder of the shared one), reads them back and
-    resolves the revisits: one row per page, as resolve() has it. Null html is an empty payload; a null url an empty
+    resolves the revisits: one row per page, as resolve() has it. Payloads may be long: a task holds one at a time, and
+    READ_ROWS of them where it reads pages. Null html is an empty payload; a null url an empty
     one; repeated rows give repeated records. An empty table gives no rows. Other columns are ignored."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
