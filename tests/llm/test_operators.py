@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -237,6 +238,25 @@ def test_warc(spark, tmp_path):
     assert warc.warc_round_trip(df.limit(0)).collect() == []
 
 
+def test_warc_payloads_like_records(spark, tmp_path):
+    """Payloads with parts, repeats and all of what stands between records come back whole; so do long ones."""
+    rng = random.Random(10)
+    bits = [warc.BETWEEN, "\r\n", "\r\n\r\n", "WARC/1.1\r\n", "\r", "\n", "WARC-Type: response\r\n", "x" * 90, "é"]
+    pages = [(i, "u", "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for i in range(400)] + [(1000, "u", "y" * 3_000_000), (1001, "u", warc.BETWEEN * 30_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    path = "file://" + str(tmp_path / "w")
+    warc.write_archives(df, path, "2026-01-02T03:04:05Z")
+    back = warc.read_archives(spark, path, payloads=True).collect()
+    assert Counter((r["page_id"], bytes(r["payload"])) for r in back if r["record_type"] == "response") <= Counter((i, h.encode()) for i, _, h in pages)
+    kept = {}
+    for i, _, h in pages:
+        kept.setdefault(h if len(h.encode()) >= 100 else (i, h), i)
+    assert {r["page_id"] for r in back if r["record_type"] == "response"} == set(kept.values()) and len(back) == len(pages)
+    pieces = [(1, b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"), (1, b"Content-Length: 9\r\n\r\nabc")]
+    with pytest.raises(ValueError):
+        list(warc.parse(pieces))
+
+
 def test_language(spark, docs, none):
     rng = random.Random(6)
     sound = {"aa": ["ba", "bo", "ab", "ola"], "bb": ["kri", "zt", "ek", "ßu"]}
@@ -245,11 +265,9 @@ def test_language(spark, docs, none):
     m = langid.fit_language_models(train)
     assert m.languages == ["aa", "bb"]
     for name, model in zip(m.languages, m.models, strict=True):  # probabilities of all symbols after a seen context add up to 1
-        import numpy as np
-
-        context = langid.grams(langid.Alphabet(m.letters).symbols(make(name, 3)))[5] >> langid.BITS
-        p = np.exp(model.log_prob((int(context) << langid.BITS) + np.arange(langid.SYMBOLS)))
-        assert abs(p.sum() - 1) < 1e-6
+        context = langid.grams(m.alphabet.symbols(make(name, 3)))[5][1:]
+        rows = np.array([[*context, x] for x in range(m.alphabet.size)], np.int32)
+        assert abs(model.probability(rows).sum() - 1) < 1e-6
     test = spark.createDataFrame([(i, make(x, 8), i % 2 == 0, x) for i, x in enumerate(["aa", "bb"] * 40)] + [(200, None, True, None), (201, "12 !!", True, None), (202, "", False, None), (203, "𝒜𝒷", True, None)], "doc_id long, text string, held_out boolean, y string")
     got = {r["doc_id"]: r for r in langid.predict_language(test, m).collect()}
     assert all(got[i]["lang_pred"] == x for i, x in enumerate(["aa", "bb"] * 40))
@@ -257,11 +275,70 @@ def test_language(spark, docs, none):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     empty = langid.fit_language_models(none)
     assert {r["lang_pred"] for r in langid.predict_language(docs.withColumn("held_out", F.lit(False)), empty).collect()} == {"und"}
+    assert langid.predict_language(test.limit(0), m).collect() == []
+    assert langid.predict_language(docs.withColumn("held_out", F.lit(False)), m).count() == docs.count()
     import zlib
 
     assert [r[0] for r in spark.range(50).select(langid.held_out("id")).collect()] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)]
 
 
+def kneser_ney(texts, text, symbols):
+    """Cross-entropy per symbol of text by an interpolated Kneser-Ney model of texts, with dictionaries only."""
+    n = langid.ORDER
+
+    def ends(t):
+        s = "\0" * (n - 1) + "\0".join(w for w in re.split(r"[\W\d_]+", t.lower()) if w) + "\0"
+        return [s[i - n + 1 : i + 1] for i in range(n - 1, len(s))]
+
+    counts = Counter(g for t in texts for g in ends(t))
+    levels = [counts]
+    for _ in range(n - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    levels.reverse()
+
+    def p(g, order):
+        if not order:
+            return 1 / symbols
+        c = levels[order - 1]
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        less = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+        after = [v for k, v in c.items() if k[:-1] == g[:-1]]
+        below = p(g[1:], order - 1)
+        return below if not after else (c[g] - less if g in c else 0) / sum(after) + less * len(after) / sum(after) * below
+
+    return -sum(math.log(p(g, n)) for g in ends(text)) / len(ends(text))
+
+
+def test_kneser_ney_by_brute_force():
+    rng = random.Random(11)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(12))
+    texts = [make("abcda") for _ in range(6)]
+    alphabet = langid.Alphabet(np.array(sorted(map(ord, "abcdx"))))
+    model = langid.CharModel.fit(np.concatenate([langid.grams(alphabet.symbols(t)) for t in texts]), alphabet.size)
+    m = langid.LanguageModels(alphabet, ["l"], [model])
+    tests = [*texts[:2], make("abcdx"), make("x"), "a"]
+    assert np.allclose(m.entropies(tests)[0][:, 0], [kneser_ney(texts, t, alphabet.size) for t in tests])
+
+
+def test_language_scripts(spark, monkeypatch):
+    """Languages of many letters, in scripts of their own and in a shared one; texts that are scored in parts."""
+    rng = random.Random(12)
+    ranges = {"el": range(0x3B1, 0x3C9), "ru": range(0x430, 0x450), "uk": [*range(0x430, 0x449), 0x456, 0x457, 0x454], "zh": range(0x4E00, 0x4E00 + 1500), "ja": [*range(0x3041, 0x3090), *range(0x4E00, 0x4E00 + 300)], "old": range(0x10400, 0x10428)}
+    make = lambda x, n: " ".join("".join(chr(rng.choice(list(ranges[x]))) for _ in range(4)) for _ in range(n))
+    train = spark.createDataFrame([(100 * k + i, make(x, 60), x) for k, x in enumerate(ranges) for i in range(40)], "doc_id long, text string, lang string")
+    m = langid.fit_language_models(train)
+    assert m.alphabet.size > 1000 and m.languages == sorted(ranges)
+    monkeypatch.setattr(langid, "SCORED", 500)
+    texts = [(make(x, 40), x) for x in ranges for _ in range(10)]
+    best = m.entropies([t for t, _ in texts])[0].argmin(1)
+    assert np.mean([m.languages[b] == x for b, (_, x) in zip(best, texts, strict=True)]) > 0.95
+    none_knows = langid.predict_language(spark.createDataFrame([(1, "\u0e01\u0e02 \u0e03\u0e04\u0e05" * 20, True)], "doc_id long, text string, held_out boolean"), m).first()
+    assert none_knows["rejected"]
+    few = langid.training_sample(train, "text", "lang", "doc_id", 400, 1500)
+    assert {n for _, n in few} == set(ranges) and all(sum(len(t.encode()) for t, x in few if x == n) <= 1500 for n in ranges)
+    assert {n for _, n in langid.training_sample(train, "text", "lang", "doc_id", 400, 10)} == set(ranges)
+
+
 def test_mixing(spark, docs, none):
     rng = random.Random(7)
     rows = [(i, s, rng.randint(1, 50)) for i, s in enumerate(rng.choices(["a", "b", "c", None], [70, 20, 9, 1], k=2000))]

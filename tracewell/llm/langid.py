@@ -1,69 +1,79 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-Letters are lower-cased and numbered in a common alphabet of 64 symbols; a run of anything else is one boundary. Each
-model keeps, per order, the hashes of its n-grams in sorted arrays beside their interpolated probabilities, and the
-back-off weights of its contexts likewise. A text goes to the language of lowest cross-entropy per symbol; a scale
-fitted on texts set aside turns the entropies into a probability, and texts that no model explains are rejected.
+Letters are lower-cased; a run of anything else is one boundary. The symbols are the boundary, every letter that the
+training texts have (of whatever script, without a bound) and one for all other letters. Each model keeps, per order,
+the hashes of its n-grams in sorted arrays beside their interpolated probabilities, and the back-off weights of its
+contexts likewise. A text goes to the language of lowest cross-entropy per symbol; a scale fitted on texts set aside
+turns the entropies into a probability, and texts that no model explains are rejected.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, arrow_map, chunks, mix
+from .common import MULTIPLIER, arrow_map, chunks, drop, materialise, mix
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
+ORDER = 4
 BOUNDARY, OTHER = 0, 1
 UNKNOWN = "und"
+#: Code points of texts that are scored at a time.
+SCORED = 4_000_000
 
 
+@dataclass
 class Alphabet:
-    """Numbers of letters: the most frequent ones of the training texts have their own, all others share OTHER."""
+    """Numbers of the letters of the training texts: 2, 3, ... by code point; all others share OTHER."""
+
+    letters: np.ndarray
+    table: np.ndarray = field(default_factory=lambda: np.full(0x110000, -1, np.int32), repr=False)
+
+    def __post_init__(self) -> None:
+        self.table[self.letters] = np.arange(2, len(self.letters) + 2)
 
-    def __init__(self, letters: str):
-        self.letters = letters
-        self.numbers = {ord(c): i + 2 for i, c in enumerate(letters)}
-        self.table = np.full(1 << 16, -1, np.int16)
+    def __reduce__(self) -> tuple:
+        return Alphabet, (self.letters,)
+
+    @property
+    def size(self) -> int:
+        return len(self.letters) + 2
 
     def symbols(self, text: str) -> np.ndarray:
         """Numbers of a text's letters, a boundary for each run of other characters and one at either end."""
         cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(cp) and cp.max() >= 1 << 16:
-            big = np.array([OTHER if chr(c).isalpha() else BOUNDARY for c in cp[cp >= 1 << 16].tolist()], np.int16)
-        else:
-            big = None
-        out = self.table[np.minimum(cp, (1 << 16) - 1)]
+        out = self.table[cp]
         if (out < 0).any():
-            for c in np.unique(cp[(out < 0) & (cp < 1 << 16)]).tolist():
-                self.table[c] = self.numbers.get(c, OTHER if chr(c).isalpha() else BOUNDARY)
-            out = self.table[np.minimum(cp, (1 << 16) - 1)]
-        if big is not None:
-            out = out.copy()
-            out[cp >= 1 << 16] = big
+            for c in np.unique(cp[out < 0]).tolist():
+                self.table[c] = OTHER if chr(c).isalpha() else BOUNDARY
+            out = self.table[cp]
         out = np.concatenate([[BOUNDARY], out, [BOUNDARY]]).astype(np.int32)
         return out[np.concatenate([[True], (out[1:] != BOUNDARY) | (out[:-1] != BOUNDARY)])]
 
 
 def grams(symbols: np.ndarray) -> np.ndarray:
-    """The packed ORDER-gram that ends at each symbol but the first; boundaries stand before the text."""
-    padded = np.concatenate([np.zeros(ORDER - 2, np.int32), symbols])
-    n = len(symbols) - 1
-    out = np.zeros(max(n, 0), np.int32)
-    for i in range(ORDER):
-        out = (out << BITS) | padded[i : i + n]
-    return out
+    """A row of ORDER symbols for each symbol but the first, which it ends with; boundaries stand before the text."""
+    padded = np.concatenate([np.full(ORDER - 2, BOUNDARY, np.int32), symbols])
+    return np.lib.stride_tricks.sliding_window_view(padded, ORDER) if len(padded) >= ORDER else np.empty((0, ORDER), np.int32)
 
 
-def _hash(packed: np.ndarray, order: int) -> np.ndarray:
-    return mix((packed.astype(np.uint64) + np.uint64(1)) * MULTIPLIER + np.uint64(order))
+def _hash(rows: np.ndarray, tag: int) -> np.ndarray:
+    """64-bit hashes of rows of symbols; tag keeps n-grams and contexts of different lengths apart."""
+    out = np.full(len(rows), tag + 1, np.uint64)
+    for i in range(rows.shape[1]):
+        out = out * MULTIPLIER + (rows[:, i].astype(np.uint64) + np.uint64(1))
+    return mix(mix(out))
+
+
+def _kinds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, in the order of their hashes, and how often each occurs."""
+    _, at, count = np.unique(_hash(rows, rows.shape[1]), return_index=True, return_counts=True)
+    return rows[at], count
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,82 +87,78 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class CharModel:
     """Per order 1..ORDER: sorted hashes and probabilities of n-grams, sorted hashes and back-off weights of contexts."""
 
+    symbols: int
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def fit(packed: np.ndarray) -> CharModel:
-        levels: list[tuple[np.ndarray, np.ndarray]] = []
-        seen, count = np.unique(packed, return_counts=True)
-        levels.append((seen, count))
-        for order in range(ORDER - 1, 0, -1):  # below the highest order, in how many contexts a gram was seen
-            seen, count = np.unique(levels[-1][0] & ((1 << BITS * order) - 1), return_counts=True)
-            levels.append((seen, count))
-        levels.reverse()
-        probs, contexts = [], []
-        lower: np.ndarray | None = None
-        for order, (seen, count) in enumerate(levels, 1):
+    def fit(rows: np.ndarray, symbols: int) -> CharModel:
+        """A model of rows of ORDER symbols, over so many kinds of symbols."""
+        levels = [_kinds(rows)]
+        for _ in range(ORDER - 1):  # below the highest order, in how many contexts a gram was seen
+            levels.append(_kinds(levels[-1][0][:, 1:]))
+        out = CharModel(symbols, [], [])
+        for order, (seen, count) in enumerate(reversed(levels), 1):
             once, twice = int((count == 1).sum()), int((count == 2).sum())
             less = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-            before = seen >> BITS
-            heads, start, kinds = np.unique(before, return_index=True, return_counts=True)
-            total = np.add.reduceat(count, start)
+            heads, own, kinds = np.unique(_hash(seen[:, :-1], ORDER + order), return_inverse=True, return_counts=True)
+            total = np.bincount(own, count)
             weight = less * kinds / total
-            own = np.repeat(np.arange(len(heads)), kinds)
-            if lower is None:
-                base = np.full(len(seen), 1 / SYMBOLS)
-            else:
-                below, values = lower
-                base = values[np.searchsorted(below, seen & ((1 << BITS * (order - 1)) - 1))]
-            p = (count - less) / total[own] + weight[own] * base
-            lower = (seen, p)
-            for into, key, value, depth in ((probs, seen, p, order), (contexts, heads, weight, order + ORDER)):
-                h = _hash(key, depth)
-                by = np.argsort(h)
-                into.append((h[by], value[by].astype(np.float64)))
-        return CharModel(probs, contexts)
-
-    def log_prob(self, packed: np.ndarray) -> np.ndarray:
-        p = np.full(len(packed), 1 / SYMBOLS)
-        for order in range(1, ORDER + 1):
-            gram = packed & ((1 << BITS * order) - 1)
-            at, have = _find(self.contexts[order - 1][0], _hash(gram >> BITS, order + ORDER))
-            p = np.where(have, p * self.contexts[order - 1][1][at] if len(self.contexts[order - 1][1]) else p, p)
-            at, have = _find(self.grams[order - 1][0], _hash(gram, order))
-            p = np.where(have, self.grams[order - 1][1][at] if len(self.grams[order - 1][1]) else p, p)
-        return np.log(p)
+            p = (count - less) / total[own] + weight[own] * out.probability(seen[:, 1:])
+            key = _hash(seen, order)
+            by = np.argsort(key)
+            out.grams.append((key[by], p[by]))
+            out.contexts.append((heads, weight))
+        return out
+
+    def probability(self, rows: np.ndarray) -> np.ndarray:
+        """Of each row's last symbol after those before it, by all orders that the model has so far."""
+        p = np.full(len(rows), 1 / self.symbols)
+        for order, ((keys, values), (heads, weights)) in enumerate(zip(self.grams, self.contexts, strict=True), 1):
+            part = rows[:, rows.shape[1] - order :]
+            at, have = _find(heads, _hash(part[:, :-1], ORDER + order))
+            p = np.where(have, p * weights[at], p)
+            at, have = _find(keys, _hash(part, order))
+            p = np.where(have, values[at], p)
+        return p
 
 
 @dataclass
 class LanguageModels:
-    letters: str
+    alphabet: Alphabet
     languages: list[str]
     models: list[CharModel]
     scale: float = 1.0
-    #: A text of a higher entropy, or a lower probability of its language, is rejected.
-    most_entropy: float = float("inf")
+    #: A text of a higher entropy than its language's texts have, or a lower probability of its language, is rejected.
+    most_entropy: list[float] = field(default_factory=list)
     least_score: float = 0.0
 
-    def entropies(self, texts: list[str | None], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol by text and language, and the number of letters of each text."""
-        parts = [alphabet.symbols(t or "") for t in texts]
+        out, letters = np.full((len(texts), len(self.models)), np.inf), np.zeros(len(texts), np.int64)
+        first = 0
+        while first < len(texts):  # so many texts at a time as have SCORED code points, one at least
+            last, size = first, 0
+            while last < len(texts) and (last == first or size + len(texts[last] or "") <= SCORED):
+                size += len(texts[last] or "")
+                last += 1
+            out[first:last], letters[first:last] = self._entropies(texts[first:last])
+            first = last
+        return out, letters
+
+    def _entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.alphabet.symbols(t or "") for t in texts]
         letters = np.array([(p != BOUNDARY).sum() for p in parts], np.int64)
-        packed = [grams(p) if n else np.empty(0, np.int32) for p, n in zip(parts, letters, strict=True)]
-        size = np.array([len(p) for p in packed], np.int64)
+        rows = [grams(p) for p, n in zip(parts, letters, strict=True) if n]
         out = np.full((len(texts), len(self.models)), np.inf)
-        if not size.sum() or not self.models:
+        if not rows or not self.models:
             return out, letters
-        every = np.concatenate(packed)
-        flag = np.zeros(1 << BITS * ORDER, bool)
-        flag[every] = True
-        kinds = np.flatnonzero(flag).astype(np.int32)
-        number = np.zeros(1 << BITS * ORDER, np.int32)
-        number[kinds] = np.arange(len(kinds), dtype=np.int32)
-        at = number[every]
-        full = np.flatnonzero(size)
-        starts = (np.cumsum(size) - size)[full]
+        size = np.array([len(r) for r in rows], np.int64)
+        every = np.concatenate(rows)
+        _, at, inverse = np.unique(_hash(every, ORDER), return_index=True, return_inverse=True)
+        kinds, full, starts = every[at], np.flatnonzero(letters), np.cumsum(size) - size
         for k, m in enumerate(self.models):
-            out[full, k] = -np.add.reduceat(m.log_prob(kinds)[at], starts) / size[full]
+            out[full, k] = -np.add.reduceat(np.log(m.probability(kinds))[inverse], starts) / size
         return out, letters
 
     def scores(self, entropy: np.ndarray) -> np.ndarray:
@@ -160,37 +166,58 @@ class LanguageModels:
         return e / e.sum(1, keepdims=True)
 
 
-def fit_language_models(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400) -> LanguageModels:
-    """Models of all languages in docs, each from about per_language whole texts, chosen by a hash of key.
+def training_sample(docs: DataFrame, text: str, lang: str, key: str, per_language: int, most_bytes: int) -> list[tuple[str, str]]:
+    """(text, language) of whole texts, by a hash of key: per language at most about per_language texts and most_bytes bytes;
+    a text that no longer fits is passed over. A language whose texts are all longer gives its shortest one."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("langid"), F.col(key)).alias("h"), F.octet_length(F.col(text)).alias("size"))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct("size", "h")).alias("least"))
+    rate = F.lit(float(per_language << 20)) / F.col("n")
+    # the numbers of about per_language rows a language, and of its shortest
+    found = materialise(found, "languages")
+    near = known.drop("text").join(found, "lang").where((F.pmod("h", F.lit(1 << 20)) < rate) | ((F.col("size") == F.col("least.size")) & (F.col("h") == F.col("least.h"))))
+    listed = defaultdict(list)
+    for r in near.select("lang", "h", "size", (F.col("h") == F.col("least.h")).alias("least")).collect():
+        listed[r["lang"]].append((r["least"], r["h"], r["size"]))
+    drop(found)
+    chosen = []
+    for name, rows in sorted(listed.items()):
+        left, taken = most_bytes, []
+        for _, h, size in sorted(rows):  # the shortest comes last
+            if size <= left and len(taken) < 2 * per_language:
+                taken.append(h)
+                left -= size
+        chosen += [(name, h) for h in set(taken or [r[1] for r in rows if r[0]])]
+    if not chosen:
+        return []
+    keys = docs.sparkSession.createDataFrame(chosen, "lang string, h long")
+    rows = known.join(F.broadcast(keys), ["lang", "h"]).select("lang", "h", "text").distinct().collect()
+    return [(t, n) for n, _, t in sorted(tuple(r) for r in rows)]
+
+
+def fit_language_models(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, most_bytes: int = 2 << 20) -> LanguageModels:
+    """Models of all languages in docs, each from about per_language whole texts of together at most most_bytes bytes,
+    chosen by a hash of key.
 
     Rows with a null text or language are left out. Three in four texts of the sample train the models, the rest
-    calibrate scale and rejection.
+    calibrate scale and rejection. Of an empty table, no models.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("langid"), F.col(key)).alias("h"))
-    size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not size:
-        return LanguageModels("", [], [])
-    rate: Column = F.lit(0.0)
-    for name, n in size.items():
-        rate = F.when(F.col("lang") == name, F.lit(per_language / n)).otherwise(rate)
-    rows = known.where(F.pmod("h", F.lit(1 << 20)) < rate * (1 << 20)).orderBy("lang", "h").limit(2 * per_language * len(size)).collect()
-    tally = Counter(c for r in rows for c in r["text"].lower() if c.isalpha())
-    alphabet = Alphabet("".join(c for c, _ in sorted(tally.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]))
-    names = sorted(size)
-    train: dict[str, list[np.ndarray]] = {n: [] for n in names}
+    sample = training_sample(docs, text, lang, key, per_language, most_bytes)
+    seen = np.unique(np.frombuffer("".join(t for t, _ in sample).lower().encode("utf-32-le", "surrogatepass"), np.uint32))
+    alphabet = Alphabet(np.array([c for c in seen.tolist() if chr(c).isalpha()], np.int64))
+    train: dict[str, list[np.ndarray]] = defaultdict(list)
     aside: list[tuple[str, str]] = []
-    for i, r in enumerate(rows):
-        symbols = alphabet.symbols(r["text"])
-        if i % 4 == 3:
-            aside.append((r["text"], r["lang"]))
+    for i, (t, name) in enumerate(sample):
+        symbols = alphabet.symbols(t)
+        if i % 4 == 3 and train[name]:
+            aside.append((t, name))
         elif len(symbols) > 1:
-            train[r["lang"]].append(grams(symbols))
-    names = [n for n in names if train[n]]
-    out = LanguageModels(alphabet.letters, names, [CharModel.fit(np.concatenate(train[n])) for n in names])
-    entropy, letters = out.entropies([t for t, _ in aside], alphabet)
-    true = np.array([names.index(x) if x in names else -1 for _, x in aside], np.int64)
-    ok = (letters > 0) & (true >= 0)
-    if ok.any():
+            train[name].append(grams(symbols))
+    names = sorted(n for n in train if train[n])
+    out = LanguageModels(alphabet, names, [CharModel.fit(np.concatenate(train[n]), alphabet.size) for n in names])
+    entropy, letters = out.entropies([t for t, _ in aside])
+    true = np.array([names.index(x) for _, x in aside], np.int64)
+    out.most_entropy = [float("inf")] * len(names)
+    if (ok := letters > 0).any():
         entropy, true = entropy[ok], true[ok]
         right = np.arange(len(true))
         losses = []
@@ -199,7 +226,7 @@ def fit_language_models(docs: DataFrame, text: str = "text", lang: str = "lang",
             losses.append((-np.log(np.maximum(out.scores(entropy)[right, true], 1e-9)).mean(), float(scale)))
         out.scale = min(losses)[1]
         own = entropy[right, true]
-        out.most_entropy = float(np.quantile(own, 0.999) + 3 * own.std() + 0.05)
+        out.most_entropy = [float(np.quantile(e, 0.999) + 3 * e.std() + 0.05) if len(e := own[true == k]) else float("inf") for k in range(len(names))]
         out.least_score = float(min(0.9, np.quantile(out.scores(entropy)[right, true], 0.001)))
     return out
 
@@ -213,22 +240,21 @@ def predict_language(docs: DataFrame, models: LanguageModels) -> DataFrame:
     lang_pred is the language of least entropy (the first by name where equal), or "und" with score 0 and a null
     entropy where the text is null or has no letter, or no language was learned. score is its calibrated probability.
     rejected: no model explains the text, or the choice is uncertain; callers who want it treat such texts as "und".
-    Whole texts count, however long. Other columns are ignored; repeated rows give repeated results.
+    Whole texts count, however long. Other columns are ignored; repeated rows give repeated results, an empty table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        alphabet = Alphabet(m.letters)
         for batch in chunks(batches, 1024):
-            entropy, letters = m.entropies(batch.column(1).to_pylist(), alphabet)
+            entropy, letters = m.entropies(batch.column(1).to_pylist())
             known = (letters > 0) & bool(m.models)
             names = np.array([*m.languages, UNKNOWN], dtype=object)
             best = np.where(known, np.argmin(entropy, 1), len(m.languages)) if m.models else np.zeros(len(letters), np.int64)
             score, least = np.zeros(len(letters)), np.full(len(letters), np.nan)
             if known.any():
                 score[known], least[known] = m.scores(entropy[known]).max(1), entropy[known].min(1)
-            rejected = ~known | (least > m.most_entropy) | (score < m.least_score)
+            rejected = ~known | (least > np.array([*m.most_entropy, np.inf])[best]) | (score < m.least_score)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(names[best], pa.string()), pa.array(score), pa.array(least, pa.float64(), mask=~known), pa.array(rejected)], [c.split()[0] for c in SCHEMA.split(", ")]
             )
