@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.operators import etl, graph, pattern
-from tracewell.plans.guard import Registry, guarded
+from tracewell.plans.guard import Registry, guarded, with_prefixes
 from tracewell.sources import program, turtle
 
 TTL = '''@prefix x: <http://e.org/> .
@@ -74,12 +74,29 @@ def test_text_functions(spark):
     assert [tuple(x) for x in r["a"]] == [("unit_1.part.go.a12", 100), ("part.go.a12", 92), ("go.a12", 88), ("a12", 55)]
 
 
+READS = [
+    "SELECT * FROM t WHERE b = 'drop'", "SELECT a FROM t WHERE b LIKE '%insert%' UNION ALL SELECT a FROM t ORDER BY a LIMIT 3", "WITH c AS (SELECT a FROM t), d AS (SELECT * FROM c) SELECT count(*) FROM d",
+    "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r", "SELECT a, row_number() OVER (PARTITION BY b ORDER BY a) AS r FROM t", "SELECT * FROM t x JOIN T y USING (a)",
+    "SELECT * FROM t LATERAL VIEW explode(array(1, 2)) z AS q", "SELECT a FROM t WHERE a = (SELECT max(a) FROM t) AND EXISTS (SELECT 1 FROM t)", "SELECT transform(array(1, 2), x -> x + 1)", "SELECT a FROM t WHERE a IN (SELECT a FROM t) EXCEPT SELECT 1",
+]
+REFUSED = [
+    "DROP TABLE t", "CREATE TABLE z (a INT) USING parquet", "INSERT INTO t VALUES (1, 'x')", "SET x = 1", "SELECT TRANSFORM(a) USING 'cat' AS (x) FROM t", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT system.builtin.reflect('a', 'b')",
+    "SELECT * FROM parquet.`/any/path`", "SELECT * FROM other", "SELECT a FROM t WHERE a IN (SELECT a FROM other)", "SELECT (SELECT max(a) FROM other)", "SELECT 1 FROM t WHERE EXISTS (SELECT 1 FROM t x WHERE x.b = reflect('a', 'b'))",
+    "WITH other AS (SELECT * FROM other) SELECT * FROM other", "WITH c AS (SELECT TRANSFORM(a) USING 'cat' AS (x) FROM t) SELECT * FROM c", "SELECT * FROM t UNION SELECT * FROM csv.`/x`", "SELECT mine(a) FROM t", "SELECT * FROM range(10)", "SELECT * FROM t, LATERAL (SELECT reflect('a', 'b'))", "EXPLAIN SELECT 1", "SHOW TABLES",
+]
+
+
 def test_guard_and_registry(spark):
     t = spark.createDataFrame([(i, "drop") for i in range(300)], "a int, b string")
-    assert guarded(spark, "SELECT * FROM t WHERE b = 'drop'", {"t": t}).count() == 200
-    for bad in ("DROP TABLE t", "CREATE TABLE z (a INT) USING parquet", "INSERT INTO t VALUES (1, 'x')", "SET x = 1"):
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("other")
+    spark.udf.register("mine", lambda x: x)
+    assert guarded(spark, READS[0], {"t": t}).count() == 200
+    for good in READS[1:]:
+        guarded(spark, good, {"t": t}).collect()
+    for bad in REFUSED:
         with pytest.raises(PermissionError):
-            guarded(spark, bad)
+            guarded(spark, bad, {"t": t})
+    assert with_prefixes("SELECT s FROM t WHERE p = 'dp:hasName' AND o <> 'http://x' AND b = 'zz:y'", {"dp": "http://e.org/dp_", "http": "no"}) == "SELECT s FROM t WHERE p = 'http://e.org/dp_hasName' AND o <> 'http://x' AND b = 'zz:y'"
     r = Registry()
     r.register(lambda x: [x], "echo")
     r.register(lambda: 1 / 0, "fail")

@@ -3,36 +3,100 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 MOST_ROWS = 200
 
-
-def is_read_only(spark: SparkSession, query: str) -> bool:
-    """Whether Spark's parser finds nothing but a query: the statement's kind counts, not the words in its literals."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    changes = ("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Replace", "Set", "Add", "Cache", "Uncache", "Load", "Refresh", "Repair", "Recover")
-    nodes = [plan]
-    while nodes:
-        node = nodes.pop()
-        kind = node.getClass().getSimpleName()
-        if kind.startswith(changes) or kind.endswith("Command"):
-            return False
-        nodes += [node.children().apply(i) for i in range(node.children().size())]
-    return True
+# The kinds of parsed plan that read tables and compute, and nothing else. All others are refused.
+READING = frozenset(
+    "Aggregate Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation Pivot Project Sample Sort SubqueryAlias Union UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedOrderBy UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedWith Unpivot WithWindowDefinition".split()
+)
+# Built-in functions that run code of the caller's choice, read files or tell about the machine.
+FORBIDDEN = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user session_user user version".split())
+TABLE_FUNCTIONS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer stack".split())
+
+
+def _seq(s: object) -> Iterator:
+    return (s.apply(i) for i in range(s.size()))
+
+
+def _functions(spark: SparkSession) -> frozenset[str]:
+    """Names of Spark's own functions; what a session registered besides isn't among them."""
+    registry = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.functionSet()
+    found, it = set(), registry.iterator()
+    while it.hasNext():
+        found.add(it.next().funcName().lower())
+    return frozenset(found) - FORBIDDEN
+
+
+def refusals(spark: SparkSession, query: str, views: set[str]) -> list[str]:
+    """What in a statement goes beyond reading the given views with Spark's own functions; empty if nothing does.
+
+    The parsed statement counts, not words in its literals: every plan, every expression and every subquery in it must
+    be of a kind that is known to read only. Relations are the views and the WITH names that are in scope.
+    """
+    known, out = _functions(spark), []
+
+    def expression(e: object, names: set[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            parts = [str(p).lower() for p in _seq(e.nameParts())]
+            if parts[-1] not in known or parts[:-1] not in ([], ["builtin"], ["system", "builtin"]):
+                out.append(f"function {'.'.join(parts)}")
+        if is_instance_of(spark.sparkContext._gateway, e, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            plan(e.plan(), names)
+        for child in _seq(e.children()):
+            expression(child, names)
+
+    def plan(p: object, names: set[str]) -> None:
+        kind = p.getClass().getSimpleName()
+        if kind not in READING:
+            out.append(f"statement {kind}")
+            return
+        if kind == "UnresolvedRelation":
+            parts = [str(x) for x in _seq(p.multipartIdentifier())]
+            if len(parts) != 1 or parts[0].lower() not in names:
+                out.append(f"relation {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            if (name := ".".join(str(x) for x in _seq(p.name())).lower()) not in TABLE_FUNCTIONS:
+                out.append(f"table function {name}")
+        elif kind == "UnresolvedWith":
+            names = set(names)
+            for relation in _seq(p.cteRelations()):  # each sees those before it, and itself where WITH is recursive
+                name = str(relation._1()).lower()
+                plan(relation._2(), names | {name} if p.allowRecursion() else names)
+                names.add(name)
+        for e in _seq(p.expressions()):
+            expression(e, names)
+        for child in _seq(p.children()):
+            plan(child, names)
+
+    plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(query), {v.lower() for v in views})
+    return out
+
+
+def is_read_only(spark: SparkSession, query: str, views: set[str] | None = None) -> bool:
+    return not refusals(spark, query, views or set())
 
 
 def guarded(spark: SparkSession, query: str, views: dict[str, DataFrame] | None = None, most: int = MOST_ROWS, args: dict | None = None) -> DataFrame:
-    """A query's rows, at most most of them, over the given views; anything but a query is refused."""
-    if not is_read_only(spark, query):
-        raise PermissionError("only queries are allowed")
+    """A query's rows, at most most of them, over the given views and nothing else; anything but a query is refused."""
+    if found := refusals(spark, query, set(views or {})):
+        raise PermissionError("only queries over the given views are allowed, not " + ", ".join(found))
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     return spark.sql(query, args=args).limit(most)
 
 
+def with_prefixes(query: str, prefixes: dict[str, str]) -> str:
+    """A query whose literals may use short names (dp:hasName): their prefixes are written out, longer names stay."""
+    return re.sub(r"'([A-Za-z][\w-]*):([^'/][^']*|)'", lambda m: f"'{prefixes[m[1]]}{m[2]}'" if m[1] in prefixes else m[0], query)
+
+
 def _useless(result: object) -> bool:
     """Nothing, an empty table or list, or an error."""
     if isinstance(result, DataFrame):
