@@ -7,8 +7,10 @@ and evaluates all of them in one grouped aggregation over the sources.
 
 A source's budget is its weight times the total. Its documents are dealt into blocks by a hash; passes over all blocks
 are made in full while the budget lasts. The last, partial pass takes whole blocks in an order permuted for that pass
-while they fit, and of the next block its documents, in permuted order, while they fit. Only blocks' sums are put in
-order per source, and only documents per block.
+while they fit, and of the next block its documents, in permuted order, while they fit. Where that pass ends is found
+in two levels: a source's blocks fall into PARTS ranges of the permutation, whose sums are put in order first, and only
+the blocks of the one range that holds the end are put in order themselves. So a source needs one row of numbers, which
+decides for each of its documents; texts are joined with those rows alone.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise, skewed_left_join
 
 SPLIT = 32
 ROUNDS = 6
+PARTS_BITS = 10
+#: Rows of numbers per source are broadcast where all of them have at most so many bytes; else they are joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -95,33 +100,45 @@ def mix_sources(
     name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
     rows = docs.select(F.struct(*columns).alias("doc"), name.alias("__s"), size.alias("__t"), F.xxhash64(F.lit(seed), F.col(key)).alias("__h"))
     counted = materialise(rows.select("__s", "__t", "__h"), "mix-counted")  # no texts: what follows reads numbers only
-    totals = materialise(counted.groupBy(F.col("__s").alias("source")).agg(F.sum("__t").alias("tokens")), "mix-totals")
+    totals = materialise(counted.groupBy(F.col("__s").alias("source")).agg(F.sum("__t").alias("tokens"), F.count("*").alias("rows")), "mix-totals")
     plan = solve_exponent(totals, target_entropy, most_repeats, budget_share)
-    q = F.pow(F.col("tokens") / F.lit(total := float(totals.agg(F.sum("tokens")).first()[0] or 1)), F.lit(plan.exponent))
+    head = totals.agg(F.sum("tokens").alias("tokens"), F.sum(F.octet_length("source") + 100).alias("bytes")).first()
+    small = (head["bytes"] or 0) <= BROADCAST_BYTES
+    q = F.pow(F.col("tokens") / F.lit(total := float(head["tokens"] or 1)), F.lit(plan.exponent))
     norm = totals.agg(F.sum(q).alias("z"), F.min(q / (F.col("tokens") / F.lit(total))).alias("least")).first()
     share = budget_share if budget_share is not None else (norm["z"] or 1.0) / (norm["least"] or 1.0)
     passes = (q / F.lit(norm["z"] or 1.0)) * F.lit(total * share) / F.col("tokens")
     # a hair more, so that a full pass isn't lost to rounding
-    budgets = totals.select(F.col("source").alias("__s"), "tokens", F.floor(passes + 1e-9).cast("int").alias("full"), F.greatest(F.lit(0), F.floor((passes + 1e-9 - F.floor(passes + 1e-9)) * F.col("tokens"))).cast("long").alias("rest"), F.ceil(F.col("tokens") / block_tokens).cast("int").alias("blocks"))
+    budgets = totals.select(F.col("source").alias("__s"), "rows", F.floor(passes + 1e-9).cast("int").alias("full"), F.greatest(F.lit(0), F.floor((passes + 1e-9 - F.floor(passes + 1e-9)) * F.col("tokens"))).cast("long").alias("rest"), F.ceil(F.col("tokens") / block_tokens).cast("int").alias("blocks"))
     budgets = materialise(budgets, "mix-budgets")
-    # sources may be many: their budgets are broadcast by Spark's own size check only
     block = F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.col("blocks")).cast("int").alias("__b")
-    placed = counted.join(budgets, "__s").select("__s", "__t", "__h", block)
-    sums = placed.groupBy("__s", "__b").agg(F.sum("__t").alias("size"))
     turn = F.xxhash64(F.lit(seed + 2), "__s", "__b")
-    before = Window.partitionBy("__s").orderBy(turn, "__b").rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.join(budgets, "__s").withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    cut = materialise(cut.select("__s", "__b", (F.col("rest") - F.col("start")).alias("room"), "size", "full"), "mix-blocks")
+
+    sums = _by_source(counted, budgets, small).select("__s", block, "__t").groupBy("__s", "__b").agg(F.sum("__t").alias("size"))
+    sums = materialise(sums.withColumn("turn", turn).withColumn("part", F.shiftright("turn", 64 - PARTS_BITS)), "mix-blocks")
+    before = Window.partitionBy("__s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy("__s", "part").agg(F.sum("size").alias("part_size")).withColumn("part_start", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
+    ends = parts.join(budgets.select("__s", "rest"), "__s").where("part_start <= rest and rest < part_start + part_size").drop("part_size")
+    before = Window.partitionBy("__s").orderBy("turn", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = sums.join(ends, ["__s", "part"]).withColumn("start", F.col("part_start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    cut = cut.where("start <= rest and rest < start + size").select("__s", F.col("__b").alias("cut_b"), F.col("turn").alias("cut_turn"), (F.col("rest") - F.col("start")).alias("room"))
+    cut = materialise(budgets.drop("rest").join(cut, "__s"), "mix-cuts")
     # of the one block per source that is cut, the documents that fit, in the order of their hashes
-    partial = cut.where("room > 0 and room < size").select("__s", "__b", "room")
-    inside = Window.partitionBy("__s", "__b").orderBy("__h").rangeBetween(Window.unboundedPreceding, 0)
-    edge = placed.join(partial, ["__s", "__b"]).withColumn("sum", F.sum("__t").over(inside)).where("sum <= room").groupBy("__s", "__b").agg(F.max("__h").alias("edge"))
-    limits = cut.join(edge, ["__s", "__b"], "left").select(F.col("__s").alias("s"), F.col("__b").alias("b"), "full", F.when(F.col("room") >= F.col("size"), F.lit((1 << 63) - 1)).otherwise(F.col("edge")).alias("edge"))
-    limits = materialise(limits, "mix-limits")
-    blocks = budgets.select(F.col("__s").alias("s0"), "blocks")
-    out = rows.join(blocks, F.col("__s") == F.col("s0")).withColumn("__b", block)
-    out = out.join(limits, (F.col("__s") == F.col("s")) & (F.col("__b") == F.col("b")))
-    times = F.col("full") + F.when(F.col("__h") <= F.col("edge"), 1).otherwise(0)
+    inside = Window.partitionBy("__s").orderBy("__h").rangeBetween(Window.unboundedPreceding, 0)
+    edge = _by_source(counted, cut, small).where(block == F.col("cut_b")).withColumn("sum", F.sum("__t").over(inside)).where("sum <= room").groupBy("__s").agg(F.max("__h").alias("edge"))
+    limits = materialise(cut.drop("room").join(edge, "__s", "left"), "mix-limits")
+
+    out = _by_source(rows, limits, small).withColumn("__b", block).withColumn("__o", turn)
+    first = (F.col("__o") < F.col("cut_turn")) | (F.col("__o") == F.col("cut_turn")) & ((F.col("__b") < F.col("cut_b")) | (F.col("__b") == F.col("cut_b")) & (F.col("__h") <= F.col("edge")))
+    times = F.col("full") + F.when(first, 1).otherwise(0)
     out = out.where(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    order = F.xxhash64(F.lit(seed + 3), F.col("mix_epoch"), turn, F.col("__h"))
+    drop(counted, totals, budgets, sums, cut)
+    order = F.xxhash64(F.lit(seed + 3), F.col("mix_epoch"), F.col("__o"), F.col("__h"))
     return out.select("doc.*", "mix_epoch", order.alias("mix_order"), F.col("__t").alias("mix_tokens"))
+
+
+def _by_source(rows: DataFrame, numbers: DataFrame, small: bool) -> DataFrame:
+    """rows with the numbers of their source: broadcast where these are proven small, else by a join that splits hot sources."""
+    if small:
+        return rows.join(F.broadcast(numbers.drop("rows")), "__s")
+    return skewed_left_join(rows, numbers, ["__s"], "rows", ["__h"])
