@@ -3,7 +3,8 @@
 A logistic regression on a document's counts gives its own evidence. Grouped sums of that evidence over all documents
 give each host's and each path's mean; the spread between and within groups, by the method of moments, says how far a
 group's mean is shrunk: a path's towards its host's posterior, a host's towards the global mean. The path's posterior
-replaces the global mean as the document's prior.
+replaces the global mean as the document's prior, with a weight from 0 to 1 that labels fit: where sites tell nothing
+about quality, they decide nothing.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialise, share, skewed_left_join
 from .quality_rules import count_texts
 
-#: How far a site can move a document's log odds: a good document of a bad site is not lost by its site alone.
-MOST_SHIFT = 1.5
+#: A group's variance weighs as much as so many documents of the variance within all groups.
+WITHIN = 10
 
 
 def signals() -> dict[str, Column]:
@@ -50,14 +51,18 @@ class Logistic:
         return F.least(F.lit(12.0), F.greatest(F.lit(-12.0), out))
 
 
-def fit_evidence(counted: DataFrame, labels: DataFrame, most: int = 20_000, l2: float = 1e-3) -> Logistic:
-    """A regression on about most labelled documents, by a hash of doc_id: counted(doc_id, counts), labels(doc_id, quality).
+def labelled(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, quality) of about most labels, by a hash of doc_id."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    n = known.count()
+    return known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < F.lit(most / max(n, 1) * (1 << 20)))
+
+
+def fit_evidence(counted: DataFrame, known: DataFrame, l2: float = 1e-3) -> Logistic:
+    """A regression on labelled documents: counted(doc_id, counts), known(doc_id, quality) as labelled() gives it.
 
     With labels of one kind only, every document gets the same evidence.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    n = known.count()
-    known = known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < F.lit(most / max(n, 1) * (1 << 20)))
     rows = counted.join(known, "doc_id").select("quality", *[c.alias(k) for k, c in signals().items()]).collect()
     d = len(signals())
     x, y = np.array([r[1:] for r in sorted(rows)], float).reshape(-1, d), np.array([r[0] for r in sorted(rows)], float)
@@ -76,9 +81,9 @@ def fit_evidence(counted: DataFrame, labels: DataFrame, most: int = 20_000, l2:
     return Logistic(mean.tolist(), scale.tolist(), w[:d].tolist(), float(w[d]))
 
 
-def _shrunk(groups: DataFrame, n: str, mean: str, within: str, prior: Column, spread: float) -> Column:
+def _shrunk(n: str, mean: str, within: str, prior: Column, between: float) -> Column:
     """Posterior mean of a group: prior + B (mean - prior), B = between / (between + within / n)."""
-    b = F.lit(spread) / (F.lit(spread) + F.greatest(F.col(within), F.lit(1e-4)) / F.col(n))
+    b = F.lit(between) / (F.lit(between) + F.col(within) / F.col(n))
     return prior + b * (F.col(mean) - prior)
 
 
@@ -92,17 +97,43 @@ def site_posteriors(evidence: DataFrame, host: str, path: str, p: str = "p") ->
     """(host, path, n, host_mean, path_mean) with posterior means of p, and the global mean. Sums run over all rows."""
     paths = evidence.groupBy(host, path).agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(F.col(p) * F.col(p)).alias("q"))
     paths = materialise(paths, "paths")
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("over")).first()
     mean = (total["s"] or 0.0) / max(total["n"] or 1, 1)
-    var = lambda: F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2)
+    pooled = max(1e-6, (total["over"] or 0.0) / max(total["n"] or 1, 1))
+    # of few documents the own variance says little: one document has none at all
+    var = lambda: (F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n")) + F.lit(WITHIN * pooled)) / (F.col("n") + WITHIN)
     hosts = paths.groupBy(host).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     hosts = hosts.select(F.col(host).alias("__host"), F.col("n").alias("hn"), (F.col("s") / F.col("n")).alias("hm"), var().alias("hv"))
     hosts = materialise(hosts, "hosts")
-    hosts = hosts.withColumn("host_mean", _shrunk(hosts, "hn", "hm", "hv", F.lit(mean), _between(hosts, "hn", "hm", "hv", F.lit(mean))))
+    hosts = hosts.withColumn("host_mean", _shrunk("hn", "hm", "hv", F.lit(mean), _between(hosts, "hn", "hm", "hv", F.lit(mean))))
     paths = paths.select(host, path, "n", (F.col("s") / F.col("n")).alias("pm"), var().alias("pv"))
     paths = materialise(paths.join(hosts.select("__host", "host_mean"), F.col(host) == F.col("__host")).drop("__host"), "sites")
     spread = _between(paths, "n", "pm", "pv", F.col("host_mean"))
-    return paths.select(host, path, "n", "host_mean", _shrunk(paths, "n", "pm", "pv", F.col("host_mean"), spread).alias("path_mean")), mean
+    return paths.select(host, path, "n", "host_mean", _shrunk("n", "pm", "pv", F.col("host_mean"), spread).alias("path_mean")), mean
+
+
+def fit_prior_weight(rows: list[tuple[int, float, float]]) -> float:
+    """The weight w from 0 to 1 that fits P(good) = sigmoid(l + w * shift) to rows (quality, l, shift) best.
+
+    It leans on 1, Bayes' rule, as much as one label would; without labels it is 1.
+    """
+    if not rows:
+        return 1.0
+    y, l, shift = (np.array(c, float) for c in zip(*sorted(rows), strict=True))
+    w = 1.0
+    for _ in range(50):  # Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(l + w * shift, -30, 30)))
+        step = (((y - p) * shift).sum() - (w - 1)) / ((p * (1 - p) * shift * shift).sum() + 1)
+        w = float(np.clip(w + np.clip(step, -0.5, 0.5), 0.0, 1.0))
+        if abs(step) < 1e-9:
+            break
+    return w
+
+
+def site_of(url: Column) -> tuple[Column, Column]:
+    """Host and first path segment of a URL; null where there is none."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    return host, F.nullif(F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/([^/]+)/", 1), F.lit(""))
 
 
 def _logit(p: Column) -> Column:
@@ -110,22 +141,29 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, url: str | None = None, most_labels: int = 20_000, prior_weight: float | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text, and the host and path columns): doc_id, evidence (the document's own
     probability), host_prior, path_prior (posterior means of its sites), quality (the combined probability), kept.
 
-    kept: quality >= threshold, and the text has a word. A null host or path is a site like any other. A null or empty
-    text has no words. Repeated rows count as often as they occur, in the sums too. Labels whose doc_id isn't in docs
-    have no effect. Other columns are ignored; no rows give no rows.
+    kept: quality >= threshold, and the text has a word. url: a column whose host and first path segment stand for
+    the host and path columns. A null host or path is a site like any other. prior_weight: the weight of the sites'
+    part, fitted on labels where none is given. A null or empty text has no words. Repeated rows count as often as they
+    occur, in the sums too. About most_labels labels are used; those whose doc_id isn't in docs have no effect. Other
+    columns are ignored; no rows give no rows.
     """
     null = "\0null"
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit(null)).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit(null)).alias("path"), "text")
+    sites_of = site_of(F.col(url)) if url else (F.col(host).cast("string"), F.col(path).cast("string"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(sites_of[0], F.lit(null)).alias("host"), F.coalesce(sites_of[1], F.lit(null)).alias("path"), "text")
     counted = materialise(count_texts(keyed, ["doc_id", "host", "path"]), "quality-counts")
-    model = fit_evidence(counted, labels)
+    known = materialise(labelled(labels, most_labels), "known")
+    model = fit_evidence(counted, known)
     own = counted.select("doc_id", "host", "path", "n_words", model.logit().alias("l")).withColumn("p", 1 / (1 + F.exp(-F.col("l"))))
     sites, mean = site_posteriors(own, "host", "path")
-    out = skewed_left_join(own, materialise(sites, "priors"), ["host", "path"], "n", ["doc_id"])
+    sites = materialise(sites, "priors")
     shift = _logit(F.col("path_mean")) - _logit(F.lit(mean))
-    shift = F.least(F.lit(MOST_SHIFT), F.greatest(F.lit(-MOST_SHIFT), shift))
-    quality = 1 / (1 + F.exp(-(F.col("l") + shift)))
+    if prior_weight is None:
+        sample = own.join(known, "doc_id").select("quality", "l", "host", "path")
+        prior_weight = fit_prior_weight([tuple(r) for r in sites.join(sample, ["host", "path"]).select("quality", "l", shift).collect()])
+    out = skewed_left_join(own, sites, ["host", "path"], "n", ["doc_id", "n_words"])
+    quality = 1 / (1 + F.exp(-(F.col("l") + F.lit(prior_weight) * shift)))
     return out.select("doc_id", F.col("p").alias("evidence"), F.col("host_mean").alias("host_prior"), F.col("path_mean").alias("path_prior"), quality.alias("quality"), ((quality >= threshold) & (F.col("n_words") > 0)).alias("kept"))
