@@ -3,7 +3,8 @@
 P(grade <= k) = sigmoid(theta_k - w.x), with one weight vector for all thresholds theta_0 < theta_1 < ... Features are
 a text's words and the first letters of its words, so that endings that training never saw still count; x is
 1 + log(occurrences). Features are chosen by their likelihood ratio against the grade being above
-0. The result is the expected grade.
+0. The result is the expected grade, and one decision: a text is toxic where the probability of a grade above 0 reaches
+the model's cut, and its grade is 0 where it isn't.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import arrow_map, chunks, materialise
 
 PREFIXES = (4, 5)
-FEATURES = 2048
 _WORD = regex.compile(r"\p{L}+").findall
 
 
@@ -38,7 +38,7 @@ def features(word: str) -> list[str]:
 class OrdinalModel:
     weights: dict[str, float]
     thresholds: list[float]
-    #: The probability from which a text counts as toxic: what hardly any clean text of the sample reaches.
+    #: The probability of a grade above 0 from which a text counts as toxic; hardly any clean text of the sample has more.
     cut: float = 0.5
     cache: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
@@ -84,14 +84,15 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 2e-4, ste
     return p[:d], p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 6000, levels: int = 3) -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 6000, levels: int = 3, most_features: int = 2048) -> OrdinalModel:
     """A model from docs(doc_id, text) and labels(doc_id, toxic): about most_toxic and most_clean labels of either kind,
     chosen by a hash of doc_id before their texts are looked up, so that the sample can be broadcast and no text is
     shuffled but its own.
 
     toxic may be a grade itself (0 and up to any number of grades). A mere 0/1 is turned into grades: toxic texts are
-    cut into as many levels by the number of their telling words. Null labels and texts are left out. Texts with the same
-    smallest word hashes of three kinds (copies and near copies, mostly) count once. Without both kinds, the model finds nothing toxic.
+    cut into as many levels by the number of their telling words; they say no more than that about severity. Null labels and texts are left out. Texts with the same
+    smallest word hashes of three kinds (copies and near copies, mostly) count once. The most_features most telling
+    features of the sample have weights. Without both kinds, as with an empty table, the model finds nothing toxic.
     """
     labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     size = dict(labelled.groupBy((F.col("y") > 0).alias("t")).count().collect())
@@ -118,7 +119,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, mos
     each = rows.select("y", F.explode(F.array_distinct(F.flatten(grow))).alias("f")).groupBy("f").agg(F.count_if(F.col("y") > 0).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
     term = lambda o, kind: F.when(F.col(o) > 0, 2 * F.col(o) * F.log(F.col(o) / ((F.col("a") + F.col("b")) * (kind / (pos + neg))))).otherwise(F.lit(0.0))
     each = each.where((F.col("a") >= max(3, pos // 150)) & (F.col("a") * neg > 4 * F.col("b") * pos)).withColumn("g2", term("a", pos) + term("b", neg))
-    names = [r["f"] for r in each.where("g2 > 15").orderBy(F.desc("g2"), "f").limit(FEATURES).collect()]
+    names = [r["f"] for r in each.where("g2 > 15").orderBy(F.desc("g2"), "f").limit(most_features).collect()]
     if not names:
         return OrdinalModel({}, [1.0])
     model = OrdinalModel(dict.fromkeys(names, 0.0), [0.0])
@@ -152,7 +153,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, mos
     model.weights = {n: float(w) for n, w in zip(names, weights, strict=True) if abs(w) > 1e-3}
     model.thresholds = [float(t) for t in thresholds]
     clean = 1 / (1 + np.exp(np.clip(thresholds[0] - x[y == 0] @ weights, -500, 500)))
-    model.cut = float(np.clip(1.5 * np.quantile(clean, 0.999), 0.1, 0.8))
+    model.cut = float(np.clip(np.quantile(clean, 0.995), 0.1, 0.5))
     return model
 
 
@@ -160,11 +161,12 @@ SCHEMA = "doc_id long, expected_severity double, grade int, p_toxic double, toxi
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, threshold: float | None = None) -> DataFrame:
-    """One row per row of docs(doc_id, text), as SCHEMA has it: the expected grade, the most probable grade, the
-    probability of a grade above 0, and whether that reaches threshold (the model's own cut where none is given).
+    """One row per row of docs(doc_id, text), as SCHEMA has it: the expected grade, the grade, the probability of a grade
+    above 0, and whether that reaches threshold (the model's own cut where none is given).
 
-    Whole texts count. A null or empty text has no features, and so the grades' base rates. Repeated rows are scored
-    alike; other columns are ignored.
+    grade: 0 where the text isn't toxic, else the most probable one above 0. Whole texts count. A null or empty text has
+    no features, and so the grades' base rates. Repeated rows are scored alike; other columns are ignored; an empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,6 +176,8 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, threshold: float | None
         for batch in chunks(batches, 1024):
             p = np.array([m.above(m.found(t.as_py())) for t in batch.column(1)])
             each = np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= least)], [c.split()[0] for c in SCHEMA.split(", ")])
+            toxic = p[:, 0] >= least
+            grade = np.where(toxic, 1 + each[:, 1:].argmax(1), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(grade), pa.array(p[:, 0]), pa.array(toxic)], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
