@@ -133,11 +133,11 @@ def skewed_left_join(left: DataFrame, right: DataFrame, keys: list[str], count:
     total = right.agg(F.sum(count)).first()[0] or 0
     is_hot = F.col(count) >= max(2, total * HOT_SHARE)
     hot = right.where(is_hot).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("__hot"))
-    rest = right.where(~is_hot).select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], F.lit(0).alias("__s"), F.struct(*values).alias("__rest"))
+    rest = right.where(~is_hot).select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], F.lit(0).alias("__zero"), F.struct(*values).alias("__rest"))
     out = left.join(F.broadcast(hot), [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)], "left")
     salt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*spread), F.lit(100_003))).cast("int")
     out = out.withColumn("__salt", salt)
-    out = out.join(rest.hint("merge"), [*[F.col(k) == F.col(f"__r{i}") for i, k in enumerate(keys)], F.col("__salt") == F.col("__s")], "left")
+    out = out.join(rest.hint("merge"), [*[F.col(k) == F.col(f"__r{i}") for i, k in enumerate(keys)], F.col("__salt") == F.col("__zero")], "left")
     return out.select(*[F.col(c) for c in left.columns], *[F.coalesce(F.col(f"__hot.{v}"), F.col(f"__rest.{v}")).alias(v) for v in values])
 
 
