@@ -297,8 +297,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     all_rows = materialise(_profile(docs, width, percent, frequent), "profiles")
     linkable = F.expr("n > 0 and doc_id is not null")
     full, key = all_rows.where(linkable), ["set_hash", "set_hash2", "n"]
-    # numbers are unique whichever task wrote them, and fixed once the table is written
-    classes = materialise(full.groupBy(*key).agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    # numbers are unique whichever task wrote them, and fixed once the table is written; they rise with doc_id, as the
+    # smallest document of a group is its star: copies mostly come after what they were copied from
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id").withColumn("id", F.monotonically_increasing_id())
+    classes = materialise(classes, "classes")
     reps = materialise(full.join(classes.hint("merge"), [*key, "doc_id"]).dropDuplicates(["id"]), "reps")
 
     keys = reps.select("id", F.explode("stars").alias("k"))
