@@ -120,7 +120,7 @@ def test_tools(spark):
     gvl = spark.createDataFrame([("Gvl", [("Go", "BOOL", "FALSE", "%I0.1")])], "name string, globals array<struct<name:string,type:string,init:string,address:string>>")
     triples = etl.build(spark, rows, gvl).coalesce(1).cache()
     machine = "V_1 = AND(D1, go)\nV_2 = AND(A5, stop)\nV_3 = OR(V_1, V_2)\nV_4 = RS(V_3, x)\nD2 = V_4"
-    program = trace.Program({"Main": trace.Pou("Main", "m(go := Gvl.Go);"), "M": trace.Pou("M", machine, "FBD", inputs={"go": None, "stop": None})}, {"Gvl.Go": "%I0.1"}, {("M", "go"): ("Main", "Gvl.Go")})
+    program = trace.Program({"Main": trace.Pou("Main", "m(go := Gvl.Go);"), "M": trace.Pou("M", machine, "FBD", inputs={"go": None, "stop": None})}, {"Gvl.Go": "%I0.1"}, {("M", "go"): [("Main", "Gvl.Go")]})
     r = registry(Knowledge(triples, program, routines=spark.createDataFrame([("A", ["%I1"], [], []), ("B", ["%I1"], [], [])], "pou_name string, hardware_addresses array<string>, used_variable_names array<string>, called_pou_names array<string>")))
     assert len(r.describe()) == 18
     first = lambda tool, **a: [x[0] for x in r.execute(tool, **a).collect()]
@@ -151,3 +151,17 @@ def test_delayed(spark, tmp_path):
     got = {r["corr"]: r["due"] for r in spark.table("late").collect()}
     at = df.where("corr = 1").agg(F.max(F.unix_millis("ts"))).first()[0]
     assert got == {1: at + 10_000}
+
+
+def test_each_sign_of_an_anchor(spark):
+    from tracewell.operators import diagnosis
+
+    row = dict.fromkeys(("token", "pou", "value", "assignment", "source", "reason", "kind"), "x")
+    alone = {
+        "hardware": {"reason": "at %IX0.1"}, "wired": {"source": "wiring"}, "default": {"assignment": "default 3"}, "end": {"kind": "terminal"}, "global_name": {"token": "GVL_a"}, "running_job": {"token": "jobRunning1"},
+        "method_word": {"token": "Abort"}, "method_call": {"token": "fooMethodCall"}, "job_method": {"kind": "job_method_input"},
+    }
+    rows = [row | change | {"row_no": 0, "want": diagnosis.ANCHOR_POINTS[name]} for name, change in alone.items()]
+    rows += [row | {"reason": "%QW3", "source": "global", "row_no": 99, "want": 180 + 50 + 10}, row | {"row_no": 4, "want": 4}, row | {"token": None, "row_no": None, "want": 0}]
+    got = spark.createDataFrame(rows, ", ".join(f"{k} {'int' if k in ('row_no', 'want') else 'string'}" for k in rows[0])).select("want", diagnosis.anchor_score().alias("score")).collect()
+    assert [r["score"] for r in got] == [r["want"] for r in got]

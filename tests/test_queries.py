@@ -36,5 +36,5 @@ def test_mentions_of_short_names(spark):
     names, docs = ({k: set(re.findall("[A-Za-z_][A-Za-z0-9_]*", t or "")) for k, t in spark.read.parquet(f"{DIR}/{f}.parquet").select(key, "text").collect()} for f, key in (("benchmark", "item_id"), ("documents", "doc_id")))
     known = set().union(*names.values())
     want = {(k, n) for k, ws in docs.items() for n in ws & known}
-    got = [tuple(r) for r in catalogue.queries()["code_mentions_all"](spark, DIR).collect()]
+    got = [tuple(r) for r in catalogue.queries()["code_mentions"](spark, DIR).collect()]
     assert any(len(n) < 9 for _, n in want) and sorted(got) == sorted(want)

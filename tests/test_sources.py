@@ -42,9 +42,14 @@ def test_plcopen_and_build(spark, tmp_path):
     assert {(r["name"], r["kind"], len(r["ports"])) for r in rows.collect()} == {("Main", "program", 2), ("Pump", "functionBlock", 2)}
     rows = spark.createDataFrame([("Main", "program", [("Local", "pump", "Pump"), ("Local", "spare", "BOOL")], "pump(start := Gvl.Go, state => Gvl.Out); IF pump.state THEN x := 1; END_IF", "VAR a : INT := 3; END_VAR"), ("Pump", "functionBlock", [("Input", "start", "BOOL"), ("Output", "state", "BOOL")], "state := start;", "")], "name string, kind string, ports array<struct<direction:string,name:string,type:string>>, code string, header string")
     gvl = spark.createDataFrame([("Gvl", [("Go", "BOOL", "FALSE", None), ("Out", "BOOL", None, "%Q0.1")])], "name string, globals array<struct<name:string,type:string,init:string,address:string>>")
-    g = etl.build(spark, rows, gvl)
-    first = {tuple(r) for r in g.collect()}
-    assert {tuple(r) for r in etl.build(spark, rows.unionByName(rows), gvl).collect()} == first
+    io = spark.createDataFrame([("Gvl.Go", "I 3.5", "Box 1", "<x/>")], "plc_var string, address string, io_path string, raw_xml string")
+    found = [tuple(r) for r in etl.build(spark, rows.unionByName(rows), gvl, io).collect()]
+    first = set(found)
+    assert len(found) == len(first)  # a set, though all rows came twice
+    assert ("POU_Main", "dp:hasConsistencyReport", "Unit: Main | Calls: Pump | UNUSED variables (1): spare", "literal") in first and ("Var_Main_spare", "dp:isUnusedVar", "true", "literal") in first
+    assert ("Var_Main_a", "dp:hasDefault", "3", "literal") in first and ("POU_Pump", "dp:isGEMMAOutputLayer", "true", "literal") in first
+    assert ("POU_Main", "op:readsInCondition", "PortInstance_Main_pump_state", "iri") in first and ("Port_TON_PT", "dp:hasPortType", "TIME", "literal") in first
+    assert ("Var_Gvl__dot__Go", "op:isBoundToChannel", "IOChannel_Box__leerz__1", "iri") in first
     assert ("Call_Main_pump_0", "op:callsPOU", "POU_Pump", "iri") in first
     assert ("POU_Main", "op:usesVariable", "Var_Gvl_Go", "iri") in first
     assert [tuple(r) for r in etl.unused(rows).collect()] == [("Main", "spare")]
@@ -124,3 +129,34 @@ def test_graph_properties(spark):
     with pytest.raises(ValueError):
         pattern.bgp(t, ("?x", "p", "?y"), ("?u", "q", "?v"))
     assert pattern.overwrite(t, spark.createDataFrame([("a", "p", "z", "iri")], t.schema)).where(F.col("s") == "a").count() == 1
+
+
+def test_files_round_trip(spark, tmp_path):
+    from test_logic import EXPORT
+
+    from tracewell.sources import plcopen
+
+    (tmp_path / "a.xml").write_text(EXPORT)
+    rows = {r["name"]: r for r in plcopen.read_exports(spark, str(tmp_path / "a.xml")).collect()}
+    assert rows["Main"]["calls"][0]["inputs"] == {"go": "Gvl.Go", "speed": "localId:9", "idle": None} and rows["Main"]["nodes"]["1"] == "Gvl.Go" and rows["Mover"]["methods"][0]["rpc_enabled"]
+    df = spark.createDataFrame([(1, 'a "b", c'), (2, None), (3, "x\r\ny")], "n int, corrrelID string")
+    program.write_json(df, str(tmp_path / "j"))
+    assert {tuple(r) for r in program.read_json_lines(spark, str(tmp_path / "j"), "n int, corrrelID string").collect()} == {tuple(r) for r in df.collect()}
+    for _ in range(2):
+        program.write_csv(df.repartition(3), str(tmp_path / "c"))
+    files = sorted(p for p in (tmp_path / "c").glob("*.csv"))
+    whole = b"".join(p.read_bytes() for p in files)
+    assert len(files) > 2 and whole.startswith(b"n,corrrelID\r\n") and whole.count(b"corrrelID") == 1 and whole.count(b'"a ""b"", c"') == 2
+    lines = ['<http://e/s> <http://e/p> "a\\"b\\\\n\\u00e9"@en .', "# note", "", '_:b1 <http://e/p> <http://e/o> .', '<http://e/s> <http://e/q> "1"^^<http://e/T> . # end']
+    (tmp_path / "x.nt").write_text("\n".join(lines))
+    got = {tuple(r) for r in turtle.read_ntriples(spark, str(tmp_path / "x.nt")).collect()}
+    assert got == {("http://e/s", "http://e/p", 'a"b\\n\u00e9', "literal", None, "en"), ("_:b1", "http://e/p", "http://e/o", "iri", None, None), ("http://e/s", "http://e/q", "1", "literal", "http://e/T", None)}
+    (tmp_path / "y.nt").write_text("no triple")
+    with pytest.raises(Exception, match="no triple"):
+        turtle.read_ntriples(spark, str(tmp_path / "y.nt")).collect()
+
+
+def test_typed_snapshot(spark):
+    rows = [("c", "a", "bool", "true"), ("c", "b", "uint64", "18446744073709551615"), ("c", "d", "int16", "70000"), ("c", "e", "uint16", "65535"), ("c", "f", "float", "1.5"), ("c", "g", "other", "x")]
+    r = program.typed_snapshot(spark.createDataFrame(rows, "corr string, id string, t string, v string")).first()
+    assert r["bools"] == {"a": True} and int(r["uint64s"]["b"]) == 2**64 - 1 and r["int16s"] == {"d": None} and r["uint16s"] == {"e": 65535} and r["floats"] == {"f": 1.5}

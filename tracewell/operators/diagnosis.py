@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -167,29 +169,45 @@ HARDWARE_MARKS = ("hardware_address", "dp_hashardwareaddress", "%ix", "%iw", "%i
 METHOD_TOKENS = ("hdl", "start", "abort", "checkstate")
 
 
+# Points of what speaks for a row as the root of a chain, and of what speaks against it.
+ANCHOR_POINTS = {
+    "hardware": 180,
+    "wired": 70,
+    "hardware_fact": 50,
+    "default": 30,
+    "end": 25,
+    "global_name": 8,
+    "running_job": -40,
+    "method_word": -80,
+    "method_call": -120,
+    "job_method": -220,
+}
+MOST_ROW_POINTS = 10
+
+
+def anchor_signs() -> dict[str, Column]:
+    """The signs of ANCHOR_POINTS as conditions on a row's token, pou, value, assignment, source, reason and kind."""
+    c = {n: F.lower(F.trim(F.coalesce(F.col(n), F.lit("")))) for n in ("token", "pou", "value", "assignment", "source", "reason", "kind")}
+    anywhere = lambda names, needles: reduce(or_, [c[n].contains(x) for n in names for x in needles])
+    hardware = anywhere(("token", "pou", "value", "assignment", "source", "reason"), HARDWARE_MARKS)
+    return {
+        "job_method": (c["source"] == "job_method") | (c["kind"] == "job_method_input") | c["reason"].contains("job-method input"),
+        "method_call": c["token"].contains("methodcall"),
+        "method_word": c["token"].isin(*METHOD_TOKENS),
+        "running_job": c["token"].contains("jobrunning"),
+        "hardware": hardware,
+        "hardware_fact": hardware & c["source"].isin("global", "metadata"),
+        "wired": c["source"] == "wiring",
+        "end": c["kind"].isin("global_variable", "terminal"),
+        "default": anywhere(("assignment", "source", "reason"), ("default",)),
+        "global_name": c["token"].startswith("gvl_") | c["token"].startswith("opcua."),
+    }
+
+
 def anchor_score(row_no: str = "row_no") -> Column:
     """How likely a row is a chain's root: hardware and wiring first, job methods last, later rows a little more."""
-    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    text = F.concat_ws(" | ", *[low(c) for c in ("token", "pou", "value", "assignment", "source", "reason")])
-    hardware = text.rlike("|".join(re.escape(m) for m in HARDWARE_MARKS))
-    default = low("assignment").contains("default") | low("source").contains("default") | low("reason").contains("default")
-    method = (low("source") == "job_method") | (low("kind") == "job_method_input") | low("reason").contains("job-method input")
-    rules = [
-        (hardware, 180),
-        (hardware & low("source").isin("global", "metadata"), 50),
-        (low("source") == "wiring", 70),
-        (low("kind").isin("global_variable", "terminal"), 25),
-        (default, 30),
-        (low("token").startswith("gvl_") | low("token").startswith("opcua."), 8),
-        (method, -220),
-        (low("token").contains("methodcall"), -120),
-        (low("token").isin(*METHOD_TOKENS), -80),
-        (low("token").contains("jobrunning"), -40),
-    ]
-    score = F.least(F.lit(10), F.coalesce(F.col(row_no), F.lit(0)))
-    for c, n in rules:
-        score = score + F.when(c, n).otherwise(0)
-    return score
+    points = [F.when(sign, ANCHOR_POINTS[name]).otherwise(0) for name, sign in anchor_signs().items()]
+    return reduce(add, points, F.least(F.lit(MOST_ROW_POINTS), F.coalesce(F.col(row_no), F.lit(0))))
 
 
 def root_anchor(rows: DataFrame, key: str) -> DataFrame:

@@ -13,12 +13,51 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..functions.text import escape_iri, identifiers, strip_comments
-
-# The standard function blocks and their ports.
-STANDARD_BLOCKS = {
-    "SR": "S1 RESET > Q1", "RS": "SET RESET1 > Q1", "R_TRIG": "CLK > Q", "F_TRIG": "CLK > Q", "CTU": "CU RESET PV > Q CV", "CTD": "CD LOAD PV > Q CV",
-    "CTUD": "CU CD RESET LOAD PV > QU QD CV", "TP": "IN PT > Q ET", "TON": "IN PT > Q ET", "TOF": "IN PT > Q ET",
-}
+from ..tables import scratch
+
+# The ports of the standard function blocks, as (block, direction, port, type).
+STANDARD_PORTS = [
+    ("SR", "Input", "S1", "BOOL"),
+    ("SR", "Input", "R", "BOOL"),
+    ("SR", "Output", "Q1", "BOOL"),
+    ("RS", "Input", "S", "BOOL"),
+    ("RS", "Input", "R1", "BOOL"),
+    ("RS", "Output", "Q1", "BOOL"),
+    ("R_TRIG", "Input", "CLK", "BOOL"),
+    ("R_TRIG", "Output", "Q", "BOOL"),
+    ("F_TRIG", "Input", "CLK", "BOOL"),
+    ("F_TRIG", "Output", "Q", "BOOL"),
+    ("CTU", "Input", "CU", "BOOL"),
+    ("CTU", "Input", "R", "BOOL"),
+    ("CTU", "Input", "PV", "INT"),
+    ("CTU", "Output", "Q", "BOOL"),
+    ("CTU", "Output", "CV", "INT"),
+    ("CTD", "Input", "CD", "BOOL"),
+    ("CTD", "Input", "LD", "BOOL"),
+    ("CTD", "Input", "PV", "INT"),
+    ("CTD", "Output", "Q", "BOOL"),
+    ("CTD", "Output", "CV", "INT"),
+    ("CTUD", "Input", "CU", "BOOL"),
+    ("CTUD", "Input", "CD", "BOOL"),
+    ("CTUD", "Input", "R", "BOOL"),
+    ("CTUD", "Input", "LD", "BOOL"),
+    ("CTUD", "Input", "PV", "INT"),
+    ("CTUD", "Output", "QU", "BOOL"),
+    ("CTUD", "Output", "QD", "BOOL"),
+    ("CTUD", "Output", "CV", "INT"),
+    ("TP", "Input", "IN", "BOOL"),
+    ("TP", "Input", "PT", "TIME"),
+    ("TP", "Output", "Q", "BOOL"),
+    ("TP", "Output", "ET", "TIME"),
+    ("TON", "Input", "IN", "BOOL"),
+    ("TON", "Input", "PT", "TIME"),
+    ("TON", "Output", "Q", "BOOL"),
+    ("TON", "Output", "ET", "TIME"),
+    ("TOF", "Input", "IN", "BOOL"),
+    ("TOF", "Input", "PT", "TIME"),
+    ("TOF", "Output", "Q", "BOOL"),
+    ("TOF", "Output", "ET", "TIME"),
+]
 
 
 def key(kind: str, *parts: str | Column) -> Column:
@@ -39,10 +78,15 @@ def _all(*parts: DataFrame) -> DataFrame:
 
 def standard_blocks(spark: SparkSession) -> DataFrame:
     """Triples of the standard function blocks and their ports."""
-    rows = [(b, d, n) for b, text in STANDARD_BLOCKS.items() for d, part in zip(("Input", "Output"), text.split(" > "), strict=True) for n in part.split()]
-    df = spark.createDataFrame(rows, "block string, direction string, port string")
+    df = spark.createDataFrame(STANDARD_PORTS, "block string, direction string, port string, type string")
     block, port = key("FBType", "block"), key("Port", "block", "port")
-    return _all(_rows(df, block, "rdf:type", F.lit("StandardFBType")), _rows(df, block, "op:hasPort", port), _rows(df, port, "dp:hasPortName", F.col("port"), "literal"), _rows(df, port, "dp:hasPortDirection", F.col("direction"), "literal"))
+    return _all(
+        _rows(df, block, "rdf:type", F.lit("StandardFBType")),
+        _rows(df, block, "op:hasPort", port),
+        _rows(df, port, "dp:hasPortName", F.col("port"), "literal"),
+        _rows(df, port, "dp:hasPortDirection", F.col("direction"), "literal"),
+        _rows(df, port, "dp:hasPortType", F.col("type"), "literal"),
+    )
 
 
 def programs(rows: DataFrame) -> DataFrame:
@@ -58,6 +102,7 @@ def programs(rows: DataFrame) -> DataFrame:
         _rows(public, pou, "op:hasPort", port),
         _rows(public, port, "dp:hasPortName", F.col("port"), "literal"),
         _rows(public, port, "dp:hasPortDirection", F.col("direction"), "literal"),
+        _rows(public, port, "dp:hasPortType", F.col("type"), "literal"),
         _rows(local, pou, "op:hasVariable", var),
         _rows(local, var, "dp:hasVariableName", F.col("port"), "literal"),
         _rows(local, var, "dp:hasVariableType", F.col("type"), "literal"),
@@ -99,7 +144,8 @@ def calls(rows: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def defaults(rows: DataFrame) -> DataFrame:
-    """(pou, name, type, init) from declaration headers."""
+    """(pou, name, type, init) from declaration headers; rows without such a column have none."""
+    rows = rows if "header" in rows.columns else rows.withColumn("header", F.lit(None).cast("string"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -109,6 +155,69 @@ def defaults(rows: DataFrame) -> DataFrame:
     return rows.select("name", "header").mapInPandas(run, "pou string, name string, type string, init string")
 
 
+def default_triples(rows: DataFrame, found: DataFrame, create: bool = False) -> DataFrame:
+    """Default values of defaults(), at the unit's port or variable of that name (case ignored); with create also at
+    variables that only the header declares, which it adds."""
+    d = found.where("init is not null").withColumn("k", F.lower("name"))
+    declared = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.lower("x.name").alias("k"), F.col("x.name").alias("own"), F.col("x.direction").alias("direction"))
+    hit = d.join(declared, ["pou", "k"], "left")
+    subject = F.when(F.col("direction") == "Local", key("Var", "pou", "own")).when(F.col("direction").isNotNull(), key("Port", "pou", "own"))
+    if not create:
+        return _all(_rows(hit, subject, "dp:hasDefault", F.col("init"), "literal"))
+    new = hit.where("direction is null")
+    var = key("Var", "pou", "name")
+    return _all(_rows(hit, F.coalesce(subject, var), "dp:hasDefault", F.col("init"), "literal"), _rows(new, key("POU", "pou"), "op:hasVariable", var), _rows(new, var, "dp:hasVariableName", F.col("name"), "literal"), _rows(new, var, "dp:hasVariableType", F.col("type"), "literal"))
+
+
+def default_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """One row (n_set, n_created, n_missing): defaults of declared names, of names that only headers have, and names without one."""
+    declared = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.lower("x.name").alias("k"), F.lit(True).alias("known"))
+    both = found.withColumn("k", F.lower("name")).join(declared, ["pou", "k"], "left")
+    given = F.col("init").isNotNull()
+    return both.agg(F.count_if(given & F.col("known").isNotNull()).alias("n_set"), F.count_if(given & F.col("known").isNull()).alias("n_created"), F.count_if(~given).alias("n_missing"))
+
+
+def gemma_layers(rows: DataFrame) -> DataFrame:
+    """(pou, n_state_out, n_state_in, n_other_out, n_assigned, is_modes, is_outputs) of units that aren't programs.
+
+    A state is a letter A, F or D and digits. A unit with three states or more among its outputs, or named so, is an
+    operating-modes machine. One named so, or with three states as inputs and three other outputs, or whose code has
+    three or more assignments to outputs, controls outputs.
+    """
+    units = rows.where("kind <> 'program'")
+    ports = units.select(F.col("name").alias("pou"), F.explode_outer("ports").alias("x")).select("pou", F.col("x.direction").alias("direction"), F.col("x.name").alias("port"))
+    state = F.trim("port").rlike(r"(?i)^[AFD]\d+$")
+    is_out, is_in = F.col("direction") == "Output", F.col("direction") == "Input"
+    counted = ports.groupBy("pou").agg(F.count_if(is_out & state).alias("n_state_out"), F.count_if(is_in & state).alias("n_state_in"), F.count_if(is_out & ~state).alias("n_other_out"), F.collect_set(F.when(is_out, F.lower("port"))).alias("outs"))
+    targets = F.regexp_extract_all(F.coalesce("code", F.lit("")), F.lit(r"(?m)^\s*([A-Za-z_][A-Za-z0-9_.]*)\s*:="), F.lit(1))
+    found = units.select(F.col("name").alias("pou"), F.transform(targets, lambda t: F.lower(F.substring_index(t, ".", -1))).alias("targets")).join(counted, "pou")
+    found = found.withColumn("n_assigned", F.expr("size(filter(targets, t -> array_contains(outs, t)))").cast("long"))
+    named = lambda n: F.lower("pou").contains(n)
+    modes = named("operatingmodes") | (F.col("n_state_out") >= 3)
+    outputs = named("controlofoutputs") | ((F.col("n_state_in") >= 3) & (F.col("n_other_out") >= 3)) | (F.col("n_assigned") >= 3)
+    return found.select("pou", "n_state_out", "n_state_in", "n_other_out", "n_assigned", modes.alias("is_modes"), outputs.alias("is_outputs"))
+
+
+def consistency_reports(rows: DataFrame, called: DataFrame, unused_names: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
+    """(pou, report): name, description, inputs and outputs with types, called(caller, callee) units, and unused(pou, name)
+    variables and ports with their number; parts that are empty are left out, lists are sorted."""
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
+    ports = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.col("x.direction").alias("direction"), F.col("x.name").alias("port"), F.concat("x.name", F.lit(" ("), F.coalesce("x.type", F.lit("")), F.lit(")")).alias("info"))
+    faces = ports.groupBy("pou").agg(listed(F.when(F.col("direction") == "Input", F.col("info"))).alias("ins"), listed(F.when(F.col("direction") == "Output", F.col("info"))).alias("outs"))
+    calls_ = called.groupBy(F.col("caller").alias("pou")).agg(listed("callee").alias("calls"))
+    idle = unused_names.join(ports.select("pou", F.col("port").alias("name"), "direction"), ["pou", "name"]).distinct()
+    local = F.col("direction") == "Local"
+    idle = idle.groupBy("pou").agg(*[e for n, c in (("vars", local), ("ports", ~local)) for e in (F.count_if(c).alias(f"n_{n}"), listed(F.when(c, F.col("name"))).alias(n))])
+    out = rows.select(F.col("name").alias("pou")).distinct()
+    for part in (faces, calls_, idle):
+        out = out.join(part, "pou", "left")
+    out = out.join(descriptions.select("pou", "description"), "pou", "left") if descriptions is not None else out.withColumn("description", F.lit(None).cast("string"))
+    part = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(label + ": "), F.col(c)))
+    counted = lambda label, n, c: F.when(F.col(n) > 0, F.concat(F.lit(label + " ("), F.col(n).cast("string"), F.lit("): "), F.col(c)))
+    report = F.concat_ws(" | ", F.concat(F.lit("Unit: "), F.col("pou")), part("Description", "description"), part("Inputs", "ins"), part("Outputs", "outs"), part("Calls", "calls"), counted("UNUSED variables", "n_vars", "vars"), counted("UNUSED ports", "n_ports", "ports"))
+    return out.select("pou", report.alias("report"))
+
+
 def unused(rows: DataFrame) -> DataFrame:
     """(pou, name) of declared names that the unit's code never mentions; parts of dotted names count as mentions."""
     used = rows.select(F.col("name").alias("pou"), F.explode(identifiers(strip_comments("code"))).alias("t")).select("pou", F.lower("t").alias("t")).distinct()
@@ -133,13 +242,73 @@ def condition_ports(rows: DataFrame) -> DataFrame:
     return parts.withColumn("k", F.lower("instance")).join(own, ["name", "k"], "left_semi").select(F.col("name").alias("pou"), "instance", "port")
 
 
-def output_layer(rows: DataFrame, bindings: DataFrame, hardware: DataFrame) -> DataFrame:
-    """Units called by a program whose call writes a hardware variable; hardware(name)."""
+def output_layer(rows: DataFrame, bindings: DataFrame, hardware: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """(pou) of units called by a program whose call writes a hardware(name) variable, and of those whose instance's port a
+    program's flow_edges() row moves to one, where some program calls the unit."""
     programs_ = rows.where("kind = 'program'").select(F.col("name").alias("caller"))
-    written = bindings.where("direction = 'Output'").join(programs_, "caller", "left_semi").withColumn("k", F.lower("expression"))
-    hits = written.join(hardware.select(F.lower("name").alias("k")), "k", "left_semi").select("caller", F.lower("instance").alias("i")).distinct()
-    types = rows.select(F.col("name").alias("caller"), F.explode("ports").alias("x")).select("caller", F.lower("x.name").alias("i"), F.col("x.type").alias("pou"))
-    return hits.join(types, ["caller", "i"]).select("pou").distinct()
+    types = rows.select(F.col("name").alias("caller"), F.explode("ports").alias("x")).where("x.direction = 'Local'").select("caller", F.lower("x.name").alias("i"), F.col("x.type").alias("pou"))
+    wired = hardware.select(F.lower("name").alias("k")).distinct()
+    in_program = bindings.join(programs_, "caller", "left_semi")
+    written = in_program.where("direction = 'Output'").select("caller", F.lower("instance").alias("i"), F.lower("expression").alias("k"))
+    hits = written.join(wired, "k", "left_semi").join(types, ["caller", "i"]).select("pou")
+    if flows is not None:
+        called = in_program.select("caller", F.lower("instance").alias("i")).join(types, ["caller", "i"]).select("pou").distinct()
+        moved = flows.select(F.col("program").alias("caller"), F.lower("instance").alias("i"), F.lower("variable").alias("k")).join(wired, "k", "left_semi")
+        hits = hits.unionByName(moved.join(types, ["caller", "i"]).select("pou").join(called, "pou", "left_semi"))
+    return hits.distinct()
+
+
+# What a simulated variable takes over from the real one.
+HARDWARE_FACTS = ("dp:hasHardwareAddress", "dp:ioRawXml", "op:isBoundToChannel")
+
+
+def simulation_mirror(triples: DataFrame, lists: DataFrame, suffix: str = "_Sim", control: tuple[str, ...] = ("bSimMode",)) -> tuple[DataFrame, DataFrame]:
+    """The triples with the hardware facts of X.v at X_Sim.v, and a report (name, status) of each variable of a list X_Sim.
+
+    lists(gvl, name). What the target had is replaced. status: copied, skipped (a control variable), missing source,
+    missing target, or source without data (whose target then has none either).
+    """
+    full = triples.where("p = 'dp:hasVariableName' and o like '%.%'").groupBy(F.col("o").alias("name")).agg(F.min("s").alias("var"))
+    sims = lists.where(F.col("gvl").endswith(suffix)).select(F.concat_ws(".", "gvl", "name").alias("name"), F.concat_ws(".", F.expr(f"left(gvl, length(gvl) - {len(suffix)})"), F.col("name")).alias("source_name"), F.col("name").isin(*control).alias("control")).distinct()
+    pairs = sims.join(full.select(F.col("name").alias("source_name"), F.col("var").alias("source")), "source_name", "left").join(full.select("name", F.col("var").alias("target")), "name", "left")
+    facts = triples.where(F.col("p").isin(*HARDWARE_FACTS))
+    has = facts.select(F.col("s").alias("source")).distinct().withColumn("has", F.lit(True))
+    status = F.when(F.col("control"), "skipped").when(F.col("source").isNull(), "missing source").when(F.col("target").isNull(), "missing target").when(F.col("has").isNull(), "source without data").otherwise("copied")
+    judged = pairs.join(has, "source", "left").withColumn("status", status)
+    replaced = judged.where("status in ('copied', 'source without data')")
+    kept = triples.join(replaced.select(F.col("target").alias("s"), F.explode(F.array(*map(F.lit, HARDWARE_FACTS))).alias("p")), ["s", "p"], "left_anti")
+    new = facts.withColumnRenamed("s", "source").join(replaced.select("source", "target"), "source").select(F.col("target").alias("s"), "p", "o", "o_kind")
+    return _all(kept.select("s", "p", "o", "o_kind"), new), judged.select("name", "status")
+
+
+def skill_callers(triples: DataFrame, skill: str) -> DataFrame:
+    """(fb_type, instances array<struct<variable, caller>>): units whose code names 'skill' in quotes, their instances'
+    variables and the units that use those; units without instances have an empty list."""
+    t = lambda p, a, b: triples.where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
+    names = t("dp:hasPOUName", "pou", "fb_type")
+    units = t("dp:hasCode", "pou", "code").where(F.col("code").contains(f"'{skill}'")).select("pou").distinct().join(names, "pou")
+    used = t("op:isInstanceOfFBType", "instance", "pou").join(t("op:representsFBInstance", "var", "instance"), "instance").join(t("dp:hasVariableName", "var", "variable"), "var").join(t("op:usesVariable", "user", "var"), "var").join(names.toDF("user", "caller"), "user")
+    listed = units.join(used.select("pou", "variable", "caller").distinct(), "pou", "left").groupBy("fb_type").agg(F.array_sort(F.collect_set(F.when(F.col("variable").isNotNull(), F.struct("variable", "caller")))).alias("instances"))
+    return listed
+
+
+def hypothesis_triples(triples: DataFrame, suggestions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """triples with a hypothesis for each of suggestions(function_id, source, confidence, description, parent, names
+    array, evidence array, pous array, skills array), its earlier values replaced; and (function_id, created)."""
+    h = F.concat(F.lit("Hyp_"), F.col("function_id"))
+    each = lambda c: suggestions.select("function_id", F.explode(c).alias("x"))
+    lists = {"dp:hasRuntimeSkillName": ("names", "literal"), "dp:hasEvidenceSnippet": ("evidence", "literal"), "op:hasHypothesisAboutPOU": ("pous", "iri"), "op:hasHypothesisAboutSkill": ("skills", "iri")}
+    parts = [_rows(suggestions, h, "rdf:type", F.lit("SkillImplementationHypothesis")), _rows(suggestions, h, "rdfs:label", F.concat(F.lit("Hyp: "), "function_id"), "literal")]
+    parts += [_rows(suggestions, h, p, F.col(c), "literal") for p, c in (("dp:hasSuggestedFunctionID", "function_id"), ("dp:hasHypothesisSource", "source"), ("dp:hasConfidence", "confidence"), ("dp:hasHypothesisDescription", "description"), ("dp:hasSuggestedParentFunctionID", "parent"))]
+    parts += [_rows(each(c), h, p, F.col("x"), kind) for p, (c, kind) in lists.items()]
+    new = _all(*parts)
+    # a parent that isn't given keeps the one there is; all other values of the hypothesis are replaced
+    replaced = suggestions.select(h.alias("s"), F.col("parent").isNull().alias("keep_parent")).distinct()
+    old = triples.select("s", "p", "o", "o_kind").join(replaced, "s", "left")
+    stays = F.col("keep_parent").isNull() | ((F.col("p") == "dp:hasSuggestedParentFunctionID") & F.col("keep_parent"))
+    known = triples.where("p = 'rdf:type' and o = 'SkillImplementationHypothesis'").select("s").distinct()
+    created = suggestions.select("function_id", h.alias("s")).distinct().join(known.withColumn("known", F.lit(True)), "s", "left").select("function_id", F.col("known").isNull().alias("created"))
+    return _all(old.where(stays).drop("keep_parent"), new), created
 
 
 def access_flags(attributes: DataFrame) -> DataFrame:
@@ -238,11 +407,44 @@ def failures(events: DataFrame) -> DataFrame:
     return _all(_rows(events, f, "rdf:type", F.when(F.col("failure_mode").isNotNull(), "OccurredKnownFailure").otherwise("OccurredUnknownFailure")), _rows(events, f, "op:isInstanceOf", F.col("failure_mode")), _rows(events, f, "dp:hasSummary", F.col("summary"), "literal"), _rows(acts, F.concat(F.lit("Failure_"), "corr"), "op:executedAction", F.col("a")))
 
 
-def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None) -> DataFrame:
-    """The program graph: all steps in order; running it twice on its inputs gives the same set."""
-    bindings = call_bindings(rows)
-    parts = [standard_blocks(spark), programs(rows), calls(rows, bindings)]
+def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io: DataFrame | None = None, create_defaults: bool = True) -> DataFrame:
+    """The program graph from unit rows, global variable lists and IO entries (plc_var, address, io_path, raw_xml).
+
+    In order: standard blocks, units, calls, globals and their uses, defaults, IO mapping with simulated lists, flow
+    edges and ports that conditions read, unused names, the layers of states and outputs, and reports. Running it twice
+    on its inputs gives the same set. The graph is a table in the folder that all executors share.
+    """
+    bindings, found = scratch(call_bindings(rows), "bindings"), defaults(rows)
+    flows, idle = scratch(flow_edges(rows), "flows"), scratch(unused(rows), "unused")
+    parts = [standard_blocks(spark), programs(rows), calls(rows, bindings), default_triples(rows, found, create_defaults), flow_triples(flows)]
+    read = condition_ports(rows)
+    at = key("PortInstance", "pou", "instance", "port")
+    parts += [_rows(read, at, "rdf:type", F.lit("PortInstance")), _rows(read, at, "dp:hasExpressionText", F.concat_ws(".", "instance", "port"), "literal"), _rows(read, key("POU", "pou"), "op:readsInCondition", at)]
     if gvl is not None:
         names = gvl.select(F.col("name").alias("gvl"), F.explode("globals").alias("x")).select("gvl", F.col("x.name").alias("name"))
         parts += [globals_(gvl), global_uses(rows, names)]
-    return _all(*parts)
+    if io is not None:
+        parts.append(io_mapping(io))
+    graph = scratch(_all(*parts), "graph")
+    if gvl is not None:
+        graph = scratch(simulation_mirror(graph, names)[0], "graph")
+    wired = graph.where("p = 'dp:hasHardwareAddress'").select("s").join(graph.where("p = 'dp:hasVariableName'").select("s", F.col("o").alias("name")), "s").select("name").distinct()
+    kinds = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.col("x.name").alias("name"), F.col("x.direction").alias("direction"))
+    idle_kinds = idle.join(kinds, ["pou", "name"])
+    layers = gemma_layers(rows)
+    called = calls_of(rows, bindings)
+    true = F.lit("true")
+    more = [
+        _rows(idle_kinds.where("direction = 'Local'"), key("Var", "pou", "name"), "dp:isUnusedVar", true, "literal"),
+        _rows(idle_kinds.where("direction <> 'Local'"), key("Port", "pou", "name"), "dp:isUnusedPort", true, "literal"),
+        _rows(layers.where("is_modes"), key("POU", "pou"), "dp:isGEMMAStateMachine", true, "literal"),
+        _rows(output_layer(rows, bindings, wired, flows), key("POU", "pou"), "dp:isGEMMAOutputLayer", true, "literal"),
+        _rows(consistency_reports(rows, called, idle), key("POU", "pou"), "dp:hasConsistencyReport", F.col("report"), "literal"),
+    ]
+    return scratch(_all(graph, *more), "graph")
+
+
+def calls_of(rows: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(caller, callee) names, once each: the declared types of the instances that code calls."""
+    instances = rows.select(F.col("name").alias("caller"), F.explode("ports").alias("x")).where("x.direction = 'Local'").select("caller", F.lower("x.name").alias("k"), F.col("x.type").alias("callee"))
+    return bindings.select("caller", F.lower("instance").alias("k")).join(instances, ["caller", "k"]).select("caller", "callee").distinct()

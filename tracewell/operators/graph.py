@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import scratch
@@ -62,7 +62,8 @@ def investigate(seeds: list[tuple[str, str, float]], neighbours, max_iters: int
 
     neighbours(kind, node) gives (kind, node, priority, relation). The node of highest priority is expanded next, of
     equal ones the one that came in first; a node is visited once. Returns visited nodes in order, edges and stats.
-    The order is inherently sequential, so this loop runs on the driver, over at most max_nodes nodes.
+    The order is inherently sequential, so this loop runs on the driver, over at most max_nodes nodes; prefetched() gives
+    neighbours without a job for each node.
     """
     heap: list[tuple[float, int, str, str]] = []
     known: set[tuple[str, str]] = set()
@@ -88,18 +89,49 @@ def investigate(seeds: list[tuple[str, str, float]], neighbours, max_iters: int
     return {"visited": visited, "edges": edges, "stats": {"iterations": iters, "known": len(known), "left": len(heap), "truncated": bool(heap)}}
 
 
+def prefetched(edges: DataFrame, seeds: list[tuple[str, str]], max_iters: int, most: int):
+    """A neighbours function for investigate(), from edges(kind, node, to_kind, to, priority, relation): a job fetches the
+    edges of all nodes that are known but not fetched yet, when one of them is asked for.
+
+    A node's edges come by priority (highest first), kind and name; beyond most of them a last entry of kind "cut", with
+    the number of edges that are left out, says so.
+    """
+    known, held = set(seeds), {}
+    mark = lambda k, n: f"{k}\x1f{n}"
+    order = Window.partitionBy("kind", "node").orderBy(F.desc("priority"), "to_kind", "to", "relation")
+    size = F.count("*").over(Window.partitionBy("kind", "node"))
+
+    def neighbours(kind: str, node: str) -> list[tuple[str, str, float, str]]:
+        if (kind, node) not in held:
+            known.add((kind, node))
+            new = sorted(x for x in known if x not in held and x[0] != "cut")
+            wanted = edges.where(F.concat_ws("\x1f", "kind", "node").isin([mark(*x) for x in new]))
+            rows = wanted.withColumn("place", F.row_number().over(order)).withColumn("size", size).where(F.col("place") <= most).orderBy("kind", "node", "place").collect()
+            held.update({x: [] for x in new})
+            for r in rows:
+                held[r["kind"], r["node"]].append((r["to_kind"], r["to"], float(r["priority"]), r["relation"]))
+                known.add((r["to_kind"], r["to"]))
+                if r["place"] == most < r["size"]:
+                    held[r["kind"], r["node"]].append(("cut", f"{r['kind']}:{r['node']}", float("-inf"), f"{r['size'] - most} more"))
+        return held.get((kind, node), [])
+
+    return neighbours
+
+
 def typed_closure(transitions: DataFrame, starts: DataFrame, limit: int = 3000) -> DataFrame:
     """(start, kind, node): nodes reached over transitions(src_kind, src, dst_kind, dst) from starts(start, kind, node).
 
     A state is a kind and a node. More than limit states of one start raise an error rather than be cut.
     """
-    edges = transitions.select(F.concat_ws("|", "src_kind", "src").alias("a"), F.concat_ws("|", "dst_kind", "dst").alias("b"))
+    edges = transitions.select(F.concat_ws("|", "src_kind", "src").alias("a"), F.concat_ws("|", "dst_kind", "dst").alias("b")).distinct()
     begin = starts.select("start", F.concat_ws("|", "kind", "node").alias("state"))
     found = frontier = scratch(begin.distinct(), "states")
-    while not frontier.isEmpty():
+    while True:  # each round writes its new states only
         step = frontier.join(edges, F.col("state") == F.col("a")).select("start", F.col("b").alias("state")).distinct()
         frontier = scratch(step.join(found, ["start", "state"], "left_anti"), "states")
-        found = scratch(found.unionByName(frontier), "states")
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
         if not found.groupBy("start").count().where(F.col("count") > limit).isEmpty():
             raise RuntimeError(f"a start reaches more than {limit} states")
     parts = F.split("state", r"\|", 2)

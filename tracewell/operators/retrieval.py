@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import aliases
+from ..functions.text import aliases, bool_text, node_id
 
 
 def routine_similarity(sets: DataFrame, key: str, target: object, weights: dict[str, float], k: int) -> DataFrame:
@@ -22,27 +24,40 @@ def routine_similarity(sets: DataFrame, key: str, target: object, weights: dict[
     return rows.select(key, F.round(score, 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def routine_sets(reached: DataFrame, facts: DataFrame, root: str, unit: str, kinds: list[str]) -> DataFrame:
+    """Per root of reached(root, unit) the sorted sets of units and of each kind of the facts(unit, kinds...) in them."""
+    rows = reached.select(root, unit).join(facts.select(unit, *kinds), unit)
+    return rows.groupBy(root).agg(F.sort_array(F.collect_set(unit)).alias("reached"), *[F.sort_array(F.collect_set(k)).alias(k) for k in kinds])
+
+
 def term_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:
     tokens = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([a-z0-9_]+)"), F.lit(1)))
     return docs.select(key, tokens.alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def lexical_top(docs: DataFrame, key: str, name: str, text: str, query: list[str], k: int) -> DataFrame:
-    """The k documents with the best sum of min(tf, 5), times 4 for tokens in the document's name; ties by overlap,
-    length and key. The score gets 6 if all query tokens occur in a row."""
-    q = sorted(set(t.lower() for t in query))
-    rows = docs.select(key, F.lower(F.col(name)).alias("__n"), F.lower(F.col(text)).alias("__t"), F.length(text).alias("len"))
-    # tokens of the text that the query has: no explode of whole texts, no shuffle before the top k
-    words = F.filter(F.regexp_extract_all("__t", F.lit(r"([a-z0-9_]+)"), F.lit(1)), lambda w: w.isin(q))
+TOKEN = r"([a-z_][a-z0-9_.]*|\d+)"
+
+
+def lexical_top(docs: DataFrame, key: str, name: str, text: str, question: str, k: int, kind: str | None = None) -> DataFrame:
+    """The k documents with the best sum over the question's tokens of min(tf, 5), times 4 for tokens within the name.
+
+    tf counts a document's name and text. 6 more if the question's distinct tokens stand in the text in a row (white space
+    collapsed), 2.5 more for kinds that begin with pou where the name has a token. Ties by overlap, length and key.
+    """
+    q = list(dict.fromkeys(re.findall(TOKEN, question.lower())))
+    rows = docs.select(key, F.lower(F.coalesce(F.col(name), F.lit(""))).alias("__n"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__t"), F.length(text).alias("len"), (F.lower(F.col(kind)).startswith("pou") if kind else F.lit(False)).alias("__pou"))
+    # tokens of the text that the question has: no explode of whole texts, no shuffle before the top k
+    words = F.filter(F.regexp_extract_all(F.concat_ws(" ", "__n", "__t"), F.lit(TOKEN), F.lit(1)), lambda w: w.isin(q))
     rows = rows.withColumn("__w", words)
     tf = lambda t: F.size(F.filter("__w", lambda w: w == t))
-    score, hits = F.lit(0.0), F.lit(0)
+    score, hits, named = F.lit(0.0), F.lit(0), F.lit(False)
     for t in q:
-        score = score + F.least(tf(t), F.lit(5)) * F.when(F.col("__n").contains(t), 4.0).otherwise(1.0)
+        inside = F.col("__n").contains(t)
+        score = score + F.least(tf(t), F.lit(5)) * F.when(inside, 4.0).otherwise(1.0)
         hits = hits + F.when(tf(t) > 0, 1).otherwise(0)
-    joined = " ".join(dict.fromkeys(t.lower() for t in query))
-    score = score + F.when(F.col("__t").contains(joined), 6.0).otherwise(0.0)
-    return rows.select(key, score.alias("score"), hits.alias("overlap"), "len").where("overlap > 0").orderBy(F.desc("score"), F.desc("overlap"), F.desc("len"), key).limit(k)
+        named = named | (inside & (tf(t) > 0))
+    score = score + F.when(F.regexp_replace("__t", r"\s+", " ").contains(" ".join(q)), 6.0).otherwise(0.0) + F.when(F.col("__pou") & named, 2.5).otherwise(0.0)
+    return rows.select(key, F.round(score, 3).alias("score"), hits.alias("overlap"), "len").where("overlap > 0").orderBy(F.desc("score"), F.desc("overlap"), F.desc("len"), key).limit(k)
 
 
 def vector_top(vectors: DataFrame, key: str, vector: str, target: object, k: int) -> DataFrame:
@@ -62,11 +77,22 @@ def chunk_windows(docs: DataFrame, key: str, text: str, size: int, overlap: int,
     return rows.where((F.length("body") >= least) | (F.col("chunk") == 0)).select(key, "chunk", "start", "body")
 
 
-def alias_best(tokens: DataFrame, token: str, symbols: DataFrame, symbol: str) -> DataFrame:
-    """For each token the symbol with the best common alias: equal aliases are joined, scores added up; ties by name."""
-    left = tokens.select(token, F.explode(aliases(token)).alias("a")).select(token, F.col("a.alias").alias("alias"), F.col("a.score").alias("ls"))
-    right = symbols.select(symbol, F.explode(aliases(symbol)).alias("a")).select(symbol, F.col("a.alias").alias("alias"), F.col("a.score").alias("rs"))
-    best = left.join(right, "alias").groupBy(token, symbol).agg(F.max(F.least("ls", "rs")).alias("score"))
+# What a symbol scores besides the aliases' own points.
+SAME_ID, SAME_TEXT, OF_VARS, IS_BOOL = 25, 20, 8, 6
+
+
+def alias_best(tokens: DataFrame, token: str, symbols: DataFrame, symbol: str, source: str | None = None, value: str | None = None) -> DataFrame:
+    """For each token the symbol with the best sum of both sides' points for a common alias: equal aliases are joined.
+
+    More for equal ids, for equal texts, for symbols whose source is vars, and for values that are TRUE or FALSE. Ties
+    by symbol.
+    """
+    vars_ = F.coalesce(F.col(source) == "vars", F.lit(False)) if source else F.lit(False)
+    is_bool = bool_text(value).isNotNull() if value else F.lit(False)
+    left = tokens.select(token, F.lower(node_id(token)).alias("l_id"), F.explode(aliases(token)).alias("a")).select(token, "l_id", F.col("a.alias").alias("alias"), F.col("a.score").alias("ls"))
+    right = symbols.select(symbol, F.lower(node_id(symbol)).alias("r_id"), (F.when(vars_, OF_VARS).otherwise(0) + F.when(is_bool, IS_BOOL).otherwise(0)).alias("more"), F.explode(aliases(symbol)).alias("a")).select(symbol, "r_id", "more", F.col("a.alias").alias("alias"), F.col("a.score").alias("rs"))
+    score = F.col("ls") + F.col("rs") + F.col("more") + F.when(F.col("l_id") == F.col("r_id"), SAME_ID).otherwise(0) + F.when(F.lower(F.col(token)) == F.lower(F.col(symbol)), SAME_TEXT).otherwise(0)
+    best = left.join(right, "alias").groupBy(token, symbol).agg(F.max(score).alias("score"))
     return best.groupBy(token).agg(F.min_by(F.struct(symbol, "score"), F.struct((-F.col("score")).alias("s"), symbol)).alias("r")).select(token, "r.*")
 
 
@@ -86,21 +112,30 @@ def line_snippets(docs: DataFrame, key: str, text: str, needle: str, radius: int
     return rows.select(key, "hit", F.col("at").alias("line_no"), body.alias("snippet"))
 
 
-def assignment_score(match: Column, partial: Column, local: Column, job: Column) -> Column:
-    """120, 70 or 10 by how well a value fits, 40 for a local and 20 for a job method's assignment."""
-    return F.when(match, 120).when(partial, 70).otherwise(10) + F.when(local, 40).otherwise(0) + F.when(job, 20).otherwise(0)
+def assignment_score(match: Column, partial: Column, local: Column, job: Column, method: Column | None = None, wanted: Column | None = None) -> Column:
+    """120, 70 or 10 by how well a value fits, 40 for a local and 20 for a job method's assignment.
+
+    method: start gains 35 where TRUE is wanted and loses 5 where FALSE is, abort the other way round, checkstate gains 5.
+    """
+    score = F.when(match, 120).when(partial, 70).otherwise(10) + F.when(local, 40).otherwise(F.when(job, 20).otherwise(0))
+    if method is None or wanted is None:
+        return score
+    kind = F.lower(method)
+    return score + F.when(kind == "start", F.when(wanted, 35).otherwise(-5)).when(kind == "abort", F.when(wanted, -5).otherwise(35)).when(kind == "checkstate", 5).otherwise(0)
 
 
-def path_fit(requirements: DataFrame, evidence: DataFrame, path: str) -> DataFrame:
+def path_fit(requirements: DataFrame, evidence: DataFrame, path: str, incident: str | None = None) -> DataFrame:
     """Per path: exact matches 2, soft ones 1, conflicts -4, snapshot matches 6 or 3 and their contradictions back.
 
-    requirements(path, token, value); evidence(token, value, kind in skill or snapshot, soft). A path is possible
-    without conflicts; the order is possible, score, path.
+    requirements(path, token, value); evidence(token, value, kind in skill or snapshot, soft). A path is possible without
+    conflicts. With incident, a column of requirements that each path belongs to, rank orders an incident's paths by
+    possible, score and path.
     """
+    by = [path, *([incident] if incident else [])]
     both = requirements.join(evidence.select("token", F.col("value").alias("have"), "kind", "soft"), "token", "left")
     same, other = F.col("have") == F.col("value"), F.col("have") != F.col("value")
     snap, soft = F.col("kind") == "snapshot", F.col("soft")
     weight = F.when(snap, F.when(soft, 3).otherwise(6)).otherwise(F.when(soft, 1).otherwise(2))
     score = F.when(same, weight).when(other & snap, -(weight + F.when(soft, 1).otherwise(2))).when(other, -4).otherwise(0)
-    out = both.groupBy(path).agg(F.sum(score).alias("score"), F.count_if(other).alias("conflicts"))
-    return out.withColumn("possible", F.col("conflicts") == 0).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("possible"), F.desc("score"), path)))
+    out = both.groupBy(*by).agg(F.sum(score).alias("score"), F.count_if(other).alias("conflicts")).withColumn("possible", F.col("conflicts") == 0)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(incident).orderBy(F.desc("possible"), F.desc("score"), path))) if incident else out

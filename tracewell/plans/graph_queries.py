@@ -68,21 +68,24 @@ def hw_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.typed_closure(moves.unionByName(signals), starts)
 
 
-@query()
+_INV = """e AS (SELECT 'term' AS kind, 'nation_1' AS node, 'nation' AS to_kind, CAST(n_nationkey AS VARCHAR) AS "to", CAST(50 AS DOUBLE) AS priority FROM nation WHERE contains(lower(n_name), 'nation_1')
+    UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 'region', CAST(n_regionkey AS VARCHAR), 30 FROM nation UNION ALL SELECT 'region', CAST(n_regionkey AS VARCHAR), 'nation', CAST(n_nationkey AS VARCHAR), 20 FROM nation
+    UNION ALL SELECT 'nation', CAST(s_nationkey AS VARCHAR), 'supplier', CAST(s_suppkey AS VARCHAR), 10 FROM supplier)"""
+
+
+@query(f"""WITH RECURSIVE {_INV}, r AS (SELECT 0 AS step, [{{'k': 'term', 'n': 'nation_1', 'p': CAST(100 AS DOUBLE), 't': 0}}] AS heap, [{{'k': 'term', 'n': 'nation_1'}}] AS known, CAST(NULL AS STRUCT(k VARCHAR, n VARCHAR)) AS visited
+    UNION ALL SELECT step + 1, list_concat(list_filter(heap, lambda h: h <> top), coalesce(new, [])), list_concat(known, list_transform(coalesce(new, []), lambda h: {{'k': h.k, 'n': h.n}})), {{'k': top.k, 'n': top.n}}
+        FROM (SELECT step, heap, known, top, (SELECT list({{'k': x.to_kind, 'n': x."to", 'p': x.priority, 't': 100 * (step + 1) + i}} ORDER BY i) FROM (SELECT *, row_number() OVER (ORDER BY priority DESC, to_kind, "to") AS i FROM e WHERE kind = top.k AND node = top.n) x WHERE NOT list_contains(known, {{'k': x.to_kind, 'n': x."to"}})) AS new
+            FROM (SELECT *, list_sort(list_transform(heap, lambda h: {{'o': -h.p, 't': h.t, 'h': h}}))[1].h AS top FROM r WHERE step < 16 AND len(heap) > 0)))
+    SELECT CAST(step - 1 AS INTEGER) AS step, visited.k AS kind, visited.n AS node FROM r WHERE step > 0""")
 def graph_investigate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-first expansion from a search term over nations, regions and suppliers, within a budget of 16 steps."""
     nations, suppliers = load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier")
-
-    def neighbours(kind: str, node: str) -> list[tuple[str, str, float, str]]:
-        if kind == "term":
-            return [("nation", str(r[0]), 50.0, "matches") for r in nations.where(F.lower("n_name").contains(node)).orderBy("n_nationkey").select("n_nationkey").limit(20).collect()]
-        if kind == "nation":
-            region = [("region", str(r[0]), 30.0, "subClassOf") for r in nations.where(F.col("n_nationkey") == int(node)).select("n_regionkey").limit(1).collect()]
-            return region + [("supplier", str(r[0]), 10.0, "hosts") for r in suppliers.where(F.col("s_nationkey") == int(node)).orderBy("s_suppkey").select("s_suppkey").limit(5).collect()]
-        if kind == "region":
-            return [("nation", str(r[0]), 20.0, "contains") for r in nations.where(F.col("n_regionkey") == int(node)).orderBy("n_nationkey").select("n_nationkey").limit(20).collect()]
-        return []
-
-    found = g.investigate([("term", "nation", 100.0)], neighbours, max_iters=16)
+    text = lambda c: F.col(c).cast("string")
+    edge = lambda df, kind, node, to_kind, to, priority, relation: df.select(F.lit(kind).alias("kind"), node.alias("node"), F.lit(to_kind).alias("to_kind"), to.alias("to"), F.lit(priority).alias("priority"), F.lit(relation).alias("relation"))
+    edges = edge(nations.where(F.lower("n_name").contains("nation_1")), "term", F.lit("nation_1"), "nation", text("n_nationkey"), 50.0, "matches")
+    edges = edges.unionByName(edge(nations, "nation", text("n_nationkey"), "region", text("n_regionkey"), 30.0, "subClassOf")).unionByName(edge(nations, "region", text("n_regionkey"), "nation", text("n_nationkey"), 20.0, "contains"))
+    edges = edges.unionByName(edge(suppliers, "nation", text("s_nationkey"), "supplier", text("s_suppkey"), 10.0, "hosts"))
+    found = g.investigate([("term", "nation_1", 100.0)], g.prefetched(edges, [("term", "nation_1")], 16, 1000), max_iters=16, max_nodes=100_000)
     rows = [(i, k, n) for i, (k, n) in enumerate(found["visited"])]
     return spark.createDataFrame(rows, "step int, kind string, node string")

@@ -14,24 +14,32 @@ from ..tables import load
 from .registry import query
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 4 = 0 THEN 2 WHEN p_size % 4 = 1 THEN 1 WHEN p_size % 4 = 2 THEN 2 ELSE 1 END AS INTEGER) AS n_paths, CAST(CASE WHEN p_size % 4 = 0 THEN 4 WHEN p_size % 4 = 1 THEN 2 WHEN p_size % 4 = 2 THEN 3 ELSE 2 END AS INTEGER) AS n_literals FROM part""")
+@query("""WITH x AS (SELECT p_partkey, p_size % 5 + 1 AS n, p_partkey % 4 + 1 AS m, p_size % 3 = 0 AS contra FROM part)
+    SELECT p_partkey, CAST(CASE WHEN contra THEN greatest(1, n * m - 1) ELSE n * m END AS INTEGER) AS n_paths, CAST(CASE WHEN contra AND n * m = 1 THEN 1 WHEN contra THEN 2 * (n * m - 1) ELSE 2 * n * m END AS INTEGER) AS n_literals FROM x""")
 def dnf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth paths of an expression per part, by an Arrow-batched function."""
-    texts = {0: "A AND (B OR NOT Order1)", 1: "NOT (A OR NotAus)", 2: "A AND NOT A OR (B AND C) OR D", 3: "B AND NOT B"}
-    expression = F.when(F.col("p_size") % 4 == 0, texts[0]).when(F.col("p_size") % 4 == 1, texts[1]).when(F.col("p_size") % 4 == 2, texts[2]).otherwise("A AND (C OR A AND FALSE) AND C")
+    """Truth paths of an expression per part: (a1 OR ... an) AND NOT (b1 AND ... bm), where b1 may be a1. One that can't
+    be true counts as one path on which all tokens are."""
+    first = F.expr("array_join(transform(sequence(1, cast(p_size % 5 + 1 as int)), i -> concat('a', i)), ' OR ')")
+    second = F.expr("array_join(transform(sequence(1, cast(p_partkey % 4 + 1 as int)), i -> if(i = 1 and p_size % 3 = 0, 'A1', concat('b', i))), ' AND ')")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             paths = [logic.truth_paths(t)[0] for t in b["text"]]
             yield pd.DataFrame({"p_partkey": b["p_partkey"], "n_paths": [len(p) for p in paths], "n_literals": [sum(map(len, p)) for p in paths]}).astype({"n_paths": "int32", "n_literals": "int32"})
 
-    return load(spark, sf_dir, "part").select("p_partkey", expression.alias("text")).mapInPandas(run, "p_partkey long, n_paths int, n_literals int")
+    text = F.concat(F.lit("("), first, F.lit(") AND NOT ("), second, F.lit(")"))
+    return load(spark, sf_dir, "part").select("p_partkey", text.alias("text")).mapInPandas(run, "p_partkey long, n_paths int, n_literals int")
 
 
-@query()
+@query("""WITH c AS (SELECT l_orderkey AS k, l_linenumber AS i, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS line FROM lineitem),
+    n AS (SELECT k, i, max(line) AS line, arg_max(f, line) AS f, row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM c GROUP BY k, i), a AS (SELECT * FROM n WHERE r = i),
+    z AS (SELECT l_orderkey AS k, coalesce((SELECT max(i) FROM a WHERE a.k = l_orderkey), 0) + 1 AS i FROM lineitem GROUP BY 1), v AS (SELECT k, i FROM a UNION ALL SELECT k, i FROM z),
+    rows AS (SELECT k, 2 * (i - 1) AS depth, 'v' || i AS token, 'internal_variable' AS kind, 'variable' AS reason, 'token' AS source, NULL AS assignment FROM v UNION ALL SELECT k, 2 * i - 1, 'v' || i, 'internal_assignment', 'line ' || line, 'assignment', 'v' || i || ' := v' || (i + 1) FROM a
+        UNION ALL SELECT k, 2 * i, 'flag' || f, 'global_variable', CASE WHEN f = 'R' THEN '%I1.0' ELSE 'no hardware' END, 'global', NULL FROM a UNION ALL SELECT k, 2 * i - 1, 'v' || i, 'terminal', 'no assignment', 'metadata', NULL FROM z)
+    SELECT k AS l_orderkey, '1' AS path_id, CAST(depth AS INTEGER) AS depth, token, true AS value, 'Main' AS pou, kind, reason, source, assignment FROM rows""")
 def requirement_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program per order: each line assigns its variable from the next one's, guarded by its flag; the first is traced."""
-    lines = load(spark, sf_dir, "lineitem").where("l_linenumber <= 7")
+    lines = load(spark, sf_dir, "lineitem")
     code = F.concat(F.lit("IF flag"), F.col("l_returnflag"), F.lit(" THEN v"), F.col("l_linenumber").cast("string"), F.lit(" := v"), (F.col("l_linenumber") + 1).cast("string"), F.lit("; END_IF"))
     programs = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", code.alias("c")))), lambda x: x["c"]), "\n").alias("code"))
 
@@ -39,7 +47,7 @@ def requirement_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             rows = []
             for key, text in zip(b["l_orderkey"], b["code"], strict=True):
-                program = trace.Program({"Main": trace.Pou("Main", text, variables={f"v{i}": None for i in range(1, 9)})}, globals={"flagR": "%I1.0", "flagA": None, "flagN": None})
+                program = trace.Program({"Main": trace.Pou("Main", text, variables={f"v{i}": None for i in range(1, text.count("\n") + 3)})}, globals={"flagR": "%I1.0", "flagA": None, "flagN": None})
                 rows += [{"l_orderkey": key, **r} for r in trace.requirements(program, "Main", "v1", True)]
             yield pd.DataFrame(rows, columns=["l_orderkey", *trace.COLUMNS])
 

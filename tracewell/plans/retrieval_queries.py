@@ -20,11 +20,15 @@ def routine_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.routine_similarity(sets, "l_orderkey", 7, {"parts": 0.55, "suppliers": 0.25, "flags": 0.20}, 10)
 
 
-@query("""SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS used, count(DISTINCT l_suppkey) AS n_called FROM lineitem GROUP BY l_orderkey""")
+@query("""WITH r AS (SELECT o_custkey AS root, o_orderkey AS unit FROM orders), x AS (SELECT root, l_partkey, l_suppkey, l_returnflag, l_linenumber, unit FROM r JOIN lineitem ON l_orderkey = unit)
+    SELECT root, array_to_string(list_sort(list(DISTINCT unit)), ',') AS reached, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS called, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS used, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS hardware, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS ports FROM x GROUP BY root""")
 def routine_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signature sets of each routine, sorted; materialised tables of it serve similarity searches."""
-    used = F.array_join(F.transform(F.sort_array(F.collect_set("l_partkey")), lambda x: x.cast("string")), ",")
-    return load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(used.alias("used"), F.size(F.collect_set("l_suppkey")).cast("long").alias("n_called"))
+    """Signature sets over all units that a routine reaches, sorted; materialised tables of them serve similarity searches."""
+    reached = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderkey").alias("unit"))
+    facts = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("called"), F.col("l_suppkey").alias("used"), F.col("l_returnflag").alias("hardware"), F.col("l_linenumber").alias("ports"))
+    sets = rt.routine_sets(reached, facts, "root", "unit", ["called", "used", "hardware", "ports"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return sets.select("root", *[text(c) for c in ("reached", "called", "used", "hardware", "ports")])
 
 
 @query("""WITH t AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 3), d AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE)))) AS d FROM embeddings, t WHERE vec_id <> 3)
@@ -33,16 +37,19 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.vector_top(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, 10).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
-_WORDS = ["the", "of", "thing", "nation"]
+_QUESTION = "the of THING src3 7"
 
 
-@query("""WITH d AS (SELECT doc_id, lower(source) AS n, lower(text) AS t, length(text) AS len, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents),
-    f AS (SELECT *, len(list_filter(w, lambda x: x = 'nation')) AS a, len(list_filter(w, lambda x: x = 'of')) AS b, len(list_filter(w, lambda x: x = 'the')) AS c, len(list_filter(w, lambda x: x = 'thing')) AS e FROM d)
-    SELECT doc_id, CAST(least(a, 5) * CASE WHEN contains(n, 'nation') THEN 4 ELSE 1 END + least(b, 5) * CASE WHEN contains(n, 'of') THEN 4 ELSE 1 END + least(c, 5) * CASE WHEN contains(n, 'the') THEN 4 ELSE 1 END
-        + least(e, 5) * CASE WHEN contains(n, 'thing') THEN 4 ELSE 1 END + CASE WHEN contains(t, 'the of thing nation') THEN 6 ELSE 0 END AS DOUBLE) AS score,
-        CAST((a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (e > 0)::INT AS INTEGER) AS overlap, CAST(len AS INTEGER) AS len FROM f WHERE a + b + c + e > 0 ORDER BY score DESC, overlap DESC, len DESC, doc_id LIMIT 10""")
+@query(r"""WITH d AS (SELECT doc_id, lower(source) AS n, lower(text) AS t, length(text) AS len, lang, regexp_extract_all(lower(source) || ' ' || lower(text), '[a-z_][a-z0-9_.]*|\d+') AS w FROM documents),
+    f AS (SELECT *, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'of')) AS b, len(list_filter(w, lambda x: x = 'thing')) AS c, len(list_filter(w, lambda x: x = 'src3')) AS e, len(list_filter(w, lambda x: x = '7')) AS g FROM d)
+    SELECT doc_id, round(CAST(least(a, 5) * CASE WHEN contains(n, 'the') THEN 4 ELSE 1 END + least(b, 5) * CASE WHEN contains(n, 'of') THEN 4 ELSE 1 END + least(c, 5) * CASE WHEN contains(n, 'thing') THEN 4 ELSE 1 END + least(e, 5) * CASE WHEN contains(n, 'src3') THEN 4 ELSE 1 END
+        + least(g, 5) * CASE WHEN contains(n, '7') THEN 4 ELSE 1 END + CASE WHEN contains(regexp_replace(t, '\s+', ' ', 'g'), 'the of thing src3 7') THEN 6 ELSE 0 END
+        + CASE WHEN lang = 'en' AND (contains(n, 'the') AND a > 0 OR contains(n, 'of') AND b > 0 OR contains(n, 'thing') AND c > 0 OR contains(n, 'src3') AND e > 0 OR contains(n, '7') AND g > 0) THEN 2.5 ELSE 0 END AS DOUBLE), 3) AS score,
+        CAST((a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (e > 0)::INT + (g > 0)::INT AS INTEGER) AS overlap, CAST(len AS INTEGER) AS len FROM f WHERE a + b + c + e + g > 0 ORDER BY score DESC, overlap DESC, len DESC, doc_id LIMIT 10""")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.lexical_top(load(spark, sf_dir, "documents"), "doc_id", "source", "text", _WORDS, 10)
+    """Documents by a question's tokens; English ones are of a kind whose name counts more."""
+    rows = load(spark, sf_dir, "documents").withColumn("kind", F.when(F.col("lang") == "en", "POU_x").otherwise("task"))
+    return rt.lexical_top(rows, "doc_id", "source", "text", _QUESTION, 10, "kind")
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents) SELECT doc_id, token, count(*) AS tf FROM w GROUP BY ALL""")
@@ -56,15 +63,19 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.chunk_windows(load(spark, sf_dir, "documents"), "doc_id", "text", 3200, 240, 80)
 
 
-@query("""WITH t AS (SELECT c_name || '.' || c_mktsegment || '.k' || (c_custkey % 97) AS token FROM customer), y AS (SELECT s_name || '.x.' || 'k' || s_suppkey AS symbol FROM supplier),
-    ta AS (SELECT DISTINCT token, unnest([{'a': lower(token), 's': 100}, {'a': lower(split_part(token, '.', 2) || '.' || split_part(token, '.', 3)), 's': 88}, {'a': lower(split_part(token, '.', 3)), 's': 55}]) AS e FROM t),
-    ya AS (SELECT DISTINCT symbol, unnest([{'a': lower(symbol), 's': 100}, {'a': lower(split_part(symbol, '.', 2) || '.' || split_part(symbol, '.', 3)), 's': 88}, {'a': lower(split_part(symbol, '.', 3)), 's': 55}]) AS e FROM y),
-    b AS (SELECT token, symbol, max(least(ta.e.s, ya.e.s)) AS score FROM ta JOIN ya ON ta.e.a = ya.e.a GROUP BY ALL)
+@query("""WITH t AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'ns=4;s=' ELSE '' END || 'Supp.x.K' || (c_custkey % 97) AS token FROM customer), y AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'ns=4;s=' ELSE '' END || CASE WHEN s_suppkey % 4 = 0 THEN 'Supp' ELSE 'Other' || s_suppkey END || '.' || CASE WHEN s_suppkey % 3 = 0 THEN 'x' ELSE 'y' END || '.k' || (s_suppkey % 50) AS symbol,
+        CASE WHEN s_suppkey % 5 = 0 THEN 8 ELSE 0 END + CASE WHEN s_suppkey % 7 < 2 THEN 6 ELSE 0 END AS more FROM supplier),
+    ta AS (SELECT token, lower(regexp_replace(token, '^ns=4;s=', '')) AS id, unnest([{'a': lower(regexp_replace(token, '^ns=4;s=', '')), 's': 100}] || CASE WHEN starts_with(token, 'ns') THEN [{'a': lower(token), 's': 80}] ELSE [] END || [{'a': lower(split_part(token, '.', 2) || '.' || split_part(token, '.', 3)), 's': 88}, {'a': lower(split_part(token, '.', 3)), 's': 55}]) AS e FROM t),
+    ya AS (SELECT symbol, more, lower(regexp_replace(symbol, '^ns=4;s=', '')) AS id, unnest([{'a': lower(regexp_replace(symbol, '^ns=4;s=', '')), 's': 100}] || CASE WHEN starts_with(symbol, 'ns') THEN [{'a': lower(symbol), 's': 80}] ELSE [] END || [{'a': lower(split_part(symbol, '.', 2) || '.' || split_part(symbol, '.', 3)), 's': 88}, {'a': lower(split_part(symbol, '.', 3)), 's': 55}]) AS e FROM y),
+    b AS (SELECT token, symbol, max(ta.e.s + ya.e.s + more + CASE WHEN ta.id = ya.id THEN 25 ELSE 0 END + CASE WHEN lower(token) = lower(symbol) THEN 20 ELSE 0 END) AS score FROM ta JOIN ya ON ta.e.a = ya.e.a GROUP BY ALL)
     SELECT token, symbol, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, symbol) AS n FROM b) WHERE n = 1""")
 def alias_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = load(spark, sf_dir, "customer").select(F.concat_ws(".", "c_name", "c_mktsegment", F.concat(F.lit("k"), (F.col("c_custkey") % 97).cast("string"))).alias("token"))
-    symbols = load(spark, sf_dir, "supplier").select(F.concat_ws(".", "s_name", F.lit("x"), F.concat(F.lit("k"), F.col("s_suppkey").cast("string"))).alias("symbol"))
-    return rt.alias_best(tokens, "token", symbols, "symbol").select("token", "symbol", F.col("score").cast("int").alias("score"))
+    """Symbols for tokens: points of both aliases, and more for equal ids and texts, variables and truth values."""
+    text, k = lambda c: c.cast("string"), F.col("s_suppkey")
+    tokens = load(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 3 == 0, "ns=4;s=").otherwise(""), F.lit("Supp.x.K"), text(F.col("c_custkey") % 97)).alias("token")).distinct()
+    name = F.concat(F.when(k % 2 == 0, "ns=4;s=").otherwise(""), F.when(k % 4 == 0, "Supp").otherwise(F.concat(F.lit("Other"), text(k))), F.lit("."), F.when(k % 3 == 0, "x").otherwise("y"), F.lit(".k"), text(k % 50))
+    symbols = load(spark, sf_dir, "supplier").select(name.alias("symbol"), F.when(k % 5 == 0, "vars").otherwise("rows").alias("source"), F.when(k % 7 == 0, "TRUE").when(k % 7 == 1, "false").when(k % 7 == 2, "12").alias("value"))
+    return rt.alias_best(tokens, "token", symbols, "symbol", "source", "value").select("token", "symbol", F.col("score").cast("int").alias("score"))
 
 
 @query("""SELECT p_partkey, greatest(CASE WHEN lower(p_brand) = 'brand' THEN 100 ELSE 0 END, CASE WHEN lower(regexp_extract(p_brand, '^([A-Za-z0-9]+)[_.]', 1)) = 'brand' THEN 60 ELSE 0 END, CASE WHEN starts_with(lower(p_brand), 'brand') THEN 40 ELSE 0 END, CASE WHEN contains(lower(p_brand), 'brand') THEN 20 ELSE 0 END) AS score FROM part""")
@@ -90,18 +101,10 @@ def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.length(tx.strip_comments(code)).alias("n"))
 
 
-@query("""WITH v AS (SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM benchmark) WHERE length(name) >= 9),
-    m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents) SELECT doc_id, name FROM m JOIN v USING (name)""")
-def code_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word-bounded, case-sensitive mentions of known names, by an equi-join of tokens."""
-    names = load(spark, sf_dir, "benchmark").select(F.explode(tx.identifiers("text")).alias("name")).where(F.length("name") >= 9).distinct()
-    return load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.identifiers("text")).alias("name")).join(names, "name").select("doc_id", "name")
-
-
 @query("""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM benchmark),
     m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents) SELECT doc_id, name FROM m JOIN v USING (name)""")
-def code_mentions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """code_mentions() of every known name, however short."""
+def code_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-bounded, case-sensitive mentions of known names of any length, by an equi-join of tokens."""
     names = load(spark, sf_dir, "benchmark").select(F.explode(tx.identifiers("text")).alias("name")).distinct()
     return load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.identifiers("text")).alias("name")).join(names, "name").select("doc_id", "name")
 
@@ -123,10 +126,14 @@ def state_path_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.path_fit(needs, evidence, "path").select("path", "score", "conflicts", "possible")
 
 
-@query("""SELECT l_orderkey, l_linenumber, score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS n FROM
-    (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 120 WHEN l_returnflag = 'A' THEN 70 ELSE 10 END + CASE WHEN l_linestatus = 'O' THEN 40 ELSE 0 END + CASE WHEN l_quantity > 25 THEN 20 ELSE 0 END AS score FROM lineitem)) WHERE n = 1""")
+_RANK = "CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_tax > 0.04 THEN 35 ELSE -5 END WHEN 1 THEN CASE WHEN l_tax > 0.04 THEN -5 ELSE 35 END WHEN 2 THEN 5 ELSE 0 END"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 120 WHEN l_returnflag = 'A' THEN 70 ELSE 10 END + CASE WHEN l_linestatus = 'O' THEN 40 WHEN l_quantity > 25 THEN 20 ELSE 0 END + {_RANK} AS score FROM lineitem)
+    SELECT l_orderkey, l_linenumber, score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS n FROM s) WHERE n = 1""")
 def assignment_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = rt.assignment_score(F.col("l_returnflag") == "R", F.col("l_returnflag") == "A", F.col("l_linestatus") == "O", F.col("l_quantity") > 25)
+    method = F.when(F.col("l_linenumber") % 4 == 0, "Start").when(F.col("l_linenumber") % 4 == 1, "abort").when(F.col("l_linenumber") % 4 == 2, "CheckState")
+    score = rt.assignment_score(F.col("l_returnflag") == "R", F.col("l_returnflag") == "A", F.col("l_linestatus") == "O", F.col("l_quantity") > 25, method, F.col("l_tax") > 0.04)
     rows = load(spark, sf_dir, "lineitem").withColumn("score", score)
     return rows.groupBy("l_orderkey").agg(F.min_by(F.struct("l_linenumber", "score"), F.struct((-F.col("score")).alias("s"), "l_linenumber")).alias("r")).select("l_orderkey", "r.*")
 

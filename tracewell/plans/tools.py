@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, pattern, retrieval, trace
 from ..sources.program import search_snapshot
-from .guard import Registry, guarded
+from .guard import Registry, guarded, with_prefixes
 
 # How alike routines are, by the sets that they share.
 ROUTINE_WEIGHTS = {"hardware_addresses": 0.55, "used_variable_names": 0.25, "called_pou_names": 0.20}
@@ -25,6 +25,7 @@ class Knowledge:
     routines: DataFrame | None = None  # pou_name and its sets
     vectors: DataFrame | None = None  # vec_id, embedding
     views: dict[str, DataFrame] = field(default_factory=dict)
+    prefixes: dict[str, str] = field(default_factory=dict)  # of names in queries' literals
 
     def values(self, p: str, s: str, o: str) -> DataFrame:
         return self.triples.where(F.col("p") == p).select(F.col("s").alias(s), F.col("o").alias(o))
@@ -72,11 +73,13 @@ def registry(k: Knowledge) -> Registry:
 
     @r.register
     def variable_trace(name: str, most: int = 50) -> DataFrame:
-        """A variable's address and the units that use or own it, null where there are none."""
+        """A variable's or port's address and the units that use or own it, null where there are none."""
         own = variables.where(pattern.equals_ci("name", name))
         users = k.triples.where(F.col("p").isin("op:usesVariable", "op:hasVariable")).select(F.col("o").alias("var"), F.col("s").alias("pou"), F.col("p").alias("how")).join(names.toDF("pou", "pou_name"), "pou")
         found = own.join(k.values("dp:hasHardwareAddress", "var", "address"), "var", "left").join(users, "var", "left")
-        return found.select("name", "var", "address", "pou_name", "how").distinct().orderBy("var", "how", "pou_name").limit(most)
+        ports = k.values("dp:hasPortName", "var", "name").where(pattern.equals_ci("name", name)).join(k.values("op:hasPort", "pou", "var").withColumn("how", F.lit("op:hasPort")), "var", "left").join(names.toDF("pou", "pou_name"), "pou", "left")
+        both = found.select("name", "var", "address", "pou_name", "how").unionByName(ports.select("name", "var", "pou_name", "how"), allowMissingColumns=True)
+        return both.distinct().orderBy("var", "how", "pou_name").limit(most)
 
     @r.register
     def plc_snapshot_search(needle: str, exact: bool = False, most: int = 20) -> DataFrame:
@@ -116,8 +119,8 @@ def registry(k: Knowledge) -> Registry:
 
     @r.register
     def text2sparql_select(query: str, most: int = 200) -> DataFrame:
-        """A read-only query that a model wrote, over the triples and the given views."""
-        return guarded(k.triples.sparkSession, query, {"triples": k.triples} | k.views, most)
+        """A read-only query that a model wrote, over the triples and the given views; short names are written out."""
+        return guarded(k.triples.sparkSession, with_prefixes(query, k.prefixes), {"triples": k.triples} | k.views, most)
 
     @r.register
     def semantic_search(vec_id: int, most: int = 3) -> DataFrame:

@@ -25,8 +25,8 @@ def triple_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.match(triples(spark, sf_dir), p="rdf:type", o="nation:3").select("s", "p", "o")
 
 
-@query(f"""WITH {_T} SELECT a.s AS c, b.o AS call, d.o AS pou, n.o AS name FROM t a JOIN t b ON a.o = b.s JOIN t d ON b.o = d.s JOIN t n ON d.o = n.s
-    WHERE a.p = 'op:ownsOrder' AND b.p = 'op:containsCall' AND d.p = 'op:callsPOU' AND n.p = 'dp:hasPOUName' AND a.s = 'customer:7'""")
+@query("""SELECT 'customer:' || o_custkey AS c, 'line:' || a.l_orderkey || '.' || a.l_linenumber AS call, 'part:' || b.l_partkey AS pou, p_name AS name FROM orders
+    JOIN lineitem a ON a.l_orderkey = o_orderkey JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber JOIN part ON p_partkey = b.l_partkey WHERE o_custkey = 7""")
 def bgp_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = triples(spark, sf_dir)
     rows = pt.bgp(t, ("?c", "op:ownsOrder", "?order"), ("?order", "op:containsCall", "?call"), ("?call", "op:callsPOU", "?pou"), ("?pou", "dp:hasPOUName", "?name"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +49,16 @@ def incidents(raw: DataFrame, text: str = "value") -> DataFrame:
     rows = raw.select(v.alias("v"))
     get = lambda path: F.expr(f"try_variant_get(v, '{path}', 'string')")
     either = lambda *names: F.coalesce(*[get(f"$.payload.{n}") for n in names], *[get(f"$.{n}") for n in names])
-    snap = unwrap_snapshot(either("plcSnapshot", "snapShot", "snapshot"))
-    return rows.select(either("correlationId", "corr").alias("corr"), get("$.type").alias("type"), either("processName", "process").alias("process"), either("summary").alias("summary"), F.try_parse_json(snap).alias("snapshot"))
+    rows = rows.select(either("correlationId", "corr").alias("corr"), get("$.type").alias("type"), either("processName", "process").alias("process"), either("summary").alias("summary"), either(*SNAPSHOT_KEYS[:3]).alias("snapshot"))
+    for _ in range(MOST_NESTED):  # each round takes one level of wrapping off: marks, or an object below one of the keys
+        inner = F.coalesce(F.try_parse_json("snapshot"), F.try_parse_json(unwrap_snapshot("snapshot")))
+        rows = rows.withColumn("__v", inner).withColumn("snapshot", F.coalesce(*[F.expr(f"try_variant_get(__v, '$.{k}', 'string')") for k in SNAPSHOT_KEYS], "snapshot")).drop("__v")
+    return rows.withColumn("snapshot", F.coalesce(F.try_parse_json("snapshot"), F.try_parse_json(unwrap_snapshot("snapshot"))))
+
+
+# Keys under which a snapshot may be nested.
+SNAPSHOT_KEYS = ("plcSnapshot", "snapShot", "snapshot", "payload")
+MOST_NESTED = 4
 
 
 def snapshot_vars(events: DataFrame) -> DataFrame:
@@ -80,9 +92,92 @@ def snapshot_json(rows: DataFrame, variables: DataFrame) -> DataFrame:
     return both.select("corr", F.to_json(F.struct("rows", "vars")).alias("json"))
 
 
+def typed_snapshot(variables: DataFrame) -> DataFrame:
+    """(corr, and a map from id to value per type tag) of snapshot_vars(): bools, strings, numbers by width, floats.
+
+    Unsigned numbers have the next wider type, those of 64 bits a decimal. Values that don't fit their tag are null;
+    tags that aren't known have no map, as what they hold has no type.
+    """
+    kinds = {"bool": "boolean", "string": "string", "int16": "smallint", "uint16": "int", "int32": "int", "uint32": "bigint", "int64": "bigint", "uint64": "decimal(20,0)", "float": "double"}
+    column = lambda tag, kind: F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("t") == tag, F.struct(F.col("id"), F.col("v").try_cast(kind).alias("v")))))).alias(f"{tag}s")
+    return variables.groupBy("corr").agg(*[column(t, k) for t, k in kinds.items()])
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON object per line, with null fields written out, so that read_json() gives the rows back."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Appends rows with a header per file, quotes doubled inside quotes, lines ended by CR LF."""
-    df.write.mode("append").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
+    """Appends rows, quotes doubled inside quotes, lines ended by CR LF. The header stands in a file of its own, which is
+    written with the first rows only and sorts before all others: joined in order of names, the files have it once."""
+    spark = df.sparkSession
+    head = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/0-header.csv")
+    fs = head.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("append").option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
+    if not fs.exists(head):
+        quoted = ['"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in df.columns]
+        out = fs.create(head, False)
+        try:
+            out.write(bytearray((",".join(quoted) + "\r\n").encode()))
+        finally:
+            out.close()
+
+
+def pair_stream(text: str) -> list[tuple[str, str]]:
+    """(iri, json) pairs of a text that has an IRI's line and then a JSON object, again and again; outer quotes go.
+
+    A line that no object follows gives nothing. Braces within strings don't count; an object that doesn't end goes to
+    the end of the text.
+    """
+    if len(text) >= 2 and text[0] == text[-1] == '"':
+        text = text[1:-1]
+    out, at = [], 0
+    while m := re.compile(r"\s*([^\r\n]+)[\r\n]*").match(text, at):
+        iri, at = m[1].strip(), m.end()
+        at = re.compile(r"\s*").match(text, at).end()
+        if not text.startswith("{", at):
+            continue
+        depth, end = 0, len(text)
+        for x in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}]', text[at:], re.S):
+            depth += {"{": 1, "}": -1}.get(x[0], 0)
+            if not depth:
+                end = at + x.end()
+                break
+        out.append((iri, text[at:end]))
+        at = end
+    return out
+
+
+def pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n, iri, json) of pair_stream() for each row."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, n, *p) for k, t in zip(b["k"], b["t"], strict=True) for n, p in enumerate(pair_stream(t or ""), 1)]
+            yield pd.DataFrame(rows, columns=["k", "n", "iri", "json"])
+
+    found = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {dict(df.dtypes)[key]}, n int, iri string, json string")
+    return found.withColumnRenamed("k", key)
+
+
+def outputs_match(actual: str, expected: str) -> Column:
+    """Whether a map of expected outputs(index to (t, v) texts) is met by the actual one: every index there, with the same
+    tag, and numbers within a relative 1e-6 or an absolute 1e-9."""
+    a, e = F.col(actual), F.col(expected)
+
+    def same(x: Column) -> Column:
+        have = a[x["key"]]
+        got, want = have["v"].try_cast("double"), x["value"]["v"].try_cast("double")
+        near = (F.abs(got - want) <= F.lit(1e-9)) | (F.abs(got - want) <= 1e-6 * F.greatest(F.abs(got), F.abs(want)))
+        value = F.when(x["value"]["t"].isin("float", "double"), near).otherwise(have["v"] == x["value"]["v"])
+        return F.coalesce((have["t"] == x["value"]["t"]) & value, F.lit(False))
+
+    return F.forall(F.map_entries(e), same)
 
 
 def operations(plans: DataFrame, corr: str = "corr", text: str = "json") -> DataFrame:

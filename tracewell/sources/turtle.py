@@ -145,6 +145,25 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA).dropDuplicates()
 
 
+def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of N-Triples files, as a set: a triple a line, so that large files are split and no Python is needed.
+
+    Blank lines and comments go; a line of any other form raises an error when it is read.
+    """
+    form = r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+    part = lambda i: F.nullif(F.regexp_extract("value", form, i), F.lit(""))
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    literal = part(4).isNull() & part(5).isNull()
+    # the escapes are JSON's, but for long code points and plain quotes
+    body = F.regexp_replace(F.regexp_replace(F.regexp_extract("value", form, 6), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1"), r"\\'", "'")
+    text = F.from_json(F.concat(F.lit('["'), body, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"})[0]
+    kind = F.when(literal, F.lit("literal")).otherwise(F.lit("iri"))
+    type_ = F.when(literal & part(8).isNull(), F.coalesce(part(7), F.lit(XSD + "string")))
+    ok = F.col("value").rlike(form)
+    s = F.when(ok, F.coalesce(part(1), part(2))).otherwise(F.raise_error(F.concat(F.lit("no triple: "), F.col("value"))))
+    return lines.select(s.alias("s"), part(3).alias("p"), F.coalesce(part(4), part(5), text).alias("o"), kind.alias("o_kind"), type_.alias("o_type"), part(8).alias("o_lang")).dropDuplicates()
+
+
 def ntriples(triples: DataFrame) -> DataFrame:
     """One N-Triples line per triple, for write.text()."""
     escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), "\r", r"\\r")

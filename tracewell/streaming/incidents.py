@@ -1,29 +1,88 @@
 """Structured Streaming forms of the event operators. Events are (corr, type, value, ts timestamp, event_id).
 
-The state of a correlation ends with a watermark: later events of it are late and are left out.
+Event time has a watermark: rows that come later than delay after the latest are dropped. What an operator remembers of
+a correlation goes when the watermark passes its last event by keep, or at once where an event closes it; whatever comes
+for it afterwards begins anew. Within a micro-batch a correlation's events are taken in order of (ts, event_id).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+EVENT = "corr long, event_id long, type string, value double, ts timestamp"
+
+
+def event_source(spark: SparkSession, path: str, schema: str = EVENT, most_files: int | None = None) -> DataFrame:
+    """Events from Parquet files as they arrive in a folder; at most most_files of them in a micro-batch, so that a
+    backlog is drained in bounded steps."""
+    reader = spark.readStream.schema(schema)
+    if most_files:
+        reader = reader.option("maxFilesPerTrigger", most_files)
+    return reader.parquet(path)
+
+
+def _ms(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1000)
+
+
+def by_corr(events: DataFrame, step: Callable, out: str, state: str, delay: str, keep: str) -> DataFrame:
+    """Rows that step(corr, rows, value) gives for a correlation's new events, in order: (list of rows, its new value).
+
+    value is a tuple as state says, or None at first and where the last one has ended. step gives None as the new value
+    where the correlation is closed. A value ends when the watermark passes the last event by keep.
+    """
+    names, wait = [c.split()[0] for c in out.split(", ")], _ms(keep)
+    types = {c.split()[0]: {"long": "int64", "double": "float64", "boolean": "bool", "string": "object"}[c.split()[1]] for c in out.split(", ")}
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        if held.hasTimedOut:
+            held.remove()
+        else:
+            new = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            rows, value = step(key[0], new, held.get[:-1] if held.exists else None)
+            last = max(int(new["ts"].max().value // 1_000_000), held.get[-1] if held.exists else 0)
+            if value is None:
+                if held.exists:
+                    held.remove()
+            else:
+                held.update((*value, last))
+                held.setTimeoutTimestamp(max(last + wait, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=names).astype(types)
+
+    marked = events.withWatermark("ts", delay)
+    return marked.groupBy("corr").applyInPandasWithState(run, out, state + ", last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
 
 def once_only(events: DataFrame, types: list[str], delay: str = "1 hour") -> DataFrame:
     """One trigger per correlation within the watermark: the first that arrives."""
     return events.where(F.col("type").isin(types)).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["corr"])
 
 
-def event_pairs(events: DataFrame, a: str, b: str, within: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Pairs of a and b events of a correlation, in either order, at most so far apart, once per correlation."""
-    left = events.where(F.col("type") == a).select("corr", F.col("ts").alias("a_ts")).withWatermark("a_ts", delay)
-    right = events.where(F.col("type") == b).select(F.col("corr").alias("corr_b"), F.col("ts").alias("b_ts")).withWatermark("b_ts", delay)
-    near = F.expr(f"corr = corr_b AND b_ts BETWEEN a_ts - INTERVAL {within} AND a_ts + INTERVAL {within}")
-    return left.join(right, near).select("corr", "a_ts", "b_ts")
+PAIR = "corr long, a_ms long, b_ms long"
+
+
+def event_pairs(events: DataFrame, a: str, b: str, delay: str = "1 hour", keep: str = "1 day") -> DataFrame:
+    """Once per correlation, when both an a and a b event have come, in either order: the times of the first of each."""
+
+    def step(corr: int, rows: pd.DataFrame, value: tuple | None) -> tuple[list, tuple]:
+        first = list(value or (None, None, False))
+        out = []
+        for r in rows.itertuples():
+            at = 0 if r.type == a else 1
+            if first[at] is None:
+                first[at] = int(r.ts.value // 1_000_000)
+            if None not in first[:2] and not first[2]:
+                out.append((corr, first[0], first[1]))
+                first[2] = True
+        return out, tuple(first)
+
+    return by_corr(events.where(F.col("type").isin(a, b)), step, PAIR, "a_ms long, b_ms long, done boolean", delay, keep)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -33,72 +92,91 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", delay: str = "1 ho
 EDGE = "corr long, event_id long, value double"
 
 
-def rising_edges(events: DataFrame, threshold: float) -> DataFrame:
+def rising_edges(events: DataFrame, threshold: float, delay: str = "1 hour", keep: str = "1 day") -> DataFrame:
     """Events at which value rises above threshold; a correlation's first sample never counts."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
+    def step(corr: int, rows: pd.DataFrame, value: tuple | None) -> tuple[list, tuple]:
+        before, out = value[0] if value else None, []
         for r in rows.itertuples():
             on = bool(r.value > threshold)
             if on and before is False:
-                out.append((key[0], r.event_id, r.value))
+                out.append((corr, r.event_id, r.value))
             before = on
-        state.update((before,))
-        yield pd.DataFrame(out, columns=["corr", "event_id", "value"])
+        return out, (before,)
 
-    return events.groupBy("corr").applyInPandasWithState(step, EDGE, "before boolean", "append", GroupStateTimeout.NoTimeout)
+    return by_corr(events, step, EDGE, "before boolean", delay, keep)
 
 
 FOLD = "corr long, trigger string, active boolean, updates string"
 
 
-def session_fold(events: DataFrame, start: str, updates: list[str], triggers: list[str], close: str | None = None) -> DataFrame:
+def session_fold(events: DataFrame, start: str, updates: list[str], triggers: list[str], close: str | None = None, delay: str = "1 hour", keep: str = "1 day") -> DataFrame:
     """One row per correlation at its first trigger: whether a session was active, and the last value of each update in
     it, as type=value joined by |. A start clears the session; close ends the correlation's state."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, done, kept = state.get if state.exists else (False, False, "")
+    def step(corr: int, rows: pd.DataFrame, value: tuple | None) -> tuple[list, tuple | None]:
+        active, done, kept = value or (False, False, "")
         values = dict(x.split("=", 1) for x in kept.split("|") if x)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out, open_ = [], value is not None
         for r in rows.itertuples():
             if r.type == close:
-                active, done, values = False, False, {}
-            elif done:
+                active, done, values, open_ = False, False, {}, False
                 continue
-            elif r.type == start:
+            open_ = True
+            if done:
+                continue
+            if r.type == start:
                 active, values = True, {}
             elif r.type in triggers:
-                out.append((key[0], r.type, active, "|".join(f"{k}={v}" for k, v in sorted(values.items()))))
+                out.append((corr, r.type, active, "|".join(f"{k}={v}" for k, v in sorted(values.items()))))
                 done = True
             elif r.type in updates and active:
                 values[r.type] = repr(float(r.value))
-        state.update((active, done, "|".join(f"{k}={v}" for k, v in sorted(values.items()))))
-        yield pd.DataFrame(out, columns=["corr", "trigger", "active", "updates"])
+        return out, (active, done, "|".join(f"{k}={v}" for k, v in sorted(values.items()))) if open_ else None
 
-    return events.groupBy("corr").applyInPandasWithState(step, FOLD, "active boolean, done boolean, kept string", "append", GroupStateTimeout.NoTimeout)
+    return by_corr(events, step, FOLD, "active boolean, done boolean, kept string", delay, keep)
 
 
 TIMELINE = "corr long, event_id long, type string, delta_ms long, total_ms long"
 
 
-def timeline(events: DataFrame) -> DataFrame:
-    """Milliseconds since the previous event of the correlation, and their sum, for events that arrive in order."""
+def timeline(events: DataFrame, flush: str | None = None, delay: str = "1 hour", keep: str = "1 day") -> DataFrame:
+    """Milliseconds since the previous event of the correlation, and their sum, for events that arrive in order.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total = state.get if state.exists else (None, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            now = r.ts.value // 1_000_000
+    With flush, a correlation's lines are held back until an event of that type comes, which ends its timeline; those
+    without one are never written.
+    """
+
+    def step(corr: int, rows: pd.DataFrame, value: tuple | None) -> tuple[list, tuple | None]:
+        last, total, held = value or (None, 0, "")
+        lines = [tuple(x.split(",", 3)) for x in held.split(";") if x]
+        out: list[tuple] = []
+        for r in rows.itertuples():
+            now = int(r.ts.value // 1_000_000)
             delta = 0 if last is None else now - last
             total, last = total + delta, now
-            out.append((key[0], r.event_id, r.type, delta, total))
-        state.update((last, total))
-        yield pd.DataFrame(out, columns=["corr", "event_id", "type", "delta_ms", "total_ms"])
+            lines.append((r.event_id, delta, total, r.type))
+            if flush is None or r.type == flush:
+                out += [(corr, int(e), t, int(d), int(n)) for e, d, n, t in lines]
+                lines = []
+                if flush is not None:
+                    last, total = None, 0
+        return out, None if last is None else (last, total, ";".join(f"{e},{d},{n},{t}" for e, d, n, t in lines))
+
+    return by_corr(events, step, TIMELINE, "last long, total long, held string", delay, keep)
+
+
+#: Kinds of acknowledgement that the log shows, and what it calls them.
+ACKS = {"evSRPlanned": "SRPLANNED", "evSRDone": "SRDONE", "evMonActPlanned": "MonActPLANNED", "evMonActDone": "MonAct_DONE", "evProcessFail": "ProcessFail", "evIngestionPlanned": "INGESTION PLANNED", "evIngestionDone": "INGESTION DONE", "evAgentAbort": "AGENT ABORT", "evAgentFail": "AGENT FAIL"}
+
 
-    return events.groupBy("corr").applyInPandasWithState(step, TIMELINE, "last long, total long", "append", GroupStateTimeout.NoTimeout)
+def ack_log(events: DataFrame, kinds: dict[str, str] | None = None, details: tuple[str, ...] = ("value",)) -> DataFrame:
+    """(corr, line) for each acknowledgement: its name, its correlation and its details that aren't null; other events go."""
+    named = kinds or ACKS
+    name = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in named.items()])
+    parts = [F.when(F.col(d).isNotNull(), F.concat(F.lit(f" {d}="), F.col(d).cast("string"))) for d in details]
+    line = F.concat(F.lit("[ack] "), name, F.lit(" corr="), F.col("corr").cast("string"), F.concat_ws("", *parts))
+    return events.where(F.col("type").isin(*named)).select("corr", line.alias("line"))
 
 
 def routed(df: DataFrame, sinks: dict[str, list]) -> object:
@@ -119,7 +197,7 @@ def delayed(events: DataFrame, kind: str, wait: str, delay: str = "1 minute") ->
 
     Pending actions are state per correlation, released by the watermark, so they survive a restart of the query.
     """
-    ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+    ms = _ms(wait)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

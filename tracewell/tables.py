@@ -48,17 +48,19 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def scratch(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table into the folder that all executors share and reads it back, which cuts its lineage.
-
-    The folder is spark.checkpoint.dir; where that is unset, as in tests, a temporary one, but only for a local
-    master: elsewhere each executor would write to a disk of its own.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new folder's path below the one that all executors share: spark.checkpoint.dir; where that is unset, as in tests,
+    a temporary one, but only for a local master: elsewhere each executor would write to a disk of its own."""
     sc = spark.sparkContext
     if not (at := sc.getConf().get("spark.checkpoint.dir")):
         if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    df.write.parquet(path := f"{at}/{what}-{uuid.uuid4().hex}")
+    return f"{at}/{what}-{uuid.uuid4().hex}"
+
+
+def scratch(df: DataFrame, what: str) -> DataFrame:
+    """Writes a table into scratch_path() and reads it back, which cuts its lineage."""
+    spark = df.sparkSession
+    df.write.parquet(path := scratch_path(spark, what))
     return spark.read.schema(df.schema).parquet(path)
