@@ -13,7 +13,7 @@ from .fingerprints import fingerprints
 from .jaccard import ngram_jaccard_join
 from .langid import fit_language_models, held_out, predict_language
 from .licenses import licence_scan
-from .mixing import mix_sources
+from .mixing import mix_sources, solve_exponent, whitespace_tokens
 from .quality_model import quality_classifier
 from .quality_rules import quality_rules
 from .toxicity import fit_toxicity, score_toxicity
@@ -66,8 +66,29 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_fingerprints that SQL can tell."""
+    return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_quality_rules that SQL can tell."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixture_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target weights of op7_mix_sources by source, to five digits, of the exponent that it solves for."""
+    docs = table(spark, sf_dir, "documents")
+    totals = docs.groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.sum(whitespace_tokens()).alias("tokens"))
+    plan = solve_exponent(totals, 0.5, 4.0, 1.0)
+    total = totals.agg(F.sum("tokens")).first()[0] or 1
+    q = F.pow(F.col("tokens") / total, F.lit(plan.exponent))
+    norm = totals.agg(F.sum(q)).first()[0] or 1.0
+    return totals.select("source", "tokens", F.round(q / norm, 5).alias("weight"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_warc, op6_language, op7_mix_sources, op8_quality, op9_quality_rules, op10_licences]
+    found = [edited_texts, rule_counts, mixture_weights, op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_warc, op6_language, op7_mix_sources, op8_quality, op9_quality_rules, op10_licences]
     return {f.__name__: f for f in found}
 
 
@@ -88,6 +109,28 @@ def oracle_sql() -> dict[str, str]:
             reach AS (SELECT doc_id AS node, doc_id AS seen FROM sizes UNION SELECT node, b FROM reach JOIN both_ways ON a = seen)
             SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, m AS component_id FROM sizes JOIN (SELECT node, min(seen) AS m FROM reach GROUP BY node) ON node = doc_id
         """,
+        "edited_texts": """
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS u FROM d)
+            SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substring(t, 1, n - n // 2) || substring(u, 1, n // 2)) AS edited_sha256 FROM w
+        """,
+        "rule_counts": r"""
+            WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+            m AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), range(8) r(j) WHERE c > 1 GROUP BY 1),
+            l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+            c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(m.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id))
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+        """,
+        "mixture_weights": r"""
+            WITH RECURSIVE t AS (SELECT coalesce(source, 'none') AS source, sum(greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')), 1)) AS tokens FROM documents GROUP BY 1),
+            p AS (SELECT source, tokens, tokens / (SELECT sum(tokens) FROM t) AS p FROM t), goal AS (SELECT 0.5 * -sum(p * ln(p)) + 0.5 * ln(count(*)) AS e FROM p),
+            b AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
+                UNION ALL SELECT step + 1, CASE WHEN ok THEN low ELSE (low + high) / 2 END, CASE WHEN ok THEN (low + high) / 2 ELSE high END FROM (SELECT step, low, high,
+                    (SELECT ln(sum(pow(p, (low + high) / 2))) - (low + high) / 2 * sum(pow(p, (low + high) / 2) * ln(p)) / sum(pow(p, (low + high) / 2)) <= (SELECT e FROM goal) + 1e-9 AND max(pow(p, (low + high) / 2) / p) / sum(pow(p, (low + high) / 2)) <= 4 + 1e-9 FROM p) AS ok FROM b WHERE step < 40)),
+            a AS (SELECT high AS a FROM b WHERE step = 40)
+            SELECT source, CAST(tokens AS BIGINT) AS tokens, round(pow(p, a) / (SELECT sum(pow(p, a)) FROM p, a), 5) AS weight FROM p, a
+        """,
         "op5_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
             d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
