@@ -193,12 +193,12 @@ def coupled_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.couple_functions(old, functions, runtime, elements).select("s", "p", "o")
 
 
-@query("""WITH h AS (SELECT 'fn' || p_partkey AS id, p_brand AS src, CAST(p_size / 100.0 AS DOUBLE) AS c, p_name AS d, CASE WHEN p_size % 2 = 0 THEN p_type END AS parent, p_partkey % 3 AS n, p_partkey AS k, p_size % 4 = 0 AS old FROM part WHERE p_partkey <= 300), t AS (SELECT 'Hyp_' || id AS s, * FROM h)
+@query("""WITH h AS (SELECT 'fn' || p_partkey AS id, p_brand AS src, CAST(p_size / 100.0 AS DOUBLE) AS c, p_name AS d, CASE WHEN p_size % 2 = 0 THEN p_type END AS parent, p_partkey % 3 AS n, p_partkey AS k, p_size % 4 = 0 AS old FROM part), t AS (SELECT 'Hyp_' || id AS s, * FROM h)
     SELECT s, 'rdf:type' AS p, 'SkillImplementationHypothesis' AS o FROM t UNION ALL SELECT s, 'rdfs:label', 'Hyp: ' || id FROM t UNION ALL SELECT s, 'dp:hasSuggestedFunctionID', id FROM t UNION ALL SELECT s, 'dp:hasHypothesisSource', src FROM t
     UNION ALL SELECT s, 'dp:hasHypothesisDescription', d FROM t UNION ALL SELECT s, 'dp:hasSuggestedParentFunctionID', coalesce(parent, CASE WHEN old THEN 'before' END) FROM t WHERE parent IS NOT NULL OR old UNION ALL SELECT s, 'op:hasHypothesisAboutPOU', 'POU_' || x FROM t, range(3) r(x) WHERE x < n""")
 def hypotheses_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hypotheses replace what an earlier one of the same function said, but for a parent that the new one doesn't give."""
-    rows = load(spark, sf_dir, "part").where("p_partkey <= 300")
+    rows = load(spark, sf_dir, "part")
     empty = F.array().cast("array<string>")
     fn = F.concat(F.lit("fn"), F.col("p_partkey").cast("string"))
     given = rows.select(fn.alias("function_id"), F.col("p_brand").alias("source"), F.lit(None).cast("string").alias("confidence"), F.col("p_name").alias("description"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("parent"), empty.alias("names"), empty.alias("evidence"), F.expr("transform(filter(array(0, 1, 2), x -> x < p_partkey % 3), x -> concat('POU_', x))").alias("pous"), empty.alias("skills"))
@@ -206,13 +206,13 @@ def hypotheses_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.hypothesis_triples(before, given)[0].select("s", "p", "o")
 
 
-@query(f"""WITH {_U}, i AS (SELECT DISTINCT callee, name FROM u WHERE k % 2 = 0)
+@query(f"""WITH {_U}, i AS (SELECT DISTINCT callee, name FROM u WHERE kind = 'program')
     SELECT name AS fb_type, coalesce((SELECT string_agg('var' || i.name || '>' || i.name, ',' ORDER BY i.name) FROM i WHERE i.callee = u.name), '') AS instances FROM u WHERE z % 5 = 3""")
 def skill_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units whose code names 'Skill3', with the variables of their instances and who uses those."""
+    """Units whose code names 'Skill3', with the variables of their instances in programs and who uses those."""
     rows = _units(spark, sf_dir)
     text = lambda p, c: F.concat(F.lit(p), F.col(c))
-    used = rows.select("name", F.explode("ports").alias("x")).where("x.name = 'inst' and substring(name, 2) % 2 = 0").select("name", F.col("x.type").alias("type"))
+    used = rows.where("kind = 'program'").select("name", F.explode("ports").alias("x")).where("x.name = 'inst'").select("name", F.col("x.type").alias("type"))
 
     def t(s: Column, p: str, o: Column) -> DataFrame:
         return used.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"))

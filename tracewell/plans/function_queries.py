@@ -201,11 +201,11 @@ def incident_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program.snapshot_vars(program.incidents(raw))
 
 
-@query("""SELECT l_orderkey AS corr, list_sort(list(DISTINCT 'v' || l_linenumber || '=' || l_partkey)) AS ints FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1""")
+@query("""SELECT l_orderkey AS corr, list_sort(list(DISTINCT 'v' || l_linenumber || '=' || l_partkey)) AS ints FROM lineitem GROUP BY 1""")
 def typed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values by type tag, by correlation; here whole numbers of lines, in a column of texts."""
     rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("corr"), "l_linenumber", "l_partkey").agg(F.lit("int32").alias("t"))
-    rows = rows.where("l_linenumber % 2 = 0").select("corr", F.concat(F.lit("v"), _s("l_linenumber"), F.lit("="), _s("l_partkey")).alias("id"), "t", _s("l_partkey").alias("v"))
+    rows = rows.select("corr", F.concat(F.lit("v"), _s("l_linenumber"), F.lit("="), _s("l_partkey")).alias("id"), "t", _s("l_partkey").alias("v"))
     found = program.typed_snapshot(rows)
     return found.select("corr", F.array_sort(F.map_keys(F.map_filter("int32s", lambda k, v: F.substring_index(k, "=", -1) == v.cast("string")))).alias("ints"))
 
