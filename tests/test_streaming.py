@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import windows
@@ -34,7 +35,16 @@ def batches(spark, tmp_path, name, rows, every=40):
     return s.event_source(spark, str(at / "*.parquet"), most_files=1)
 
 
-def test_state_crosses_batches(spark, tmp_path):
+@pytest.fixture
+def one_partition(spark):
+    """Many micro-batches of few rows: one state store instead of several."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_state_crosses_batches(spark, tmp_path, one_partition):
     """Pairs once per correlation, sessions and timelines over several micro-batches, and state that ends."""
     as_set = lambda x: {tuple(r) for r in x}
     rows = [(1, 1, "a", 0.0, 10), (2, 2, "b", 0.0, 20), (1, 3, "a", 0.0, 50), (1, 4, "b", 0.0, 90), (2, 5, "a", 0.0, 130), (1, 6, "b", 0.0, 140), (2, 7, "b", 0.0, 170), (3, 8, "a", 0.0, 180)]
@@ -52,13 +62,13 @@ def test_state_crosses_batches(spark, tmp_path):
     next((tmp_path / "gone" / "old").glob("part-*")).rename(tmp_path / "gone" / "9.parquet")
     os.utime(tmp_path / "gone" / "9.parquet", (1_700_001_000, 1_700_001_000))
     assert sorted(tuple(r)[0] for r in run(s.event_pairs(at, "a", "b", "1 second", "1 hour"), "gone")) == [1, 2]
-    fold = [(1, 1, "start", 0.0, 0), (1, 2, "up", 1.5, 50), (1, 3, "up", 2.5, 90), (1, 4, "fail", 0.0, 130), (1, 5, "fail", 0.0, 140), (1, 6, "done", 0.0, 170), (1, 7, "fail", 0.0, 210), (2, 8, "fail", 0.0, 220)]
+    fold = [(1, 1, "start", 0.0, 5), (1, 2, "up", 1.5, 50), (1, 3, "up", 2.5, 90), (1, 4, "fail", 0.0, 130), (1, 5, "fail", 0.0, 140), (1, 6, "done", 0.0, 170), (1, 7, "fail", 0.0, 210), (2, 8, "fail", 0.0, 220)]
     src = batches(spark, tmp_path, "fold", fold)
     assert as_set(run(s.session_fold(src, "start", ["up"], ["fail"], "done", "5 minutes"), "folds")) == {(1, "fail", True, "up=2.5"), (1, "fail", False, ""), (2, "fail", False, "")}
     src = batches(spark, tmp_path, "flush", fold)
     got = sorted(tuple(r) for r in run(s.timeline(src, "done", "5 minutes"), "flushed"))
-    assert [(r[1], r[3], r[4]) for r in got] == [(1, 0, 0), (2, 50_000, 50_000), (3, 40_000, 90_000), (4, 40_000, 130_000), (5, 10_000, 140_000), (6, 30_000, 170_000)]
-    edges = [(1, 1, "v", 5.0, 0), (1, 2, "v", 1.0, 50), (1, 3, "v", 5.0, 90), (1, 4, "v", 6.0, 130), (1, 5, "v", 1.0, 131), (1, 6, "v", 7.0, 170)]
+    assert [(r[1], r[3], r[4]) for r in got] == [(1, 0, 0), (2, 45_000, 45_000), (3, 40_000, 85_000), (4, 40_000, 125_000), (5, 10_000, 135_000), (6, 30_000, 165_000)]
+    edges = [(1, 1, "v", 5.0, 5), (1, 2, "v", 1.0, 50), (1, 3, "v", 5.0, 90), (1, 4, "v", 6.0, 130), (1, 5, "v", 1.0, 131), (1, 6, "v", 7.0, 170)]
     assert sorted(r["event_id"] for r in run(s.rising_edges(batches(spark, tmp_path, "edges", edges), 4.0, "5 minutes"), "rises")) == [3, 6]
 
 
