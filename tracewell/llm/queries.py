@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
+from .conversations import DELETE, INSERT, REROLE, TRUNCATED, UNREACHED, damage, repair_conversations
 from .fingerprints import fingerprints
 from .jaccard import ngram_jaccard_join
 from .langid import fit_language_models, held_out, predict_language
@@ -66,6 +67,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = repair_conversations(damage(table(spark, sf_dir, "conversations")))
+    return repaired.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("turns", "repaired")
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op2_fingerprints that SQL can tell."""
     return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -88,12 +94,47 @@ def mixture_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [edited_texts, rule_counts, mixture_weights, op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_warc, op6_language, op7_mix_sources, op8_quality, op9_quality_rules, op10_licences]
+    found = [edited_texts, rule_counts, mixture_weights, op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_warc, op6_language, op7_mix_sources, op8_quality, op9_quality_rules, op10_licences, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
+def _repair_sql() -> str:
+    """The SQL of op13_conversation_repair: a checksum bit by bit, and a fold by list_reduce."""
+    bits = "list_reduce(range(8), lambda b, i: xor(b >> 1, CASE WHEN b % 2 = 1 THEN 3988292384 ELSE 0 END), xor(h, x))"
+    crc = f"xor(list_reduce(list_transform(range(length(k)), lambda i: CAST(ascii(substr(k, i + 1, 1)) AS BIGINT)), lambda h, x: {bits}, 4294967295), 4294967295)"
+    edit = lambda way, cost, letter, code: f"{{'c': ({way}).c + {cost}, 'a': ({way}).a || {letter}, 'p': ({way}).p || {code}}}"
+    stays = f"(CASE t.fault WHEN 'truncated' THEN {TRUNCATED} WHEN '' THEN 0 ELSE {UNREACHED} END)"
+    takes = lambda way, r: edit(way, f"{stays} + (CASE WHEN t.initial = '{r}' THEN 0 ELSE {REROLE} END)", f"(CASE WHEN t.initial = '{r}' THEN 'K' ELSE 'R' END)", f"(CASE WHEN t.initial = '{r}' THEN 'K' ELSE '{r}' END)")
+    gone = lambda way: edit(way, DELETE, "'D'", "'D'")
+    after_u = f"least(w[3], {edit('least(w[1], w[2], w[4])', INSERT, chr(39) + 'I' + chr(39), chr(39) + 'U' + chr(39))})"
+    inserted = f"list_transform([{after_u}], lambda u: [w[1], w[2], u, least(w[4], {edit('u', INSERT, chr(39) + 'I' + chr(39), chr(39) + 'A' + chr(39))})])[1]"
+    opens = edit("x[1]", f"{stays} + (CASE WHEN t.initial = 's' THEN 0 ELSE {UNREACHED} END)", "'K'", "'K'")
+    step = f"list_transform([{inserted}], lambda x: [{gone('x[1]')}, least({gone('x[2]')}, {opens}), least({gone('x[3]')}, {takes('least(x[1], x[2], x[4])', 'u')}), least({gone('x[4]')}, {takes('x[3]', 'a')})])[1]"
+    begin = "[{'c': CAST(0 AS BIGINT), 'a': '', 'p': ''}, " + ", ".join([f"{{'c': CAST({UNREACHED} AS BIGINT), 'a': '', 'p': ''}}"] * 3) + "]"
+    insert = lambda code: f"replace(replace({code}, 'U', 'user:' || chr(10)), 'A', 'assistant:' || chr(10))"
+    line = """CASE right(codes[i], 1) WHEN 'D' THEN '' WHEN 'K' THEN ts[i].role || ':' || ts[i].text || chr(10) WHEN 'u' THEN 'user:' || ts[i].text || chr(10) ELSE 'assistant:' || ts[i].text || chr(10) END"""
+    return rf"""
+        WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        c AS (SELECT *, {crc} % 20 AS c FROM k),
+        d AS (SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, left(role, 1) AS initial, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM p),
+        f AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, list({{'initial': initial, 'fault': fault, 'role': role, 'text': text}} ORDER BY pos) AS ts FROM f GROUP BY conv_id),
+        e AS (SELECT *, list_reduce(ts, lambda w, t: {step}, {begin}) AS w FROM g),
+        b AS (SELECT * EXCLUDE w, least(w[1], w[4]) AS best FROM (SELECT * EXCLUDE w, {inserted} AS w FROM e)),
+        r AS (SELECT *, regexp_extract_all(best.p, '[UA]*[DKua]') AS codes FROM b),
+        t AS (SELECT *, list_reduce(list_transform(range(1, len(ts) + 1), lambda i: {insert("regexp_extract(codes[i], '^[UA]*')")} || {line}), lambda x, y: x || y, '') || {insert("regexp_extract(best.p, '[UA]*$')")} AS out FROM r)
+        SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(left(out, length(out) - 1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN t ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_conversation_repair": _repair_sql(),
         "op1_ngram_jaccard_join": r"""
             WITH RECURSIVE w AS (
                 SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
