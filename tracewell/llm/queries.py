@@ -17,6 +17,7 @@ from .licenses import licence_scan
 from .mixing import mix_sources, solve_exponent, whitespace_tokens
 from .quality_model import quality_classifier
 from .quality_rules import quality_rules
+from .secrets import KEYWORDS, KINDS, LEAST_ASSIGNED, secret_scan, written
 from .toxicity import fit_toxicity, score_toxicity
 from .warc import warc_round_trip
 
@@ -67,6 +68,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) AS n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = repair_conversations(damage(table(spark, sf_dir, "conversations")))
     return repaired.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("turns", "repaired")
@@ -77,6 +85,11 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op12_secrets that SQL can tell."""
+    return op12_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op9_quality_rules that SQL can tell."""
     return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -94,7 +107,7 @@ def mixture_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [edited_texts, rule_counts, mixture_weights, op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_warc, op6_language, op7_mix_sources, op8_quality, op9_quality_rules, op10_licences, op13_conversation_repair]
+    found = [edited_texts, rule_counts, mixture_weights, secret_counts, op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_warc, op6_language, op7_mix_sources, op8_quality, op9_quality_rules, op10_licences, op12_secrets, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
@@ -133,8 +146,14 @@ def _repair_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    either_case = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in KEYWORDS)
     return {
         "op13_conversation_repair": _repair_sql(),
+        "secret_counts": rf"""
+            SELECT doc_id, len(list_filter(regexp_extract_all(t, '({either_case})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= {LEAST_ASSIGNED})) AS n_assign,
+                len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        """,
         "op1_ngram_jaccard_join": r"""
             WITH RECURSIVE w AS (
                 SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
