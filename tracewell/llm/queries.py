@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .common import table
 from .conversations import DELETE, INSERT, REROLE, TRUNCATED, UNREACHED, damage, repair_conversations
+from .fim import fill_in_middle, restored
 from .fingerprints import fingerprints
 from .jaccard import ngram_jaccard_join
 from .langid import fit_language_models, held_out, predict_language
@@ -68,6 +69,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
@@ -107,7 +114,7 @@ def mixture_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [edited_texts, rule_counts, mixture_weights, secret_counts, op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_warc, op6_language, op7_mix_sources, op8_quality, op9_quality_rules, op10_licences, op12_secrets, op13_conversation_repair]
+    found = [edited_texts, rule_counts, mixture_weights, secret_counts, op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_byte_bpe, op5_warc, op6_language, op7_mix_sources, op8_quality, op9_quality_rules, op10_licences, op11_fill_in_middle, op12_secrets, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
@@ -149,6 +156,15 @@ def oracle_sql() -> dict[str, str]:
     either_case = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in KEYWORDS)
     return {
         "op13_conversation_repair": _repair_sql(),
+        "op11_fill_in_middle": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+            h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(x, 1, 8) AS UBIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS UBIGINT) AS h2, CAST('0x' || substr(x, 17, 8) AS UBIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS UBIGINT) AS h4 FROM d),
+            c AS (SELECT *, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+                CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+            p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+            SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+        """,
         "secret_counts": rf"""
             SELECT doc_id, len(list_filter(regexp_extract_all(t, '({either_case})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= {LEAST_ASSIGNED})) AS n_assign,
                 len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
