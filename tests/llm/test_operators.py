@@ -587,6 +587,13 @@ def test_licences_of_no_known_family(spark, licence_model):
     assert [t for i, t in enumerate(texts) if got[i]["family"] != "unknown"] == []
 
 
+def test_licences_in_long_repetitions(spark, licence_model):
+    """Patterns that recurse once per repetition end the JVM long before this."""
+    rows = [(1, "MIT License" + "\n" * 100_000 + "x"), (2, "MIT License\n" + " \n" * 100_000 + "MIT License"), (3, "license " + "1." * 100_000 + "1"), (4, "MIT License" + "\r\n" * 100_000), (5, "MIT License" + " " * 100_000 + "\nx")]
+    got = Counter((r["doc_id"], r["paragraph"], r["licence"]) for r in scanned(spark, rows, licence_model))
+    assert got == {(1, 0, "mit"): 1, (2, 0, "mit"): 1, (2, 1, "mit"): 1, (3, 0, "unknown"): 1, (4, 0, "mit"): 1, (5, 0, "mit"): 1}
+
+
 def test_licence_recall_on_unseen_wordings(spark, licence_model):
     texts = {
         "mit": ["MIT license", "This project is MIT licensed.", "Code in this folder falls under the MIT license, see below", "(c) 2021 Ann Example, MIT License", "available to anyone under an MIT licence"],

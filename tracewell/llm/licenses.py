@@ -12,8 +12,10 @@ paragraph: all word pairs of a short one, most of a long one.
 
 from __future__ import annotations
 
+import json
 import random
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,8 +60,11 @@ NAMING = frozenset("apache asl bsd cc cc0 commons copyleft copyright copyrighted
 #: A paragraph with such a word speaks of a licence, whatever the model makes of it.
 MENTIONS = r"(?i)\b(?:licen[cs]e[sd]?|licensing|copyright(?:ed)?|copyleft)\b"
 
-TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
+# Repeated groups are possessive (*+): the JVM's patterns recurse once per repetition of any other group and run out of stack.
+TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*+"
 NONE, UNKNOWN = "none", "unknown"
+#: Buckets of the table of weights; an n-gram is looked for in its own only.
+BUCKETS = 4096
 #: A line of at most so many characters may go on in the next one.
 WRAPPED = 100
 #: A template of fewer word pairs must stand in the paragraph as a whole, a longer one to the share CONFIRM.
@@ -194,8 +199,9 @@ def paragraphs(text: Column) -> Column:
     """A text's paragraphs. A line break ends one where a blank line follows, or the line is longer than WRAPPED or ends a
     sentence, or the next one begins an SPDX tag; other breaks are within a wrapped paragraph."""
     plain = F.regexp_replace(text, r"\r\n?", "\n")
-    wrapped = rf"(?m)(?<=^[^\n]{{1,{WRAPPED}}})(?<![.!?\s])[^\S\n]*\n[^\S\n]*(?=\S)(?!(?i:(?:[#/*;-]+\s*)?spdx-))"
-    return F.split(F.regexp_replace(plain, wrapped, " "), r"\n(?:[^\S\n]*\n)*")
+    # the look back over the line comes last, where a line break follows: at every place it would cost WRAPPED steps
+    wrapped = rf"(?m)(?<![.!?\s])(?=[^\S\n]*\n)(?<=^[^\n]{{1,{WRAPPED}}})[^\S\n]*\n[^\S\n]*(?=\S)(?!(?i:(?:[#/*;-]+\s*)?spdx-))"
+    return F.split(F.regexp_replace(plain, wrapped, " "), r"\n(?:[^\S\n]*\n)*+")
 
 
 def sample_paragraphs(docs: DataFrame, most: int = 2000, longest: int = 2000) -> list[str]:
@@ -221,7 +227,7 @@ def licence_scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFram
 
     A paragraph speaks of a licence where the model says so or it has one of the words of MENTIONS. Null and empty texts
     have no paragraphs. Repeated rows give repeated results. All paragraphs of whole texts are judged, however long.
-    Other columns are ignored; an empty table gives no rows.
+    Of equally likely classes the first counts (none, unknown, then by name). Other columns are ignored; an empty table gives no rows.
     """
     model = model or fit_licences(sample_paragraphs(docs))
     gate = r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(TELLING, key=lambda w: (-len(w), w))) + r")(?![a-z0-9])"
@@ -230,13 +236,19 @@ def licence_scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFram
     words = F.regexp_extract_all(F.lower("p"), F.lit(f"({TOKEN})"), F.lit(1))
     listed = ",".join(f"'{w}'" for w in sorted(TELLING))
     pairs = "if(size(words) < 2, cast(array() as array<string>), transform(sequence(1, size(words) - 1), i -> concat(words[i - 1], ' ', words[i])))"
-    weights = "map(" + ",".join(f"{_sql([g])[6:-1]},{_doubles(w)}" for g, w in sorted(model.weights.items())) + ")"
+    buckets: list[dict[str, list[float]]] = [{} for _ in range(BUCKETS)]
+    for g, w in sorted(model.weights.items()):
+        buckets[zlib.crc32(g.encode()) % BUCKETS][g] = [float(f"{x:.9e}") for x in w]
+    # one string for the analyser, one value from the optimiser on
+    weights = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<double>>>")
     zeros = _doubles([0.0] * len(model.classes))
     rows = _held(_held(rows, "words", words), "pairs", pairs)
     near = f"if(size(words) < 2, cast(array() as array<string>), transform(filter(sequence(1, size(words) - 1), i -> words[i - 1] in ({listed}) or words[i] in ({listed})), i -> concat(words[i - 1], ' ', words[i])))"
     three = f"if(size(words) < 3, cast(array() as array<string>), transform(filter(sequence(2, size(words) - 1), i -> words[i - 2] in ({listed})), i -> concat(words[i - 2], ' ', words[i - 1], ' ', words[i])))"
-    known = f"filter(transform(array_distinct(concat(filter(words, w -> w in ({listed})), {near}, {three})), g -> element_at({weights}, g)), w -> w is not null)"
-    rows = _held(rows, "sums", f"aggregate({known}, {zeros}, (a, w) -> zip_with(a, w, (x, y) -> x + y))")
+    rows = _held(rows, "grams", f"array_distinct(concat(filter(words, w -> w in ({listed})), {near}, {three}))")
+    of = lambda g: F.try_element_at(F.get(weights, F.pmod(F.crc32(g.cast("binary")), F.lit(BUCKETS)).cast("int")), g)
+    rows = _held(rows, "known", F.filter(F.transform("grams", of), lambda w: w.isNotNull()))
+    rows = _held(rows, "sums", f"aggregate(known, {zeros}, (a, w) -> zip_with(a, w, (x, y) -> x + y))")
     rows = _held(rows, "z", f"zip_with(sums, {_doubles(model.bias)}, (x, y) -> (x + y) * {model.scale:.9e}D)")
     rows = _held(rows, "e", "transform(z, v -> exp(v - array_max(z)))").withColumn("total", F.expr("aggregate(e, 0D, (a, v) -> a + v)"))
     rows = rows.withColumn("at", F.expr("cast(array_position(e, array_max(e)) as int)")).withColumn("probability", F.expr("array_max(e) / total"))
