@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,11 +64,23 @@ def test_samples(spark):
     assert fim.fill_in_middle(df.limit(0)).collect() == []
 
 
-def test_one_list_per_text(spark):
+def test_one_list_per_text(spark, monkeypatch):
     docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'hot text', concat('text ', id)) AS text")
     index = fim.text_index(docs.selectExpr("unhex(sha2(text, 256)) AS digest", "0L AS salt", "text")).collect()
     assert len(index) == 2001
-    assert all(fim.select(r["boundaries"], len(r["text"])) == len(r["text"].encode()) for r in index)
     lying = docs.selectExpr("X'00' AS digest", "0L AS salt", "text")
     with pytest.raises(Exception, match="two texts have one digest"):
         fim.text_index(lying).collect()
+    built = []
+    monkeypatch.setattr(fim, "boundaries", lambda text, f=fim.boundaries: built.append(bytes(text)) or f(text))
+    ids = [b"a", b"a", b"b", b"b", b"b"]
+    part = [pa.array(ids, pa.binary()), pa.array([x * 3 for x in ids], pa.binary()), pa.array(range(5)), pa.array([7] * 5)]
+    found = [x for a in fim._cuts(iter([[p[:3] for p in part], [p[3:] for p in part]])) for x in a.to_pylist()]
+    assert built == [b"aaa", b"bbb"] and [(x["n"], x["begin"], x["end"]) for x in found] == [(3, 0, 3), (3, 1, 3), (3, 2, 3), (3, 3, 3), (3, 0, 3)]
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.range(100).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    plan = fim.fill_in_middle(docs)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(digest" in x]
+    assert len(moved) == 2, plan

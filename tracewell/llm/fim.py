@@ -1,8 +1,8 @@
 """Fill-in-the-middle samples by an index of distinct texts.
 
-Documents of identical texts share one index row: the text and the byte offsets of its code points as an Elias-Fano list,
-built once. Documents are joined to it by their text's digest, and each one's two seeded cuts are looked up in the list, so
-that no text is decoded to be cut. A list of m ascending numbers below u keeps each number's low bits as they are
+Documents of identical texts share one index row, to which they are joined by their text's digest. The byte offsets of the
+text's code points are put into an Elias-Fano list once per index row, as its documents follow each other there, and each
+document's two seeded cuts are looked up in the list, so that no text is decoded to be cut. A list of m ascending numbers below u keeps each number's low bits as they are
 and its high part, plus its place, as a one in a bit string, with the ones before every block counted; the i-th number is read in one block.
 """
 
@@ -12,7 +12,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +63,7 @@ def length(packed: bytes) -> int:
     return struct.unpack_from("<q", packed)[0]
 
 
-def boundaries(text: bytes) -> bytes:
+def boundaries(text: bytes | pa.Buffer) -> bytes:
     """Where the code points of a UTF-8 text begin, and its end."""
     b = np.frombuffer(text, np.uint8)
     starts = lambda at: np.flatnonzero((b[at : at + CHUNK] & 0xC0) != 0x80) + at
@@ -77,31 +77,34 @@ def boundaries(text: bytes) -> bytes:
     return elias_fano(values(), m, len(b))
 
 
-def _boundaries(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([boundaries(t.encode()) for t in batch], dtype=object)
+_CUTS = "n long, prefix long, reach long, begin long, end long"
 
 
-def _cuts(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Of each list and two draws: code points, the two cuts in code points, and in bytes."""
-    for lists, h1, h2 in parts:
+def _cuts(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of each (digest, text, h1, h2): code points, the two cuts in code points, and in bytes. Rows of one digest follow each
+    other: their text's list is built once."""
+    own, packed = None, b""
+    for digests, texts, h1, h2 in parts:
         out = []
-        for packed, x, y in zip(lists, h1, h2, strict=True):
+        for digest, text, x, y in zip(digests.to_pylist(), texts, h1.to_pylist(), h2.to_pylist(), strict=True):
+            if digest != own:
+                own, packed = digest, boundaries(text.as_buffer())
             m = length(packed)
-            a, b = sorted((int(x) % m, int(y) % m))
+            a, b = sorted((x % m, y % m))
             out.append((m - 1, a, b, select(packed, a), select(packed, b)))
-        yield pd.DataFrame(out, columns=["n", "prefix", "reach", "begin", "end"])
+        names = [c.split()[0] for c in _CUTS.split(", ")]
+        yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 5, names)
 
 
 def text_index(docs: DataFrame) -> DataFrame:
-    """The distinct texts of docs(digest, salt, text): digest, salt, text and the list of its boundaries.
+    """The distinct texts of docs(digest, salt, text): digest, salt and text.
 
     A digest stands for one text: its rows have to agree in length and in a second hash, or the job ends in an error.
     """
     same = F.struct(F.length(F.col("text").cast("binary")).alias("bytes"), F.xxhash64("text").alias("hash"))
     found = docs.groupBy("digest", "salt").agg(F.first("text").alias("text"), F.min(same).alias("lo"), F.max(same).alias("hi"))
     checked = F.when(F.col("lo") == F.col("hi"), F.col("text")).otherwise(F.raise_error(F.lit("two texts have one digest")))
-    return found.select("digest", "salt", checked.alias("text")).withColumn("boundaries", F.pandas_udf(_boundaries, "binary")("text"))
+    return found.select("digest", "salt", checked.alias("text"))
 
 
 def restored(output: Column, form: Column) -> Column:
@@ -144,9 +147,10 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, plain_share: int = 10, spm_sh
     rows = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "salt", "text")
     drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     numbers = [F.conv(F.substring(drawn, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k + 1}") for k in range(4)]
+    # both sides are dealt out by (digest, salt), and Python comes behind the join: it would lose that and shuffle texts again
     index = text_index(rows.select("digest", "salt", "text")).hint("merge")
     out = rows.select("doc_id", "digest", "salt", *numbers).join(index, ["digest", "salt"])
-    out = out.withColumn("cut", F.pandas_udf(_cuts, "n long, prefix long, reach long, begin long, end long")("boundaries", "h1", "h2"))
+    out = out.withColumn("cut", F.arrow_udf(_cuts, _CUTS)("digest", F.col("text").cast("binary"), "h1", "h2"))
     marked = F.col("text").contains(PREFIX) | F.col("text").contains(SUFFIX) | F.col("text").contains(MIDDLE)
     plain = (F.col("cut.n") == 0) | marked | (F.col("h3") % 100 >= 100 - plain_share)
     form = F.when(plain, F.lit("plain")).when(F.col("h4") % 100 < spm_share, F.lit("spm")).otherwise(F.lit("psm"))
