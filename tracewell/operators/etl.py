@@ -116,31 +116,46 @@ def globals_(rows: DataFrame) -> DataFrame:
     return _all(_rows(g, var, "dp:hasVariableName", F.concat_ws(".", "gvl", "name"), "literal"), _rows(g, var, "dp:hasVariableName", F.col("name"), "literal"), _rows(g, var, "dp:hasHardwareAddress", F.col("address"), "literal"), _rows(g, var, "dp:hasDefault", F.col("init"), "literal"))
 
 
-CALLS = "caller string, instance string, idx int, direction string, port string, expression string"
+CALLS = "caller string, instance string, idx int, direction string, port string, place int, expression string"
 
 
 def call_bindings(rows: DataFrame) -> DataFrame:
-    """One row per argument of each call statement in the code, and one without port for a call without arguments."""
+    """One row per argument of each call statement in the code, and one without port for a call without arguments. An argument
+    without a name has its place (from 0) instead of a port."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for name, code in zip(b["name"], b["code"], strict=True):
-                for instance, idx, ins, outs in logic.calls(code or ""):
-                    args = [("Input", k, v) for k, v in ins.items()] + [("Output", k, v) for k, v in outs.items()]
-                    out += [(name, instance, idx, d, k, v) for d, k, v in args or [(None, None, None)]]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CALLS.split(", ")])
+                for c in logic.call_statements(code or ""):
+                    args = [("Input", k, None, v) for k, v in c.inputs.items()] + [("Output", k, None, v) for k, v in c.outputs.items()] + [("Input", None, i, v) for i, v in enumerate(c.placed)]
+                    out += [(name, c.name, c.idx, *a) for a in args or [(None,) * 4]]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CALLS.split(", ")]).astype({"place": "Int32"})
 
     return rows.select("name", "code").mapInPandas(run, CALLS)
 
 
+def _instances(rows: DataFrame) -> DataFrame:
+    """(caller, k, callee): a unit's local names in lower case and their types, of arrays those of their elements."""
+    own = rows.select(F.col("name").alias("caller"), F.explode("ports").alias("x")).where("x.direction = 'Local'")
+    return own.select("caller", F.lower("x.name").alias("k"), F.regexp_replace("x.type", r"(?is)^\s*ARRAY\s*\[[^\]]*\]\s*OF\s+", "").alias("callee"))
+
+
+def _head(c: str) -> Column:
+    """The first name of a called one, in lower case: of t.Start and t[1] it is t."""
+    return F.lower(F.regexp_extract(c, r"^\w+", 0))
+
+
 def calls(rows: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Call and assignment triples: caller contains call, call calls the type of the instance's declaration."""
-    instances = rows.select(F.col("name").alias("caller"), F.explode("ports").alias("x")).where("x.direction = 'Local'").select("caller", F.lower("x.name").alias("k"), F.col("x.type").alias("callee"))
-    found = bindings.withColumn("k", F.lower("instance")).join(instances, ["caller", "k"])
+    """Call and assignment triples: caller contains call, call calls the type of the instance's declaration. Arguments without a
+    name go to the callee's inputs in the order of their declaration."""
+    found = bindings.withColumn("k", _head("instance")).join(_instances(rows), ["caller", "k"])
+    inputs = F.filter("ports", lambda p: p["direction"] == "Input")
+    placed = rows.select(F.col("name").alias("callee"), F.posexplode(inputs).alias("place", "x")).select("callee", "place", F.col("x.name").alias("at"))
+    found = found.join(placed, ["callee", "place"], "left").withColumn("port", F.coalesce("port", "at"))
     call = key("Call", "caller", "instance", F.col("idx").cast("string"))
-    assign = key("Assign", "caller", "instance", F.col("idx").cast("string"), "port")
-    return _all(_rows(found, key("POU", "caller"), "op:containsPOUCall", call), _rows(found, call, "op:callsPOU", key("POU", "callee")), _rows(found, call, "op:hasAssignment", assign), _rows(found, assign, "dp:hasExpression", F.col("expression"), "literal"), _rows(found, assign, "op:assignsToPort", key("Port", "callee", "port")))
+    assign = F.when(F.col("port").isNotNull(), key("Assign", "caller", "instance", F.col("idx").cast("string"), "port"))
+    return _all(_rows(found, key("POU", "caller"), "op:containsPOUCall", call), _rows(found, call, "op:callsPOU", key("POU", "callee")), _rows(found, call, "op:hasAssignment", assign), _rows(found, assign, "dp:hasExpression", F.col("expression"), "literal"), _rows(found, assign, "op:assignsToPort", F.when(F.col("port").isNotNull(), key("Port", "callee", "port"))))
 
 
 def defaults(rows: DataFrame) -> DataFrame:
@@ -446,5 +461,4 @@ def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io
 
 def calls_of(rows: DataFrame, bindings: DataFrame) -> DataFrame:
     """(caller, callee) names, once each: the declared types of the instances that code calls."""
-    instances = rows.select(F.col("name").alias("caller"), F.explode("ports").alias("x")).where("x.direction = 'Local'").select("caller", F.lower("x.name").alias("k"), F.col("x.type").alias("callee"))
-    return bindings.select("caller", F.lower("instance").alias("k")).join(instances, ["caller", "k"]).select("caller", "callee").distinct()
+    return bindings.select("caller", _head("instance").alias("k")).join(_instances(rows), ["caller", "k"]).select("caller", "callee").distinct()

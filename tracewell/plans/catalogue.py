@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import diagnosis_queries, etl_queries, event_queries, function_queries, graph_queries, program_queries, retrieval_queries, triple_queries  # noqa: F401  they register
+from . import code_queries, diagnosis_queries, etl_queries, event_queries, function_queries, graph_queries, program_queries, retrieval_queries, triple_queries  # noqa: F401  they register
 from .registry import QUERIES, SQL, Query
 
 
