@@ -156,6 +156,14 @@ def test_files_round_trip(spark, tmp_path):
         turtle.read_ntriples(spark, str(tmp_path / "y.nt")).collect()
 
 
+def test_ntriples_with_long_literals(spark, tmp_path):
+    """Patterns that recurse once per character end the JVM at a few thousand."""
+    texts = ["x" * 1_000_000, "a\"\\\n" * 200_000, "é" * 5000]
+    df = spark.createDataFrame([(f"http://e/{i}", "http://e/p", t, "literal", turtle.XSD + "string", None) for i, t in enumerate(texts)], turtle.SCHEMA)
+    turtle.ntriples(df).write.text(str(tmp_path / "long"))
+    assert {r["s"]: r["o"] for r in turtle.read_ntriples(spark, str(tmp_path / "long")).collect()} == {f"http://e/{i}": t for i, t in enumerate(texts)}
+
+
 def test_typed_snapshot(spark):
     rows = [("c", "a", "bool", "true"), ("c", "b", "uint64", "18446744073709551615"), ("c", "d", "int16", "70000"), ("c", "e", "uint16", "65535"), ("c", "f", "float", "1.5"), ("c", "g", "other", "x")]
     r = program.typed_snapshot(spark.createDataFrame(rows, "corr string, id string, t string, v string")).first()

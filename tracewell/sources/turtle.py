@@ -150,7 +150,8 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
 
     Blank lines and comments go; a line of any other form raises an error when it is read.
     """
-    form = r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+    # possessive: the JVM's patterns recurse once per repetition of any other group and run out of stack on long literals
+    form = r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
     part = lambda i: F.nullif(F.regexp_extract("value", form, i), F.lit(""))
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
     literal = part(4).isNull() & part(5).isNull()
