@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logic
-from ..operators import trace
+from ..operators import trace, trace_tables
 from ..tables import load
 from .registry import query
 
@@ -52,3 +52,29 @@ def requirement_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["l_orderkey", *trace.COLUMNS])
 
     return programs.mapInPandas(run, "l_orderkey long, " + trace.SCHEMA)
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 4 + 1 AS n FROM part), u AS (SELECT k, n, unnest(range(n)) AS i FROM p),
+    r AS (SELECT k, unnest([{'d': 4 * i, 't': 'x', 'v': true, 'u': 'U' || i, 'kind': 'internal_variable', 'why': 'variable', 'a': NULL}, {'d': 4 * i + 1, 't': 'x', 'v': true, 'u': 'U' || i, 'kind': 'internal_assignment', 'why': 'line 2', 'a': 'x := sub.out'},
+        {'d': 4 * i + 2, 't': 'g' || i, 'v': true, 'u': 'U' || i, 'kind': 'unknown', 'why': 'not declared', 'a': NULL}, {'d': 4 * i + 2, 't': 'sub.out', 'v': true, 'u': 'U' || i, 'kind': 'instance_port', 'why': 'output of U' || (i + 1), 'a': NULL},
+        {'d': 4 * i + 3, 't': 'out', 'v': true, 'u': 'U' || (i + 1), 'kind': 'output_assignment', 'why': CASE WHEN i + 1 < n THEN 'line 3' ELSE 'line 2' END, 'a': 'out := x'}]) AS s FROM u
+        UNION ALL SELECT k, unnest([{'d': 4 * n, 't': 'x', 'v': true, 'u': 'U' || n, 'kind': 'internal_variable', 'why': 'variable', 'a': NULL}, {'d': 4 * n + 1, 't': 'x', 'v': true, 'u': 'U' || n, 'kind': 'internal_assignment', 'why': 'line 1', 'a': 'x := in1'},
+        {'d': 4 * n + 2, 't': 'in1', 'v': true, 'u': 'U' || n, 'kind': 'port_mapping', 'why': 'called by U0', 'a': 'NOT Start' || k}, {'d': 4 * n + 3, 't': 'Start' || k, 'v': false, 'u': 'U0', 'kind': 'global_variable', 'why': CASE WHEN k % 2 = 0 THEN '%IX' || k || '.0' ELSE 'no hardware' END, 'a': NULL}]) FROM p)
+    SELECT k AS trace, '1' AS path_id, CAST(s.d AS INTEGER) AS depth, s.t AS token, s.v AS value, s.u AS pou, s.kind AS kind, s.why AS reason, s.a AS assignment FROM r""")
+def program_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace through a chain of units in a program of each part's own, level by level over tables: to a global through
+    calls, guards and wiring; as many units as the part's size says."""
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 4 + 1).alias("n"))
+    name = lambda i: F.concat(F.lit("U"), i.cast("string"))
+    u = part.select("k", "n", F.explode(F.sequence(F.lit(0), "n")).alias("i"))
+    last, program = F.col("i") == F.col("n"), F.concat(F.lit("P"), F.col("k").cast("string"))
+    code = F.when(last, F.lit("x := in1;\nout := x;")).otherwise(F.concat(F.lit("IF g"), F.col("i").cast("string"), F.lit(" THEN // x := TRUE;\nx := sub.out; END_IF\nout := x; sub();")))
+    none, text = F.lit(None).cast("string"), "map<string,string>"
+    one = lambda k, v: F.create_map(F.lit(k), v).cast(text)
+    empty = F.create_map().cast(text)
+    units = u.select(program.alias("program"), name(F.col("i")).alias("name"), code.alias("code"), F.lit("ST").alias("language"), F.when(last, one("in1", none)).otherwise(empty).alias("inputs"), one("out", none).alias("outputs"), one("x", none).alias("variables"), F.when(last, empty).otherwise(one("sub", name(F.col("i") + 1))).alias("instances"), F.lit(False).alias("is_job_method"), empty.alias("methods"), none.alias("owner"))
+    start = F.concat(F.lit("Start"), F.col("k").cast("string"))
+    wiring = part.select(program.alias("program"), name(F.col("n")).alias("pou"), F.lit("in1").alias("port"), F.lit(0).alias("place"), F.lit("U0").alias("caller"), F.concat(F.lit("NOT "), start).alias("expression"))
+    names = part.select(program.alias("program"), start.alias("name"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("%IX"), F.col("k").cast("string"), F.lit(".0"))).alias("address"))
+    starts = part.select(F.col("k").alias("trace"), program.alias("program"), F.lit("U0").alias("pou"), F.lit("x").alias("token"), F.lit(True).alias("value"))
+    return trace_tables.requirement_paths(units, wiring, names, starts).drop("source")

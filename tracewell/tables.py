@@ -64,3 +64,12 @@ def scratch(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     df.write.parquet(path := scratch_path(spark, what))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that scratch() wrote, once nothing reads them any more."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
