@@ -20,7 +20,7 @@ from pyspark.sql.conf import RuntimeConfig
 WORD_CACHE = 120_000
 #: Rows of a batch that goes to a Python worker: texts can be long, and both sides hold a batch at a time.
 BATCH_ROWS = 2048
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: A key with at least this share of the rows counts as hot, so that there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 512
 
