@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..functions.text import escape_iri, identifiers, strip_comments
-from ..tables import scratch
+from ..tables import discard, scratch
+from . import diagrams
 
 # The ports of the standard function blocks, as (block, direction, port, type).
 STANDARD_PORTS = [
@@ -136,8 +137,14 @@ def call_bindings(rows: DataFrame) -> DataFrame:
 
 
 def _instances(rows: DataFrame) -> DataFrame:
-    """(caller, k, callee): a unit's local names in lower case and their types, of arrays those of their elements."""
+    """(caller, k, callee): a unit's local names in lower case and their types, of arrays those of their elements; and
+    blocks of its diagram that it doesn't declare."""
     own = rows.select(F.col("name").alias("caller"), F.explode("ports").alias("x")).where("x.direction = 'Local'")
+    if "pins" in rows.columns:
+        drawn = rows.select(F.col("name").alias("caller"), F.explode("pins").alias("x")).where("x.kind = 'block' and x.type is not null")
+        drawn = drawn.select("caller", F.lower(F.coalesce(F.nullif("x.name", F.lit("")), "x.type")).alias("k"), F.col("x.type").alias("callee")).distinct()
+        declared = _instances(rows.drop("pins"))
+        return declared.unionByName(drawn.join(declared, ["caller", "k"], "left_anti"))
     return own.select("caller", F.lower("x.name").alias("k"), F.regexp_replace("x.type", r"(?is)^\s*ARRAY\s*\[[^\]]*\]\s*OF\s+", "").alias("callee"))
 
 
@@ -422,19 +429,102 @@ def failures(events: DataFrame) -> DataFrame:
     return _all(_rows(events, f, "rdf:type", F.when(F.col("failure_mode").isNotNull(), "OccurredKnownFailure").otherwise("OccurredUnknownFailure")), _rows(events, f, "op:isInstanceOf", F.col("failure_mode")), _rows(events, f, "dp:hasSummary", F.col("summary"), "literal"), _rows(acts, F.concat(F.lit("Failure_"), "corr"), "op:executedAction", F.col("a")))
 
 
+def _declared(rows: DataFrame) -> DataFrame:
+    """(pou, k, name, direction, node) of all ports and variables that units declare."""
+    d = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.lower("x.name").alias("k"), F.col("x.name").alias("name"), F.col("x.direction").alias("direction"))
+    return d.withColumn("node", F.when(F.col("direction") == "Local", key("Var", "pou", "name")).otherwise(key("Port", "pou", "name")))
+
+
+def named_node(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """named(pou, text, ...) with the node that a diagram's text stands for: the unit's own port or variable, the port of an
+    instance of its, a member of a global list, else an expression."""
+    own = _declared(rows).groupBy("pou", "k").agg(F.min("node").alias("own"))
+    instances = _instances(rows).select(F.col("caller").alias("pou"), F.col("k").alias("i"), F.lit(True).alias("instance")).distinct()
+    first, rest = F.substring_index("text", ".", 1), F.expr("substring(text, length(substring_index(text, '.', 1)) + 2)")
+    plain = F.col("text").rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)?$")
+    found = named.withColumns({"k": F.lower("text"), "i": F.when(plain & F.col("text").contains("."), F.lower(first))})
+    found = found.join(own, ["pou", "k"], "left").join(instances, ["pou", "i"], "left")
+    node = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("instance"), key("PortInstance", "pou", first, rest)).when(F.col("i").isNotNull(), key("Var", first, rest)).otherwise(key("Expression", "pou", "text"))
+    return found.withColumn("node", node).drop("k", "i", "own", "instance")
+
+
+def wire_triples(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """isFedBy triples from diagrams.wires(): ports of instances, variables, jumps and returns, and what feeds them."""
+    block = lambda n, t: F.coalesce(F.nullif(F.col(n), F.lit("")), F.col(t))
+    w = found.withColumns({"to": block("name", "type"), "by": block("from_name", "from_type")})
+    texts = named_node(w.select("pou", "text").unionByName(w.select("pou", F.col("from_text").alias("text"))).where("text is not null").distinct(), rows)
+    at = lambda c, n: texts.select("pou", F.col("text").alias(c), F.col("node").alias(n))
+    w = w.join(at("text", "to_node"), ["pou", "text"], "left").join(at("from_text", "by_node"), ["pou", "from_text"], "left")
+    target = F.when(F.col("kind") == "block", key("PortInstance", "pou", "to", "pin")).when(F.col("kind") == "jump", key("Jump", "pou", "to")).when(F.col("kind") == "return", key("Return", "pou", "element")).otherwise(F.col("to_node"))
+    source = F.when(F.col("from_kind") == "block", key("PortInstance", "pou", "by", F.coalesce("from_pin", F.lit("")))).otherwise(F.col("by_node"))
+    ports = [(w.where("kind = 'block'"), "to", "pin"), (w.where("from_kind = 'block' and from_pin is not null"), "by", "from_pin")]
+    parts = [_rows(w, target, "op:isFedBy", source)]
+    for df, i, pin in ports:
+        node = key("PortInstance", "pou", i, pin)
+        parts += [_rows(df, node, "rdf:type", F.lit("PortInstance")), _rows(df, node, "dp:hasExpressionText", F.concat_ws(".", i, pin), "literal")]
+    others = texts.where("node like 'Expression\\_%'")
+    return _all(*parts, _rows(others, F.col("node"), "rdf:type", F.lit("Expression")), _rows(others, F.col("node"), "dp:hasExpressionText", F.col("text"), "literal"))
+
+
+# Relations of methods that have a role of their own, by their names without other signs, in lower case.
+METHOD_ROLES = {"start": "op:hasStartMethod", "abort": "op:hasAbortMethod", "checkstate": "op:hasCheckStateMethod"}
+
+
+def export_facts(rows: DataFrame) -> DataFrame:
+    """Languages, job methods, methods with their ports, initial values and access flags of plcopen.read_exports() rows."""
+    pou, true = key("POU", "name"), F.lit("true")
+    m = rows.select("name", F.explode("methods").alias("m")).select("name", *[F.col(f"m.{c}").alias("method" if c == "name" else c) for c in ("name", "ports", "code", "language", "return_type", "rpc_enabled")])
+    node = key("Method", "method", "name")
+    role = F.lower(F.regexp_replace("method", "[^A-Za-z0-9]", ""))
+    p = m.select("name", "method", F.explode("ports").alias("x")).select("name", "method", F.col("x.name").alias("port"), F.col("x.direction").alias("direction"), F.col("x.type").alias("type"), F.col("x.init").alias("init"))
+    public, local = p.where("direction <> 'Local'"), p.where("direction = 'Local'")
+    port, var = key("Port", F.concat_ws("_", F.lit("Method"), "method", "name"), "port"), key("Var", F.concat_ws("_", F.lit("Method"), "method", "name"), "port")
+    ports = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.col("x.name").alias("name"), F.col("x.direction").alias("direction"), F.col("x.init").alias("init")).where("init is not null")
+    flags = access_flags(rows.select(F.col("name").alias("owner"), F.explode("attributes").alias("a")).select("owner", F.col("a.name").alias("name"), F.col("a.attribute").alias("attribute"), F.coalesce("a.value", F.lit("1")).alias("value")))
+    flagged = flags.select(F.col("owner").alias("pou"), F.lower("name").alias("k"), "visible", "writable").join(_declared(rows), ["pou", "k"])
+    parts = [
+        _rows(rows, pou, "dp:hasPOULanguage", F.col("language"), "literal"),
+        _rows(rows.where("job_method is not null"), pou, "dp:isJobMethod", true, "literal"),
+        _rows(rows, pou, "dp:hasJobMethodName", F.col("job_method"), "literal"),
+        _rows(m, pou, "op:hasMethod", node),
+        _rows(m, node, "op:isMethodOf", pou),
+        _rows(m, node, "rdf:type", F.lit("Method")),
+        _rows(m, node, "dp:hasMethodType", F.col("method"), "literal"),
+        _rows(m.where("code <> ''"), node, "dp:hasCode", F.col("code"), "literal"),
+        _rows(m, node, "dp:hasPOULanguage", F.col("language"), "literal"),
+        _rows(m, node, "dp:hasMethodReturnType", F.col("return_type"), "literal"),
+        _rows(m, node, "dp:hasTcRpcEnabled", F.coalesce("rpc_enabled", F.lit(False)), "literal"),
+        _rows(ports, F.when(F.col("direction") == "Local", key("Var", "pou", "name")).otherwise(key("Port", "pou", "name")), "dp:hasDefault", F.col("init"), "literal"),
+        _rows(flagged.where("visible"), F.col("node"), "dp:hasOPCUADataAccess", true, "literal"),
+        _rows(flagged.where("writable"), F.col("node"), "dp:hasOPCUAWriteAccess", true, "literal"),
+    ]
+    parts += [_rows(m.where(role == r), pou, relation, node) for r, relation in METHOD_ROLES.items()]
+    for df, at, relation, what in ((public, port, "op:hasPort", "Port"), (local, var, "op:hasVariable", "Variable")):
+        parts += [_rows(df, node, relation, at), _rows(df, at, f"dp:has{what}Name", F.col("port"), "literal"), _rows(df, at, f"dp:has{what}Type", F.col("type"), "literal"), _rows(df, at, "dp:hasDefault", F.col("init"), "literal")]
+    return _all(*parts, _rows(public, port, "dp:hasPortDirection", F.col("direction"), "literal"))
+
+
 def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io: DataFrame | None = None, create_defaults: bool = True) -> DataFrame:
     """The program graph from unit rows, global variable lists and IO entries (plc_var, address, io_path, raw_xml).
 
+    Rows of plcopen.read_exports() also bring their languages, methods and flags, the calls of their diagrams, what feeds
+    each pin there, and the hardware variables that their ports stand for.
+
     In order: standard blocks, units, calls, globals and their uses, defaults, IO mapping with simulated lists, flow
     edges and ports that conditions read, unused names, the layers of states and outputs, and reports. Running it twice
     on its inputs gives the same set. The graph is a table in the folder that all executors share.
     """
-    bindings, found = scratch(call_bindings(rows), "bindings"), defaults(rows)
+    drawn = "pins" in rows.columns
+    wired = scratch(diagrams.wires(rows), "wires") if drawn else None
+    in_code = call_bindings(rows)
+    bindings, found = scratch(in_code.unionByName(diagrams.diagram_bindings(rows, wired)) if drawn else in_code, "bindings"), defaults(rows)
     flows, idle = scratch(flow_edges(rows), "flows"), scratch(unused(rows), "unused")
     parts = [standard_blocks(spark), programs(rows), calls(rows, bindings), default_triples(rows, found, create_defaults), flow_triples(flows)]
     read = condition_ports(rows)
     at = key("PortInstance", "pou", "instance", "port")
     parts += [_rows(read, at, "rdf:type", F.lit("PortInstance")), _rows(read, at, "dp:hasExpressionText", F.concat_ws(".", "instance", "port"), "literal"), _rows(read, key("POU", "pou"), "op:readsInCondition", at)]
+    if drawn:
+        parts += [export_facts(rows), wire_triples(wired, rows)]
     if gvl is not None:
         names = gvl.select(F.col("name").alias("gvl"), F.explode("globals").alias("x")).select("gvl", F.col("x.name").alias("name"))
         parts += [globals_(gvl), global_uses(rows, names)]
@@ -443,7 +533,8 @@ def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io
     graph = scratch(_all(*parts), "graph")
     if gvl is not None:
         graph = scratch(simulation_mirror(graph, names)[0], "graph")
-    wired = graph.where("p = 'dp:hasHardwareAddress'").select("s").join(graph.where("p = 'dp:hasVariableName'").select("s", F.col("o").alias("name")), "s").select("name").distinct()
+    hardware = graph.where("p = 'dp:hasHardwareAddress'").select("s").join(graph.where("p = 'dp:hasVariableName'").select("s", F.col("o").alias("name")), "s").distinct()
+    named = hardware.select("name").distinct()
     kinds = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.col("x.name").alias("name"), F.col("x.direction").alias("direction"))
     idle_kinds = idle.join(kinds, ["pou", "name"])
     layers = gemma_layers(rows)
@@ -453,10 +544,15 @@ def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io
         _rows(idle_kinds.where("direction = 'Local'"), key("Var", "pou", "name"), "dp:isUnusedVar", true, "literal"),
         _rows(idle_kinds.where("direction <> 'Local'"), key("Port", "pou", "name"), "dp:isUnusedPort", true, "literal"),
         _rows(layers.where("is_modes"), key("POU", "pou"), "dp:isGEMMAStateMachine", true, "literal"),
-        _rows(output_layer(rows, bindings, wired, flows), key("POU", "pou"), "dp:isGEMMAOutputLayer", true, "literal"),
+        _rows(output_layer(rows, bindings, named, flows), key("POU", "pou"), "dp:isGEMMAOutputLayer", true, "literal"),
         _rows(consistency_reports(rows, called, idle), key("POU", "pou"), "dp:hasConsistencyReport", F.col("report"), "literal"),
     ]
-    return scratch(_all(graph, *more), "graph")
+    if drawn:
+        pending = rows.select(F.col("name").alias("pou"), F.explode("external").alias("k", "external")).withColumn("k", F.lower("k")).join(_declared(rows), ["pou", "k"]).select(F.col("node").alias("var"), "external")
+        more.append(mapped_variables(pending, hardware.select("name", F.col("s").alias("var"))))
+    done = scratch(_all(graph, *more), "graph")
+    discard(bindings, flows, idle, graph, *([wired] if drawn else []))
+    return done
 
 
 def calls_of(rows: DataFrame, bindings: DataFrame) -> DataFrame:
