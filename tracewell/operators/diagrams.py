@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import discard, scratch
 from . import graph
 
 
@@ -36,7 +37,7 @@ def wires(rows: DataFrame, most_steps: int = 1000) -> DataFrame:
     outputs that a block assigns by itself (assigned, whose source is the block). negated tells whether a direct source is
     negated on its way. Loops end where they are met again.
     """
-    p = links(rows)
+    p = scratch(links(rows), "links")
     wired = p.where("source is not null and kind <> 'assigned'")
     inner = p.where("kind = 'block' and not ends")
     edges = wired.select(_node("i", "pou", "element", "pin").alias("src"), _node("o", "pou", "source", "source_pin").alias("dst"))
@@ -47,7 +48,8 @@ def wires(rows: DataFrame, most_steps: int = 1000) -> DataFrame:
     sinks = wired.where("ends and kind = 'block' or kind in ('out', 'inout', 'jump', 'return')")
     sinks = sinks.groupBy("pou", "kind", "element", "name", "type", "pin", "text").agg(F.bool_or("negated").alias("negated"))
     roots = sinks.select(_node("i", "pou", "element", "pin").alias("root")).distinct()
-    reach = graph.reachable(edges.unionByName(through).unionByName(jumps), roots, most_steps).where("node like 'o%'").select("root", "node")
+    steps = scratch(edges.unionByName(through).unionByName(jumps), "steps")
+    reach = graph.reachable(steps, roots, most_steps).where("node like 'o%'").select("root", "node")
     producers = asked.join(p.where("kind in ('in', 'inout', 'block')").select("pou", "element", "ends", *[F.col(c).alias(f"from_{c}") for c in ("kind", "name", "type", "text")]).distinct(), ["pou", "element"])
     flips = p.where("kind in ('in', 'inout')").groupBy("pou", "element").agg(F.bool_or("negated").alias("flips"))
     found = reach.join(producers.join(flips, ["pou", "element"], "left").select(_node("o", "pou", "element", "source_pin").alias("node"), F.col("element").alias("from_element"), F.col("source_pin").alias("from_pin"), "ends", "flips", "from_kind", "from_name", "from_type", "from_text"), "node")
@@ -59,7 +61,9 @@ def wires(rows: DataFrame, most_steps: int = 1000) -> DataFrame:
     own = p.where("kind = 'assigned'").join(texts, ["pou", "source"], "left")
     null = F.lit(None).cast("string")
     own = own.select("pou", "kind", "element", null.alias("name"), null.alias("type"), null.alias("pin"), F.coalesce("text", "out_text").alias("text"), "negated", F.lit("block").alias("from_kind"), F.col("element").alias("from_element"), F.col("name").alias("from_name"), F.col("type").alias("from_type"), F.col("pin").alias("from_pin"), null.alias("from_text"), F.lit(True).alias("direct"))
-    return out.select(*columns).unionByName(own.where("text is not null"))
+    done = scratch(out.select(*columns).unionByName(own.where("text is not null")), "wires")
+    discard(p, steps)
+    return done
 
 
 def diagram_bindings(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -514,8 +514,8 @@ def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io
     edges and ports that conditions read, unused names, the layers of states and outputs, and reports. Running it twice
     on its inputs gives the same set. The graph is a table in the folder that all executors share.
     """
-    drawn = "pins" in rows.columns
-    wired = scratch(diagrams.wires(rows), "wires") if drawn else None
+    drawn, rows = "pins" in rows.columns, scratch(rows, "units")
+    wired = diagrams.wires(rows) if drawn else None
     in_code = call_bindings(rows)
     bindings, found = scratch(in_code.unionByName(diagrams.diagram_bindings(rows, wired)) if drawn else in_code, "bindings"), defaults(rows)
     flows, idle = scratch(flow_edges(rows), "flows"), scratch(unused(rows), "unused")
@@ -551,7 +551,7 @@ def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io
         pending = rows.select(F.col("name").alias("pou"), F.explode("external").alias("k", "external")).withColumn("k", F.lower("k")).join(_declared(rows), ["pou", "k"]).select(F.col("node").alias("var"), "external")
         more.append(mapped_variables(pending, hardware.select("name", F.col("s").alias("var"))))
     done = scratch(_all(graph, *more), "graph")
-    discard(bindings, flows, idle, graph, *([wired] if drawn else []))
+    discard(rows, bindings, flows, idle, graph, *([wired] if drawn else []))
     return done
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logic
-from ..operators import etl
-from ..tables import load
+from ..operators import diagrams, etl
+from ..sources import plcopen
+from ..tables import load, scratch
 from .function_queries import _each
 from .registry import query
 
@@ -80,3 +81,48 @@ def nested_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     z, k = F.col("p_size"), F.col("p_partkey")
     header = _text("FUNCTION_BLOCK F", k, "\nVAR_INPUT a : ARRAY[1..", z, ", 0..1] OF INT := [", z, "(0), ", k, "]; (* x : INT; *) s : STRING[", z, "] := 'a;", z, "'; END_VAR\nVAR p : POINTER TO ARRAY[0..1] OF Lib.Kind; q : STRUCT x : INT := ", z, "; y : STRING; END_STRUCT := (x := ", k, ", y := ';'); r AT %MW", z, " : INT(0..", z, ") := ", z, "; END_VAR")
     return etl.defaults(load(spark, sf_dir, "part").select(_text("U", k).alias("name"), header.alias("header")))
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export per part: a diagram of as many operators as the size says, and a block with a method and flags."""
+    z, k = F.col("p_size"), F.col("p_partkey")
+    link = lambda at, pin="": f'<connectionPointIn><connection refLocalId="{at}"{pin}/></connectionPointIn>'
+    pin = lambda name, inner: f'<variable formalParameter="{name}">{inner}</variable>'
+    operator = F.expr("""array_join(transform(filter(sequence(0, p_size % 3), i -> i > 0), i -> concat('<block localId="', 100 + i, '" typeName="OR"><inputVariables><variable formalParameter="a"><connectionPointIn><connection refLocalId="', if(i = 1, 1, 99 + i),
+        '"/></connectionPointIn></variable><variable formalParameter="b"><connectionPointIn><connection refLocalId="3" formalParameter="Q"/></connectionPointIn></variable></inputVariables></block>')), '')""")
+    last = F.when(z % 3 == 0, F.lit(1)).otherwise(z % 3 + 100)
+    timer = _text('<block localId="3" typeName="TON" instanceName="t"><inputVariables><variable formalParameter="IN" negated="', F.when(k % 2 == 1, "true").otherwise("false"), '">', link("1"), "</variable></inputVariables></block>")
+    mover = _text('<block localId="4" typeName="M', k, '" instanceName="m"><inputVariables><variable formalParameter="go"><connectionPointIn><connection refLocalId="9"/></connectionPointIn></variable>', pin("idle", "<connectionPointIn/>"), "</inputVariables></block>")
+    ends = _text('<connector localId="8" name="c"><connectionPointIn><connection refLocalId="', last, '"/></connectionPointIn></connector><continuation localId="9" name="c"/><outVariable localId="2"><expression>Gvl.out', z, "</expression>", link("4", ' formalParameter="done"'), "</outVariable>")
+    main = _text('<pou name="P', k, '" pouType="program"><body><FBD><inVariable localId="1"><expression>Gvl.g', z, "</expression></inVariable>", operator, timer, mover, ends, "</FBD></body></pou>")
+    block = _text('<pou name="M', k, '" pouType="functionBlock"><interface><inputVars><variable name="go"><type><BOOL/></type><initialValue><simpleValue value="', z, '"/></initialValue></variable></inputVars><addData><data><InterfaceAsPlainText><xhtml>', F.when(k % 3 == 0, _text("{attribute 'OPC.UA.DA.JobMethod' := 'Job", z, "'}")).otherwise(""), " VAR_INPUT {attribute 'OPC.UA.DA' := '1'} go : BOOL; END_VAR</xhtml></InterfaceAsPlainText></data></addData></interface>", '<body><ST>x := 1;</ST></body><addData><data><Method name="Check State"><interface><returnType><BOOL/></returnType></interface><body><ST>go := TRUE;</ST></body></Method></data></addData></pou>')
+    return load(spark, sf_dir, "part").select(_text("<project><types><pous>", main, block, "</pous></types></project>").alias("t"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_size AS z, p_size % 3 AS n FROM part)
+    SELECT 'P' || k AS pou, 'm.go' AS sink, 'Gvl.g' || z AS source, n = 0 AS direct, false AS negated FROM x UNION ALL SELECT 'P' || k, 'm.go', 't.Q', false, false FROM x WHERE n > 0
+    UNION ALL SELECT 'P' || k, 't.IN', 'Gvl.g' || z, true, k % 2 = 1 FROM x UNION ALL SELECT 'P' || k, 'Gvl.out' || z, 'm.done', true, false FROM x""")
+def diagram_wires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What feeds the sinks of each export's diagram, through operators and a connector."""
+    at = lambda name, pin, text: F.coalesce(F.when(F.col(pin).isNotNull(), F.concat_ws(".", name, pin)), F.col(text))
+    found = diagrams.wires(plcopen.parse_exports(_exports(spark, sf_dir), "t"))
+    return found.select("pou", at("name", "pin", "text").alias("sink"), at("from_name", "from_pin", "from_text").alias("source"), "direct", "negated")
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_size AS z, 'POU_M' || p_partkey AS u, 'Method_Check__leerz__State_M' || p_partkey AS m FROM part)
+    SELECT u AS s, 'dp:hasPOULanguage' AS p, 'ST' AS o FROM x UNION ALL SELECT 'POU_P' || k, 'dp:hasPOULanguage', 'FBD' FROM x UNION ALL SELECT u, 'dp:isJobMethod', 'true' FROM x WHERE k % 3 = 0 UNION ALL SELECT u, 'dp:hasJobMethodName', 'Job' || z FROM x WHERE k % 3 = 0
+    UNION ALL SELECT u, 'op:hasMethod', m FROM x UNION ALL SELECT u, 'op:hasCheckStateMethod', m FROM x UNION ALL SELECT m, 'op:isMethodOf', u FROM x UNION ALL SELECT m, 'rdf:type', 'Method' FROM x UNION ALL SELECT m, 'dp:hasMethodType', 'Check State' FROM x UNION ALL SELECT m, 'dp:hasCode', 'go := TRUE;' FROM x
+    UNION ALL SELECT m, 'dp:hasPOULanguage', 'ST' FROM x UNION ALL SELECT m, 'dp:hasMethodReturnType', 'BOOL' FROM x UNION ALL SELECT m, 'dp:hasTcRpcEnabled', 'false' FROM x UNION ALL SELECT 'Port_M' || k || '_go', 'dp:hasDefault', CAST(z AS VARCHAR) FROM x
+    UNION ALL SELECT 'Port_M' || k || '_go', 'dp:hasOPCUADataAccess', 'true' FROM x UNION ALL SELECT 'Port_M' || k || '_go', 'dp:hasOPCUAWriteAccess', 'true' FROM x""")
+def export_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages, methods, job methods, initial values and access flags of each export as triples."""
+    return etl.export_facts(scratch(plcopen.parse_exports(_exports(spark, sf_dir), "t"), "exports")).select("s", "p", "o")
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_size AS z, p_size % 3 AS n FROM part)
+    SELECT 'P' || k AS caller, 'm' AS instance, CAST(0 AS INTEGER) AS idx, 'Input' AS direction, 'go' AS port, CAST(NULL AS INTEGER) AS place, CASE WHEN n = 0 THEN 'Gvl.g' || z END AS expression FROM x
+    UNION ALL SELECT 'P' || k, 'm', 0, 'Output', 'done', NULL, 'Gvl.out' || z FROM x UNION ALL SELECT 'P' || k, 't', 0, 'Input', 'IN', NULL, CASE WHEN k % 2 = 1 THEN 'NOT ' ELSE '' END || 'Gvl.g' || z FROM x""")
+def diagram_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that diagrams draw, as arguments of their blocks."""
+    rows = scratch(plcopen.parse_exports(_exports(spark, sf_dir), "t"), "exports")
+    return diagrams.diagram_bindings(rows, diagrams.wires(rows))
