@@ -87,9 +87,18 @@ def guarded(spark: SparkSession, query: str, views: dict[str, DataFrame] | None
     """A query's rows, at most most of them, over the given views and nothing else; anything but a query is refused."""
     if found := refusals(spark, query, set(views or {})):
         raise PermissionError("only queries over the given views are allowed, not " + ", ".join(found))
+    # in a session of its own, so that no view of the caller's is replaced
+    own = spark.newSession()
     for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query, args=args).limit(most)
+        _in_session(df, own).createOrReplaceTempView(name)
+    return _in_session(own.sql(query, args=args).limit(most), spark)
+
+
+def _in_session(df: DataFrame, session: SparkSession) -> DataFrame:
+    """The same plan, run by another session of the same application."""
+    jvm = session._jvm
+    plan = df._jdf.queryExecution().logical()
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
 
 
 def with_prefixes(query: str, prefixes: dict[str, str]) -> str:

@@ -166,7 +166,7 @@ def timeline(events: DataFrame, flush: str | None = None, delay: str = "1 hour",
     return by_corr(events, step, TIMELINE, "last long, total long, held string", delay, keep)
 
 
-#: Kinds of acknowledgement that the log shows, and what it calls them.
+# Kinds of acknowledgement that the log shows, and what it calls them.
 ACKS = {"evSRPlanned": "SRPLANNED", "evSRDone": "SRDONE", "evMonActPlanned": "MonActPLANNED", "evMonActDone": "MonAct_DONE", "evProcessFail": "ProcessFail", "evIngestionPlanned": "INGESTION PLANNED", "evIngestionDone": "INGESTION DONE", "evAgentAbort": "AGENT ABORT", "evAgentFail": "AGENT FAIL"}
 
 
