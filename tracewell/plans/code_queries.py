@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logic
-from ..operators import diagrams, etl
+from ..operators import diagrams, etl, names
 from ..sources import plcopen
 from ..tables import load, scratch
 from .function_queries import _each
@@ -126,3 +126,35 @@ def diagram_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that diagrams draw, as arguments of their blocks."""
     rows = scratch(plcopen.parse_exports(_exports(spark, sf_dir), "t"), "exports")
     return diagrams.diagram_bindings(rows, diagrams.wires(rows))
+
+
+# One expression per part, of another kind by its size.
+_SOURCES = """x AS (SELECT p_partkey AS k, p_size AS z, 'U' || p_partkey AS pou, CASE p_size % 8 WHEN 0 THEN 'NOT (known.N' || (p_partkey % 25) || ')' WHEN 1 THEN 'T#' || p_size || 's' WHEN 2 THEN 'GvlX.a.v' || p_partkey WHEN 3 THEN 'Inst.Q' || p_size WHEN 4 THEN 'other.x' || p_size
+    WHEN 5 THEN '(spare AND NOT GvlX.v' || p_size || ') OR t = T#' || p_size || 's' WHEN 6 THEN 'SPARE' ELSE 'fresh' || p_size END AS e FROM part),
+    s AS (SELECT k, z, pou, e AS expression, ['known', 'literal', 'global', 'port', 'member', 'expression', 'local', 'new'][z % 8 + 1] AS tier, CASE z % 8 WHEN 0 THEN 'node:' || (k % 25) WHEN 1 THEN 'Literal_' || e WHEN 2 THEN 'Var_GvlX_a_v' || k WHEN 3 THEN 'PortInstance_' || pou || '_Inst_Q' || z
+        WHEN 4 THEN 'Var_' || pou || '_other__dot__x' || z WHEN 5 THEN 'Expression_' || pou || '_' || left(md5(pou || '|' || e), 10) WHEN 6 THEN 'Var_' || pou || '_spare' ELSE 'Var_' || pou || '_fresh' || z END AS target FROM x)"""
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    z, k = F.col("p_size"), F.col("p_partkey")
+    forms = [_text("NOT (known.N", k % 25, ")"), _text("T#", z, "s"), _text("GvlX.a.v", k), _text("Inst.Q", z), _text("other.x", z), _text("(spare AND NOT GvlX.v", z, ") OR t = T#", z, "s"), F.lit("SPARE"), _text("fresh", z)]
+    local = lambda n, t: F.struct(F.lit("Local").alias("direction"), F.lit(n).alias("name"), F.lit(t).alias("type"))
+    part = load(spark, sf_dir, "part")
+    rows = part.select(_text("U", k).alias("name"), F.array(local("inst", "TON"), local("spare", "BOOL")).alias("ports"))
+    known = load(spark, sf_dir, "nation").select(_text("Known.n", F.col("n_nationkey")).alias("name"), _text("node:", F.col("n_nationkey")).alias("node"))
+    return part.select(_text("U", k).alias("pou"), F.element_at(F.array(*forms), (z % 8 + 1).cast("int")).alias("expression")), rows, known
+
+
+@query(f"WITH {_SOURCES} SELECT pou, expression, tier, target FROM s")
+def name_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each expression comes from, in all tiers."""
+    return names.signal_sources(*_sources(spark, sf_dir)).drop("text")
+
+
+@query(f"""WITH {_SOURCES} SELECT DISTINCT * FROM (SELECT target AS s, 'rdf:type' AS p, CASE tier WHEN 'literal' THEN 'SourceLiteral' WHEN 'expression' THEN 'Expression' WHEN 'port' THEN 'PortInstance' ELSE 'Variable' END AS o FROM s WHERE tier IN ('literal', 'expression', 'port', 'new', 'member')
+    UNION ALL SELECT target, 'dp:hasExpressionText', expression FROM s WHERE tier IN ('literal', 'expression') UNION ALL SELECT target, 'dp:hasVariableName', expression FROM s WHERE tier IN ('new', 'member')
+    UNION ALL SELECT target, 'op:isExpressionCreatedBy', unnest(['Var_' || pou || '_spare', 'Var_GvlX_v' || z, 'Literal_T#' || z || 's']) FROM s WHERE tier = 'expression')""")
+def source_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of literals, expressions with what they are made of, and variables that are new."""
+    uses, rows, known = _sources(spark, sf_dir)
+    return names.source_triples(names.signal_sources(uses, rows, known), rows).select("s", "p", "o")
