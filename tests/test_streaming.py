@@ -93,3 +93,43 @@ def test_stream_is_batch(spark, tmp_path):
     want = {(r["corr"], r["trigger"], r["active"], "|".join(f"{k}={r[f'last_{k}']!r}" for k in ("click", "view") if r[f"last_{k}"] is not None)) for r in fold}
     assert as_set(run(s.session_fold(src, "signup", ["click", "view"], ["error"], delay="400 days"), "fold")) == want
     assert {r["corr"] for r in run(s.once_only(src, ["error"], "40 days"), "once")} == {r["corr"] for r in windows.once_only(rows, ["error"]).collect()}
+
+
+NAMES = ["a;b", "x,y", "k=v|w", "a;b", "", "日\n"]
+
+
+def test_any_type_name_survives_batches(spark, tmp_path, one_partition):
+    """Held lines and kept values are typed state: no sign in a type's name ends them, and numbers stay as they are."""
+    rows = [(1, i, t, float(i) + 0.1, 5 + 40 * i) for i, t in enumerate([*NAMES, "end"])]
+    got = sorted(tuple(r) for r in run(s.timeline(batches(spark, tmp_path, "odd", rows), "end", "5 minutes"), "odd_lines"))
+    assert [(r[1], r[2], r[3], r[4]) for r in got] == [(i, t, 40_000 * (i > 0), 40_000 * i) for i, t in enumerate([*NAMES, "end"])]
+    rows = [(1, 0, "start", 0.0, 5)] + [(1, i + 1, t, i / 3, 45 + 40 * i) for i, t in enumerate(NAMES)] + [(1, 9, "fail", 0.0, 400)]
+    got = run(s.session_fold(batches(spark, tmp_path, "odd2", rows), "start", NAMES, ["fail"], delay="5 minutes"), "odd_fold")
+    last = {t: i / 3 for i, t in enumerate(NAMES)}
+    assert [tuple(r) for r in got] == [(1, "fail", True, "|".join(f"{t}={v!r}" for t, v in sorted(last.items())))]
+
+
+def test_restart_from_a_checkpoint(spark, tmp_path, one_partition):
+    """A query that is stopped after each file and started again gives what one that runs through gives."""
+    kinds = ["a;b", "go", "end", "go", "x", "end", "go", "go"]
+    rows = [(c, 10 * i + c, t, 1.0, 5 + 40 * i + c) for i, t in enumerate(kinds) for c in ((1, 2) if i < 4 else (1,))]
+    src = batches(spark, tmp_path, "again", rows)
+    forms = {"line": (lambda e: s.timeline(e, "end", "1 minute", "1 hour"), 9), "late": (lambda e: s.delayed(e, "go", "10 seconds", "1 second"), 1)}
+    for name, (form, least) in forms.items():
+        want = {tuple(r) for r in run(form(src), f"through_{name}")}
+        for i in range(len(kinds) + 2):
+            q = form(s.event_source(spark, str(tmp_path / "again" / f"00[0-{min(i, len(kinds) - 1)}].parquet"), most_files=1)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"cp_{name}")).option("path", str(tmp_path / f"out_{name}")).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        got = [tuple(r) for r in spark.read.parquet(str(tmp_path / f"out_{name}")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(got) >= least
+
+
+def test_state_falls_when_it_ends(spark, tmp_path, one_partition):
+    rows = [(c, c, "x", 0.0, 5) for c in range(50)] + [(99, 99, "x", 0.0, 400), (99, 100, "x", 0.0, 800), (99, 101, "x", 0.0, 1200)]
+    q = s.timeline(batches(spark, tmp_path, "falls", rows), "end", "1 second", "1 minute").writeStream.format("memory").queryName("falls").start()
+    try:
+        q.processAllAvailable()
+        sizes = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        q.stop()
+    assert max(sizes) >= 50 and sizes[-1] < max(sizes) / 5

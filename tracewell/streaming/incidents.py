@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import stateful
+
 EVENT = "corr long, event_id long, type string, value double, ts timestamp"
 
 
@@ -107,63 +109,20 @@ def rising_edges(events: DataFrame, threshold: float, delay: str = "1 hour", kee
     return by_corr(events, step, EDGE, "before boolean", delay, keep)
 
 
-FOLD = "corr long, trigger string, active boolean, updates string"
-
-
 def session_fold(events: DataFrame, start: str, updates: list[str], triggers: list[str], close: str | None = None, delay: str = "1 hour", keep: str = "1 day") -> DataFrame:
-    """One row per correlation at its first trigger: whether a session was active, and the last value of each update in
-    it, as type=value joined by |. A start clears the session; close ends the correlation's state."""
-
-    def step(corr: int, rows: pd.DataFrame, value: tuple | None) -> tuple[list, tuple | None]:
-        active, done, kept = value or (False, False, "")
-        values = dict(x.split("=", 1) for x in kept.split("|") if x)
-        out, open_ = [], value is not None
-        for r in rows.itertuples():
-            if r.type == close:
-                active, done, values, open_ = False, False, {}, False
-                continue
-            open_ = True
-            if done:
-                continue
-            if r.type == start:
-                active, values = True, {}
-            elif r.type in triggers:
-                out.append((corr, r.type, active, "|".join(f"{k}={v}" for k, v in sorted(values.items()))))
-                done = True
-            elif r.type in updates and active:
-                values[r.type] = repr(float(r.value))
-        return out, (active, done, "|".join(f"{k}={v}" for k, v in sorted(values.items()))) if open_ else None
-
-    return by_corr(events, step, FOLD, "active boolean, done boolean, kept string", delay, keep)
-
-
-TIMELINE = "corr long, event_id long, type string, delta_ms long, total_ms long"
+    """(corr, trigger, active, updates) per correlation at its first trigger: whether a session was active, and the last value
+    of each update in it, as type=value joined by |. A start clears the session; close ends the correlation's state."""
+    return stateful.by_corr(events, stateful.Session(start, updates, triggers, close, keep), delay)
 
 
 def timeline(events: DataFrame, flush: str | None = None, delay: str = "1 hour", keep: str = "1 day") -> DataFrame:
-    """Milliseconds since the previous event of the correlation, and their sum, for events that arrive in order.
+    """(corr, event_id, type, delta_ms, total_ms): milliseconds since the previous event of the correlation, and their sum, for
+    events that arrive in order.
 
     With flush, a correlation's lines are held back until an event of that type comes, which ends its timeline; those
     without one are never written.
     """
-
-    def step(corr: int, rows: pd.DataFrame, value: tuple | None) -> tuple[list, tuple | None]:
-        last, total, held = value or (None, 0, "")
-        lines = [tuple(x.split(",", 3)) for x in held.split(";") if x]
-        out: list[tuple] = []
-        for r in rows.itertuples():
-            now = int(r.ts.value // 1_000_000)
-            delta = 0 if last is None else now - last
-            total, last = total + delta, now
-            lines.append((r.event_id, delta, total, r.type))
-            if flush is None or r.type == flush:
-                out += [(corr, int(e), t, int(d), int(n)) for e, d, n, t in lines]
-                lines = []
-                if flush is not None:
-                    last, total = None, 0
-        return out, None if last is None else (last, total, ";".join(f"{e},{d},{n},{t}" for e, d, n, t in lines))
-
-    return by_corr(events, step, TIMELINE, "last long, total long, held string", delay, keep)
+    return stateful.by_corr(events, stateful.Timeline(flush, keep), delay)
 
 
 # Kinds of acknowledgement that the log shows, and what it calls them.
@@ -195,28 +154,6 @@ def routed(df: DataFrame, sinks: dict[str, list]) -> object:
 def delayed(events: DataFrame, kind: str, wait: str, delay: str = "1 minute") -> DataFrame:
     """(corr, due): once event time has passed the last event of a kind by wait, its delayed action; a later one restarts it.
 
-    Pending actions are state per correlation, released by the watermark, so they survive a restart of the query.
+    Pending actions are timers, released by the watermark, so they survive a restart of the query.
     """
-    ms = _ms(wait)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (due,) = state.get
-            state.remove()
-            yield pd.DataFrame({"corr": [key[0]], "due": [due]})
-            return
-        due = int(pd.concat(list(batches))["ts"].max().value // 1_000_000) + ms
-        if state.exists:
-            due = max(due, state.get[0])
-        if due <= state.getCurrentWatermarkMs():
-            # a row that is late, but not late enough to be dropped: its action is due already
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"corr": [key[0]], "due": [due]})
-            return
-        state.update((due,))
-        state.setTimeoutTimestamp(due)
-        yield pd.DataFrame({"corr": [], "due": []}).astype({"corr": "int64", "due": "int64"})
-
-    rows = events.where(F.col("type") == kind).withWatermark("ts", delay)
-    return rows.groupBy("corr").applyInPandasWithState(step, "corr long, due long", "due long", "append", GroupStateTimeout.EventTimeTimeout)
+    return stateful.by_corr(events.where(F.col("type") == kind), stateful.Delayed(wait), delay)
