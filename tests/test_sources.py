@@ -168,3 +168,21 @@ def test_typed_snapshot(spark):
     rows = [("c", "a", "bool", "true"), ("c", "b", "uint64", "18446744073709551615"), ("c", "d", "int16", "70000"), ("c", "e", "uint16", "65535"), ("c", "f", "float", "1.5"), ("c", "g", "other", "x")]
     r = program.typed_snapshot(spark.createDataFrame(rows, "corr string, id string, t string, v string")).first()
     assert r["bools"] == {"a": True} and int(r["uint64s"]["b"]) == 2**64 - 1 and r["int16s"] == {"d": None} and r["uint16s"] == {"e": 65535} and r["floats"] == {"f": 1.5}
+
+
+def test_deeper_snapshots_are_told(spark):
+    def wrapped(n):
+        snap = {"vars": [{"id": "x", "t": "bool", "v": True}]}
+        for _ in range(n):
+            snap = {"snapshot": snap}
+        return json.dumps({"corr": f"c{n}", "snapshot": snap})
+
+    df = program.incidents(spark.createDataFrame([(wrapped(n),) for n in (0, 4, 5, 9)] + [('{"corr": "none"}',)], "value string"))
+    assert {r["corr"]: r["unread"] for r in df.collect()} == {"c0": False, "c4": False, "c5": True, "c9": True, "none": False}
+    assert {r["corr"] for r in program.snapshot_vars(df).collect()} == {"c0", "c4"}
+
+
+def test_long_pair_streams():
+    text = "".join(f'urn:{i}\n{{"v": "}}{{", "n": {{"i": {i}}}}}\n' for i in range(20_000))
+    got = program.pair_stream(text)
+    assert len(got) == 20_000 and got[-1] == ("urn:19999", '{"v": "}{", "n": {"i": 19999}}')

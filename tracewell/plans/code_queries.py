@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..operators import diagrams, etl, names
-from ..sources import plcopen
+from ..sources import plcopen, program
 from ..tables import load, scratch
 from .function_queries import _each
 from .registry import query
@@ -158,3 +158,17 @@ def source_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of literals, expressions with what they are made of, and variables that are new."""
     uses, rows, known = _sources(spark, sf_dir)
     return names.source_triples(names.signal_sources(uses, rows, known), rows).select("s", "p", "o")
+
+
+@query("""WITH x AS (SELECT p_partkey, p_size AS z, unnest(range(1, p_size % 3 + 2)) AS step FROM part)
+    SELECT p_partkey, CAST(step AS INTEGER) AS step, 'call' || step AS name, '0=true,1=' || z AS inputs, CASE WHEN step = 2 THEN '0=n' || z ELSE '' END AS outputs FROM x""")
+def plan_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of plans whose parameter rows come in any order: a method, its inputs and outputs by index, for each step."""
+    z = F.col("p_size")
+    row = lambda step, g, i, v: F.concat(F.lit('{"step": '), step.cast("string"), F.lit(f', "g": "{g}", "k": "x", "i": {i}, "t": "int32", "v": '), v, F.lit("}"))
+    quoted = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    rows = lambda s: F.array(row(s, "input", 1, z.cast("string")), row(s, "method", 0, quoted(F.concat(F.lit("call"), s.cast("string")))), row(s, "input", 0, F.lit("true")), F.when(s == 2, row(s, "output", 0, quoted(F.concat(F.lit("n"), z.cast("string"))))))
+    each = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(1), z % 3 + 1), rows)))
+    plans = load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('{"rows": ['), F.array_join(each, ", "), F.lit("]}")).alias("json"))
+    written = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"])), ",")
+    return program.operations(plans, "p_partkey").select("p_partkey", "step", "name", written("inputs").alias("inputs"), written("outputs").alias("outputs"))

@@ -106,10 +106,10 @@ def registry(k: Knowledge) -> Registry:
         links = k.triples.where("o_kind = 'iri' and p <> 'rdf:type'")
         both = links.select(F.col("s").alias("a"), "p", F.col("o").alias("b")).unionByName(links.select(F.col("o").alias("a"), F.concat(F.lit("^"), "p").alias("p"), F.col("s").alias("b")))
 
-        def neighbours(kind: str, name: str) -> list[tuple[str, str, float, str]]:
-            near = both.where(F.col("a") == name).select("p", "b").distinct().orderBy("p", "b").limit(max_nodes).collect()
-            return [("node", x["b"], 2.0 if "Call" in x["p"] or "POU" in x["p"] else 1.0, x["p"]) for x in near]
-
+        # one job per set of nodes that aren't fetched yet, not one per node
+        priority = F.when(F.col("p").contains("Call") | F.col("p").contains("POU"), 2.0).otherwise(1.0)
+        edges = both.select(F.lit("node").alias("kind"), F.col("a").alias("node"), F.lit("node").alias("to_kind"), F.col("b").alias("to"), priority.alias("priority"), F.col("p").alias("relation")).distinct()
+        neighbours = graph.prefetched(edges, [("node", node)], max_iters, max_nodes)
         return graph.investigate([("node", node, 1.0)], neighbours, max_iters, max_nodes)
 
     @r.register

@@ -44,7 +44,10 @@ def channels(df: DataFrame, key: str, xml: str) -> DataFrame:
 
 
 def incidents(raw: DataFrame, text: str = "value") -> DataFrame:
-    """Incident events in one form: bare payloads or wrapped ones, alias keys, snapshots as objects or marked text."""
+    """Incident events in one form: bare payloads or wrapped ones, alias keys, snapshots as objects or marked text.
+
+    unread tells whether a snapshot is wrapped more than MOST_NESTED times, so that its variables weren't reached.
+    """
     v = F.try_parse_json(text)
     rows = raw.select(v.alias("v"))
     get = lambda path: F.expr(f"try_variant_get(v, '{path}', 'string')")
@@ -53,7 +56,9 @@ def incidents(raw: DataFrame, text: str = "value") -> DataFrame:
     for _ in range(MOST_NESTED):  # each round takes one level of wrapping off: marks, or an object below one of the keys
         inner = F.coalesce(F.try_parse_json("snapshot"), F.try_parse_json(unwrap_snapshot("snapshot")))
         rows = rows.withColumn("__v", inner).withColumn("snapshot", F.coalesce(*[F.expr(f"try_variant_get(__v, '$.{k}', 'string')") for k in SNAPSHOT_KEYS], "snapshot")).drop("__v")
-    return rows.withColumn("snapshot", F.coalesce(F.try_parse_json("snapshot"), F.try_parse_json(unwrap_snapshot("snapshot"))))
+    rows = rows.withColumn("snapshot", F.coalesce(F.try_parse_json("snapshot"), F.try_parse_json(unwrap_snapshot("snapshot"))))
+    more = F.coalesce(*[F.expr(f"try_variant_get(snapshot, '$.{k}', 'string')") for k in SNAPSHOT_KEYS])
+    return rows.withColumn("unread", F.expr("try_variant_get(snapshot, '$.vars', 'string')").isNull() & more.isNotNull())
 
 
 # Keys under which a snapshot may be nested.
@@ -128,6 +133,9 @@ def write_csv(df: DataFrame, path: str) -> None:
             out.close()
 
 
+_BRACES = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+
 def pair_stream(text: str) -> list[tuple[str, str]]:
     """(iri, json) pairs of a text that has an IRI's line and then a JSON object, again and again; outer quotes go.
 
@@ -143,10 +151,10 @@ def pair_stream(text: str) -> list[tuple[str, str]]:
         if not text.startswith("{", at):
             continue
         depth, end = 0, len(text)
-        for x in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}]', text[at:], re.S):
+        for x in _BRACES.finditer(text, at):
             depth += {"{": 1, "}": -1}.get(x[0], 0)
             if not depth:
-                end = at + x.end()
+                end = x.end()
                 break
         out.append((iri, text[at:end]))
         at = end
