@@ -1,5 +1,6 @@
 """Each operator on awkward rows and against brute force."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -587,6 +588,17 @@ def test_licences_of_no_known_family(spark, licence_model):
     assert [t for i, t in enumerate(texts) if got[i]["family"] != "unknown"] == []
 
 
+def test_archives_are_cut_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 8 << 20)
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "concat(repeat(cast(id as string), 500000), 'x') AS html").repartition(2)
+    assert warc.file_records(pages) < 12 and warc.file_records(pages.selectExpr("page_id", "url", "'short' AS html")) == (8 << 20) // 705
+    warc.write_archives(pages, str(tmp_path / "warc"))
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "warc").glob("part-*")]
+    assert len(sizes) >= 4 and max(sizes) < 3 * (8 << 20)
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.resolve(warc.read_archives(spark, str(tmp_path / "warc"))).collect()}
+    assert got == {i: 500_000 * len(str(i)) + 1 for i in range(40)}
+
+
 def test_licences_in_long_repetitions(spark, licence_model):
     """Patterns that recurse once per repetition end the JVM long before this."""
     rows = [(1, "MIT License" + "\n" * 100_000 + "x"), (2, "MIT License\n" + " \n" * 100_000 + "MIT License"), (3, "license " + "1." * 100_000 + "1"), (4, "MIT License" + "\r\n" * 100_000), (5, "MIT License" + " " * 100_000 + "\nx")]

@@ -76,16 +76,16 @@ def test_empty_stages(spark, tmp_path):
 
 def test_sql(spark):
     duck = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, DIR)
         want = duck.sql(sql)
         at = [want.columns.index(c) for c in df.columns]
-        assert sorted(tuple(r) for r in df.collect()) == sorted((tuple(r[i] for i in at) for r in want.fetchall())), name
+        assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr), name
 
 
 def test_registered():
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and [m[0] for n in names if (m := re.match(r"op\d+(?=_)", n))] == [f"op{i}" for i in range(1, 11)]
+    assert "pipeline" in names and [m[0] for n in names if (m := re.match(r"op\d+(?=_)", n))] == [f"op{i}" for i in range(1, 14)]
     assert set(__spark_entry__.oracle_sql()) <= set(names)

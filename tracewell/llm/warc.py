@@ -26,8 +26,9 @@ from .common import arrow_map, at_most, materialise, new_path, skewed_left_join
 CRLF = "\r\n"
 #: Payloads below this many bytes are always written in full.
 LEAST_BYTES = 100
-#: Records of an archive file: one task reads it, as a stream.
+#: Records of an archive file and, on average, its bytes before compression: one task reads it, as a stream.
 FILE_RECORDS = 20_000
+FILE_BYTES = 128 << 20
 #: Between records: the empty lines that end one and the line that begins the next.
 BETWEEN = CRLF * 2 + "WARC/1.1" + CRLF
 #: Rows that Spark reads at a time where payloads may be large.
@@ -64,6 +65,12 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return out.withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
 
 
+def file_records(pages: DataFrame) -> int:
+    """How many records a file may have, so that files of pages of this average size keep to FILE_BYTES."""
+    average = pages.agg(F.avg(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))))).first()[0] or 0
+    return max(1, min(FILE_RECORDS, int(FILE_BYTES // (average + 700))))
+
+
 def write_archives(pages: DataFrame, path: str, date: str | None = None) -> None:
     """Writes pages(page_id, url, html) as gzip-compressed WARC 1.1 files into the folder path, one gzip member a file;
     date (now, where none is given) is the records' WARC-Date."""
@@ -80,7 +87,7 @@ def write_archives(pages: DataFrame, path: str, date: str | None = None) -> None
     common = [F.lit("WARC/1.1"), field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), field("WARC-Record-ID", _record_id(F.col("page_id"), digest)), field("WARC-Date", F.lit(date)), field("WARC-Target-URI", uri), field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)), field("X-Page-ID", page)]
     first = [F.when(revisit, field("WARC-Profile", F.lit(_PROFILE))), F.when(revisit, field("WARC-Refers-To", _record_id(F.col("refers_to"), digest)))]
     head = lines(*common, *first, F.lit("Content-Type: application/http; msgtype=response"), field("Content-Length", F.octet_length(block).cast("string")), F.lit(""), F.lit(""))
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records(pages)).text(path)
 
 
 def parse(pieces: Iterable[tuple[object, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
