@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import retrieval as rt
-from ..tables import load
+from ..operators import vector_index
+from ..tables import load, scratch
 from .registry import query
 
 
@@ -37,6 +38,27 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.vector_top(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, 10).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings), d AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_sum(list_transform(range(1, 65), lambda i: (b.e[i] - a.e[i]) * (b.e[i] - a.e[i]))) AS d FROM x a, x b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+    SELECT query, neighbour, round(d, 4) AS distance, CAST(row_number() OVER (PARTITION BY query ORDER BY d, neighbour) AS INTEGER) AS rank FROM d QUALIFY rank <= 10""")
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all rows to each row whose id is divisible by 20, by the index in its exact form."""
+    df = load(spark, sf_dir, "embeddings")
+    model = vector_index.fit_centres(df)
+    found = vector_index.nearest(vector_index.index_vectors(df, model), df.where("vec_id % 20 = 0"), model, 10, len(model.centres), None)
+    return found.select("query", "neighbour", F.round("distance", 4).alias("distance"), "rank")
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries by quantised residuals, with as many lists as a sample of about 200 rows needs for a recall of 0.95."""
+    df = load(spark, sf_dir, "embeddings")
+    model = vector_index.fit_centres(df)
+    index = scratch(vector_index.index_vectors(df, model), "index")
+    few = df.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 200 / max(df.count(), 1)) * (1 << 30))))
+    probes, _ = vector_index.probes_for(index, few, model)
+    return vector_index.nearest(index, df.where("vec_id % 20 = 0"), model, 10, probes)
+
+
 _QUESTION = "the of THING src3 7"
 
 
