@@ -44,10 +44,13 @@ def unit_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT * FROM (VALUES ('SR', 'S1:BOOL R:BOOL', 'Q1:BOOL'), ('RS', 'S:BOOL R1:BOOL', 'Q1:BOOL'), ('R_TRIG', 'CLK:BOOL', 'Q:BOOL'), ('F_TRIG', 'CLK:BOOL', 'Q:BOOL'), ('CTU', 'CU:BOOL R:BOOL PV:INT', 'Q:BOOL CV:INT'),
     ('CTD', 'CD:BOOL LD:BOOL PV:INT', 'Q:BOOL CV:INT'), ('CTUD', 'CU:BOOL CD:BOOL R:BOOL LD:BOOL PV:INT', 'QU:BOOL QD:BOOL CV:INT'), ('TP', 'IN:BOOL PT:TIME', 'Q:BOOL ET:TIME'), ('TON', 'IN:BOOL PT:TIME', 'Q:BOOL ET:TIME'), ('TOF', 'IN:BOOL PT:TIME', 'Q:BOOL ET:TIME')) v(b, i, o)),
     q AS (SELECT b, 'Input' AS d, unnest(string_split(i, ' ')) AS x FROM b UNION ALL SELECT b, 'Output', unnest(string_split(o, ' ')) FROM b), r AS (SELECT b, d, split_part(x, ':', 1) AS n, split_part(x, ':', 2) AS t FROM q)
-    SELECT 'FBType_' || b AS s, 'rdf:type' AS p, 'StandardFBType' AS o FROM b UNION ALL SELECT 'FBType_' || b, 'op:hasPort', 'Port_' || b || '_' || n FROM r UNION ALL SELECT 'Port_' || b || '_' || n, 'dp:hasPortName', n FROM r
-    UNION ALL SELECT 'Port_' || b || '_' || n, 'dp:hasPortDirection', d FROM r UNION ALL SELECT 'Port_' || b || '_' || n, 'dp:hasPortType', t FROM r""")
+    SELECT 'U' || p_partkey AS unit, 'FBType_' || x.b AS s, 'rdf:type' AS p, 'StandardFBType' AS o FROM part JOIN b x ON x.b = ['SR', 'RS', 'R_TRIG', 'F_TRIG', 'CTU', 'CTD', 'CTUD', 'TP', 'TON', 'TOF'][p_size % 10 + 1]
+    UNION ALL SELECT 'U' || p_partkey, 'FBType_' || r.b, 'op:hasPort', 'Port_' || r.b || '_' || n FROM part JOIN r ON r.b = ['SR', 'RS', 'R_TRIG', 'F_TRIG', 'CTU', 'CTD', 'CTUD', 'TP', 'TON', 'TOF'][p_size % 10 + 1]""")
 def standard_block_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.standard_blocks(spark).select("s", "p", "o")
+    """What is known of the standard block that each part's unit uses: its type and ports."""
+    kinds = F.array(*[F.lit(x) for x in ("SR", "RS", "R_TRIG", "F_TRIG", "CTU", "CTD", "CTUD", "TP", "TON", "TOF")])
+    used = load(spark, sf_dir, "part").select(F.concat(F.lit("U"), F.col("p_partkey").cast("string")).alias("unit"), F.concat(F.lit("FBType_"), F.element_at(kinds, (F.col("p_size") % 10 + 1).cast("int"))).alias("s"))
+    return used.join(F.broadcast(etl.standard_blocks(spark)), "s").select("unit", "s", "p", "o")  # a fixed table of some dozens of rows
 
 
 @query(f"""WITH {_U} SELECT 'POU_' || name AS s, 'op:containsPOUCall' AS p, 'Call_' || name || '_inst_0' AS o FROM u UNION ALL SELECT 'Call_' || name || '_inst_0', 'op:callsPOU', 'POU_' || callee FROM u

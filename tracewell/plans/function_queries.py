@@ -144,9 +144,11 @@ def diagram_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 3 = 1 THEN 0 ELSE -1 END AS INTEGER) AS branch FROM part""")
 def or_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The branch that names the last state; without one an A or F state before a D state; none where none stands out."""
-    z = F.col("p_size")
-    text = F.when(z % 3 == 0, "V_1 = OR_1(Mod.A1, Mod.D3)\nD2 = V_1\nD3").when(z % 3 == 1, "V_1 = OR_1(Mod.F1, Mod.D3)\nD2 = V_1\n").otherwise("V_1 = OR_1(Mod.D1, Mod.D3)\nD2 = V_1\n")
+    """The branch that names the last state; without one an A or F state before a D state; none where none stands out. Names and
+    states are each part's own."""
+    z, k, n = F.col("p_size"), _s("p_partkey"), _s("p_size")
+    two = lambda a, last: F.concat(F.lit("V_1 = OR_1(Mod"), k, F.lit(f".{a}"), n, F.lit(", Mod"), k, F.lit(".D"), k, F.lit(")\nD2 = V_1\n"), last)
+    text = F.when(z % 3 == 0, two("A", F.concat(F.lit("D"), k))).when(z % 3 == 1, two("F", F.lit(""))).otherwise(two("D", F.lit("")))
 
     def pick(t: str) -> list[tuple]:
         code, _, last = t.rpartition("\n")
@@ -242,29 +244,31 @@ def xml_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plcopen.chunk_exports(rows, "p_partkey", "t").select("p_partkey", "chunk", "kind", "name", F.length("text").alias("size"))
 
 
-@query("""SELECT p_partkey, unnest(['t', 'In1', 'x']) AS token, unnest([true, true, p_size % 2 = 0]) AS value, unnest(['internal_variable', 'std_fb_dependency', 'global_variable']) AS kind FROM part""")
+@query("""SELECT p_partkey, unnest(['t' || p_size, 'In' || p_partkey, 'x' || p_partkey]) AS token, unnest([true, true, p_size % 2 = 0]) AS value, unnest(['internal_variable', 'std_fb_dependency', 'global_variable']) AS kind FROM part""")
 def condition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A condition's trace through a variable and a standard block to a global."""
-    text = F.when(F.col("p_size") % 2 == 0, "x").otherwise("NOT x")
+    text = F.concat_ws(",", _s("p_size"), _s("p_partkey"), F.when(F.col("p_size") % 2 == 0, "").otherwise("NOT "))
 
     def rows(t: str) -> list[tuple]:
-        unit = trace.Pou("Main", f"t := In1.Q;\nIn1(IN := {t}, PT := T#1s);", variables={"t": None}, instances={"In1": "TON"})
-        found = trace.condition_trace(trace.Program({"Main": unit}, {"x": "%IX0.1"}), "Main", "t")
+        z, k, no = t.split(",")
+        unit = trace.Pou("Main", f"t{z} := In{k}.Q;\nIn{k}(IN := {no}x{k}, PT := T#1s);", variables={f"t{z}": None}, instances={f"In{k}": "TON"})
+        found = trace.condition_trace(trace.Program({"Main": unit}, {f"x{k}": "%IX0.1"}), "Main", f"t{z}")
         return [(r["token"].partition(".")[0], r["value"], r["kind"]) for r in found if r["kind"] != "internal_assignment"]
 
     return _each(_part(spark, sf_dir), "p_partkey", text, rows, "token string, value boolean, kind string")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'go' ELSE 'halt' END AS port, CASE WHEN p_size % 2 = 0 THEN '%IX1.0' ELSE 'no hardware' END AS hardware FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'go' || p_size ELSE 'halt' || p_size END AS port, CASE WHEN p_size % 2 = 0 THEN '%IX' || p_partkey || '.0' ELSE 'no hardware' END AS hardware FROM part""")
 def state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a diagram set a state, by the state before: the branch's input port, and the global that is wired to it."""
-    last = F.when(F.col("p_size") % 2 == 0, "A1").otherwise("F1")
+    last = F.concat_ws(",", _s("p_size"), _s("p_partkey"), F.when(F.col("p_size") % 2 == 0, "A1").otherwise("F1"))
 
     def rows(t: str) -> list[tuple]:
-        code = "V_1 = AND_1(A1, go)\nV_2 = AND_2(F1, halt)\nV_3 = OR_1(V_1, V_2)\nD2 = V_3"
-        machine = trace.Pou("M", code, "FBD", inputs={"go": None, "halt": None}, outputs={"D2": None})
-        program_ = trace.Program({"M": machine, "Main": trace.Pou("Main")}, {"Start": "%IX1.0", "Stop": None}, {("M", "go"): [("Main", "Start")], ("M", "halt"): [("Main", "Stop")]})
-        found = trace.state_trace(program_, "M", "D2", t)
+        z, k, before = t.split(",")
+        code = f"V_1 = AND_1(A1, go{z})\nV_2 = AND_2(F1, halt{z})\nV_3 = OR_1(V_1, V_2)\nD2 = V_3"
+        machine = trace.Pou("M", code, "FBD", inputs={f"go{z}": None, f"halt{z}": None}, outputs={"D2": None})
+        program_ = trace.Program({"M": machine, "Main": trace.Pou("Main")}, {f"Start{k}": f"%IX{k}.0", "Stop": None}, {("M", f"go{z}"): [("Main", f"Start{k}")], ("M", f"halt{z}"): [("Main", "Stop")]})
+        found = trace.state_trace(program_, "M", "D2", before)
         return [(r["port"], r["reason"]) for r in found if r["kind"] == "global_variable"]
 
     return _each(_part(spark, sf_dir), "p_partkey", last, rows, "port string, hardware string")
