@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import discard, scratch
+from ..tables import big, discard, scratch
 from . import graph
 
 
@@ -25,7 +25,9 @@ def links(rows: DataFrame) -> DataFrame:
     units = rows.select(F.col("name").alias("type"), F.lit(True).alias("unit")).distinct()
     p = rows.select(F.col("name").alias("pou"), F.explode("pins").alias("x")).select("pou", "x.*")
     ends = F.col("kind").isin("in", "inout") | ((F.col("kind") == "block") & ((F.coalesce("name", F.lit("")) != "") | F.col("unit").isNotNull()))
-    return p.join(units, "type", "left").withColumn("ends", F.coalesce(ends, F.lit(False))).drop("unit")
+    # elements without a type: one that no unit has, of many, so that they don't go to one task
+    p = p.withColumn("t", F.coalesce("type", F.concat(F.lit("\x01"), "pou")))
+    return p.join(big(units.withColumnRenamed("type", "t")), "t", "left").drop("t").withColumn("ends", F.coalesce(ends, F.lit(False))).drop("unit")
 
 
 def wires(rows: DataFrame, most_steps: int = 1000) -> DataFrame:
@@ -42,23 +44,23 @@ def wires(rows: DataFrame, most_steps: int = 1000) -> DataFrame:
     inner = p.where("kind = 'block' and not ends")
     edges = wired.select(_node("i", "pou", "element", "pin").alias("src"), _node("o", "pou", "source", "source_pin").alias("dst"))
     asked = wired.select("pou", F.col("source").alias("element"), "source_pin").distinct()
-    through = asked.join(inner.select("pou", "element", "pin").distinct(), ["pou", "element"]).select(_node("o", "pou", "element", "source_pin").alias("src"), _node("i", "pou", "element", "pin").alias("dst"))
+    through = asked.join(big(inner.select("pou", "element", "pin").distinct()), ["pou", "element"]).select(_node("o", "pou", "element", "source_pin").alias("src"), _node("i", "pou", "element", "pin").alias("dst"))
     ends, begins = p.where("kind = 'connector'"), p.where("kind = 'continuation'")
-    jumps = asked.join(begins.select("pou", "element", "name"), ["pou", "element"]).join(ends.select("pou", "name", F.col("element").alias("at")), ["pou", "name"]).select(_node("o", "pou", "element", "source_pin").alias("src"), _node("i", "pou", "at", F.lit("")).alias("dst"))
+    jumps = asked.join(big(begins.select("pou", "element", "name")), ["pou", "element"]).join(big(ends.select("pou", "name", F.col("element").alias("at"))), ["pou", "name"]).select(_node("o", "pou", "element", "source_pin").alias("src"), _node("i", "pou", "at", F.lit("")).alias("dst"))
     sinks = wired.where("ends and kind = 'block' or kind in ('out', 'inout', 'jump', 'return')")
     sinks = sinks.groupBy("pou", "kind", "element", "name", "type", "pin", "text").agg(F.bool_or("negated").alias("negated"))
     roots = sinks.select(_node("i", "pou", "element", "pin").alias("root")).distinct()
     steps = scratch(edges.unionByName(through).unionByName(jumps), "steps")
     reach = graph.reachable(steps, roots, most_steps).where("node like 'o%'").select("root", "node")
-    producers = asked.join(p.where("kind in ('in', 'inout', 'block')").select("pou", "element", "ends", *[F.col(c).alias(f"from_{c}") for c in ("kind", "name", "type", "text")]).distinct(), ["pou", "element"])
+    producers = asked.join(big(p.where("kind in ('in', 'inout', 'block')").select("pou", "element", "ends", *[F.col(c).alias(f"from_{c}") for c in ("kind", "name", "type", "text")]).distinct()), ["pou", "element"])
     flips = p.where("kind in ('in', 'inout')").groupBy("pou", "element").agg(F.bool_or("negated").alias("flips"))
-    found = reach.join(producers.join(flips, ["pou", "element"], "left").select(_node("o", "pou", "element", "source_pin").alias("node"), F.col("element").alias("from_element"), F.col("source_pin").alias("from_pin"), "ends", "flips", "from_kind", "from_name", "from_type", "from_text"), "node")
+    found = reach.join(big(producers.join(big(flips), ["pou", "element"], "left").select(_node("o", "pou", "element", "source_pin").alias("node"), F.col("element").alias("from_element"), F.col("source_pin").alias("from_pin"), "ends", "flips", "from_kind", "from_name", "from_type", "from_text")), "node")
     plain = found.groupBy("root").agg((~F.bool_or(~F.col("ends")) & (F.count_distinct("node") == 1)).alias("direct"))
-    out = sinks.withColumn("root", _node("i", "pou", "element", "pin")).join(found.where("ends"), "root").join(plain, "root")
+    out = sinks.withColumn("root", _node("i", "pou", "element", "pin")).join(big(found.where("ends")), "root").join(big(plain), "root")
     negated = F.col("direct") & (F.col("negated") != F.coalesce("flips", F.lit(False)))
     columns = ["pou", "kind", "element", "name", "type", "pin", "text", negated.alias("negated"), "from_kind", "from_element", "from_name", "from_type", "from_pin", "from_text", "direct"]
     texts = p.where("kind = 'out' and text is not null").select("pou", F.col("element").alias("source"), F.col("text").alias("out_text"))
-    own = p.where("kind = 'assigned'").join(texts, ["pou", "source"], "left")
+    own = p.where("kind = 'assigned'").join(big(texts), ["pou", "source"], "left")
     null = F.lit(None).cast("string")
     own = own.select("pou", "kind", "element", null.alias("name"), null.alias("type"), null.alias("pin"), F.coalesce("text", "out_text").alias("text"), "negated", F.lit("block").alias("from_kind"), F.col("element").alias("from_element"), F.col("name").alias("from_name"), F.col("type").alias("from_type"), F.col("pin").alias("from_pin"), null.alias("from_text"), F.lit(True).alias("direct"))
     done = scratch(out.select(*columns).unionByName(own.where("text is not null")), "wires")
@@ -77,5 +79,5 @@ def diagram_bindings(rows: DataFrame, found: DataFrame) -> DataFrame:
     text = F.when(F.col("direct"), F.concat(F.when(F.col("negated"), "NOT ").otherwise(""), source))
     into = found.where("kind = 'block'").select("pou", "element", F.lit("Input").alias("direction"), F.col("pin").alias("port"), text.alias("expression")).distinct()
     out = found.where("kind in ('out', 'inout', 'assigned') and direct and from_kind = 'block' and not negated").select("pou", F.col("from_element").alias("element"), F.lit("Output").alias("direction"), F.col("from_pin").alias("port"), F.col("text").alias("expression")).distinct()
-    calls = numbered.join(into.unionByName(out), ["pou", "element"], "left")
+    calls = numbered.join(big(into.unionByName(out)), ["pou", "element"], "left")
     return calls.select(F.col("pou").alias("caller"), "instance", F.col("idx").cast("int").alias("idx"), "direction", "port", F.lit(None).cast("int").alias("place"), "expression")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import logic
 from ..operators import diagrams, etl, names
 from ..sources import plcopen, program
-from ..tables import load, scratch
+from ..tables import load, scratch, spread
 from .function_queries import _each
 from .registry import query
 
@@ -36,7 +36,7 @@ def _nested_code() -> Column:
 def nested_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignments of nested code with the guards of all branches and loops around them."""
     rows = lambda t: [(a.target, a.value, a.line, " & ".join(a.conditions)) for a in logic.assignments(t)]
-    return _each(load(spark, sf_dir, "part"), "p_partkey", _nested_code(), rows, "target string, value string, line int, conditions string")
+    return _each(spread(load(spark, sf_dir, "part")), "p_partkey", _nested_code(), rows, "target string, value string, line int, conditions string")
 
 
 # One unit per part that calls blocks in several ways, as rows of a program.
@@ -47,7 +47,7 @@ _CALLS = """u AS (SELECT p_partkey AS k, p_size AS z, 'U' || p_partkey AS name,
 
 
 def _calling_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = load(spark, sf_dir, "part")
+    part = spread(load(spark, sf_dir, "part"))
     z, k = F.col("p_size"), F.col("p_partkey")
     port = lambda d, n, t: F.struct(F.lit(d).alias("direction"), F.lit(n).alias("name"), t.alias("type"))
     code = _text("t(a := NOT (x AND (y OR z", z, ")), q => arr[", z, "]);\nIF go THEN // t(a := 1);\nfbs[", z % 3, "]('a;b', f(g(1, ", k, "), 2)); t.Start(); END_IF\nCASE s OF 1: t(last); END_CASE")
@@ -80,7 +80,7 @@ def nested_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defaults of arrays, strings, pointers and structures from declaration headers."""
     z, k = F.col("p_size"), F.col("p_partkey")
     header = _text("FUNCTION_BLOCK F", k, "\nVAR_INPUT a : ARRAY[1..", z, ", 0..1] OF INT := [", z, "(0), ", k, "]; (* x : INT; *) s : STRING[", z, "] := 'a;", z, "'; END_VAR\nVAR p : POINTER TO ARRAY[0..1] OF Lib.Kind; q : STRUCT x : INT := ", z, "; y : STRING; END_STRUCT := (x := ", k, ", y := ';'); r AT %MW", z, " : INT(0..", z, ") := ", z, "; END_VAR")
-    return etl.defaults(load(spark, sf_dir, "part").select(_text("U", k).alias("name"), header.alias("header")))
+    return etl.defaults(spread(load(spark, sf_dir, "part")).select(_text("U", k).alias("name"), header.alias("header")))
 
 
 def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = _text('<connector localId="8" name="c"><connectionPointIn><connection refLocalId="', last, '"/></connectionPointIn></connector><continuation localId="9" name="c"/><outVariable localId="2"><expression>Gvl.out', z, "</expression>", link("4", ' formalParameter="done"'), "</outVariable>")
     main = _text('<pou name="P', k, '" pouType="program"><body><FBD><inVariable localId="1"><expression>Gvl.g', z, "</expression></inVariable>", operator, timer, mover, ends, "</FBD></body></pou>")
     block = _text('<pou name="M', k, '" pouType="functionBlock"><interface><inputVars><variable name="go"><type><BOOL/></type><initialValue><simpleValue value="', z, '"/></initialValue></variable></inputVars><addData><data><InterfaceAsPlainText><xhtml>', F.when(k % 3 == 0, _text("{attribute 'OPC.UA.DA.JobMethod' := 'Job", z, "'}")).otherwise(""), " VAR_INPUT {attribute 'OPC.UA.DA' := '1'} go : BOOL; END_VAR</xhtml></InterfaceAsPlainText></data></addData></interface>", '<body><ST>x := 1;</ST></body><addData><data><Method name="Check State"><interface><returnType><BOOL/></returnType></interface><body><ST>go := TRUE;</ST></body></Method></data></addData></pou>')
-    return load(spark, sf_dir, "part").select(_text("<project><types><pous>", main, block, "</pous></types></project>").alias("t"))
+    return spread(load(spark, sf_dir, "part")).select(_text("<project><types><pous>", main, block, "</pous></types></project>").alias("t"))
 
 
 @query("""WITH x AS (SELECT p_partkey AS k, p_size AS z, p_size % 3 AS n FROM part)
@@ -105,7 +105,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diagram_wires(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What feeds the sinks of each export's diagram, through operators and a connector."""
     at = lambda name, pin, text: F.coalesce(F.when(F.col(pin).isNotNull(), F.concat_ws(".", name, pin)), F.col(text))
-    found = diagrams.wires(plcopen.parse_exports(_exports(spark, sf_dir), "t"))
+    found = diagrams.wires(scratch(plcopen.parse_exports(_exports(spark, sf_dir), "t").select("name", "pins"), "exports"))
     return found.select("pou", at("name", "pin", "text").alias("sink"), at("from_name", "from_pin", "from_text").alias("source"), "direct", "negated")
 
 
@@ -139,7 +139,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     z, k = F.col("p_size"), F.col("p_partkey")
     forms = [_text("NOT (known.N", k % 25, ")"), _text("T#", z, "s"), _text("GvlX.a.v", k), _text("Inst.Q", z), _text("other.x", z), _text("(spare AND NOT GvlX.v", z, ") OR t = T#", z, "s"), F.lit("SPARE"), _text("fresh", z)]
     local = lambda n, t: F.struct(F.lit("Local").alias("direction"), F.lit(n).alias("name"), F.lit(t).alias("type"))
-    part = load(spark, sf_dir, "part")
+    part = spread(load(spark, sf_dir, "part"))
     rows = part.select(_text("U", k).alias("name"), F.array(local("inst", "TON"), local("spare", "BOOL")).alias("ports"))
     known = load(spark, sf_dir, "nation").select(_text("Known.n", F.col("n_nationkey")).alias("name"), _text("node:", F.col("n_nationkey")).alias("node"))
     return part.select(_text("U", k).alias("pou"), F.element_at(F.array(*forms), (z % 8 + 1).cast("int")).alias("expression")), rows, known
