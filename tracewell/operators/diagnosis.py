@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add, or_
 
 import pandas as pd
@@ -102,11 +102,13 @@ def phase_requirements(code: str, skill: str, variable: str) -> list[tuple[str,
 
 
 def skill_requirements(units: DataFrame, key: str, skill: str, variable: str) -> DataFrame:
-    """phase_requirements() of each unit's code: units(key, code, skill) with the column skill naming the skill."""
+    """phase_requirements() of each unit's code: units(key, code, skill) with the column skill naming the skill. Code that a
+    task met a short while ago isn't read again."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = lru_cache(64)(phase_requirements)
         for b in batches:
-            rows = [(k, *r) for k, code, wanted in zip(b[key], b["code"], b[skill], strict=True) if code and wanted for r in phase_requirements(code, wanted, variable)]
+            rows = [(k, *r) for k, code, wanted in zip(b[key], b["code"], b[skill], strict=True) if code and wanted for r in found(code, wanted, variable)]
             yield pd.DataFrame(rows, columns=[key, "phase", "symbol", "value", "reason"])
 
     return units.select(key, "code", skill).mapInPandas(run, f"{key} {units.schema[key].dataType.simpleString()}, {REQUIREMENTS}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diagnosis, etl
-from ..tables import load
+from ..tables import load, spread
 from .registry import query
 
 
@@ -91,7 +91,7 @@ def skill_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edge(CLK := sensor);\nIF edge.Q THEN\n x := 'S';\nEND_IF",
         "IF a THEN\n x := 'S';\nELSIF c THEN\n x := 'T';\nEND_IF\nIF long AND b.Q THEN\n x := 'T';\nEND_IF",
     )
-    units = load(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"), F.lit("S").alias("skill"))
+    units = spread(load(spark, sf_dir, "orders"), 200_000).select("o_orderkey", code.alias("code"), F.lit("S").alias("skill"))
     return diagnosis.skill_requirements(units, "o_orderkey", "skill", "x").drop("reason")
 
 
