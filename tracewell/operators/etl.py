@@ -6,6 +6,7 @@ A program row has: name, kind, code, ports array<struct<direction, name, type>>,
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..functions.text import escape_iri, identifiers, strip_comments
-from ..tables import discard, scratch
+from ..tables import big, discard, scratch
 from . import diagrams
 
 # The ports of the standard function blocks, as (block, direction, port, type).
@@ -70,6 +71,12 @@ def _rows(df: DataFrame, s: Column, p: str, o: Column, kind: str = "iri") -> Dat
     return df.select(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"))
 
 
+def _facts(df: DataFrame, *facts: tuple[Column, str, Column, str]) -> DataFrame:
+    """_rows() for each (s, p, o, kind), in one pass over df."""
+    one = [F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind")) for s, p, o, kind in facts]
+    return df.select(F.explode(F.array(*one)).alias("t")).select("t.*")
+
+
 def _all(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -97,16 +104,9 @@ def programs(rows: DataFrame) -> DataFrame:
     public, local = ports.where("direction <> 'Local'"), ports.where("direction = 'Local'")
     port, var = key("Port", "name", "port"), key("Var", "name", "port")
     return _all(
-        _rows(rows, pou, "rdf:type", F.when(F.col("kind") == "program", "Program").otherwise("CustomFBType")),
-        _rows(rows, pou, "dp:hasPOUName", F.col("name"), "literal"),
-        _rows(rows, pou, "dp:hasCode", F.col("code"), "literal"),
-        _rows(public, pou, "op:hasPort", port),
-        _rows(public, port, "dp:hasPortName", F.col("port"), "literal"),
-        _rows(public, port, "dp:hasPortDirection", F.col("direction"), "literal"),
-        _rows(public, port, "dp:hasPortType", F.col("type"), "literal"),
-        _rows(local, pou, "op:hasVariable", var),
-        _rows(local, var, "dp:hasVariableName", F.col("port"), "literal"),
-        _rows(local, var, "dp:hasVariableType", F.col("type"), "literal"),
+        _facts(rows, (pou, "rdf:type", F.when(F.col("kind") == "program", "Program").otherwise("CustomFBType"), "iri"), (pou, "dp:hasPOUName", F.col("name"), "literal"), (pou, "dp:hasCode", F.col("code"), "literal")),
+        _facts(public, (pou, "op:hasPort", port, "iri"), (port, "dp:hasPortName", F.col("port"), "literal"), (port, "dp:hasPortDirection", F.col("direction"), "literal"), (port, "dp:hasPortType", F.col("type"), "literal")),
+        _facts(local, (pou, "op:hasVariable", var, "iri"), (var, "dp:hasVariableName", F.col("port"), "literal"), (var, "dp:hasVariableType", F.col("type"), "literal")),
     )
 
 
@@ -125,10 +125,11 @@ def call_bindings(rows: DataFrame) -> DataFrame:
     without a name has its place (from 0) instead of a port."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = lru_cache(64)(logic.call_statements)  # equal code isn't read again a short while later
         for b in batches:
             out = []
             for name, code in zip(b["name"], b["code"], strict=True):
-                for c in logic.call_statements(code or ""):
+                for c in found(code or ""):
                     args = [("Input", k, None, v) for k, v in c.inputs.items()] + [("Output", k, None, v) for k, v in c.outputs.items()] + [("Input", None, i, v) for i, v in enumerate(c.placed)]
                     out += [(name, c.name, c.idx, *a) for a in args or [(None,) * 4]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CALLS.split(", ")]).astype({"place": "Int32"})
@@ -144,7 +145,7 @@ def _instances(rows: DataFrame) -> DataFrame:
         drawn = rows.select(F.col("name").alias("caller"), F.explode("pins").alias("x")).where("x.kind = 'block' and x.type is not null")
         drawn = drawn.select("caller", F.lower(F.coalesce(F.nullif("x.name", F.lit("")), "x.type")).alias("k"), F.col("x.type").alias("callee")).distinct()
         declared = _instances(rows.drop("pins"))
-        return declared.unionByName(drawn.join(declared, ["caller", "k"], "left_anti"))
+        return declared.unionByName(drawn.join(big(declared), ["caller", "k"], "left_anti"))
     return own.select("caller", F.lower("x.name").alias("k"), F.regexp_replace("x.type", r"(?is)^\s*ARRAY\s*\[[^\]]*\]\s*OF\s+", "").alias("callee"))
 
 
@@ -156,13 +157,16 @@ def _head(c: str) -> Column:
 def calls(rows: DataFrame, bindings: DataFrame) -> DataFrame:
     """Call and assignment triples: caller contains call, call calls the type of the instance's declaration. Arguments without a
     name go to the callee's inputs in the order of their declaration."""
-    found = bindings.withColumn("k", _head("instance")).join(_instances(rows), ["caller", "k"])
+    found = bindings.withColumn("k", _head("instance")).join(big(_instances(rows)), ["caller", "k"])
     inputs = F.filter("ports", lambda p: p["direction"] == "Input")
     placed = rows.select(F.col("name").alias("callee"), F.posexplode(inputs).alias("place", "x")).select("callee", "place", F.col("x.name").alias("at"))
-    found = found.join(placed, ["callee", "place"], "left").withColumn("port", F.coalesce("port", "at"))
+    # arguments with a name have no place: a number that none has, of many, so that they don't go to one task per callee
+    found = found.withColumn("place", F.coalesce("place", -1 - F.pmod(F.xxhash64("caller", "instance"), F.lit(1000)).cast("int")))
+    found = found.join(big(placed), ["callee", "place"], "left").withColumn("port", F.coalesce("port", "at"))
     call = key("Call", "caller", "instance", F.col("idx").cast("string"))
     assign = F.when(F.col("port").isNotNull(), key("Assign", "caller", "instance", F.col("idx").cast("string"), "port"))
-    return _all(_rows(found, key("POU", "caller"), "op:containsPOUCall", call), _rows(found, call, "op:callsPOU", key("POU", "callee")), _rows(found, call, "op:hasAssignment", assign), _rows(found, assign, "dp:hasExpression", F.col("expression"), "literal"), _rows(found, assign, "op:assignsToPort", F.when(F.col("port").isNotNull(), key("Port", "callee", "port"))))
+    to = F.when(F.col("port").isNotNull(), key("Port", "callee", "port"))
+    return _all(_facts(found, (key("POU", "caller"), "op:containsPOUCall", call, "iri"), (call, "op:callsPOU", key("POU", "callee"), "iri"), (call, "op:hasAssignment", assign, "iri"), (assign, "dp:hasExpression", F.col("expression"), "literal"), (assign, "op:assignsToPort", to, "iri")))
 
 
 def defaults(rows: DataFrame) -> DataFrame:
@@ -170,8 +174,9 @@ def defaults(rows: DataFrame) -> DataFrame:
     rows = rows if "header" in rows.columns else rows.withColumn("header", F.lit(None).cast("string"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = lru_cache(64)(logic.parse_declaration)
         for b in batches:
-            out = [(n, *d) for n, h in zip(b["name"], b["header"], strict=True) for d in logic.parse_declaration(h or "")]
+            out = [(n, *d) for n, h in zip(b["name"], b["header"], strict=True) for d in found(h or "")]
             yield pd.DataFrame(out, columns=["pou", "name", "type", "init"])
 
     return rows.select("name", "header").mapInPandas(run, "pou string, name string, type string, init string")
@@ -182,19 +187,19 @@ def default_triples(rows: DataFrame, found: DataFrame, create: bool = False) ->
     variables that only the header declares, which it adds."""
     d = found.where("init is not null").withColumn("k", F.lower("name"))
     declared = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.lower("x.name").alias("k"), F.col("x.name").alias("own"), F.col("x.direction").alias("direction"))
-    hit = d.join(declared, ["pou", "k"], "left")
+    hit = d.join(big(declared), ["pou", "k"], "left")
     subject = F.when(F.col("direction") == "Local", key("Var", "pou", "own")).when(F.col("direction").isNotNull(), key("Port", "pou", "own"))
     if not create:
         return _all(_rows(hit, subject, "dp:hasDefault", F.col("init"), "literal"))
-    new = hit.where("direction is null")
     var = key("Var", "pou", "name")
-    return _all(_rows(hit, F.coalesce(subject, var), "dp:hasDefault", F.col("init"), "literal"), _rows(new, key("POU", "pou"), "op:hasVariable", var), _rows(new, var, "dp:hasVariableName", F.col("name"), "literal"), _rows(new, var, "dp:hasVariableType", F.col("type"), "literal"))
+    new = F.when(F.col("direction").isNull(), var)
+    return _all(_facts(hit, (F.coalesce(subject, var), "dp:hasDefault", F.col("init"), "literal"), (key("POU", "pou"), "op:hasVariable", new, "iri"), (new, "dp:hasVariableName", F.col("name"), "literal"), (new, "dp:hasVariableType", F.col("type"), "literal")))
 
 
 def default_counts(rows: DataFrame, found: DataFrame) -> DataFrame:
     """One row (n_set, n_created, n_missing): defaults of declared names, of names that only headers have, and names without one."""
     declared = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.lower("x.name").alias("k"), F.lit(True).alias("known"))
-    both = found.withColumn("k", F.lower("name")).join(declared, ["pou", "k"], "left")
+    both = found.withColumn("k", F.lower("name")).join(big(declared), ["pou", "k"], "left")
     given = F.col("init").isNotNull()
     return both.agg(F.count_if(given & F.col("known").isNotNull()).alias("n_set"), F.count_if(given & F.col("known").isNull()).alias("n_created"), F.count_if(~given).alias("n_missing"))
 
@@ -212,7 +217,7 @@ def gemma_layers(rows: DataFrame) -> DataFrame:
     is_out, is_in = F.col("direction") == "Output", F.col("direction") == "Input"
     counted = ports.groupBy("pou").agg(F.count_if(is_out & state).alias("n_state_out"), F.count_if(is_in & state).alias("n_state_in"), F.count_if(is_out & ~state).alias("n_other_out"), F.collect_set(F.when(is_out, F.lower("port"))).alias("outs"))
     targets = F.regexp_extract_all(F.coalesce("code", F.lit("")), F.lit(r"(?m)^\s*([A-Za-z_][A-Za-z0-9_.]*)\s*:="), F.lit(1))
-    found = units.select(F.col("name").alias("pou"), F.transform(targets, lambda t: F.lower(F.substring_index(t, ".", -1))).alias("targets")).join(counted, "pou")
+    found = units.select(F.col("name").alias("pou"), F.transform(targets, lambda t: F.lower(F.substring_index(t, ".", -1))).alias("targets")).join(big(counted), "pou")
     found = found.withColumn("n_assigned", F.expr("size(filter(targets, t -> array_contains(outs, t)))").cast("long"))
     named = lambda n: F.lower("pou").contains(n)
     modes = named("operatingmodes") | (F.col("n_state_out") >= 3)
@@ -227,13 +232,13 @@ def consistency_reports(rows: DataFrame, called: DataFrame, unused_names: DataFr
     ports = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.col("x.direction").alias("direction"), F.col("x.name").alias("port"), F.concat("x.name", F.lit(" ("), F.coalesce("x.type", F.lit("")), F.lit(")")).alias("info"))
     faces = ports.groupBy("pou").agg(listed(F.when(F.col("direction") == "Input", F.col("info"))).alias("ins"), listed(F.when(F.col("direction") == "Output", F.col("info"))).alias("outs"))
     calls_ = called.groupBy(F.col("caller").alias("pou")).agg(listed("callee").alias("calls"))
-    idle = unused_names.join(ports.select("pou", F.col("port").alias("name"), "direction"), ["pou", "name"]).distinct()
+    idle = unused_names.join(big(ports.select("pou", F.col("port").alias("name"), "direction")), ["pou", "name"]).distinct()
     local = F.col("direction") == "Local"
     idle = idle.groupBy("pou").agg(*[e for n, c in (("vars", local), ("ports", ~local)) for e in (F.count_if(c).alias(f"n_{n}"), listed(F.when(c, F.col("name"))).alias(n))])
     out = rows.select(F.col("name").alias("pou")).distinct()
     for part in (faces, calls_, idle):
-        out = out.join(part, "pou", "left")
-    out = out.join(descriptions.select("pou", "description"), "pou", "left") if descriptions is not None else out.withColumn("description", F.lit(None).cast("string"))
+        out = out.join(big(part), "pou", "left")
+    out = out.join(big(descriptions.select("pou", "description")), "pou", "left") if descriptions is not None else out.withColumn("description", F.lit(None).cast("string"))
     part = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(label + ": "), F.col(c)))
     counted = lambda label, n, c: F.when(F.col(n) > 0, F.concat(F.lit(label + " ("), F.col(n).cast("string"), F.lit("): "), F.col(c)))
     report = F.concat_ws(" | ", F.concat(F.lit("Unit: "), F.col("pou")), part("Description", "description"), part("Inputs", "ins"), part("Outputs", "outs"), part("Calls", "calls"), counted("UNUSED variables", "n_vars", "vars"), counted("UNUSED ports", "n_ports", "ports"))
@@ -244,7 +249,7 @@ def unused(rows: DataFrame) -> DataFrame:
     """(pou, name) of declared names that the unit's code never mentions; parts of dotted names count as mentions."""
     used = rows.select(F.col("name").alias("pou"), F.explode(identifiers(strip_comments("code"))).alias("t")).select("pou", F.lower("t").alias("t")).distinct()
     declared = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.col("x.name").alias("name"), F.lower("x.name").alias("t"))
-    return declared.join(used, ["pou", "t"], "left_anti").select("pou", "name")
+    return declared.join(big(used), ["pou", "t"], "left_anti").select("pou", "name")
 
 
 def global_uses(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -261,7 +266,7 @@ def condition_ports(rows: DataFrame) -> DataFrame:
     found = rows.select("name", conditions.alias("c")).select("name", ports.alias("x")).distinct()
     own = rows.select("name", F.explode("ports").alias("i")).where("i.direction = 'Local'").select("name", F.lower("i.name").alias("k"))
     parts = found.select("name", F.split("x", r"\.").alias("p")).select("name", F.col("p")[0].alias("instance"), F.col("p")[1].alias("port"))
-    return parts.withColumn("k", F.lower("instance")).join(own, ["name", "k"], "left_semi").select(F.col("name").alias("pou"), "instance", "port")
+    return parts.withColumn("k", F.lower("instance")).join(big(own), ["name", "k"], "left_semi").select(F.col("name").alias("pou"), "instance", "port")
 
 
 def output_layer(rows: DataFrame, bindings: DataFrame, hardware: DataFrame, flows: DataFrame | None = None) -> DataFrame:
@@ -270,13 +275,13 @@ def output_layer(rows: DataFrame, bindings: DataFrame, hardware: DataFrame, flow
     programs_ = rows.where("kind = 'program'").select(F.col("name").alias("caller"))
     types = rows.select(F.col("name").alias("caller"), F.explode("ports").alias("x")).where("x.direction = 'Local'").select("caller", F.lower("x.name").alias("i"), F.col("x.type").alias("pou"))
     wired = hardware.select(F.lower("name").alias("k")).distinct()
-    in_program = bindings.join(programs_, "caller", "left_semi")
+    in_program = bindings.join(big(programs_), "caller", "left_semi")
     written = in_program.where("direction = 'Output'").select("caller", F.lower("instance").alias("i"), F.lower("expression").alias("k"))
-    hits = written.join(wired, "k", "left_semi").join(types, ["caller", "i"]).select("pou")
+    hits = written.join(wired, "k", "left_semi").join(big(types), ["caller", "i"]).select("pou")
     if flows is not None:
-        called = in_program.select("caller", F.lower("instance").alias("i")).join(types, ["caller", "i"]).select("pou").distinct()
+        called = in_program.select("caller", F.lower("instance").alias("i")).join(big(types), ["caller", "i"]).select("pou").distinct()
         moved = flows.select(F.col("program").alias("caller"), F.lower("instance").alias("i"), F.lower("variable").alias("k")).join(wired, "k", "left_semi")
-        hits = hits.unionByName(moved.join(types, ["caller", "i"]).select("pou").join(called, "pou", "left_semi"))
+        hits = hits.unionByName(moved.join(big(types), ["caller", "i"]).select("pou").join(big(called), "pou", "left_semi"))
     return hits.distinct()
 
 
@@ -426,7 +431,8 @@ def failures(events: DataFrame) -> DataFrame:
     """Triples of occurred failures: events(corr, failure_mode, summary, actions array<string>)."""
     f = F.concat(F.lit("Failure_"), "corr")
     acts = events.select("corr", F.explode("actions").alias("a"))
-    return _all(_rows(events, f, "rdf:type", F.when(F.col("failure_mode").isNotNull(), "OccurredKnownFailure").otherwise("OccurredUnknownFailure")), _rows(events, f, "op:isInstanceOf", F.col("failure_mode")), _rows(events, f, "dp:hasSummary", F.col("summary"), "literal"), _rows(acts, F.concat(F.lit("Failure_"), "corr"), "op:executedAction", F.col("a")))
+    known = F.when(F.col("failure_mode").isNotNull(), "OccurredKnownFailure").otherwise("OccurredUnknownFailure")
+    return _all(_facts(events, (f, "rdf:type", known, "iri"), (f, "op:isInstanceOf", F.col("failure_mode"), "iri"), (f, "dp:hasSummary", F.col("summary"), "literal")), _rows(acts, F.concat(F.lit("Failure_"), "corr"), "op:executedAction", F.col("a")))
 
 
 def _declared(rows: DataFrame) -> DataFrame:
@@ -443,7 +449,7 @@ def named_node(named: DataFrame, rows: DataFrame) -> DataFrame:
     first, rest = F.substring_index("text", ".", 1), F.expr("substring(text, length(substring_index(text, '.', 1)) + 2)")
     plain = F.col("text").rlike(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)?$")
     found = named.withColumns({"k": F.lower("text"), "i": F.when(plain & F.col("text").contains("."), F.lower(first))})
-    found = found.join(own, ["pou", "k"], "left").join(instances, ["pou", "i"], "left")
+    found = found.join(big(own), ["pou", "k"], "left").join(big(instances), ["pou", "i"], "left")
     node = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("instance"), key("PortInstance", "pou", first, rest)).when(F.col("i").isNotNull(), key("Var", first, rest)).otherwise(key("Expression", "pou", "text"))
     return found.withColumn("node", node).drop("k", "i", "own", "instance")
 
@@ -454,7 +460,7 @@ def wire_triples(found: DataFrame, rows: DataFrame) -> DataFrame:
     w = found.withColumns({"to": block("name", "type"), "by": block("from_name", "from_type")})
     texts = named_node(w.select("pou", "text").unionByName(w.select("pou", F.col("from_text").alias("text"))).where("text is not null").distinct(), rows)
     at = lambda c, n: texts.select("pou", F.col("text").alias(c), F.col("node").alias(n))
-    w = w.join(at("text", "to_node"), ["pou", "text"], "left").join(at("from_text", "by_node"), ["pou", "from_text"], "left")
+    w = w.join(big(at("text", "to_node")), ["pou", "text"], "left").join(big(at("from_text", "by_node")), ["pou", "from_text"], "left")
     target = F.when(F.col("kind") == "block", key("PortInstance", "pou", "to", "pin")).when(F.col("kind") == "jump", key("Jump", "pou", "to")).when(F.col("kind") == "return", key("Return", "pou", "element")).otherwise(F.col("to_node"))
     source = F.when(F.col("from_kind") == "block", key("PortInstance", "pou", "by", F.coalesce("from_pin", F.lit("")))).otherwise(F.col("by_node"))
     ports = [(w.where("kind = 'block'"), "to", "pin"), (w.where("from_kind = 'block' and from_pin is not null"), "by", "from_pin")]
@@ -481,7 +487,7 @@ def export_facts(rows: DataFrame) -> DataFrame:
     port, var = key("Port", F.concat_ws("_", F.lit("Method"), "method", "name"), "port"), key("Var", F.concat_ws("_", F.lit("Method"), "method", "name"), "port")
     ports = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.col("x.name").alias("name"), F.col("x.direction").alias("direction"), F.col("x.init").alias("init")).where("init is not null")
     flags = access_flags(rows.select(F.col("name").alias("owner"), F.explode("attributes").alias("a")).select("owner", F.col("a.name").alias("name"), F.col("a.attribute").alias("attribute"), F.coalesce("a.value", F.lit("1")).alias("value")))
-    flagged = flags.select(F.col("owner").alias("pou"), F.lower("name").alias("k"), "visible", "writable").join(_declared(rows), ["pou", "k"])
+    flagged = flags.select(F.col("owner").alias("pou"), F.lower("name").alias("k"), "visible", "writable").join(big(_declared(rows)), ["pou", "k"])
     parts = [
         _rows(rows, pou, "dp:hasPOULanguage", F.col("language"), "literal"),
         _rows(rows.where("job_method is not null"), pou, "dp:isJobMethod", true, "literal"),
@@ -536,7 +542,7 @@ def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io
     hardware = graph.where("p = 'dp:hasHardwareAddress'").select("s").join(graph.where("p = 'dp:hasVariableName'").select("s", F.col("o").alias("name")), "s").distinct()
     named = hardware.select("name").distinct()
     kinds = rows.select(F.col("name").alias("pou"), F.explode("ports").alias("x")).select("pou", F.col("x.name").alias("name"), F.col("x.direction").alias("direction"))
-    idle_kinds = idle.join(kinds, ["pou", "name"])
+    idle_kinds = idle.join(big(kinds), ["pou", "name"])
     layers = gemma_layers(rows)
     called = calls_of(rows, bindings)
     true = F.lit("true")
@@ -557,4 +563,4 @@ def build(spark: SparkSession, rows: DataFrame, gvl: DataFrame | None = None, io
 
 def calls_of(rows: DataFrame, bindings: DataFrame) -> DataFrame:
     """(caller, callee) names, once each: the declared types of the instances that code calls."""
-    return bindings.select("caller", _head("instance").alias("k")).join(_instances(rows), ["caller", "k"]).select("caller", "callee").distinct()
+    return bindings.select("caller", _head("instance").alias("k")).join(big(_instances(rows)), ["caller", "k"]).select("caller", "callee").distinct()

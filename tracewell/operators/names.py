@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
-from .etl import _all, _declared, _instances, _rows, key
+from ..tables import big
+from .etl import _all, _declared, _facts, _instances, _rows, key
 
 NAME = r"[A-Za-z_]\w*+"
 # How names of global lists begin, in lower case.
@@ -33,7 +34,7 @@ def signal_sources(uses: DataFrame, rows: DataFrame, known: DataFrame) -> DataFr
     nodes = known.groupBy(F.lower("name").alias("k")).agg(F.min("node").alias("node"))
     own = _declared(rows).groupBy("pou", "k").agg(F.min_by("node", "name").alias("own"))
     typed = _instances(rows).groupBy(F.col("caller").alias("pou"), F.col("k").alias("i")).agg(F.max("callee").alias("type"))
-    u = u.join(nodes, "k", "left").join(own, ["pou", "k"], "left").join(typed, ["pou", "i"], "left")
+    u = u.join(nodes, "k", "left").join(big(own), ["pou", "k"], "left").join(big(typed), ["pou", "i"], "left")
     begins = F.lit(False)
     for p in GLOBAL_PREFIXES:
         begins = begins | F.lower(head).startswith(p)
@@ -59,21 +60,17 @@ def source_triples(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Triples of the sources that signal_sources() found: literals and expressions with their texts, variables that are new,
     and what an expression is made of: globals, names that the unit declares, and times."""
     e = found.where("tier = 'expression'")
-    new, lit, ports = found.where("tier in ('new', 'member')"), found.where("tier = 'literal'"), found.where("tier = 'port'")
+    kind = F.when(F.col("tier") == "literal", "SourceLiteral").when(F.col("tier") == "expression", "Expression").when(F.col("tier") == "port", "PortInstance").when(F.col("tier").isin("new", "member"), "Variable")
+    text = F.when(F.col("tier") == "literal", F.col("text")).when(F.col("tier") == "expression", F.trim("expression"))
+    name = F.when(F.col("tier").isin("new", "member"), F.col("text"))
     words = e.select("pou", "target", F.explode(F.array_distinct(F.regexp_extract_all("expression", F.lit(rf"({NAME}(?:#[\w.]+|(?:\.{NAME})*+))"), F.lit(1)))).alias("w")).withColumn("k", F.lower("w")).where(~F.col("k").isin(*OPERATORS))
     own = _declared(rows).groupBy("pou", "k").agg(F.min_by("node", "name").alias("own"))
-    words = words.join(own, ["pou", "k"], "left")
+    words = words.join(big(own), ["pou", "k"], "left")
     begins = F.lit(False)
     for p in GLOBAL_PREFIXES:
         begins = begins | F.col("k").startswith(p)
     part = F.when(F.col("k").rlike("^(?:t|time)#"), key("Literal", "w")).when(begins & F.col("w").contains("."), key("Var", F.translate("w", ".", "_"))).otherwise(F.col("own"))
     return _all(
-        _rows(lit, F.col("target"), "rdf:type", F.lit("SourceLiteral")),
-        _rows(lit, F.col("target"), "dp:hasExpressionText", F.col("text"), "literal"),
-        _rows(e, F.col("target"), "rdf:type", F.lit("Expression")),
-        _rows(e, F.col("target"), "dp:hasExpressionText", F.trim("expression"), "literal"),
+        _facts(found, (F.col("target"), "rdf:type", kind, "iri"), (F.col("target"), "dp:hasExpressionText", text, "literal"), (F.col("target"), "dp:hasVariableName", name, "literal")),
         _rows(words, F.col("target"), "op:isExpressionCreatedBy", part),
-        _rows(ports, F.col("target"), "rdf:type", F.lit("PortInstance")),
-        _rows(new, F.col("target"), "rdf:type", F.lit("Variable")),
-        _rows(new, F.col("target"), "dp:hasVariableName", F.col("text"), "literal"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnosis as dg
 from ..operators import etl
-from ..tables import load
+from ..tables import load, spread
 from .registry import query
 
 # One unit per part, as SQL: its name, kind, ports, code and declarations.
@@ -18,7 +18,7 @@ _U = """u AS (SELECT p_partkey AS k, p_size AS z, 'U' || p_partkey AS name, CASE
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    rows = spread(load(spark, sf_dir, "part")).select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
     text = lambda c: c.cast("string")
     state, callee = F.concat(F.lit("D"), text(F.col("z") % 9 + 1)), F.concat(F.lit("U"), text(F.col("k") % 50 + 1))
     port = lambda d, n, t: F.struct(F.lit(d).alias("direction"), n.alias("name"), t.alias("type"))
