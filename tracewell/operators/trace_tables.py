@@ -138,7 +138,7 @@ def _step(r: dict, v: bool) -> tuple[list, list]:
             emit(0, None, v, holder, "std_fb_dependency", f"{kind}.{source}", "standard_fb", text)
             if text is None:
                 return emits, goals
-            if re.fullmatch(rf"(?i)NOT\s*\(?\s*{re.escape(k)}\s*\)?", text):
+            if (m := re.fullmatch(r"(?is)NOT\s*\(?\s*(.*?)\s*\)?", text)) and m[1].lower() == k:
                 emit(1, None, False, holder, "temporal_note", "FALSE (t-1)", "standard_fb")
                 return emits, goals
             _expression(text, kind.upper() != "F_TRIG" and v, 1, holder, emits, goals)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions import logic
 from ..functions import text as tx
 from ..operators import trace
 from ..sources import plcopen, program, turtle
-from ..tables import load
+from ..tables import load, spread
 from .guard import guarded, with_prefixes
 from .registry import query
 
@@ -22,18 +23,19 @@ def _s(c: str | Column) -> Column:
 
 
 def _each(df: DataFrame, key: str, text: Column, f: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """(key, and the columns of schema) of f's rows for each text."""
+    """(key, and the columns of schema) of f's rows for each text. A text that a task met a short while ago isn't read again."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = lru_cache(256)(f)
         for b in batches:
-            yield pd.DataFrame([(k, *r) for k, t in zip(b["k"], b["t"], strict=True) for r in f(t)], columns=["k", *names])
+            yield pd.DataFrame([(k, *r) for k, t in zip(b["k"], b["t"], strict=True) for r in found(t)], columns=["k", *names])
 
     return df.select(F.col(key).alias("k"), text.alias("t")).mapInPandas(run, f"k long, {schema}").withColumnRenamed("k", key)
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part")
+    return spread(load(spark, sf_dir, "part"))
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace('  ' || p_name || '   ' || chr(9) || p_type || chr(10), '\s+', ' ', 'g')) AS clean,

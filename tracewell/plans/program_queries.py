@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..operators import trace, trace_tables
-from ..tables import load
+from ..tables import load, spread
 from .registry import query
 
 
@@ -23,12 +24,13 @@ def dnf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.expr("array_join(transform(sequence(1, cast(p_partkey % 4 + 1 as int)), i -> if(i = 1 and p_size % 3 = 0, 'A1', concat('b', i))), ' AND ')")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = lru_cache(256)(logic.truth_paths)
         for b in batches:
-            paths = [logic.truth_paths(t)[0] for t in b["text"]]
+            paths = [found(t)[0] for t in b["text"]]
             yield pd.DataFrame({"p_partkey": b["p_partkey"], "n_paths": [len(p) for p in paths], "n_literals": [sum(map(len, p)) for p in paths]}).astype({"n_paths": "int32", "n_literals": "int32"})
 
     text = F.concat(F.lit("("), first, F.lit(") AND NOT ("), second, F.lit(")"))
-    return load(spark, sf_dir, "part").select("p_partkey", text.alias("text")).mapInPandas(run, "p_partkey long, n_paths int, n_literals int")
+    return spread(load(spark, sf_dir, "part"), 100_000).select("p_partkey", text.alias("text")).mapInPandas(run, "p_partkey long, n_paths int, n_literals int")
 
 
 @query("""WITH c AS (SELECT l_orderkey AS k, l_linenumber AS i, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS line FROM lineitem),
@@ -44,12 +46,13 @@ def requirement_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     programs = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", code.alias("c")))), lambda x: x["c"]), "\n").alias("code"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @lru_cache(4096)  # programs are short, and many orders have the same
+        def traced(text: str) -> list[tuple]:
+            program = trace.Program({"Main": trace.Pou("Main", text, variables={f"v{i}": None for i in range(1, text.count("\n") + 3)})}, globals={"flagR": "%I1.0", "flagA": None, "flagN": None})
+            return [tuple(r[c] for c in trace.COLUMNS) for r in trace.requirements(program, "Main", "v1", True)]
+
         for b in batches:
-            rows = []
-            for key, text in zip(b["l_orderkey"], b["code"], strict=True):
-                program = trace.Program({"Main": trace.Pou("Main", text, variables={f"v{i}": None for i in range(1, text.count("\n") + 3)})}, globals={"flagR": "%I1.0", "flagA": None, "flagN": None})
-                rows += [{"l_orderkey": key, **r} for r in trace.requirements(program, "Main", "v1", True)]
-            yield pd.DataFrame(rows, columns=["l_orderkey", *trace.COLUMNS])
+            yield pd.DataFrame([(key, *r) for key, text in zip(b["l_orderkey"], b["code"], strict=True) for r in traced(text)], columns=["l_orderkey", *trace.COLUMNS])
 
     return programs.mapInPandas(run, "l_orderkey long, " + trace.SCHEMA)
 
@@ -64,7 +67,7 @@ def requirement_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def program_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trace through a chain of units in a program of each part's own, level by level over tables: to a global through
     calls, guards and wiring; as many units as the part's size says."""
-    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 4 + 1).alias("n"))
+    part = spread(load(spark, sf_dir, "part")).select(F.col("p_partkey").alias("k"), (F.col("p_size") % 4 + 1).alias("n"))
     name = lambda i: F.concat(F.lit("U"), i.cast("string"))
     u = part.select("k", "n", F.explode(F.sequence(F.lit(0), "n")).alias("i"))
     last, program = F.col("i") == F.col("n"), F.concat(F.lit("P"), F.col("k").cast("string"))
