@@ -52,3 +52,15 @@ def test_copies_ties_and_blocks(spark, monkeypatch):
     assert sorted((r["rank"], r["neighbour"], r["distance"]) for r in got) == [(1, 3, 0.0), (2, 6, 0.0), (3, 9, 0.0), (4, 12, 0.0), (5, 15, 0.0)]
     none = df.limit(0)
     assert vi.index_vectors(none, vi.fit_centres(none)).collect() == []
+
+
+def test_exact_ties_go_to_the_smaller_key_and_little_leaves_a_block(spark):
+    """Many copies and more rows than a block: the k smallest keys of a copy's own, whatever block they lie in."""
+    rows = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(1, 4), i -> cast(if(id % 3 = 0, 1, id * i % 97) AS float)) AS embedding")
+    model = vi.fit_centres(rows)
+    index = vi.index_vectors(rows, model)
+    found = vi.nearest(index, rows.where("vec_id IN (0, 2997)"), model, 5, len(model.centres), None)
+    got = {q: [r.neighbour for r in sorted(found.where(f"query = {q}").collect(), key=lambda r: r.rank)] for q in (0, 2997)}
+    x = {r.vec_id: r.embedding for r in rows.collect()}
+    want = {q: sorted((k for k in x if k != q), key=lambda k: (sum((a - b) ** 2 for a, b in zip(x[k], x[q], strict=True)), k))[:5] for q in (0, 2997)}
+    assert got == want
