@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..operators import trace, trace_tables
-from ..tables import load, spread
+from ..tables import big, load, scratch, spread
 from .registry import query
 
 
@@ -46,15 +46,16 @@ def requirement_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     programs = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", code.alias("c")))), lambda x: x["c"]), "\n").alias("code"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        @lru_cache(4096)  # programs are short, and many orders have the same
-        def traced(text: str) -> list[tuple]:
+        def traced(text: str) -> list[dict]:
             program = trace.Program({"Main": trace.Pou("Main", text, variables={f"v{i}": None for i in range(1, text.count("\n") + 3)})}, globals={"flagR": "%I1.0", "flagA": None, "flagN": None})
-            return [tuple(r[c] for c in trace.COLUMNS) for r in trace.requirements(program, "Main", "v1", True)]
+            return trace.requirements(program, "Main", "v1", True)
 
         for b in batches:
-            yield pd.DataFrame([(key, *r) for key, text in zip(b["l_orderkey"], b["code"], strict=True) for r in traced(text)], columns=["l_orderkey", *trace.COLUMNS])
+            yield pd.DataFrame([(text, *(r[c] for c in trace.COLUMNS)) for text in b["code"] for r in traced(text)], columns=["code", *trace.COLUMNS])
 
-    return programs.mapInPandas(run, "l_orderkey long, " + trace.SCHEMA)
+    # orders with the same lines have the same program, which is traced once
+    found = spread(scratch(programs.select("code").distinct(), "codes"), 5000).mapInPandas(run, "code string, " + trace.SCHEMA)
+    return programs.join(big(found), "code").drop("code")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_size % 4 + 1 AS n FROM part), u AS (SELECT k, n, unnest(range(n)) AS i FROM p),
