@@ -40,3 +40,19 @@ def test_spread(spark):
 def test_units_are_not_broadcast(spark, name):
     plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_edges_are_worked_out_once(spark):
+    """Edges that say how often they were read: once, though the chain takes many rounds."""
+    from tracewell.operators.graph import reachable
+
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    edges = spark.range(0, 6, 1, 1).selectExpr("cast(id AS string) AS src", "cast(id + 1 AS string) AS dst").mapInPandas(run, "src string, dst string")
+    found = reachable(edges, spark.createDataFrame([("0",)], "root string"))
+    assert sorted((r.node, r.depth) for r in found.collect()) == [(str(i), i) for i in range(7)] and read.value == 6

@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import big, scratch
+from ..tables import big, discard, scratch
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
@@ -16,13 +16,14 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataF
     A breadth-first loop over frontiers; each round's new nodes are a table, so plans don't grow with depth. Joins are merged:
     a table of some MB may be ten times that once it is read, and none of it is to go through the driver.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = scratch(edges.select("src", "dst").distinct(), "edges")  # worked out once, not in each round
     seen = scratch(roots.select(F.col("root"), F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)), "frontier")
     found = frontier = seen
     for depth in range(1, max_depth + 1):
         step = frontier.join(big(edges), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         frontier = scratch(step.join(big(found.select("root", "node")), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
+            discard(edges)
             return found
         found = found.unionByName(frontier)
     raise RuntimeError(f"nodes remain beyond depth {max_depth}")
