@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diagnosis as dg
 from ..operators import etl
-from ..tables import load, spread
+from ..tables import big, load, spread
 from .registry import query
 
 # One unit per part, as SQL: its name, kind, ports, code and declarations.
@@ -178,8 +178,9 @@ def access_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'Failure_' || o_orderkey AS s, 'rdf:type' AS p, CASE WHEN o_orderstatus = 'F' THEN 'OccurredKnownFailure' ELSE 'OccurredUnknownFailure' END AS o FROM orders UNION ALL SELECT 'Failure_' || o_orderkey, 'op:isInstanceOf', 'FM_' || o_custkey FROM orders WHERE o_orderstatus = 'F'
     UNION ALL SELECT 'Failure_' || o_orderkey, 'dp:hasSummary', o_orderpriority FROM orders UNION SELECT 'Failure_' || l_orderkey, 'op:executedAction', 'Act_' || l_suppkey FROM lineitem""")
 def failure_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acts = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.concat(F.lit("Act_"), F.col("l_suppkey").cast("string"))).alias("actions"))
-    events = load(spark, sf_dir, "orders").join(acts, "o_orderkey", "left").select(F.col("o_orderkey").cast("string").alias("corr"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("FM_"), F.col("o_custkey").cast("string"))).alias("failure_mode"), F.col("o_orderpriority").alias("summary"), "actions")
+    lines = spread(load(spark, sf_dir, "lineitem"), 500_000, "l_orderkey")  # so many to a task, whatever the table's size
+    acts = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.concat(F.lit("Act_"), F.col("l_suppkey").cast("string"))).alias("actions"))
+    events = load(spark, sf_dir, "orders").join(big(acts), "o_orderkey", "left").select(F.col("o_orderkey").cast("string").alias("corr"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("FM_"), F.col("o_custkey").cast("string"))).alias("failure_mode"), F.col("o_orderpriority").alias("summary"), "actions")
     return etl.failures(events).select("s", "p", "o")
 
 
