@@ -79,3 +79,19 @@ def test_nothing_to_trace(spark):
     unit = spark.createDataFrame([("P", "U", None, None, {"a": None}, None, None, None, None, None, None)], trace_tables.UNITS)
     got = trace_tables.requirement_paths(unit, gone, names, spark.createDataFrame([(1, "P", "U", "A", True)], STARTS)).collect()
     assert [(r["token"], r["kind"], r["reason"]) for r in sorted(got, key=lambda r: r["depth"])] == [("A", "port_mapping", "called by Elsewhere"), ("x", "unknown", "no such unit")]
+
+
+def test_rows_alike_are_worked_out_twice_at_most(spark):
+    """Rows that differ by their program alone: what follows from the first two holds for all, each under its own program."""
+    from tracewell.operators.trace_tables import _rows
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def f(r):
+        calls.add(1)
+        yield {"k": r["t"]}
+        yield {"k": None}
+
+    df = spark.range(0, 1000, 1, 1).selectExpr("'x' AS t", "concat('P', id) AS program")
+    found = [(r.program, r.k) for r in _rows(df, f, "program string, k string").collect()]
+    assert len(found) == 2000 and set(found) == {(f"P{i}", k) for i in range(1000) for k in ("x", None)} and calls.value == 2

@@ -3,7 +3,9 @@
 Each unit is parsed on its own. What a token's trace does next within its unit, by the value it must take, depends on the
 unit, the unit that owns it, the type of an instance and the first call of the unit alone, so it is worked out once for
 each token that any expression mentions: a table of steps, keyed by (program, unit, token, value), with the rows a step
-gives and the goals that follow. A level of the trace is then one join of the frontier with that table; depth, states taken
+gives and the goals that follow. Most steps follow from the unit and its calls and are worked out as it is parsed; those that
+need other units, owners or instances' types, are joined with what these say. The table is dealt and sorted by its key once.
+A level of the trace is then one join of the frontier with it, in which only the frontier moves; depth, states taken
 as inactive and loops are told from a goal's own path.
 """
 
@@ -13,22 +15,30 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logic
-from ..tables import discard, scratch
+from ..tables import big, discard, scratch, spread
 from .trace import MOST_DEPTH, STANDARD, assignment_points
 
 UNITS = "program string, name string, code string, language string, inputs map<string,string>, outputs map<string,string>, variables map<string,string>, instances map<string,string>, is_job_method boolean, methods map<string,string>, owner string"
 _ASSIGNS = "array<struct<method:string,local:boolean,target:string,value:string,line:int,conditions:array<string>>>"
 _LEAVES = "array<struct<token:string,value:boolean>>"
-_FACTS = f"program string, pou string, k string, role string, own_name string, initial string, instance string, type string, assigns {_ASSIGNS}, passed map<string,string>, if_true {_LEAVES}, if_false {_LEAVES}, mentions array<string>"
 _EMITS = "array<struct<deeper:int,token:string,value:boolean,pou:string,kind:string,reason:string,source:string,assignment:string>>"
 _GOALS = "array<struct<way:int,deeper:int,token:string,value:boolean,pou:string>>"
 _STEPS = f"program string, pou string, k string, value boolean, emits {_EMITS}, goals {_GOALS}"
+#: What a unit gives, by need: facts about its names; steps; tokens whose step is told by a global's name (global) or by other units (rest).
+_UNIT = f"program string, pou string, k string, need string, value boolean, emits {_EMITS}, goals {_GOALS}, role string, own_name string, initial string, instance string, type string, assigns {_ASSIGNS}, passed map<string,string>, if_true {_LEAVES}, if_false {_LEAVES}"
+#: Bytes of results that a task remembers.
+_REMEMBERED = 8 << 20
 #: In a row's token: what follows the instance in the asked one.
 PORT = "\x02"
+#: Steps that a task of a level's join holds, about.
+STEPS_A_TASK = 200_000
+#: Units that a task parses, and tokens whose steps it works out from joined rows, about.
+UNITS_A_TASK = 10_000
 SCHEMA = "trace long, path_id string, depth int, token string, value boolean, pou string, kind string, reason string, source string, assignment string"
 
 
@@ -40,15 +50,35 @@ def _arrow(schema: str) -> pa.Schema:
 
 
 def _rows(df: DataFrame, f, schema: str) -> DataFrame:
-    """f's dicts for each row (a dict), in Arrow batches."""
+    """f's dicts for each row (a dict) without its program, to which the results belong, in Arrow batches. A row that differs
+    from another that the task met a short while ago by its program alone isn't worked out again."""
     kind = _arrow(schema)
+    rest = pa.schema(list(kind)[1:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, pa.RecordBatch | None] = {}  # None: met once
+        size = 0
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                yield pa.RecordBatch.from_pylist([x for r in b.slice(at, 200).to_pylist() for x in f(r)], kind)
-
-    return df.mapInArrow(run, schema)
+                part = b.slice(at, 200)
+                new, found, names = [], [], []
+                for program, r in zip(part.column(0).to_pylist(), pa.RecordBatch.from_arrays(part.columns[1:], part.schema.names[1:]).to_pylist(), strict=True):
+                    if (own := known.get(text := repr(r))) is None:
+                        rows = list(f(r))
+                        if text not in known:
+                            new += [{"program": program, **x} for x in rows]
+                            known[text], size = None, size + len(text)
+                            continue
+                        known[text] = own = pa.RecordBatch.from_pylist(rows, rest)
+                        size += own.nbytes
+                    found.append(own)
+                    names += [program] * own.num_rows
+                if size > _REMEMBERED:
+                    known, size = {}, 0
+                yield pa.RecordBatch.from_pylist(new, kind)
+                yield from pa.Table.from_batches(found, rest).add_column(0, kind.field(0), pa.array(names, pa.string())).combine_chunks().cast(kind).to_batches()
+
+    return df.select("program", *[c for c in df.columns if c != "program"]).mapInArrow(run, schema)
 
 
 def _mentioned(texts: Iterable[str]) -> set[str]:
@@ -62,36 +92,35 @@ def _mentioned(texts: Iterable[str]) -> set[str]:
     return out
 
 
-def _facts(unit: dict) -> Iterator[dict]:
-    """What a unit says about each of its names, and at the empty name which tokens its expressions mention."""
+def _facts(unit: dict) -> tuple[dict[str, dict], set[str]]:
+    """What a unit says about each of its names, and which tokens its expressions mention."""
     facts: dict[str, dict] = {}
-    of = lambda name: facts.setdefault(name.lower(), {"program": unit["program"], "pou": unit["name"], "k": name.lower(), "assigns": [], "mentions": None})
+    of = lambda name: facts.setdefault(name.lower(), {"pou": unit["name"], "k": name.lower(), "role": None, "own_name": None, "initial": None, "instance": None, "type": None, "assigns": [], "passed": None, "if_true": None, "if_false": None})
     code, texts = unit["code"] or "", []
     for role in ("inputs", "outputs", "variables"):
         for name, initial in unit[role] or []:
-            if "role" not in of(name):
+            if of(name)["role"] is None:
                 of(name).update(role=role, own_name=name, initial=initial)
     for name, kind in unit["instances"] or []:
-        of(name).setdefault("type", kind)
-        of(name).setdefault("instance", name)
+        if of(name)["instance"] is None:
+            of(name).update(type=kind, instance=name)
     for method, text, local in [("", code, not unit["is_job_method"]), *((m, t, False) for m, t in unit["methods"] or [])]:
         for a in logic.assignments(text or ""):
             of(a.target)["assigns"].append({"method": method, "local": local, "target": a.target, "value": a.value, "line": a.line, "conditions": a.conditions})
             texts += [a.value, *a.conditions]
     for name, _, ins, _ in logic.calls(code):
-        if "passed" not in of(name):
+        if of(name)["passed"] is None:
             of(name)["passed"] = [(k.lower(), v) for k, v in ins.items()]
             texts += ins.values()
     mentions = _mentioned(texts)
     if unit["language"] == "FBD":
         blocks, outputs = logic.fbd_lines(code)
         for name in (*outputs, *blocks):
-            if "if_true" not in of(name):
+            if of(name)["if_true"] is None:
                 found = [[{"token": t, "value": v} for t, v in logic.leaves(logic.fbd_tree(name, blocks, outputs), wanted)] for wanted in (True, False)]
                 of(name).update(if_true=found[0], if_false=found[1])
                 mentions |= {x["token"].lower() for f in found for x in f}
-    of("").update(mentions=sorted(mentions | {k for k, f in facts.items() if "role" in f}))
-    yield from facts.values()
+    return facts, mentions | {k for k, f in facts.items() if f["role"]}
 
 
 def _expression(text: str, value: bool, deeper: int, pou: str, emits: list, goals: list) -> None:
@@ -206,24 +235,67 @@ def _leaves(fact: dict | None, port: str, v: bool, pou: str, goals: list) -> Non
             goals.append((0, 1, x["token"], x["value"], pou))
 
 
+def _unit_rows(unit: dict) -> Iterator[dict]:
+    """Rows of _UNIT of a unit with what it passes on (texts), its wired inputs and the starts there. All steps of a unit that
+    has an owner or is one (shared) are for the joins."""
+    facts, asked = _facts(unit)
+    asked |= _mentioned(unit["texts"] or []) | set(unit["starts"] or [])
+    yield from ({**f, "need": "fact"} for f in facts.values())
+    wired = {w["k"]: w for w in unit["wired"] or []}
+    own = {"language": unit["language"] or "ST", "is_job_method": bool(unit["is_job_method"])}
+    for k in sorted(asked):
+        at = {"pou": unit["name"], "k": k}
+        first, _, port = k.partition(".")
+        fact, inst = facts.get(k), facts.get(first)
+        inst = inst if inst and inst["instance"] else None
+        by_callee = port and inst and not (inst["type"].upper() in STANDARD and port.upper() in ("Q", "Q1")) and port not in dict(inst["passed"] or [])
+        if unit["shared"] or by_callee:
+            yield {**at, "need": "rest"}
+        elif not (port and inst) and not (fact and fact["role"]):
+            yield {**at, "need": "global"}
+        else:
+            for s in _steps({**at, "port": port, "inst": inst, "owner": None, "owner_inst": None, "callee": None, "callee_fact": None, "fact": fact, "unit": own, "wired": wired.get(k), "owner_fact": None, "global": None}):
+                yield {**s, "need": "step"}
+
+
+def _steps(r: dict) -> Iterator[dict]:
+    named = lambda rs, *names: [dict(zip(names, x, strict=True)) for x in rs]
+    for v in (True, False):
+        emits, goals = _step(r, v)
+        yield {"pou": r["pou"], "k": r["k"], "value": v, "emits": named(emits, "deeper", "token", "value", "pou", "kind", "reason", "source", "assignment"), "goals": named(goals, "way", "deeper", "token", "value", "pou")}
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    """For a table that is read: a task for so many rows, and no fewer than run at once where there are some rows for each."""
+    n = -(-df.count() // rows)
+    return max(n, min(df.sparkSession.sparkContext.defaultParallelism, 4 * n), 1)
+
+
 def trace_steps(units: DataFrame, wiring: DataFrame, globals_: DataFrame, starts: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     """The table of steps (program, pou, k, value, emits, goals) of all tokens that expressions, declarations and starts mention;
     see requirement_paths(). Written to the shared folder; the caller discards it."""
-    facts = scratch(_rows(units, _facts, _FACTS), "facts")
     unit = units.select("program", F.col("name").alias("pou"), F.coalesce("language", F.lit("ST")).alias("language"), F.coalesce("is_job_method", F.lit(False)).alias("is_job_method"), "owner", (F.coalesce("code", F.lit("")) != "").alias("has_code"))
     wired = wiring.groupBy("program", "pou", F.lower("port").alias("k")).agg(F.array_sort(F.collect_list(F.struct("place", "caller", "expression"))).alias("w"))
     wired = wired.select("program", "pou", "k", F.col("w.caller").alias("callers"), F.col("w")[0]["expression"].alias("text"))
     if hints is None:
         wired = wired.withColumn("hint", F.lit(None).cast("string"))
     else:
-        wired = wired.join(hints.select("program", "pou", F.lower("port").alias("k"), F.col("expression").alias("hint")), ["program", "pou", "k"], "left")
-
-    mentioned = facts.where("k = ''").select("program", "pou", F.explode("mentions").alias("k"))
-    passed_on = wired.select("program", F.col("callers")[0].alias("pou"), F.coalesce("hint", "text").alias("text"))
-    told = _rows(passed_on, lambda r: [{"program": r["program"], "pou": r["pou"], "k": t} for t in _mentioned([r["text"]])], "program string, pou string, k string")
-    asked = mentioned.unionByName(told).unionByName(starts.select("program", "pou", F.lower("token").alias("k")))
+        wired = wired.join(big(hints.select("program", "pou", F.lower("port").alias("k"), F.col("expression").alias("hint"))), ["program", "pou", "k"], "left")
+
+    of_unit = wired.groupBy("program", F.col("pou").alias("name")).agg(F.sort_array(F.collect_list(F.struct("k", "callers", "text", "hint"))).alias("wired"))
+    passed_on = wired.groupBy("program", F.col("callers")[0].alias("name")).agg(F.sort_array(F.collect_set(F.coalesce("hint", "text"))).alias("texts"))
+    begun = starts.groupBy("program", F.col("pou").alias("name")).agg(F.sort_array(F.collect_set(F.lower("token"))).alias("starts"))
+    owners = units.where("owner is not null").select("program", F.col("owner").alias("name")).distinct().withColumn("owns", F.lit(True))
+    each = units
+    for df in (of_unit, passed_on, begun, owners):
+        each = each.join(big(df), ["program", "name"], "left")
+    shared = F.col("owner").isNotNull() | F.col("owns").isNotNull()
+    each = scratch(each.withColumn("shared", shared).drop("owns", "owner"), "units")
+    read = scratch(_rows(spread(each, UNITS_A_TASK), _unit_rows, _UNIT), "facts")
+
+    facts, asked = read.where("need = 'fact'"), read.where("need = 'rest'").select("program", "pou", "k")
     # a token that is its owner's is asked there, too
-    above = asked.join(unit.where("owner is not null").select("program", "pou", "owner"), ["program", "pou"]).select("program", F.col("owner").alias("pou"), "k")
+    above = asked.join(big(unit.where("owner is not null").select("program", "pou", "owner")), ["program", "pou"]).select("program", F.col("owner").alias("pou"), "k")
     keys = asked.unionByName(above).distinct()
 
     def record(name: str, df: DataFrame, **on: str) -> DataFrame:
@@ -231,29 +303,29 @@ def trace_steps(units: DataFrame, wiring: DataFrame, globals_: DataFrame, starts
         rest = [c for c in df.columns if c not in on]
         return df.select(*[F.col(c).alias(to) for c, to in on.items()], F.struct(*rest).alias(name))
 
-    plain = facts.where("k <> ''").select("program", "pou", "k", "role", "own_name", "initial", "assigns", "if_true", "if_false")
+    plain = facts.select("program", "pou", "k", "role", "own_name", "initial", "assigns", "if_true", "if_false")
     held = facts.where("instance is not null").select("program", "pou", "k", "instance", "type", "passed")
-    rows = keys.join(record("unit", unit, program="program", pou="pou"), ["program", "pou"]).withColumn("owner", F.col("unit.owner"))
+    rows = keys.join(big(record("unit", unit, program="program", pou="pou")), ["program", "pou"]).withColumn("owner", F.col("unit.owner"))
     rows = rows.withColumn("i", F.substring_index("k", ".", 1)).withColumn("port", F.expr("if(k like '%.%', substring(k, length(i) + 2), '')"))
-    rows = rows.join(record("fact", plain, program="program", pou="pou", k="k"), ["program", "pou", "k"], "left")
-    rows = rows.join(record("wired", wired, program="program", pou="pou", k="k"), ["program", "pou", "k"], "left")
-    rows = rows.join(record("inst", held, program="program", pou="pou", k="i"), ["program", "pou", "i"], "left")
-    rows = rows.join(record("owner_inst", held, program="program", pou="owner", k="i"), ["program", "owner", "i"], "left")
-    rows = rows.join(record("owner_fact", plain.select("program", "pou", "k", "role"), program="program", pou="owner", k="k"), ["program", "owner", "k"], "left")
+    rows = rows.join(big(record("fact", plain, program="program", pou="pou", k="k")), ["program", "pou", "k"], "left")
+    rows = rows.join(big(record("wired", wired, program="program", pou="pou", k="k")), ["program", "pou", "k"], "left")
+    rows = rows.join(big(record("inst", held, program="program", pou="pou", k="i")), ["program", "pou", "i"], "left")
+    rows = rows.join(big(record("owner_inst", held, program="program", pou="owner", k="i")), ["program", "owner", "i"], "left")
+    rows = rows.join(big(record("owner_fact", plain.select("program", "pou", "k", "role"), program="program", pou="owner", k="k")), ["program", "owner", "k"], "left")
     rows = rows.withColumn("callee_name", F.coalesce("inst.type", "owner_inst.type"))
-    rows = rows.join(record("callee", unit, program="program", pou="callee_name"), ["program", "callee_name"], "left")
-    rows = rows.join(record("callee_fact", plain, program="program", pou="callee_name", k="port"), ["program", "callee_name", "port"], "left")
+    rows = rows.join(big(record("callee", unit, program="program", pou="callee_name")), ["program", "callee_name"], "left")
+    rows = rows.join(big(record("callee_fact", plain, program="program", pou="callee_name", k="port")), ["program", "callee_name", "port"], "left")
     names = globals_.groupBy("program", F.lower("name").alias("k")).agg(F.min_by("address", "name").alias("address"))
-    rows = rows.join(record("global", names, program="program", k="k"), ["program", "k"], "left")
+    rows = rows.join(big(record("global", names, program="program", k="k")), ["program", "k"], "left")
 
-    def steps(r: dict) -> Iterator[dict]:
-        for v in (True, False):
-            emits, goals = _step(r, v)
-            named = lambda rs, *names: [dict(zip(names, x, strict=True)) for x in rs]
-            yield {"program": r["program"], "pou": r["pou"], "k": r["k"], "value": v, "emits": named(emits, "deeper", "token", "value", "pou", "kind", "reason", "source", "assignment"), "goals": named(goals, "way", "deeper", "token", "value", "pou")}
+    rest = _rows(rows.repartition(_tasks(asked, UNITS_A_TASK)), _steps, _STEPS)
 
-    out = scratch(_rows(rows, steps, _STEPS), "steps")
-    discard(facts)
+    emit = F.struct(F.lit(0).alias("deeper"), F.lit(None).cast("string").alias("token"), "value", "pou", F.when(F.col("named"), "global_variable").otherwise("unknown").alias("kind"), F.when(F.col("named"), F.coalesce(F.nullif("address", F.lit("")), F.lit("no hardware"))).otherwise("not declared").alias("reason"), F.when(F.col("named"), "global").otherwise("unknown").alias("source"), F.lit(None).cast("string").alias("assignment"))
+    undeclared = read.where("need = 'global'").select("program", "pou", "k").join(big(names.withColumn("named", F.lit(True))), ["program", "k"], "left").withColumn("value", F.explode(F.array(F.lit(True), F.lit(False))))
+    undeclared = undeclared.select("program", "pou", "k", "value", F.array(emit).cast(_EMITS).alias("emits"), F.array().cast(_GOALS).alias("goals"))
+    own = read.where("need = 'step'").select("program", "pou", "k", "value", "emits", "goals")
+    out = scratch(own.unionByName(undeclared).unionByName(rest), "steps")
+    discard(read, each)
     return out
 
 
@@ -265,9 +337,12 @@ def requirement_paths(units: DataFrame, wiring: DataFrame, globals_: DataFrame,
     program or unit that isn't there gives no rows; a goal in a unit that isn't there one of kind unknown. Rows of equal starts with different trace numbers are their own. One job
     a level, each written to the shared folder; an empty start table gives no rows.
     """
-    steps = trace_steps(units, wiring, globals_, starts, hints)
+    written = trace_steps(units, wiring, globals_, starts, hints)
+    # dealt and sorted once: in a level's join only the frontier moves, to as many parts by the same key
+    parts, by = _tasks(written, STEPS_A_TASK), ["program", "pou", "k", "value"]
+    steps = written.repartition(parts, *by).sortWithinPartitions(*by).persist(StorageLevel.DISK_ONLY)
     known = units.select("program", F.col("name").alias("pou")).distinct()
-    frontier = starts.join(known, ["program", "pou"], "left_semi").select("trace", "program", F.array(F.lit(1)).alias("path"), F.lit(0).alias("depth"), "token", F.col("value").cast("boolean").alias("value"), "pou", F.array().cast("array<string>").alias("active"))
+    frontier = starts.join(big(known), ["program", "pou"], "left_semi").select("trace", "program", F.array(F.lit(1)).alias("path"), F.lit(0).alias("depth"), "token", F.col("value").cast("boolean").alias("value"), "pou", F.array().cast("array<string>").alias("active"))
     levels = []
     while True:
         own = F.concat_ws("\x01", "pou", F.upper("token"), F.col("value").cast("string"))
@@ -275,7 +350,7 @@ def requirement_paths(units: DataFrame, wiring: DataFrame, globals_: DataFrame,
         assumed = F.col("value") & (state != "") & state.isin(*assumed_false) if assumed_false else F.lit(False)
         ended = F.when(F.col("depth") > most_depth, F.lit("stop")).when(assumed, F.lit("assumed_false")).when(F.array_contains("active", own), F.lit("loop"))
         rows = frontier.withColumns({"own": own, "ended": ended, "k": F.when(ended.isNull(), F.lower("token"))})
-        found = rows.join(steps.hint("merge"), ["program", "pou", "k", "value"], "left")
+        found = rows.repartition(parts, *by).join(big(steps), by, "left")
         level = scratch(found.select("trace", "program", "path", "depth", "token", "value", "pou", "active", "own", F.when(F.col("ended").isNull() & F.col("emits").isNull(), F.lit("unknown")).otherwise(F.col("ended")).alias("ended"), "emits", "goals"), "level")
         levels.append(level)
         goals = level.select("trace", "program", "path", "depth", F.col("token").alias("asked"), F.concat("active", F.array("own")).alias("active"), F.explode("goals").alias("g"))
@@ -293,5 +368,6 @@ def requirement_paths(units: DataFrame, wiring: DataFrame, globals_: DataFrame,
         told = e.select("trace", "path_id", (F.col("depth") + F.col("e.deeper")).alias("depth"), F.when(F.col("e.token") == PORT, port).otherwise(F.coalesce("e.token", "asked")).alias("token"), *[F.col(f"e.{c}").alias(c) for c in ("value", "pou", "kind", "reason", "source", "assignment")])
         out = ended.unionByName(told) if out is None else out.unionByName(ended).unionByName(told)
     done = scratch(out, "trace")
-    discard(steps, *levels)
+    steps.unpersist()
+    discard(written, *levels)
     return done
