@@ -1,5 +1,7 @@
 """Structured text: what single expressions get wrong, generated programs read back, printed and read again."""
 
+import sys
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,3 +159,34 @@ def test_generated_programs(program, gap):
     again, problems = reader.parse(reader.show(tree))
     assert not problems and again == tree
     assert reader.show(again) == reader.show(tree)
+
+
+def calls_a_token(read, text):
+    """Python's and C's calls while text is read, for each of its tokens, after a text that is nearly the same."""
+    n = 0
+
+    def seen(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    read(text)
+    sys.setprofile(seen)
+    try:
+        read(text + " ")
+    finally:
+        sys.setprofile(None)
+    return n / len(reader.tokens(text))
+
+
+def test_code_is_read_in_few_calls():
+    code = "t(a := NOT (x AND (y OR z7)), q => arr[7]);\nIF go THEN // t(a := 1);\nfbs[1]('a;b', f(g(1, 12), 2)); t.Start(); END_IF\nCASE s OF 1: t(last); END_CASE"
+    assert calls_a_token(logic.call_statements, code) < 15  # it was 32
+
+
+def test_pieces_of_text():
+    """What has no end, is nested or looks like the start of another kind."""
+    pieces = lambda text: [(t.kind, t.text, t.line, t.spaced) for t in reader.tokens(text)]
+    assert pieces("a(* ( * (**) ) *)b(***)c(*)d") == [("name", "a", 1, False), ("name", "b", 1, True), ("name", "c", 1, True)]
+    assert pieces("(* it's\n*)x 'no end\ny") == [("name", "x", 2, True), ("string", "'no end", 2, True), ("name", "y", 3, True)]
+    assert pieces("abc#\nD#2020-01-01 t#1s 16#FF %x %IX0.1 {p} {") == [("name", "abc", 1, False), ("other", "#", 1, False), ("literal", "D#2020-01-01", 2, True), ("literal", "t#1s", 2, True), ("literal", "16#FF", 2, True), ("address", "%x", 2, True), ("address", "%IX0.1", 2, True), ("other", "{", 2, True)]
+    assert reader._MOST > 100 and not reader.tokens("") and len({t.text for n in range(3) for t in reader.tokens(" ".join(f"n{n}_{i}" for i in range(reader._MOST)))}) == 3 * reader._MOST and len(reader._KNOWN) <= reader._MOST
