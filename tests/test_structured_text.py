@@ -190,3 +190,8 @@ def test_pieces_of_text():
     assert pieces("(* it's\n*)x 'no end\ny") == [("name", "x", 2, True), ("string", "'no end", 2, True), ("name", "y", 3, True)]
     assert pieces("abc#\nD#2020-01-01 t#1s 16#FF %x %IX0.1 {p} {") == [("name", "abc", 1, False), ("other", "#", 1, False), ("literal", "D#2020-01-01", 2, True), ("literal", "t#1s", 2, True), ("literal", "16#FF", 2, True), ("address", "%x", 2, True), ("address", "%IX0.1", 2, True), ("other", "{", 2, True)]
     assert reader._MOST > 100 and not reader.tokens("") and len({t.text for n in range(3) for t in reader.tokens(" ".join(f"n{n}_{i}" for i in range(reader._MOST)))}) == 3 * reader._MOST and len(reader._KNOWN) <= reader._MOST
+
+
+def test_declarations_are_read_in_few_calls():
+    header = "VAR_INPUT a : ARRAY[1..7, 0..1] OF INT := [7(0), 12]; (* x : INT; *) s : STRING[7] := 'a;7'; END_VAR\nVAR p : POINTER TO Kind; r AT %MW7 : INT(0..7) := 7; END_VAR"
+    assert calls_a_token(logic.parse_declaration, header) < 13  # it was 24
