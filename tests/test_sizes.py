@@ -42,6 +42,12 @@ def test_units_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def test_sources_broadcast_known_names_only(spark):
+    """Of source_nodes, nations are broadcast; what units declare isn't."""
+    plan = catalogue.queries()["source_nodes"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 5 and plan.count("BroadcastExchange") == plan.count("FileScan parquet [n_nationkey")
+
+
 def test_edges_are_worked_out_once(spark):
     """Edges that say how often they were read: once, though the chain takes many rounds."""
     from tracewell.operators.graph import reachable
