@@ -48,6 +48,15 @@ def test_sources_broadcast_known_names_only(spark):
     assert plan.count("SortMergeJoin") == 5 and plan.count("BroadcastExchange") == plan.count("FileScan parquet [n_nationkey")
 
 
+@pytest.mark.parametrize("name", ["source_nodes"])
+def test_running_broadcasts_no_units(spark, name):
+    """Nor does Spark turn a join into a broadcast while it runs, when it sees how small a side is: but for the nations."""
+    df = catalogue.queries()[name](spark, DIR)
+    assert df.collect()
+    ran, _, _ = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")
+    assert "isFinalPlan=true" in ran and "SortMergeJoin" in ran and ran.count("BroadcastExchange") == ran.count("FileScan parquet [n_nationkey")
+
+
 def test_edges_are_worked_out_once(spark):
     """Edges that say how often they were read: once, though the chain takes many rounds."""
     from tracewell.operators.graph import reachable
