@@ -48,7 +48,7 @@ def test_sources_broadcast_known_names_only(spark):
     assert plan.count("SortMergeJoin") == 5 and plan.count("BroadcastExchange") == plan.count("FileScan parquet [n_nationkey")
 
 
-@pytest.mark.parametrize("name", ["source_nodes", "unit_reports"])
+@pytest.mark.parametrize("name", ["source_nodes", "unit_reports", "bound_arguments"])
 def test_running_broadcasts_no_units(spark, name):
     """Nor does Spark turn a join into a broadcast while it runs, when it sees how small a side is: but for the nations."""
     df = catalogue.queries()[name](spark, DIR)
