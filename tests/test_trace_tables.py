@@ -95,3 +95,52 @@ def test_rows_alike_are_worked_out_twice_at_most(spark):
     df = spark.range(0, 1000, 1, 1).selectExpr("'x' AS t", "concat('P', id) AS program")
     found = [(r.program, r.k) for r in _rows(df, f, "program string, k string").collect()]
     assert len(found) == 2000 and set(found) == {(f"P{i}", k) for i in range(1000) for k in ("x", None)} and calls.value == 2
+
+
+def test_steps_are_worked_out_once_a_shape(spark, monkeypatch):
+    """program_traces has four shapes of programs, whatever the number of parts: its steps don't grow with the parts."""
+    from tracewell.plans import catalogue
+
+    sizes, make = [], trace_tables.trace_steps
+
+    def spy(*args):
+        steps = make(*args)
+        sizes.append((steps.count(), steps.select("program").distinct().count()))
+        return steps
+
+    monkeypatch.setattr(trace_tables, "trace_steps", spy)
+    found = catalogue.queries()["program_traces"](spark, "/root/testdata/sf0.001")
+    assert found.select("trace").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert sizes[0][0] < 150 and sizes[0][1] <= 4
+
+
+def test_shapes(spark):
+    """Units in another order are alike; a value that is null and one that isn't there are not, nor is a unit that comes twice."""
+    unit = lambda p, n, inputs=None, code="x := a;": (p, n, code, "ST", inputs, {}, {"x": None}, {}, False, {}, None)
+    rows = [unit("A", "U"), unit("A", "V"), unit("B", "V"), unit("B", "U"), unit("C", "U"), unit("D", "U", {}), unit("E", "U", {"a": None}), unit("F", "U", {"a": ""}), unit("G", "U"), unit("G", "U"), unit("H", "U", code=None), unit("I", "U", code="")]
+    shapes = {r.program: r.shape for r in trace_tables.program_shapes(spark.createDataFrame(rows, trace_tables.UNITS)).collect()}
+    assert len(shapes) == 9 and shapes["A"] == shapes["B"] and len(set(shapes.values())) == 8
+
+
+def test_programs_of_one_shape_differ_in_wiring_and_globals(spark, monkeypatch):
+    """Programs with the same units, but wiring, hints, globals and starts of their own; small tables sent to tasks or none."""
+    rng = random.Random(11)
+    programs, starts, want = {}, [], Counter()
+    for i in range(8):
+        base, tokens = made(rng)
+        for j in range(4):
+            wiring = {k: [(c, rng.choice([x, "t1.Q", "sub.out AND a", "NOT run", f"Own{j}"])) for c, x in v] for k, v in base.wiring.items() if rng.random() < 0.8}
+            program = Program(base.pous, {g: rng.choice([None, f"%IX{j}.1"]) for g in ("Gvl.Go", "stop", f"Own{j}") if rng.random() < 0.7}, wiring, {k: rng.choice(["a", "sub.in1"]) for k in wiring if rng.random() < 0.2})
+            programs[f"P{i}.{j}"] = program
+            for _ in range(5):
+                unit, token, value = rng.choice(list(program.pous)), rng.choice([*tokens, "t1.PT", "own1"]), rng.random() < 0.7
+                rows = requirements(program, unit, token, value, frozenset({"D2"}), 5)
+                if len(rows) <= 1000:
+                    starts.append((len(starts), f"P{i}.{j}", unit, token, value))
+                    want.update((len(starts) - 1, *(r[c] for c in COLUMNS)) for r in rows)
+    units, wiring, names, hints = tables(spark, programs)
+    for few in (trace_tables.FEW_ROWS, 0):
+        monkeypatch.setattr(trace_tables, "FEW_ROWS", few)
+        have = Counter(map(tuple, trace_tables.requirement_paths(units, wiring, names, spark.createDataFrame(starts, STARTS), hints, ("D2",), 5).collect()))
+        assert have == want, (few, (have - want).most_common(3), (want - have).most_common(3))
+    assert {r[6] for r in want} >= {"port_mapping", "branch_hint", "global_variable", "unknown", "terminal"}

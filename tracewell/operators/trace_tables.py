@@ -1,12 +1,15 @@
 """Requirement traces over tables: what trace.requirements() finds, without a process that holds a program.
 
-Each unit is parsed on its own. What a token's trace does next within its unit, by the value it must take, depends on the
-unit, the unit that owns it, the type of an instance and the first call of the unit alone, so it is worked out once for
-each token that any expression mentions: a table of steps, keyed by (program, unit, token, value), with the rows a step
-gives and the goals that follow. Most steps follow from the unit and its calls and are worked out as it is parsed; those that
-need other units, owners or instances' types, are joined with what these say. The table is dealt and sorted by its key once.
-A level of the trace is then one join of the frontier with it, in which only the frontier moves; depth, states taken
-as inactive and loops are told from a goal's own path.
+Programs whose units are all the same, in every column, have one shape; units are read and steps worked out once a shape.
+What a token's trace does next within its unit, by the value it must take, depends on the unit, the unit that owns it, the
+type of an instance and the first call of the unit alone, so it is worked out once for each token that any expression
+mentions: a table of steps, keyed by (shape, unit, token, value), with the rows a step gives and the goals that follow. Most
+steps follow from the unit and its calls and are worked out as it is parsed; those that need other units, owners or instances'
+types, are joined with what these say. What differs within a shape are wiring and globals: an input's wiring is joined
+to the goals that ask for it, and tokens without a step, which nothing declares, are looked up among the globals at the end.
+A level of the trace is one join of the frontier with the steps: a small table of steps, by count, goes to each
+task and the frontier stays where it is; a larger one is dealt and sorted by its key once, and only the frontier moves. Depth,
+states taken as inactive and loops are told from a goal's own path.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ _LEAVES = "array<struct<token:string,value:boolean>>"
 _EMITS = "array<struct<deeper:int,token:string,value:boolean,pou:string,kind:string,reason:string,source:string,assignment:string>>"
 _GOALS = "array<struct<way:int,deeper:int,token:string,value:boolean,pou:string>>"
 _STEPS = f"program string, pou string, k string, value boolean, emits {_EMITS}, goals {_GOALS}"
-#: What a unit gives, by need: facts about its names; steps; tokens whose step is told by a global's name (global) or by other units (rest).
+#: What a unit gives, by need: facts about its names; steps; tokens whose step is told by other units (rest).
 _UNIT = f"program string, pou string, k string, need string, value boolean, emits {_EMITS}, goals {_GOALS}, role string, own_name string, initial string, instance string, type string, assigns {_ASSIGNS}, passed map<string,string>, if_true {_LEAVES}, if_false {_LEAVES}"
 #: Bytes of results that a task remembers.
 _REMEMBERED = 8 << 20
@@ -37,6 +40,10 @@ _REMEMBERED = 8 << 20
 PORT = "\x02"
 #: Steps that a task of a level's join holds, about.
 STEPS_A_TASK = 200_000
+#: Rows of a table, and bytes of one as JSON, that may be sent to each task; no table with more is.
+FEW_ROWS, FEW_BYTES = 20_000, 8 << 20
+#: Expressions of the wiring that a task reads for their tokens, about.
+TEXTS_A_TASK = 100_000
 #: Units that a task parses, and tokens whose steps it works out from joined rows, about.
 UNITS_A_TASK = 10_000
 SCHEMA = "trace long, path_id string, depth int, token string, value boolean, pou string, kind string, reason string, source string, assignment string"
@@ -151,9 +158,13 @@ def _assigned(found: list[dict] | None, pou: str, v: bool, follow: bool, emits:
     return True
 
 
+#: Sources that the row of an input has which no call passes; only such rows have them.
+UNWIRED = ("default", "job_method")
+
+
 def _step(r: dict, v: bool) -> tuple[list, list]:
-    """The rows and goals of a token that must be v, from what is known of its unit, its owner, its instance and its callers. A
-    row without a token is the asked one's."""
+    """The rows and goals of a token that must be v, from what is known of its unit, its owner and its instance: none where
+    nothing declares it. An input's are those without wiring. A row without a token is the asked one's."""
     emits: list[tuple] = []
     goals: list[tuple] = []
     pou, k = r["pou"], r["k"]
@@ -193,14 +204,8 @@ def _step(r: dict, v: bool) -> tuple[list, list]:
     own, unit = r["fact"], r["unit"]
     role, name = (own["role"], own["own_name"]) if own else (None, None)
     if role == "inputs":
-        if w := r["wired"]:
-            emit(0, None, v, pou, "port_mapping", f"called by {', '.join(w['callers'])}", "wiring", w["text"])
-            if w["hint"] is not None:
-                emit(0, None, v, pou, "branch_hint", "settled before", "hint", w["hint"])
-            _expression(w["text"] if w["hint"] is None else w["hint"], v, 1, w["callers"][0], emits, goals)
-        else:
-            job = unit["is_job_method"]
-            emit(0, None, v, pou, "job_method_input" if job else "terminal", own["initial"] or "no default", "job_method" if job else "default")
+        job = unit["is_job_method"]
+        emit(0, None, v, pou, "job_method_input" if job else "terminal", own["initial"] or "no default", UNWIRED[1] if job else UNWIRED[0])
     elif role == "outputs":
         emit(0, None, v, pou, "local_port", "output", "token")
         if unit["language"] == "FBD":
@@ -222,10 +227,16 @@ def _step(r: dict, v: bool) -> tuple[list, list]:
                 _expression(best["value"], v, 2, pou, emits, goals)
     elif r["owner_fact"] and r["owner_fact"]["role"]:
         goals.append((0, 0, None, v, r["owner"]))
-    elif r["global"]:
-        emit(0, None, v, pou, "global_variable", r["global"]["address"] or "no hardware", "global")
-    else:
-        emit(0, None, v, pou, "unknown", "not declared", "unknown")
+    return emits, goals
+
+
+def _wired(pou: str, v: bool, callers: list[str], text: str, hint: str | None) -> tuple[list, list]:
+    """The rows and goals of an input that must be v, by what its first caller passes."""
+    emits: list[tuple] = [(0, None, v, pou, "port_mapping", f"called by {', '.join(callers)}", "wiring", text)]
+    goals: list[tuple] = []
+    if hint is not None:
+        emits.append((0, None, v, pou, "branch_hint", "settled before", "hint", hint))
+    _expression(text if hint is None else hint, v, 1, callers[0], emits, goals)
     return emits, goals
 
 
@@ -236,12 +247,9 @@ def _leaves(fact: dict | None, port: str, v: bool, pou: str, goals: list) -> Non
 
 
 def _unit_rows(unit: dict) -> Iterator[dict]:
-    """Rows of _UNIT of a unit with what it passes on (texts), its wired inputs and the starts there. All steps of a unit that
-    has an owner or is one (shared) are for the joins."""
+    """Rows of _UNIT of a unit. All steps of a unit that has an owner or is one (shared) are for the joins."""
     facts, asked = _facts(unit)
-    asked |= _mentioned(unit["texts"] or []) | set(unit["starts"] or [])
     yield from ({**f, "need": "fact"} for f in facts.values())
-    wired = {w["k"]: w for w in unit["wired"] or []}
     own = {"language": unit["language"] or "ST", "is_job_method": bool(unit["is_job_method"])}
     for k in sorted(asked):
         at = {"pou": unit["name"], "k": k}
@@ -251,18 +259,42 @@ def _unit_rows(unit: dict) -> Iterator[dict]:
         by_callee = port and inst and not (inst["type"].upper() in STANDARD and port.upper() in ("Q", "Q1")) and port not in dict(inst["passed"] or [])
         if unit["shared"] or by_callee:
             yield {**at, "need": "rest"}
-        elif not (port and inst) and not (fact and fact["role"]):
-            yield {**at, "need": "global"}
-        else:
-            for s in _steps({**at, "port": port, "inst": inst, "owner": None, "owner_inst": None, "callee": None, "callee_fact": None, "fact": fact, "unit": own, "wired": wired.get(k), "owner_fact": None, "global": None}):
+        elif (port and inst) or (fact and fact["role"]):
+            for s in _steps({**at, "port": port, "inst": inst, "owner": None, "owner_inst": None, "callee": None, "callee_fact": None, "fact": fact, "unit": own, "owner_fact": None}):
                 yield {**s, "need": "step"}
 
 
-def _steps(r: dict) -> Iterator[dict]:
+def _named(emits: list, goals: list) -> dict:
     named = lambda rs, *names: [dict(zip(names, x, strict=True)) for x in rs]
+    return {"emits": named(emits, "deeper", "token", "value", "pou", "kind", "reason", "source", "assignment"), "goals": named(goals, "way", "deeper", "token", "value", "pou")}
+
+
+def _steps(r: dict) -> Iterator[dict]:
     for v in (True, False):
         emits, goals = _step(r, v)
-        yield {"pou": r["pou"], "k": r["k"], "value": v, "emits": named(emits, "deeper", "token", "value", "pou", "kind", "reason", "source", "assignment"), "goals": named(goals, "way", "deeper", "token", "value", "pou")}
+        if emits or goals:
+            yield {"pou": r["pou"], "k": r["k"], "value": v, **_named(emits, goals)}
+
+
+def _read_wiring(df: DataFrame) -> DataFrame:
+    """df, which has pou, value, callers, text and hint of inputs, with emits and goals by the wiring; null where callers is."""
+    schema = f"{df._jdf.schema().toDDL()}, by_emits {_EMITS}, by_goals {_GOALS}"
+    kinds = [_arrow(schema).field(c).type for c in ("by_emits", "by_goals")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_named(*_wired(*x)) if x[2] else {"emits": None, "goals": None} for x in zip(*[b.column(c).to_pylist() for c in ("pou", "value", "callers", "text", "hint")], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x["emits"] for x in found], kinds[0]), pa.array([x["goals"] for x in found], kinds[1])], names=[*b.schema.names, "by_emits", "by_goals"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(program, pou, k) of the tokens of (program, pou, text)."""
+    for b in batches:
+        program, pou, text = (c.to_pylist() for c in b.columns)
+        rows = [(p, u, k) for p, u, t in zip(program, pou, text, strict=True) for k in _mentioned([t])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["program", "pou", "k"])
 
 
 def _tasks(df: DataFrame, rows: int) -> int:
@@ -271,32 +303,48 @@ def _tasks(df: DataFrame, rows: int) -> int:
     return max(n, min(df.sparkSession.sparkContext.defaultParallelism, 4 * n), 1)
 
 
-def trace_steps(units: DataFrame, wiring: DataFrame, globals_: DataFrame, starts: DataFrame, hints: DataFrame | None = None) -> DataFrame:
-    """The table of steps (program, pou, k, value, emits, goals) of all tokens that expressions, declarations and starts mention;
-    see requirement_paths(). Written to the shared folder; the caller discards it."""
-    unit = units.select("program", F.col("name").alias("pou"), F.coalesce("language", F.lit("ST")).alias("language"), F.coalesce("is_job_method", F.lit(False)).alias("is_job_method"), "owner", (F.coalesce("code", F.lit("")) != "").alias("has_code"))
-    wired = wiring.groupBy("program", "pou", F.lower("port").alias("k")).agg(F.array_sort(F.collect_list(F.struct("place", "caller", "expression"))).alias("w"))
-    wired = wired.select("program", "pou", "k", F.col("w.caller").alias("callers"), F.col("w")[0]["expression"].alias("text"))
-    if hints is None:
-        wired = wired.withColumn("hint", F.lit(None).cast("string"))
-    else:
-        wired = wired.join(big(hints.select("program", "pou", F.lower("port").alias("k"), F.col("expression").alias("hint"))), ["program", "pou", "k"], "left")
+def _few(df: DataFrame) -> bool:
+    """Whether a table that is read is small enough, by its rows and bytes, to be sent to each task."""
+    if df.limit(FEW_ROWS + 1).count() > FEW_ROWS:
+        return False
+    return (df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0) <= FEW_BYTES
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """The right side of a join, a table that is read: sent to each task if it is small, merged otherwise."""
+    return F.broadcast(df) if _few(df) else big(df)
+
+
+def program_shapes(units: DataFrame) -> DataFrame:
+    """(program, shape): programs have the same shape if their units, in any order, are the same in all columns. A shape is
+    a digest of the sums of 32-bit parts of the units' digests, so that no program is gathered."""
+    rest = [F.col(f"`{x.split()[0]}`") for x in UNITS.split(", ")[1:]]
+    digest = units.select("program", F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256).alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(8)]
+    found = digest.groupBy("program").agg(F.count("*").alias("n"), *sums)
+    return found.select("program", F.sha2(F.concat_ws(",", "n", *[f"s{i}" for i in range(8)]), 256).alias("shape"))
 
-    of_unit = wired.groupBy("program", F.col("pou").alias("name")).agg(F.sort_array(F.collect_list(F.struct("k", "callers", "text", "hint"))).alias("wired"))
-    passed_on = wired.groupBy("program", F.col("callers")[0].alias("name")).agg(F.sort_array(F.collect_set(F.coalesce("hint", "text"))).alias("texts"))
-    begun = starts.groupBy("program", F.col("pou").alias("name")).agg(F.sort_array(F.collect_set(F.lower("token"))).alias("starts"))
+
+def trace_steps(units: DataFrame, more: DataFrame) -> DataFrame:
+    """The table of steps (program, pou, k, value, emits, goals) of all tokens that the units' expressions and declarations
+    mention and of those of more(program, pou, k); tokens that nothing declares have none, inputs those without wiring.
+    units has the columns of UNITS and is a table that is read; see requirement_paths(). Written to the shared folder; the caller discards it."""
+    unit = units.select("program", F.col("name").alias("pou"), F.coalesce("language", F.lit("ST")).alias("language"), F.coalesce("is_job_method", F.lit(False)).alias("is_job_method"), "owner", (F.coalesce("code", F.lit("")) != "").alias("has_code"))
     owners = units.where("owner is not null").select("program", F.col("owner").alias("name")).distinct().withColumn("owns", F.lit(True))
-    each = units
-    for df in (of_unit, passed_on, begun, owners):
-        each = each.join(big(df), ["program", "name"], "left")
     shared = F.col("owner").isNotNull() | F.col("owns").isNotNull()
-    each = scratch(each.withColumn("shared", shared).drop("owns", "owner"), "units")
+    each = scratch(units.join(big(owners), ["program", "name"], "left").withColumn("shared", shared).drop("owns", "owner"), "units")
     read = scratch(_rows(spread(each, UNITS_A_TASK), _unit_rows, _UNIT), "facts")
 
-    facts, asked = read.where("need = 'fact'"), read.where("need = 'rest'").select("program", "pou", "k")
+    facts, own = read.where("need = 'fact'"), read.where("need = 'step'").select("program", "pou", "k", "value", "emits", "goals")
+    # of more, only what has a declared name or begins with one can have a step
+    names = scratch(facts.select("program", F.col("k").alias("name")).distinct(), "names")
+    either = more.withColumn("name", F.explode(F.array_distinct(F.array("k", F.substring_index("k", ".", 1)))))
+    more = either.join(_side(names), ["program", "name"], "left_semi").select("program", "pou", "k").distinct()
+    more = more.join(big(own.select("program", "pou", "k").distinct()), ["program", "pou", "k"], "left_anti")
+    asked = read.where("need = 'rest'").select("program", "pou", "k").unionByName(more)
     # a token that is its owner's is asked there, too
     above = asked.join(big(unit.where("owner is not null").select("program", "pou", "owner")), ["program", "pou"]).select("program", F.col("owner").alias("pou"), "k")
-    keys = asked.unionByName(above).distinct()
+    keys = scratch(asked.unionByName(above).distinct(), "keys")
 
     def record(name: str, df: DataFrame, **on: str) -> DataFrame:
         """df as one struct column, under the names of the columns that it is joined by."""
@@ -308,24 +356,16 @@ def trace_steps(units: DataFrame, wiring: DataFrame, globals_: DataFrame, starts
     rows = keys.join(big(record("unit", unit, program="program", pou="pou")), ["program", "pou"]).withColumn("owner", F.col("unit.owner"))
     rows = rows.withColumn("i", F.substring_index("k", ".", 1)).withColumn("port", F.expr("if(k like '%.%', substring(k, length(i) + 2), '')"))
     rows = rows.join(big(record("fact", plain, program="program", pou="pou", k="k")), ["program", "pou", "k"], "left")
-    rows = rows.join(big(record("wired", wired, program="program", pou="pou", k="k")), ["program", "pou", "k"], "left")
     rows = rows.join(big(record("inst", held, program="program", pou="pou", k="i")), ["program", "pou", "i"], "left")
     rows = rows.join(big(record("owner_inst", held, program="program", pou="owner", k="i")), ["program", "owner", "i"], "left")
     rows = rows.join(big(record("owner_fact", plain.select("program", "pou", "k", "role"), program="program", pou="owner", k="k")), ["program", "owner", "k"], "left")
     rows = rows.withColumn("callee_name", F.coalesce("inst.type", "owner_inst.type"))
     rows = rows.join(big(record("callee", unit, program="program", pou="callee_name")), ["program", "callee_name"], "left")
     rows = rows.join(big(record("callee_fact", plain, program="program", pou="callee_name", k="port")), ["program", "callee_name", "port"], "left")
-    names = globals_.groupBy("program", F.lower("name").alias("k")).agg(F.min_by("address", "name").alias("address"))
-    rows = rows.join(big(record("global", names, program="program", k="k")), ["program", "k"], "left")
-
-    rest = _rows(rows.repartition(_tasks(asked, UNITS_A_TASK)), _steps, _STEPS)
 
-    emit = F.struct(F.lit(0).alias("deeper"), F.lit(None).cast("string").alias("token"), "value", "pou", F.when(F.col("named"), "global_variable").otherwise("unknown").alias("kind"), F.when(F.col("named"), F.coalesce(F.nullif("address", F.lit("")), F.lit("no hardware"))).otherwise("not declared").alias("reason"), F.when(F.col("named"), "global").otherwise("unknown").alias("source"), F.lit(None).cast("string").alias("assignment"))
-    undeclared = read.where("need = 'global'").select("program", "pou", "k").join(big(names.withColumn("named", F.lit(True))), ["program", "k"], "left").withColumn("value", F.explode(F.array(F.lit(True), F.lit(False))))
-    undeclared = undeclared.select("program", "pou", "k", "value", F.array(emit).cast(_EMITS).alias("emits"), F.array().cast(_GOALS).alias("goals"))
-    own = read.where("need = 'step'").select("program", "pou", "k", "value", "emits", "goals")
-    out = scratch(own.unionByName(undeclared).unionByName(rest), "steps")
-    discard(read, each)
+    rest = _rows(rows.repartition(_tasks(keys, UNITS_A_TASK)), _steps, _STEPS)
+    out = scratch(own.unionByName(rest), "steps")
+    discard(read, each, names, keys)
     return out
 
 
@@ -335,14 +375,37 @@ def requirement_paths(units: DataFrame, wiring: DataFrame, globals_: DataFrame,
     units has the columns of UNITS; wiring(program, pou, port, place, caller, expression) what each call of a unit passes, by place;
     globals_(program, name, address); hints(program, pou, port, expression) instead of a caller's expression. A start in a
     program or unit that isn't there gives no rows; a goal in a unit that isn't there one of kind unknown. Rows of equal starts with different trace numbers are their own. One job
-    a level, each written to the shared folder; an empty start table gives no rows.
+    a level, or two where inputs are met, each written to the shared folder; an empty start table gives no rows.
     """
-    written = trace_steps(units, wiring, globals_, starts, hints)
-    # dealt and sorted once: in a level's join only the frontier moves, to as many parts by the same key
-    parts, by = _tasks(written, STEPS_A_TASK), ["program", "pou", "k", "value"]
-    steps = written.repartition(parts, *by).sortWithinPartitions(*by).persist(StorageLevel.DISK_ONLY)
-    known = units.select("program", F.col("name").alias("pou")).distinct()
-    frontier = starts.join(big(known), ["program", "pou"], "left_semi").select("trace", "program", F.array(F.lit(1)).alias("path"), F.lit(0).alias("depth"), "token", F.col("value").cast("boolean").alias("value"), "pou", F.array().cast("array<string>").alias("active"))
+    shapes = scratch(program_shapes(units), "shapes")
+    first = scratch(shapes.groupBy("shape").agg(F.min("program").alias("program")), "first")
+    alike = units.join(_side(first), "program").withColumn("program", F.col("shape")).drop("shape")
+    one_each = scratch(alike, "alike")  # the units of one program a shape, under the shape's name
+
+    wired = wiring.groupBy("program", "pou", F.lower("port").alias("k")).agg(F.array_sort(F.collect_list(F.struct("place", "caller", "expression"))).alias("w"))
+    wired = wired.select("program", "pou", "k", F.col("w.caller").alias("callers"), F.col("w")[0]["expression"].alias("text"))
+    if hints is None:
+        wired = wired.withColumn("hint", F.lit(None).cast("string"))
+    else:
+        wired = wired.join(big(hints.select("program", "pou", F.lower("port").alias("k"), F.col("expression").alias("hint"))), ["program", "pou", "k"], "left")
+    wired = scratch(wired, "wired")
+
+    begun = scratch(starts.join(big(shapes), "program"), "starts")
+    texts = wired.select("program", F.col("callers")[0].alias("pou"), F.coalesce("hint", "text").alias("text")).where("text is not null").join(big(shapes), "program")
+    texts = texts.select(F.col("shape").alias("program"), "pou", "text").repartition(_tasks(wired, TEXTS_A_TASK), "program", "pou", "text").distinct()
+    asked = texts.mapInArrow(_tokens, "program string, pou string, k string").unionByName(begun.select(F.col("shape").alias("program"), "pou", F.lower("token").alias("k")))
+    written = trace_steps(one_each, asked)
+
+    by = ["shape", "pou", "k", "value"]
+    steps = written.withColumnRenamed("program", "shape")
+    if few := _few(written):
+        steps = F.broadcast(steps)
+    else:  # dealt and sorted once: in a level's join only the frontier moves, to as many parts by the same key
+        parts = _tasks(written, STEPS_A_TASK)
+        steps = steps.repartition(parts, *by).sortWithinPartitions(*by).persist(StorageLevel.DISK_ONLY)
+    known = scratch(one_each.select(F.col("program").alias("shape"), F.col("name").alias("pou")).distinct(), "known")
+    frontier = begun.join(_side(known), ["shape", "pou"], "left_semi").select("trace", "program", "shape", F.array(F.lit(1)).alias("path"), F.lit(0).alias("depth"), "token", F.col("value").cast("boolean").alias("value"), "pou", F.array().cast("array<string>").alias("active"))
+    columns = ["trace", "program", "shape", "path", "depth", "token", "value", "pou", "active", "own", "ended", "emits", "goals"]
     levels = []
     while True:
         own = F.concat_ws("\x01", "pou", F.upper("token"), F.col("value").cast("string"))
@@ -350,24 +413,42 @@ def requirement_paths(units: DataFrame, wiring: DataFrame, globals_: DataFrame,
         assumed = F.col("value") & (state != "") & state.isin(*assumed_false) if assumed_false else F.lit(False)
         ended = F.when(F.col("depth") > most_depth, F.lit("stop")).when(assumed, F.lit("assumed_false")).when(F.array_contains("active", own), F.lit("loop"))
         rows = frontier.withColumns({"own": own, "ended": ended, "k": F.when(ended.isNull(), F.lower("token"))})
-        found = rows.repartition(parts, *by).join(big(steps), by, "left")
-        level = scratch(found.select("trace", "program", "path", "depth", "token", "value", "pou", "active", "own", F.when(F.col("ended").isNull() & F.col("emits").isNull(), F.lit("unknown")).otherwise(F.col("ended")).alias("ended"), "emits", "goals"), "level")
+        found = (rows if few else rows.repartition(parts, *by)).join(steps if few else big(steps), by, "left")
+        level = scratch(found.select(*columns, F.coalesce(F.get("emits", F.lit(0))["source"].isin(*UNWIRED), F.lit(False)).alias("wirable")), "level")
         levels.append(level)
-        goals = level.select("trace", "program", "path", "depth", F.col("token").alias("asked"), F.concat("active", F.array("own")).alias("active"), F.explode("goals").alias("g"))
-        frontier = goals.select("trace", "program", F.when(F.col("g.way") > 0, F.concat("path", F.array("g.way"))).otherwise(F.col("path")).alias("path"), (F.col("depth") + F.col("g.deeper")).alias("depth"), F.coalesce("g.token", "asked").alias("token"), F.col("g.value").alias("value"), F.col("g.pou").alias("pou"), "active")
-        if frontier.isEmpty():
+        goals = level
+        if not (inputs := level.where("wirable")).isEmpty():
+            inputs = inputs.withColumn("k", F.lower("token")).join(big(wired), ["program", "pou", "k"], "left").drop("k")
+            read = _read_wiring(inputs).select(*columns[:-2], F.coalesce("by_emits", "emits").alias("emits"), F.coalesce("by_goals", "goals").alias("goals"), F.lit(False).alias("wirable"))
+            levels.append(scratch(read, "level"))
+            goals = level.where("not wirable").unionByName(levels[-1])
+        goals = goals.select("trace", "program", "shape", "path", "depth", F.col("token").alias("asked"), F.concat("active", F.array("own")).alias("active"), F.explode("goals").alias("g"))
+        frontier = goals.select("trace", "program", "shape", F.when(F.col("g.way") > 0, F.concat("path", F.array("g.way"))).otherwise(F.col("path")).alias("path"), (F.col("depth") + F.col("g.deeper")).alias("depth"), F.coalesce("g.token", "asked").alias("token"), F.col("g.value").alias("value"), F.col("g.pou").alias("pou"), "active")
+        if not (n := frontier.count()):
             break
-    why = F.create_map(*[F.lit(x) for x in ("stop", "depth", "assumed_false", "state is taken as inactive", "loop", "met on this path", "unknown", "no such unit")])
+        if n > 4 * STEPS_A_TASK * frontier.rdd.getNumPartitions():  # ways multiply
+            frontier = frontier.repartition(-(-n // STEPS_A_TASK), "trace", "path", "pou", "token")
+
+    folders = [f.rsplit("/", 1)[0] for x in levels for f in x.inputFiles()[:1]]
+    every = units.sparkSession.read.schema(levels[0].schema).parquet(*folders).where("not wirable")
     path: Column = F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path_id")
+    why = F.create_map(*[F.lit(x) for x in ("stop", "depth", "assumed_false", "state is taken as inactive", "loop", "met on this path")])
     none = F.lit(None).cast("string")
-    out = None
-    for level in levels:
-        ended = level.where("ended is not null").select("trace", path, "depth", "token", "value", "pou", F.col("ended").alias("kind"), why[F.col("ended")].alias("reason"), F.lit("guard").alias("source"), none.alias("assignment"))
-        e = level.select("trace", path, "depth", F.col("token").alias("asked"), F.explode("emits").alias("e"))
-        port = F.expr("substring(asked, length(substring_index(asked, '.', 1)) + 2)")
-        told = e.select("trace", "path_id", (F.col("depth") + F.col("e.deeper")).alias("depth"), F.when(F.col("e.token") == PORT, port).otherwise(F.coalesce("e.token", "asked")).alias("token"), *[F.col(f"e.{c}").alias(c) for c in ("value", "pou", "kind", "reason", "source", "assignment")])
-        out = ended.unionByName(told) if out is None else out.unionByName(ended).unionByName(told)
-    done = scratch(out, "trace")
-    steps.unpersist()
-    discard(written, *levels)
+    end = F.struct(F.lit(0).alias("deeper"), none.alias("token"), "value", "pou", F.col("ended").alias("kind"), why[F.col("ended")].alias("reason"), F.lit("guard").alias("source"), none.alias("assignment"))
+    e = every.select("trace", path, "depth", F.col("token").alias("asked"), F.explode(F.when(F.col("ended").isNotNull(), F.array(end).cast(_EMITS)).otherwise(F.col("emits"))).alias("e"))
+    port = F.expr("substring(asked, length(substring_index(asked, '.', 1)) + 2)")
+    told = e.select("trace", "path_id", (F.col("depth") + F.col("e.deeper")).alias("depth"), F.when(F.col("e.token") == PORT, port).otherwise(F.coalesce("e.token", "asked")).alias("token"), *[F.col(f"e.{c}").alias(c) for c in ("value", "pou", "kind", "reason", "source", "assignment")])
+
+    # what has no step: a global, or nothing that is declared, or a unit that isn't there
+    names = globals_.groupBy("program", F.lower("name").alias("k")).agg(F.min_by("address", "name").alias("address")).withColumn("named", F.lit(True))
+    bare = every.where("ended is null and emits is null").select("trace", "program", "shape", path, "depth", "token", "value", "pou", F.lower("token").alias("k"))
+    bare = bare.join(_side(known.withColumn("there", F.lit(True))), ["shape", "pou"], "left").join(big(names), ["program", "k"], "left")
+    kind = F.when(F.col("there").isNull() | F.col("token").isNull() | F.col("value").isNull(), 0).when(F.col("named"), 1).otherwise(2)
+    of = lambda *xs: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), kind + 1)
+    address = F.coalesce(F.nullif("address", F.lit("")), F.lit("no hardware"))
+    bare = bare.select("trace", "path_id", "depth", "token", "value", "pou", of("unknown", "global_variable", "unknown").alias("kind"), of("no such unit", address, "not declared").alias("reason"), of("guard", "global", "unknown").alias("source"), none.alias("assignment"))
+    done = scratch(told.unionByName(bare), "trace")
+    if not few:
+        steps.unpersist()
+    discard(written, shapes, first, one_each, wired, begun, known, *levels)
     return done
