@@ -317,12 +317,13 @@ def _side(df: DataFrame) -> DataFrame:
 
 def program_shapes(units: DataFrame) -> DataFrame:
     """(program, shape): programs have the same shape if their units, in any order, are the same in all columns. A shape is
-    a digest of the sums of 32-bit parts of the units' digests, so that no program is gathered."""
+    a digest of the sums of the four 32-bit parts of the units' digests, so that no program is gathered."""
     rest = [F.col(f"`{x.split()[0]}`") for x in UNITS.split(", ")[1:]]
     digest = units.select("program", F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256).alias("h"))
-    sums = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(8)]
-    found = digest.groupBy("program").agg(F.count("*").alias("n"), *sums)
-    return found.select("program", F.sha2(F.concat_ws(",", "n", *[f"s{i}" for i in range(8)]), 256).alias("shape"))
+    digest = digest.select("program", F.xxhash64("h").alias("a"), F.xxhash64(F.lit(1), "h").alias("b"))
+    half = [x for c in ("a", "b") for x in (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(c, 32))]
+    found = digest.groupBy("program").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(half)])
+    return found.select("program", F.md5(F.concat_ws(",", "n", "s0", "s1", "s2", "s3")).alias("shape"))
 
 
 def trace_steps(units: DataFrame, more: DataFrame) -> DataFrame:
@@ -404,34 +405,43 @@ def requirement_paths(units: DataFrame, wiring: DataFrame, globals_: DataFrame,
         parts = _tasks(written, STEPS_A_TASK)
         steps = steps.repartition(parts, *by).sortWithinPartitions(*by).persist(StorageLevel.DISK_ONLY)
     known = scratch(one_each.select(F.col("program").alias("shape"), F.col("name").alias("pou")).distinct(), "known")
-    frontier = begun.join(_side(known), ["shape", "pou"], "left_semi").select("trace", "program", "shape", F.array(F.lit(1)).alias("path"), F.lit(0).alias("depth"), "token", F.col("value").cast("boolean").alias("value"), "pou", F.array().cast("array<string>").alias("active"))
-    columns = ["trace", "program", "shape", "path", "depth", "token", "value", "pou", "active", "own", "ended", "emits", "goals"]
-    levels = []
+    frontier = begun.join(_side(known), ["shape", "pou"], "left_semi").select("trace", "program", "shape", F.lit("1").alias("path"), F.lit(0).alias("depth"), "token", F.col("value").cast("boolean").alias("value"), "pou", F.array().cast("array<string>").alias("active"))
+    columns = ["trace", "program", "shape", "path", "depth", "token", "value", "pou", "active", "own", "ended"]
+
+    def stepped(rows: DataFrame) -> DataFrame:
+        """With the steps of goals that haven't ended, and whether wiring may tell another one."""
+        rows = rows.withColumn("k", F.when(F.col("ended").isNull(), F.lower("token")))
+        found = (rows if few else rows.repartition(parts, *by)).join(steps if few else big(steps), by, "left")
+        return found.select(*columns, "emits", "goals", F.coalesce(F.get("emits", F.lit(0))["source"].isin(*UNWIRED), F.lit(False)).alias("wirable"))
+
+    levels, by_wiring = [], []
     while True:
         own = F.concat_ws("\x01", "pou", F.upper("token"), F.col("value").cast("string"))
         state = F.regexp_extract("token", r"(?:^|\.)([AFD]\d+)$", 1)
         assumed = F.col("value") & (state != "") & state.isin(*assumed_false) if assumed_false else F.lit(False)
         ended = F.when(F.col("depth") > most_depth, F.lit("stop")).when(assumed, F.lit("assumed_false")).when(F.array_contains("active", own), F.lit("loop"))
-        rows = frontier.withColumns({"own": own, "ended": ended, "k": F.when(ended.isNull(), F.lower("token"))})
-        found = (rows if few else rows.repartition(parts, *by)).join(steps if few else big(steps), by, "left")
-        level = scratch(found.select(*columns, F.coalesce(F.get("emits", F.lit(0))["source"].isin(*UNWIRED), F.lit(False)).alias("wirable")), "level")
+        rows = frontier.withColumns({"own": own, "ended": ended}).select(*columns)
+        level = scratch(rows if few else stepped(rows), "level")  # where steps are sent to tasks, they are joined again and not stored
         levels.append(level)
-        goals = level
-        if not (inputs := level.where("wirable")).isEmpty():
+        if not (n := level.count()):
+            break
+        if few and n > 4 * STEPS_A_TASK * level.rdd.getNumPartitions():  # ways multiply
+            level = level.repartition(-(-n // STEPS_A_TASK), "trace", "path", "pou", "token")
+        goals = seen = stepped(level) if few else level
+        if not (inputs := seen.where("wirable")).isEmpty():
             inputs = inputs.withColumn("k", F.lower("token")).join(big(wired), ["program", "pou", "k"], "left").drop("k")
-            read = _read_wiring(inputs).select(*columns[:-2], F.coalesce("by_emits", "emits").alias("emits"), F.coalesce("by_goals", "goals").alias("goals"), F.lit(False).alias("wirable"))
-            levels.append(scratch(read, "level"))
-            goals = level.where("not wirable").unionByName(levels[-1])
+            by_wiring.append(scratch(_read_wiring(inputs).select(*columns, F.coalesce("by_emits", "emits").alias("emits"), F.coalesce("by_goals", "goals").alias("goals"), F.lit(False).alias("wirable")), "level"))
+            goals = seen.where("not wirable").unionByName(by_wiring[-1])
         goals = goals.select("trace", "program", "shape", "path", "depth", F.col("token").alias("asked"), F.concat("active", F.array("own")).alias("active"), F.explode("goals").alias("g"))
-        frontier = goals.select("trace", "program", "shape", F.when(F.col("g.way") > 0, F.concat("path", F.array("g.way"))).otherwise(F.col("path")).alias("path"), (F.col("depth") + F.col("g.deeper")).alias("depth"), F.coalesce("g.token", "asked").alias("token"), F.col("g.value").alias("value"), F.col("g.pou").alias("pou"), "active")
-        if not (n := frontier.count()):
-            break
-        if n > 4 * STEPS_A_TASK * frontier.rdd.getNumPartitions():  # ways multiply
-            frontier = frontier.repartition(-(-n // STEPS_A_TASK), "trace", "path", "pou", "token")
+        frontier = goals.select("trace", "program", "shape", F.when(F.col("g.way") > 0, F.concat_ws(".", "path", F.col("g.way").cast("string"))).otherwise(F.col("path")).alias("path"), (F.col("depth") + F.col("g.deeper")).alias("depth"), F.coalesce("g.token", "asked").alias("token"), F.col("g.value").alias("value"), F.col("g.pou").alias("pou"), "active")
+
+    def together(tables: list[DataFrame]) -> DataFrame:
+        return units.sparkSession.read.schema(tables[0].schema).parquet(*[f.rsplit("/", 1)[0] for x in tables for f in x.inputFiles()[:1]])
 
-    folders = [f.rsplit("/", 1)[0] for x in levels for f in x.inputFiles()[:1]]
-    every = units.sparkSession.read.schema(levels[0].schema).parquet(*folders).where("not wirable")
-    path: Column = F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path_id")
+    every = (stepped(together(levels)) if few else together(levels)).where("not wirable")
+    if by_wiring:
+        every = every.unionByName(together(by_wiring))
+    path: Column = F.col("path").alias("path_id")
     why = F.create_map(*[F.lit(x) for x in ("stop", "depth", "assumed_false", "state is taken as inactive", "loop", "met on this path")])
     none = F.lit(None).cast("string")
     end = F.struct(F.lit(0).alias("deeper"), none.alias("token"), "value", "pou", F.col("ended").alias("kind"), why[F.col("ended")].alias("reason"), F.lit("guard").alias("source"), none.alias("assignment"))
@@ -450,5 +460,5 @@ def requirement_paths(units: DataFrame, wiring: DataFrame, globals_: DataFrame,
     done = scratch(told.unionByName(bare), "trace")
     if not few:
         steps.unpersist()
-    discard(written, shapes, first, one_each, wired, begun, known, *levels)
+    discard(written, shapes, first, one_each, wired, begun, known, *levels, *by_wiring)
     return done
